@@ -4,29 +4,114 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tapeline.llm import bpe, chat, langid, neardup, packing, quality, rules, sharding, topk, toxicity
 from tapeline.llm.common import table
 
 
-def _public(name: str) -> str:
+def public(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pattern() -> str:
     import public_tokenizers
 
-    from tapeline.llm import bpe
+    return public_tokenizers.PATTERN
+
+
+def token_ids() -> packing.Ids:
+    return packing.Ids(public("byte_bpe_50k.json"), public("byte_bpe_50k.tiktoken"), pattern())
+
+
+def fold(parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts``; null without an id."""
+    return F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % parts
+
+
+def _held_out(parts: int, part: int) -> Column:
+    return F.coalesce(fold(parts) == part, F.lit(False))
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), bpe.ByteBpe.from_file(public("byte_bpe_50k.tiktoken"), pattern()))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), token_ids())
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(3) != 1)
+    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
-    codec = bpe.ByteBpe.from_file(_public("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.digest(table(spark, sf_dir, "documents"), codec)
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chat.digest(chat.formatted(rows.unionByName(extra), chat.Formatter(public("byte_bpe_50k.json"))))
+
+
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5) != 0)
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.predict(table(spark, sf_dir, "documents"), fold(3) != 1)
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_topk, op2_bpe, op3_packing, op4_toxicity, op5_chat, op6_neardup, op7_quality, op8_langid, op9_rules, op10_sharding)
+}
+
+#: Exact top-k is the one whole contract that SQL states; the others are held against brute force in tests/llm.
+ORACLE = {
+    "op1_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE))::DOUBLE[] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
+
+
+__all__ = ["fold", "oracle_sql", "queries", "table", "token_ids"]
