@@ -34,8 +34,9 @@ from pyspark.sql import types as T
 
 from tapeline.llm.common import cut, drop_cut, map_arrow, schema
 
-BANDS, BAND = 21, 6
-M = BANDS * BAND
+M = 126
+#: A pair at the threshold may share no band this often.
+MISSED = 1e-4
 BASE = 1.05
 RATE = 20.0
 #: A pair is dropped unseen where the likelihood of the threshold is so many times e below the best one.
@@ -46,6 +47,12 @@ _ADD = np.random.default_rng(20240502).integers(0, 2**64, M, dtype=np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
 
+def layout(percent: int) -> tuple[int, int]:
+    """(bands, registers a band): the longest bands of which a pair at the threshold shares one but for MISSED."""
+    p = percent / 100
+    return max(((M // r, r) for r in range(1, 13) if (1 - p**r) ** (M // r) <= MISSED), key=lambda x: x[1], default=(M, 1))
+
+
 def words(text: str | None) -> list[bytes]:
     """bytes.split() splits at 0x20 and 0x09 to 0x0D, bytes.lower() lowers A-Z: nothing else."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -172,9 +179,9 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
 
 
-def _bands(reps: DataFrame) -> DataFrame:
+def _bands(reps: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """(key, band, rep): one row a band of each class."""
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * BAND * i + 1, 2 * BAND)) for i in range(BANDS)])
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * shape[1] * i + 1, 2 * shape[1])) for i in range(shape[0])])
     return reps.select("rep", F.posexplode(keys).alias("band", "key"))
 
 
@@ -231,14 +238,16 @@ def _cross_pairs(f: pd.DataFrame, by: list[str]) -> Iterator[tuple[np.ndarray, n
 _GROUP = ["key", "i", "j"]
 
 
-def _first_band(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a.reshape(-1, BANDS, BAND) == b.reshape(-1, BANDS, BAND)).all(axis=2).argmax(axis=1)
+def _first_band(a: np.ndarray, b: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    n = shape[0] * shape[1]
+    return (a[:, :n].reshape(-1, *shape) == b[:, :n].reshape(-1, *shape)).all(axis=2).argmax(axis=1)
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, comp) of the classes that have links. ``reps``: rep, n, sketch, one row a class."""
     threshold = percent / 100
-    light = _bands(reps)
+    shape = layout(percent)
+    light = _bands(reps, shape)
     buckets = cut(light.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1"))
     star = cut(light.join(buckets, "key").filter("rep <> pivot").select("rep", "pivot").distinct())
     if star.isEmpty():
@@ -290,7 +299,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
                 a, b = a[size], b[size]
                 for lo in range(0, len(a), 50_000):
                     x, y = a[lo : lo + 50_000], b[lo : lo + 50_000]
-                    own = _first_band(sk[x], sk[y]) == band[x]
+                    own = _first_band(sk[x], sk[y], shape) == band[x]
                     x, y = x[own], y[own]
                     ok = likely(sk[x], n[x], sk[y], n[y], threshold)
                     hit[x[ok]] = hit[y[ok]] = True
@@ -332,7 +341,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
             for a, b in _cross_pairs(f, _GROUP):
                 for lo in range(0, len(a), 50_000):
                     x, y = a[lo : lo + 50_000], b[lo : lo + 50_000]
-                    own = _first_band(sk[x], sk[y]) == band[x]
+                    own = _first_band(sk[x], sk[y], shape) == band[x]
                     x, y = x[own], y[own]
                     ok = likely(sk[x], n[x], sk[y], n[y], threshold)
                     for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):

@@ -24,10 +24,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: name, what 1 is worth in buckets, last bucket, least half-width of the fence in buckets, sides of the fence.
 STATS = (
-    ("symbols", 1000, 1000, 60, "upper"),  # symbols of 1000 characters in words
+    ("symbols", 1000, 1000, 90, "upper"),  # symbols of 1000 characters in words
     ("capitals", 1000, 1000, 150, "upper"),  # capital letters of 1000 characters in words
-    ("repeats", 1000, 1000, 150, "upper"),  # words in repeated windows, of 1000 words
-    ("dup_lines", 1000, 1000, 250, "upper"),  # repeated lines of 1000 lines with words
+    ("repeats", 1000, 1000, 300, "upper"),  # words in repeated windows, of 1000 words
+    ("dup_lines", 1000, 1000, 500, "upper"),  # repeated lines of 1000 lines with words
     ("word_length", 20, 1200, 50, "both"),  # characters a word, in twentieths
 )
 #: Half-widths of the fence, in quartile distances from the median.

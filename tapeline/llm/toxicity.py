@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from tapeline.llm.common import map_arrow, schema
 from tapeline.llm.quality import labelled
 
-MOST_LABELLED = 8000
+MOST_LABELLED = 5000
 DECAY = 0.7
 SPAN = 7
 ALPHABET = 41  # 0 is no character, 1 to 26 letters, the rest shared by a hash
 WINDOW, STRIDE = 48, 40
-LANDMARKS = 192
+LANDMARKS = 360
 MEMO_ENTRIES = 600_000
 _SINGLES = re.compile(r"(?<!\S)(?:\w[\s.,\-_*]+){2,}\w(?!\S)")
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”…-–—*_#&$%|~"
@@ -116,6 +116,12 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
+def _parts(word: str) -> set[str]:
+    """Substrings of four to six characters, with a mark at either end of the word."""
+    w = f"^{word}$"
+    return {w[i : i + k] for k in (4, 5, 6) for i in range(len(w) - k + 1)}
+
+
 class Model:
     """The folded machine: a table over triples, an offset, and the curve from words to a document's score."""
 
@@ -182,7 +188,7 @@ def _svm(k: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e-3, r
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     for _ in range(60):
@@ -211,22 +217,31 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 3) -> Model:
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     if len(y) < 20 or y.min() == y.max():
         return Model(np.zeros(ALPHABET**3), 0.0, (0.0, 0.0, float(np.log(share / (1 - share)))))
-    docs = [list(dict.fromkeys(w for u in units(t or "") for w in _windows(u) if w)) for t in texts]
+    one: dict[str, str] = {}  # each word once in memory
+    docs = [list(dict.fromkeys(one.setdefault(w, w) for u in units(t or "") for w in _windows(u) if w)) for t in texts]
+    del one
     bad, good = Counter(), Counter()
     for d, label in zip(docs, y, strict=True):
         (bad if label else good).update(d)
     n_bad, n_good = int(y.sum()), int(len(y) - y.sum())
     lift = lambda w: np.log((bad[w] + 0.1) / (n_bad + 1)) - np.log((good[w] + 0.5) / (n_good + 1))
     suspects = sorted((w for w in bad if bad[w] >= 3 and good[w] <= 0.02 * bad[w] and lift(w) > 2), key=lambda w: (-bad[w], w))
-    witnesses = dict.fromkeys(suspects[:4000])
+    # Insults come in families: parts of words that toxic documents share and clean ones do not have.
+    parts = Counter(g for d, label in zip(docs, y, strict=True) if label for g in {g for w in d for g in _parts(w)})
+    parts = {g: n for g, n in parts.items() if n >= 4}
+    clean = Counter(g for w in good for g in _parts(w) & parts.keys())
+    parts = {g: n for g, n in parts.items() if clean[g] <= 0.02 * n}
+    family = sorted((w for w in bad if not good[w] and bad[w] < 3 and _parts(w) & parts.keys()), key=lambda w: (-max(parts[g] for g in _parts(w) & parts.keys()), w))
+    witnesses = dict.fromkeys(suspects[:3000] + family[:3000])
     if not witnesses:  # labels that no word explains by count: the words with the highest lift
         witnesses = dict.fromkeys(sorted(bad, key=lambda w: (-lift(w), w))[:50])
     common = sorted(good, key=lambda w: (-good[w], w))
     rare = sorted(good)
     negatives = dict.fromkeys(common[:6000] + [rare[i] for i in rng.choice(len(rare), min(len(rare), 12_000), replace=False)])
-    marks = list(witnesses)[: LANDMARKS // 2]
-    marks += [w for w in common[:400] if len(w) > 2][: LANDMARKS // 4]
-    marks += [rare[i] for i in rng.choice(len(rare), min(len(rare), LANDMARKS // 4), replace=False)]
+    marks = suspects[: LANDMARKS // 3] + family[:: max(1, len(family) // (LANDMARKS // 3))][: LANDMARKS // 3]
+    marks = marks or list(witnesses)[: LANDMARKS // 3]
+    marks += [w for w in common[:400] if len(w) > 2][: LANDMARKS // 6]
+    marks += [rare[i] for i in rng.choice(len(rare), min(len(rare), LANDMARKS // 6), replace=False)]
     marks = list(dict.fromkeys(marks))
     kll = kernel(marks, marks).astype(float)
     values, vectors = np.linalg.eigh((kll + kll.T) / 2)
@@ -235,11 +250,15 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 3) -> Model:
 
     def trained() -> Model:
         pos = list(witnesses)
-        pos += [w for w in _inserted(pos[:300], rng) if w not in good]
+        weigh = [min(bad[w], 100) for w in pos]  # a witness counts as often as it bears witness
+        for w, n in zip(pos[:200], weigh[:200], strict=True):
+            more = [x for x in _inserted([w], rng) if x not in good]
+            pos += more
+            weigh += [n / 3] * len(more)
         neg = [w for w in negatives if w not in witnesses]
         z = kernel(pos + neg, marks) @ whiten
         t = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        w = _svm(z, t, np.r_[np.full(len(pos), 1.0 / len(pos)), np.full(len(neg), 4.0 / len(neg))])
+        w = _svm(z, t, np.r_[np.array(weigh) / sum(weigh), np.full(len(neg), 4.0 / len(neg))])
         beta = whiten @ w[:-1]
         table = np.zeros(ALPHABET**3)
         for part, code, weight, norm in triples(marks):
