@@ -17,6 +17,7 @@ result; extra columns are left out.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from zlib import crc32
 
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from tapeline.llm.common import map_arrow, schema
 
 #: Labelled documents that are fitted, of each language about as many at most; of so many languages at most, the commonest.
-PER_LANGUAGE, MOST_LANGUAGES = 900, 100
+PER_LANGUAGE, MOST_LANGUAGES = 500, 100
 #: Chains taken from one labelled document at most.
-CHAINS_A_DOC = 4
+CHAINS_A_DOC = 3
 RUN = 64
 TABLE = 1 << 16
 LEXICON = 300
@@ -206,9 +207,14 @@ def fit(texts: list[str], langs: list[str], rounds: int = 30, rate: float = 0.35
     used = np.unique(chains)
     chains = np.searchsorted(used, chains)
     vocabulary = [""] + list(names)
-    feats = [word_features(c, lexicon) if _LETTER.search(c := normal(vocabulary[i])) else [] for i in used]
-    sizes = np.array([len(f) for f in feats])
-    flat, owner = np.array([x for f in feats for x in f], np.int64), np.repeat(np.arange(len(feats)), sizes)
+    packed, sizes = array("i"), np.zeros(len(used), np.int64)
+    for at, i in enumerate(used):
+        if _LETTER.search(c := normal(vocabulary[i])):
+            f = word_features(c, lexicon)
+            packed.extend(f)
+            sizes[at] = len(f)
+    flat, owner = np.frombuffer(packed, np.int32) if packed else np.zeros(0, np.int32), np.repeat(np.arange(len(used), dtype=np.int32), sizes)
+    del names, words, vocabulary, seen
     norm = 1 / np.sqrt(np.maximum(sizes, 1))
     lengths = (chains > 0).sum(axis=1)
     real = np.arange(RUN)[None, :] < lengths[:, None]
@@ -216,12 +222,12 @@ def fit(texts: list[str], langs: list[str], rounds: int = 30, rate: float = 0.35
     same = np.bincount(gold, weights=lengths - 1, minlength=k)
     table, trans, start = np.zeros((TABLE, k)), np.zeros((k, k)), np.zeros(k)
     sq = [np.full((TABLE, k), 1e-8), np.full((k, k), 1e-8), np.full(k, 1e-8)]
-    truth = np.eye(k)[gold]
+    truth = np.eye(k, dtype=np.float32)[gold]
     for _ in range(rounds):
-        emit = np.stack([np.bincount(owner, weights=table[flat, j], minlength=len(feats)) for j in range(k)], axis=1) * norm[:, None]
-        post, xi = forward_backward(emit[chains], trans, start, lengths, pairs=True)
+        emit = (np.stack([np.bincount(owner, weights=table[flat, j], minlength=len(used)) for j in range(k)], axis=1) * norm[:, None]).astype(np.float32)
+        post, xi = forward_backward(emit[chains], trans.astype(np.float32), start.astype(np.float32), lengths, pairs=True)
         miss = (truth[:, None, :] - post) * real[:, :, None]
-        g_word = np.stack([np.bincount(chains.ravel(), weights=miss[:, :, j].ravel(), minlength=len(feats)) for j in range(k)], axis=1) * norm[:, None]
+        g_word = np.stack([np.bincount(chains.ravel(), weights=miss[:, :, j].ravel(), minlength=len(used)) for j in range(k)], axis=1) * norm[:, None]
         grads = [
             np.stack([np.bincount(flat, weights=g_word[owner, j], minlength=TABLE) for j in range(k)], axis=1) / n_words - ridge * table,
             (np.diag(same) - xi) / n_words - 1e-3 * trans,
