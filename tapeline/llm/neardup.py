@@ -252,8 +252,9 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     star = cut(light.join(buckets, "key").filter("rep <> pivot").select("rep", "pivot").distinct())
     if star.isEmpty():
         return star.select(F.col("rep").alias("node"), F.col("pivot").alias("comp"))
+    # Sides that grow with the data are never broadcast, however small they look.
     needed = star.select("rep").unionAll(star.select("pivot")).distinct()
-    texts = cut(docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].cast("string").alias("text")).join(needed, "rep", "left_semi"))
+    texts = cut(docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].cast("string").alias("text")).join(needed.hint("merge"), "rep", "left_semi"))
 
     # Each class with the smallest class of each of its buckets.
     side = lambda name, k: reps.select(F.col("rep").alias(name), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
@@ -263,7 +264,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
         ok = likely(_sketch_matrix(col("sa").to_pylist()), col("na").to_numpy(), _sketch_matrix(col("sb").to_pylist()), col("nb").to_numpy(), threshold)
         return {"rep": col("rep").to_numpy()[ok], "pivot": col("pivot").to_numpy()[ok]}
 
-    pairs = map_arrow(star.join(side("rep", "a"), "rep").join(side("pivot", "b"), "pivot"), passes, schema("rep long,pivot long"))
+    pairs = map_arrow(star.join(side("rep", "a").hint("merge"), "rep").join(side("pivot", "b").hint("merge"), "pivot"), passes, schema("rep long,pivot long"))
 
     def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, last = Hasher(width), (None, None)
@@ -276,7 +277,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
             yield f.loc[ok, ["a", "b"]] if len(f) else f[["a", "b"]]
 
     ta, tb = texts.select(F.col("rep"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("pivot"), F.col("text").alias("tb"))
-    met = pairs.join(ta, "rep").join(tb, "pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "ta", "tb")
+    met = pairs.join(ta.hint("merge"), "rep").join(tb.hint("merge"), "pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "ta", "tb")
     first = cut(met.mapInPandas(verified, "a long, b long"))
     comp = components(first)
 
@@ -288,7 +289,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     rows = named.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A block meets itself and every other block of its bucket: each pair of blocks is a group of at most some 2 * BLOCK rows.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", "rep", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(reps.select("rep", "n", "sketch"), "rep")
+    rows = rows.join(reps.select("rep", "n", "sketch").hint("merge"), "rep")
 
     def flagged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _runs(frames, _GROUP):
@@ -317,7 +318,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
         return {"rep": batch.column(0), "set": [hasher.shingles(words(t.as_py())).tobytes() for t in batch.column(1)]}
 
     wanted = some.select("rep").distinct()
-    full = map_arrow(texts.join(wanted, "rep", "left_semi").select("rep", "text"), sets, schema("rep long,set binary"))
+    full = map_arrow(texts.join(wanted.hint("merge"), "rep", "left_semi").select("rep", "text"), sets, schema("rep long,set binary"))
 
     def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _runs(frames, _GROUP):
@@ -351,7 +352,7 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
                             out.append((int(rep[p]), int(rep[q])))
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    more = cut(dealt(some.join(full, "rep")).mapInPandas(joined, "a long, b long"))
+    more = cut(dealt(some.join(full.hint("merge"), "rep")).mapInPandas(joined, "a long, b long"))
     if more.isEmpty():
         return comp
     tree = comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))
@@ -374,7 +375,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group (that with the smallest id), all columns; of rows that share id and words, one."""
     found = cut(groups(docs, width, percent))
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    left = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
     again = cut(found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_again"))
     if again.isEmpty():
         return left
