@@ -30,9 +30,10 @@ TITLES = (
 )
 
 
-def rounded(c, unit: int = 10_000):
-    """Half up in plain double arithmetic, which every engine does alike."""
-    return F.floor(c * unit + 0.5) / unit
+#: Sums in whole cents and pieces: exact, so their order does not matter.
+CENTS, PIECES = "sum(CAST(round(l_extendedprice * 100) AS BIGINT))", "sum(CAST(l_quantity AS BIGINT))"
+#: A unit price in ten-thousandths, rounded half up.
+UNIT = "((200 * CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT)) {div} (2 * CAST(l_quantity AS BIGINT)))"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,26 +43,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a nation and ship date: unit prices as a trading day's open, high, low, close, volume and turnover."""
     items, suppliers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = F.expr(f"{UNIT.format(div='div')} / 10000D")
     rows = items.join(suppliers.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.groupBy(F.concat(F.lit("N"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("secid"), F.col("l_shipdate").cast("date").alias("date")).agg(
-        rounded(F.min_by(price, F.col("l_orderkey") * 100 + F.col("l_linenumber"))).alias("open"),
-        rounded(F.max(price)).alias("high"),
-        rounded(F.min(price)).alias("low"),
-        rounded(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
+        F.min_by(price, F.struct(F.col("l_orderkey") * 100 + F.col("l_linenumber"), price)).alias("open"),
+        F.max(price).alias("high"),
+        F.min(price).alias("low"),
+        F.expr(f"((200 * {CENTS} + {PIECES}) div (2 * {PIECES})) / 10000D").alias("close"),
         F.sum("l_quantity").cast("bigint").alias("volume"),
-        rounded(F.sum("l_extendedprice"), 100).alias("value"),
+        F.expr(f"{CENTS} / 100D").alias("value"),
         F.count(F.lit(1)).alias("numtrades"),
     )
 
 
-PRICES_SQL = """
+PRICES_SQL = f"""
 prices AS (
   SELECT 'N' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS secid, CAST(l_shipdate AS DATE) AS date,
-    floor((arg_min(l_extendedprice / l_quantity, l_orderkey * 100 + l_linenumber)) * 10000 + 0.5) / 10000 AS open,
-    floor((max(l_extendedprice / l_quantity)) * 10000 + 0.5) / 10000 AS high, floor((min(l_extendedprice / l_quantity)) * 10000 + 0.5) / 10000 AS low,
-    floor((sum(l_extendedprice) / sum(l_quantity)) * 10000 + 0.5) / 10000 AS close, CAST(sum(l_quantity) AS BIGINT) AS volume,
-    floor(sum(l_extendedprice) * 100 + 0.5) / 100 AS value, count(*) AS numtrades
+    arg_min({UNIT.format(div='//')}, CAST(l_orderkey * 100 + l_linenumber AS HUGEINT) * 1000000000000 + {UNIT.format(div='//')})::DOUBLE / 10000 AS open,
+    max({UNIT.format(div='//')})::DOUBLE / 10000 AS high, min({UNIT.format(div='//')})::DOUBLE / 10000 AS low,
+    ((200 * {CENTS} + {PIECES}) // (2 * {PIECES}))::DOUBLE / 10000 AS close, CAST(sum(l_quantity) AS BIGINT) AS volume,
+    {CENTS}::DOUBLE / 100 AS value, count(*) AS numtrades
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2
 )"""
 
