@@ -263,8 +263,11 @@ def predict(docs: DataFrame, learnable: Column, keep: list[Column] | None = None
     return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, schema("doc_id long,lang_pred string,score double"))
 
 
-def keep_known(docs: DataFrame, learnable: Column, least_score: float = 0.5) -> DataFrame:
-    """The documents whose language is known with at least ``least_score`` of the posterior, all columns, row by row."""
+def keep_known(docs: DataFrame, learnable: Column, least_score: float = 0.3) -> DataFrame:
+    """The documents whose language is known with at least ``least_score`` of the posterior, all columns, row by row.
+
+    The floor is low on purpose: text that switches between languages is clean, however its words divide.
+    """
     rows = sample(docs, learnable)
     shared = docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in rows], [r["lang"] for r in rows]))
     at = docs.columns.index("text")
