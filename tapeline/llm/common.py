@@ -84,3 +84,41 @@ def parts_for(rows: int, per_part: int, least: int = 16) -> int:
 def bucket_of(col, salts: int):
     """Salt of a column's hash, 0 to ``salts`` - 1; rises with the unsigned hash."""
     return F.pmod(F.xxhash64(col, F.lit(7)), F.lit(salts)).cast("int")
+
+
+#: A key is heavy beyond this share of a table's rows (so there are fewer than 1 / HEAVY_SHARE such keys) and beyond HEAVY_LEAST rows.
+HEAVY_SHARE = 1e-3
+HEAVY_LEAST = 10_000
+
+
+def heavy(df: DataFrame, key: str, n: str | None = None) -> dict[int, int]:
+    """Hash of each heavy key of ``df`` -> number of salts that cut its rows into pieces of at most the limit.
+
+    With ``n``, ``df`` holds one row a key and its count. Otherwise a mergeable frequent-items sketch finds the candidates without
+    a shuffle, and only these are counted. Fewer than 1 / HEAVY_SHARE entries either way.
+    """
+    h = F.xxhash64(key).alias("_h")
+    total = (df.agg(F.sum(n)).first()[0] or 0) if n else df.count()
+    limit = max(HEAVY_LEAST, int(total * HEAVY_SHARE))
+    if total <= limit:
+        return {}
+    if n:
+        counted = df.select(h, F.col(n).alias("_n"))
+    else:
+        hashes = df.select(h)
+        counted = hashes.filter(F.col("_h").isin(hashes.stat.freqItems(["_h"], HEAVY_SHARE).first()[0])).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    return {r["_h"]: -(-r["_n"] // limit) for r in counted.filter(F.col("_n") > limit).collect()}
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, salts: dict[int, int], by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined on ``key`` with ``right``, which holds a key once; heavy keys are salted by ``by``.
+
+    A heavy row of ``right`` is repeated once a salt: fewer than 2 / HEAVY_SHARE repeats in all. Neither side is broadcast.
+    """
+    if not salts:
+        return left.join(right.hint("merge"), key, how)
+    few = F.broadcast(left.sparkSession.createDataFrame(list(salts.items()), "_h long, _salts int"))  # bounded: see heavy
+    mark = lambda df: df.withColumn("_h", F.xxhash64(key)).join(few, "_h", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1))).drop("_h")
+    own = mark(left).withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_salts")).cast("int")).drop("_salts")
+    each = mark(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return own.join(each.hint("merge"), [key, "_salt"], how).drop("_salt")

@@ -11,7 +11,8 @@ than its best one is dropped, all others are compared on their full sets.
 Work per bucket is kept linear where a group of copies is large: first each class meets only the smallest
 class of each of its buckets; verified links are contracted to components. Then only buckets that still hold more
 than one component are looked at, only pairs across components, in the first band that the pair shares, in
-blocks; inside a block a link between components that are joined by then is not sought. No link between different
+blocks; inside a block a link between components that are joined by then is not sought. Joins on keys that a large share of
+rows may hold (copies, buckets, pivots, pointers) salt these keys. No link between different
 components is lost to a cap: there is none.
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and kept; fewer words
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeline.llm.common import cut, drop_cut, map_arrow, schema
+from tapeline.llm.common import cut, drop_cut, heavy, map_arrow, schema, spread_join
 
 M = 126
 #: A pair at the threshold may share no band this often.
@@ -169,13 +170,13 @@ def components(edges: DataFrame) -> DataFrame:
         if comp is not None and point.isEmpty():
             return comp
         second = point.select(F.col("x").alias("y"), F.col("p").alias("q"))
-        point = cut(point.join(second, F.col("p") == F.col("y")).select("x", F.col("q").alias("to")))
+        point = cut(spread_join(point, second.withColumnRenamed("y", "p"), "p", heavy(point, "p"), "x").select("x", F.col("q").alias("to")))
         if comp is None:
             comp = point.select(F.col("x").alias("node"), F.col("to").alias("comp"))
         else:
-            comp = cut(comp.join(point, F.col("comp") == F.col("x"), "left").select("node", F.coalesce("to", "comp").alias("comp")))
+            comp = cut(spread_join(comp, point.withColumnRenamed("x", "comp"), "comp", heavy(comp, "comp"), "node", "left").select("node", F.coalesce("to", "comp").alias("comp")))
         pa_, pb_ = point.select(F.col("x").alias("a"), F.col("to").alias("ta")), point.select(F.col("x").alias("b"), F.col("to").alias("tb"))
-        moved = e.join(pa_, "a").join(pb_, "b").filter("ta <> tb")
+        moved = spread_join(spread_join(e, pa_, "a", heavy(e, "a"), "b"), pb_, "b", heavy(e, "b"), "a").filter("ta <> tb")
         e = cut(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
 
 
@@ -249,7 +250,8 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     shape = layout(percent)
     light = _bands(reps, shape)
     buckets = cut(light.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1"))
-    star = cut(light.join(buckets, "key").filter("rep <> pivot").select("rep", "pivot").distinct())
+    crowded = heavy(buckets, "key", "n")
+    star = cut(spread_join(light, buckets.select("key", "pivot"), "key", crowded, "rep").filter("rep <> pivot").select("rep", "pivot").distinct())
     if star.isEmpty():
         return star.select(F.col("rep").alias("node"), F.col("pivot").alias("comp"))
     # Sides that grow with the data are never broadcast, however small they look.
@@ -264,7 +266,9 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
         ok = likely(_sketch_matrix(col("sa").to_pylist()), col("na").to_numpy(), _sketch_matrix(col("sb").to_pylist()), col("nb").to_numpy(), threshold)
         return {"rep": col("rep").to_numpy()[ok], "pivot": col("pivot").to_numpy()[ok]}
 
-    pairs = map_arrow(star.join(side("rep", "a").hint("merge"), "rep").join(side("pivot", "b").hint("merge"), "pivot"), passes, schema("rep long,pivot long"))
+    popular = heavy(star, "pivot")
+    met = spread_join(star.join(side("rep", "a").hint("merge"), "rep"), side("pivot", "b"), "pivot", popular, "rep")
+    pairs = map_arrow(met, passes, schema("rep long,pivot long"))
 
     def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, last = Hasher(width), (None, None)
@@ -277,16 +281,16 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
             yield f.loc[ok, ["a", "b"]] if len(f) else f[["a", "b"]]
 
     ta, tb = texts.select(F.col("rep"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("pivot"), F.col("text").alias("tb"))
-    met = pairs.join(ta.hint("merge"), "rep").join(tb.hint("merge"), "pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "ta", "tb")
+    met = spread_join(pairs.join(ta.hint("merge"), "rep"), tb, "pivot", popular, "rep").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "ta", "tb")
     first = cut(met.mapInPandas(verified, "a long, b long"))
     comp = components(first)
 
     # Buckets that still hold several components.
-    named = light.join(buckets.select("key"), "key").join(comp, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
+    named = spread_join(light, buckets.select("key"), "key", crowded, "rep").join(comp, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
     named = cut(named)
     open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
     open_keys = cut(open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    rows = named.join(open_keys, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = spread_join(named, open_keys, "key", crowded, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A block meets itself and every other block of its bucket: each pair of blocks is a group of at most some 2 * BLOCK rows.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", "rep", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = rows.join(reps.select("rep", "n", "sketch").hint("merge"), "rep")
@@ -363,10 +367,11 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     made = cut(sketches(docs, width))
     some = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = cut(some.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    reps = cut(some.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")))
     comp = links(docs, reps.select("rep", "n", "sketch"), width, percent)
-    classes = cut(reps.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("same").alias("_same"), F.coalesce("comp", "rep").alias("_comp")))
-    out = made.join(classes, (F.col("same") == F.col("_same")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
+    classes = cut(reps.join(comp, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("comp", "rep").alias("_comp")))
+    out = spread_join(some, classes, "same", heavy(reps, "same", "copies"), "doc_id").select("doc_id", "n_shingles", "_comp")
+    out = out.unionAll(made.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("_comp")))
     own = F.coalesce("_comp", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
@@ -375,11 +380,12 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group (that with the smallest id), all columns; of rows that share id and words, one."""
     found = cut(groups(docs, width, percent))
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    named = docs.filter(docs["doc_id"].isNotNull())  # rows without an id stay and need no join: they would meet in one task
+    left = named.join(gone.hint("merge"), named["doc_id"].cast("long") == F.col("_gone"), "left_anti").unionAll(docs.filter(docs["doc_id"].isNull()))
     again = cut(found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_again"))
     if again.isEmpty():
         return left
-    same = docs["doc_id"].cast("long") == F.col("_again")
+    same = left["doc_id"].cast("long") == F.col("_again")
     whole = left.join(again, same, "left_semi").select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     once = whole.groupBy("_id").agg(F.min("_row").alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
     return left.join(again, same, "left_anti").unionAll(once)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeline.llm import bpe, chat, langid, neardup, packing, quality, rules, sharding, topk, toxicity
+from tapeline.llm import bpe, chat, common, langid, neardup, packing, quality, rules, sharding, topk, toxicity
 from tapeline.llm import queries as Q
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, `_row` string"
@@ -277,8 +277,9 @@ def brute_groups(rows, width, percent):
     return {i: root(i) for i in parent}, sets
 
 
-@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
-def test_neardup(spark, rows, empty, width, percent):
+@pytest.mark.parametrize("width, percent, least", [(3, 85, 10_000), (5, 80, 10_000), (3, 85, 4)])
+def test_neardup(spark, rows, empty, monkeypatch, width, percent, least):
+    monkeypatch.setattr(common, "HEAVY_LEAST", least)  # with 4, nearly every key is salted
     rng = random.Random(3)
     more = []
     base = [rng.choice(VOCAB) + str(rng.randrange(99)) for _ in range(150)]
@@ -311,6 +312,20 @@ def test_sketch_merges_and_estimates():
     assert all(ok(0.93) for _ in range(20)) and not any(ok(0.6) for _ in range(20))
 
 
+def test_heavy_keys_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_LEAST", 50)
+    left = spark.createDataFrame([(i, 7 if i % 3 else i if i % 2 else None) for i in range(900)], "x long, k long").repartition(5)
+    right = spark.createDataFrame([(k, -k) for k in range(0, 900, 3)] + [(7, -7)], "k long, v long")
+    salts = common.heavy(left, "k")
+    counts = common.heavy(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", "n")
+    assert salts == counts and sorted(salts.values()) == [3, 12]  # 150 rows without a key, 600 of 7
+    for how in ("inner", "left"):
+        got = common.spread_join(left, right, "k", salts, "x", how)
+        assert got.columns == ["k", "x", "v"]
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, left.join(right, "k", how).collect()))
+    assert common.heavy(left.limit(0), "k") == {} and common.heavy(left.filter("x < 40"), "k") == {}
+
+
 def test_long_chains(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(5, 7), (7, 9)], "a long, b long")
     assert {(r.node, r.comp) for r in neardup.components(e).collect()} == {(i, 100) for i in range(100, 161)} | {(5, 5), (7, 5), (9, 5)}
