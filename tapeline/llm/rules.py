@@ -153,12 +153,14 @@ def apply(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, all columns. Each row is judged by its own text: nothing is joined by id."""
-    limits = cut(thresholds(sketches(cut(measured(docs, [])))))
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), *[docs[c] for c in ("text", "lang", "source")])
-    out = judged(measured(whole, [F.col("_row")]), limits, limits.count())
+    """The documents that the rules keep, all columns. Each row is judged by its own text: nothing is joined by id.
+
+    Rows are written once with their statistics, as these cost far more than the rows' storage.
+    """
     fields = docs.schema.fields
-    return out.filter("_kept").select(*[F.col("_row").getField(f.name).alias(f.name) for f in fields]) if fields else docs
+    m = cut(measured(docs.select(F.struct(*[docs[f"`{f.name}`"] for f in fields]).alias("_row"), *[docs[c] for c in ("text", "lang", "source")]), [F.col("_row")]))
+    limits = cut(thresholds(sketches(m)))
+    return judged(m, limits, limits.count()).filter("_kept").select(*[F.col("_row").getField(f.name).alias(f.name) for f in fields])
 
 
 #: Columns that :func:`apply` returns.
