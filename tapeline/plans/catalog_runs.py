@@ -156,18 +156,22 @@ def security_description(s, d):
     return x.select("secid", F.col("description")["NAME"].alias("name"), "primary_board")
 
 
+#: A thousand ids a page: pages grow in number with the events, not in length.
+PAGE = "event_id div 1000"
+
+
 @query("parse_search_json", "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS BIGINT) AS company_id, event_type, date_trunc('second', ts) AS published_at FROM events WHERE event_id % 10 = 1")
 def parse_search_json(s, d):
-    e = market.table(s, d, "events").filter("event_id % 10 = 1")
+    e = market.table(s, d, "events")
     item = F.struct(F.col("event_id").cast("string").alias("EventGuid"), F.col("user_id").cast("string").alias("companyID"), F.concat(F.lit("<b>"), "event_type", F.lit("</b>")).alias("eventName"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("eventDate"))
-    p = e.groupBy((F.col("event_id") % 97).alias("page")).agg(F.collect_list(item).alias("foundEventsList")).select(F.to_json(F.struct("foundEventsList")).alias("payload"))
+    p = e.groupBy(F.expr(PAGE).alias("page")).agg(F.collect_list(item).alias("foundEventsList")).select(F.to_json(F.struct("foundEventsList")).alias("payload"))
     return feeds.search_json(p).select("event_id", "company_id", "event_type", "published_at")
 
 
 def _lists(s, d):
-    e = market.table(s, d, "events").filter("event_id % 10 = 1")
+    e = market.table(s, d, "events")
     row = F.concat(F.lit("<tr><td>"), F.date_format("ts", "dd.MM.yyyy HH:mm"), F.lit("</td><td><a href='/portal/company.aspx?id="), F.col("user_id").cast("string"), F.lit("'>К&nbsp;"), F.col("user_id").cast("string"), F.lit("</a></td><td><a href='/portal/event.aspx?EventId=e"), F.col("event_id").cast("string"), F.lit("'>"), "event_type", F.lit("</a></td></tr>"))
-    return e.groupBy((F.col("event_id") % 97).alias("page")).agg(F.concat(F.lit("<html><body><table>"), F.concat_ws("", F.collect_list(row)), F.lit("</table></body></html>")).alias("html"))
+    return e.groupBy(F.expr(PAGE).alias("page")).agg(F.concat(F.lit("<html><body><table>"), F.concat_ws("", F.collect_list(row)), F.lit("</table></body></html>")).alias("html"))
 
 
 @query("parse_message_list", "SELECT 'e' || CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS BIGINT) AS company_id, 'К ' || CAST(user_id AS VARCHAR) AS company_name, date_trunc('minute', ts) AS published_at, event_type FROM events WHERE event_id % 10 = 1")
