@@ -249,7 +249,7 @@ def scan_event_json(s, d):
 
     base = s.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tapeline"
     path = f"{base}/events-json-{uuid.uuid4().hex}"
-    sinks.save_events_json(market.table(s, d, "events").filter("event_id % 100 = 0").select(F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("title")), path)
-    return s.read.schema("event_id string, title string").json(path)
+    sinks.save_events_json(market.table(s, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("title")), path)
+    return feeds.scan_event_json(s, path).select("event_id", "title")
 
 

@@ -291,6 +291,6 @@ def message_lists(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.select(F.explode(rows(F.col(html_col))).alias("m")).select("m.*")
 
 
-def scan_event_json(spark: SparkSession, path: str) -> DataFrame:
-    """Event pages kept as JSON files."""
-    return spark.read.schema("event_id string, " + EVENT_PAGE).option("multiLine", True).json(path)
+def scan_event_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Event pages kept as JSON files, one page a line as ``save_events_json`` writes them; ``multi_line`` for one page a file over several lines."""
+    return spark.read.schema("event_id string, " + EVENT_PAGE).option("multiLine", multi_line).json(path)

@@ -24,3 +24,12 @@ def test_search_json_parses_every_event(spark, events_dir):
 def test_message_list_parses_every_event(spark, events_dir):
     got = entry.queries()["parse_message_list"](spark, events_dir).collect()
     assert sorted((r.event_id, r.company_id, r.company_name, r.published_at, r.event_type) for r in got) == sorted((f"e{i}", u, f"К {u}", t.replace(second=0), k) for i, t, u, k in EVENTS)
+
+
+def test_event_json_keeps_every_event(spark, events_dir, monkeypatch):
+    from tapeline.sources import feeds
+
+    seen, scan = [], feeds.scan_event_json
+    monkeypatch.setattr(feeds, "scan_event_json", lambda *a, **k: seen.append(a) or scan(*a, **k))
+    got = entry.queries()["scan_event_json"](spark, events_dir).collect()
+    assert sorted(tuple(r) for r in got) == sorted((str(i), k) for i, _, _, k in EVENTS) and seen
