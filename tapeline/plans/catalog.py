@@ -135,7 +135,7 @@ def scan_prices(s, d):
 
 @query("price_panel", "WITH " + m.PRICES_SQL + " SELECT secid, date, close FROM prices WHERE secid IN ('N01', 'N02', 'N99')")
 def price_panel(s, d):
-    return m.prices(s, d).filter(F.col("secid").isin("N01", "N02", "N99")).select("secid", "date", "close")
+    return m.prices(s, d).select("secid", "date", "close")
 
 
 @query("list_secids", "WITH " + m.PRICES_SQL + " SELECT DISTINCT secid FROM prices")
@@ -217,7 +217,7 @@ def price_grid(s, d):
 
 @query("to_wide", "WITH " + GRID + " SELECT date, max(CASE WHEN secid = 'N01' THEN close END) AS \"N01\", max(CASE WHEN secid = 'N02' THEN close END) AS \"N02\" FROM grid WHERE secid IN ('N01', 'N02') GROUP BY 1")
 def to_wide(s, d):
-    return panel.to_wide(grid(s, d), ["N01", "N02"])
+    return panel.to_wide(grid(s, d), sorted(x.secid for x in list_secids(s, d).collect()))
 
 
 @query("dedup_prices", "WITH " + m.PRICES_SQL + ", t AS (SELECT *, 1 AS seq FROM prices UNION ALL SELECT secid, date, open, high, low, close + 1, volume, value, numtrades, 2 FROM prices WHERE day(date) <= 10) SELECT secid, date, close FROM t QUALIFY row_number() OVER (PARTITION BY secid, date ORDER BY seq DESC) = 1")

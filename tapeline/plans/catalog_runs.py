@@ -123,11 +123,11 @@ def placebo_table(s, d):
 
 
 def payloads(s, d):
-    """Answers in the block form, one a security, made from the price table."""
+    """Answers in the block form, one a security and year, made from the price table."""
     p = market.prices(s, d)
     row = F.array(F.col("date").cast("string"), "secid", *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume", "value", "numtrades")])
     names = F.array(*[F.lit(x) for x in ("TRADEDATE", "SECID", "OPEN", "HIGH", "LOW", "CLOSE", "VOLUME", "VALUE", "NUMTRADES")])
-    g = p.filter("month(date) = 1").groupBy("secid").agg(F.collect_list(row).alias("data"))
+    g = p.groupBy("secid", F.year("date").alias("year")).agg(F.collect_list(row).alias("data"))
     return g.select("secid", F.to_json(F.struct(F.struct(names.alias("columns"), "data").alias("history"))).alias("payload"))
 
 

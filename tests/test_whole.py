@@ -1,5 +1,6 @@
 """Registered queries work on every row of their tables."""
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -33,3 +34,32 @@ def test_event_json_keeps_every_event(spark, events_dir, monkeypatch):
     monkeypatch.setattr(feeds, "scan_event_json", lambda *a, **k: seen.append(a) or scan(*a, **k))
     got = entry.queries()["scan_event_json"](spark, events_dir).collect()
     assert sorted(tuple(r) for r in got) == sorted((str(i), k) for i, _, _, k in EVENTS) and seen
+
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["json_block", "history_to_prices", "price_panel"])
+def test_every_price_row(spark, name):
+    from tapeline.sources import market
+
+    got = entry.queries()[name](spark, SF).withColumnRenamed("tradedate", "date")
+    assert sorted(map(tuple, got.select(*sorted(got.columns)).collect())) == sorted(map(tuple, market.prices(spark, SF).select(*sorted(got.columns)).collect()))
+
+
+@needs_tables
+def test_payloads_are_bounded(spark):
+    from tapeline.plans import catalog_runs
+
+    assert catalog_runs.payloads(spark, SF).selectExpr("max(size(regexp_extract_all(payload, '[0-9]{4}-[0-9]{2}-[0-9]{2}', 0))) AS n").first().n <= 366
+
+
+@needs_tables
+def test_wide_has_every_security(spark):
+    from tapeline.sources import market
+
+    wide = entry.queries()["to_wide"](spark, SF).collect()
+    got = {(k, r.date, v) for r in wide for k, v in r.asDict().items() if k != "date" and v is not None}
+    assert got == {(r.secid, r.date, r.close) for r in market.prices(spark, SF).collect()}
