@@ -401,7 +401,7 @@ def screen_categories(s, d):
 
 @query("bootstrap_ci")
 def bootstrap_ci(s, d):
-    return rounded(es.bootstrap_ci(es.car_table(gathered(s, d), STUDY.windows, STUDY.coverage), draws=500), 4)
+    return rounded(es.bootstrap_ci(es.car_table(gathered(s, d), STUDY.windows, STUDY.coverage), draws=STUDY.bootstrap), 4)
 
 
 PATH = STUDY_SQL + GATHER + """, g AS (SELECT category, direction, rel_day, avg({v}) AS mean_ar, count({v}) AS n FROM gat {where} GROUP BY ALL)

@@ -104,12 +104,16 @@ def walk_forward_table(s, d):
     return w.select(F.expr("stack(3, " + ", ".join(f"'{n}', CAST(is_{n} AS DOUBLE), CAST(oos_{n} AS DOUBLE)" for n in names) + ") AS (metric, in_sample, out_of_sample)"))
 
 
+#: As many as the reference runs.
+PLACEBO_RUNS = 200
+
+
 @query("placebo")
 def placebo(s, d):
     x = runs(s, d).persist()
     b = board(s, d)
-    fake = bt.placebo(bt.trades_of(x), b, CONFIG, n_iter=5)
-    names = {f"p{i}": CONFIG for i in range(5)}
+    fake = bt.placebo(bt.trades_of(x), b, CONFIG, n_iter=PLACEBO_RUNS)
+    names = {f"p{i}": CONFIG for i in range(PLACEBO_RUNS)}
     y = bt.run_backtests(fake, b, names).persist()
     return rounded(bt.compute_metrics(bt.daily_of(y), bt.trades_of(y), CONFIG.initial_capital).select("run_id", "sharpe", "total_return", "n_trades"), 4)
 

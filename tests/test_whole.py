@@ -63,3 +63,17 @@ def test_wide_has_every_security(spark):
     wide = entry.queries()["to_wide"](spark, SF).collect()
     got = {(k, r.date, v) for r in wide for k, v in r.asDict().items() if k != "date" and v is not None}
     assert got == {(r.secid, r.date, r.close) for r in market.prices(spark, SF).collect()}
+
+
+@needs_tables
+def test_placebo_runs_as_often_as_the_reference(spark):
+    assert {r.run_id for r in entry.queries()["placebo"](spark, SF).collect()} == {f"p{i}" for i in range(200)}
+
+
+@needs_tables
+def test_bootstrap_draws_as_often_as_the_reference(spark, monkeypatch):
+    from tapeline.operators import eventstudy as es
+
+    seen, of = [], es.bootstrap_ci
+    monkeypatch.setattr(es, "bootstrap_ci", lambda *a, **k: seen.append(k["draws"]) or of(*a, **k))
+    assert entry.queries()["bootstrap_ci"](spark, SF).count() and seen == [2000]
