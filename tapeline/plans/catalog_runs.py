@@ -100,8 +100,8 @@ def walk_forward(s, d):
 @query("walk_forward_table")
 def walk_forward_table(s, d):
     w = walk_forward(s, d).filter("best")
-    names = ("sharpe", "total_return", "n_trades")
-    return w.select(F.expr("stack(3, " + ", ".join(f"'{n}', CAST(is_{n} AS DOUBLE), CAST(oos_{n} AS DOUBLE)" for n in names) + ") AS (metric, in_sample, out_of_sample)"))
+    names = bt.KEY_METRICS
+    return w.select(F.expr(f"stack({len(names)}, " + ", ".join(f"'{n}', CAST(is_{n} AS DOUBLE), CAST(oos_{n} AS DOUBLE)" for n in names) + ") AS (metric, in_sample, out_of_sample)"))
 
 
 #: As many as the reference runs.

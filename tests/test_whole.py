@@ -77,3 +77,17 @@ def test_bootstrap_draws_as_often_as_the_reference(spark, monkeypatch):
     seen, of = [], es.bootstrap_ci
     monkeypatch.setattr(es, "bootstrap_ci", lambda *a, **k: seen.append(k["draws"]) or of(*a, **k))
     assert entry.queries()["bootstrap_ci"](spark, SF).count() and seen == [2000]
+
+
+@needs_tables
+def test_walk_forward_table_has_all_key_metrics(spark, monkeypatch):
+    from tapeline.operators import backtest as bt
+
+    seen, of = [], bt.compute_metrics
+    monkeypatch.setattr(bt, "compute_metrics", lambda *a, **k: seen.append(of(*a, **k)) or seen[-1])
+    got = {r.metric: (r.in_sample, r.out_of_sample) for r in entry.queries()["walk_forward_table"](spark, SF).collect()}
+    runs = {r.run_id: r for r in seen[0].collect()}
+    best = min((n[3:] for n in runs if n.startswith("is:")), key=lambda n: (-(float("-inf") if runs[f"is:{n}"].sharpe is None else runs[f"is:{n}"].sharpe), n))
+    names = ["total_return", "cagr", "sharpe", "max_drawdown", "hit_rate", "n_trades", "alpha_annual", "alpha_t", "beta"]
+    near = lambda v: v if v is None else pytest.approx(v, abs=1e-4)
+    assert got == {n: (near(runs[f"is:{best}"][n]), near(runs[f"oos:{best}"][n])) for n in names}
