@@ -9,7 +9,8 @@ Documents that even this leaves over form one stream that is cut at window borde
 
 The plan depends on the histogram only, so the driver holds a few thousand numbers whatever the input. Which
 document takes which place follows from its rank within its length, counted by salt, so that a length shared
-by a third of all documents is spread over many tasks.
+by a third of all documents is spread over many tasks; salts follow from the piece, so neither one giant document nor
+an id that many rows share (null included) meets in one task.
 
 Defined results: null text counts as empty and is the end id alone; repeated rows are packed each; documents of
 any length are packed whole; an empty table gives an empty result; extra columns are left out.
@@ -17,7 +18,6 @@ any length are packed whole; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tapeline.llm.common import cut, map_arrow, parts_for, schema
+from tapeline.llm.tokens import ByteLevel
 
 WINDOW = 1024
 #: Lengths are rounded up to a multiple of this for the plan.
@@ -36,53 +37,16 @@ GRAIN = 8
 #: A greedily packed window may be padded by at most so many tokens.
 MOST_PADDING = 24
 ROWS_A_SALT = 100_000
-_TWO_SPACES = re.compile(r"\s\s")
 
 
 class Ids:
-    """Token ids of texts by a tokenizer file, with the end id after each document.
-
-    ``tokenizers`` gives the ids. Where the same vocabulary is there as ranks, and the tokenizer is
-    seen to agree on a probe, its faster encoder is used: both follow the same pattern and merges. Its pattern
-    has a look-ahead that only matters where two white-space characters meet; other texts go without it.
-    """
-
-    PROBE = "It's a  probe:\n\n 12 words, été <|endoftext|> — ünïcode 日本 \t end "
+    """Token ids of texts by a tokenizer file, as its library gives them (strings of added tokens are those tokens), with the end id after each document."""
 
     def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None, end_id: int = 0):
-        self.json_text = open(json_path, encoding="utf-8").read()
-        self.ranks_text = open(ranks_path, "rb").read() if ranks_path else None
-        self.pattern, self.end_id = pattern, end_id
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
-
-    def open(self):
-        if not hasattr(self, "_encode"):
-            from tokenizers import Tokenizer
-
-            tok = Tokenizer.from_str(self.json_text)
-            tok.encode_special_tokens = True
-            slow = lambda t: tok.encode(t, add_special_tokens=False).ids
-            self._encode = self._plain = slow
-            if self.ranks_text:
-                import base64
-
-                import tiktoken
-
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks_text.splitlines()) if a}
-                whole = tiktoken.Encoding("whole", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-                plain = tiktoken.Encoding("plain", pat_str=self.pattern.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-                if whole(self.PROBE) == slow(self.PROBE):
-                    self._encode, self._plain = whole, plain
-        return self
+        self.encoder, self.end_id = ByteLevel(json_path, ranks_path, pattern), end_id
 
     def ids(self, text: str | None) -> list[int]:
-        if not text:
-            return [self.end_id]
-        out = (self._encode if _TWO_SPACES.search(text) else self._plain)(text)
-        out.append(self.end_id)
-        return out
+        return [*self.encoder.ids(text), self.end_id]
 
 
 def pieces(docs: DataFrame, ids: Ids, window: int = WINDOW) -> DataFrame:
@@ -97,7 +61,7 @@ def pieces(docs: DataFrame, ids: Ids, window: int = WINDOW) -> DataFrame:
     made: dict[int, int] = {}
 
     def run(batch: pa.RecordBatch) -> dict:
-        enc = shared.value.open().ids
+        enc = shared.value.ids
         task = TaskContext.get().partitionId()
         out = {f.name: [] for f in out_schema}
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -242,11 +206,11 @@ def pack(docs: DataFrame, ids: Ids, window: int = WINDOW, grain: int = GRAIN) ->
     n_planned = sum(t for t, _ in done)
 
     # Full windows: numbered by document and place, salt by salt.
-    full = full.withColumn("_one", F.lit(0)).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(parts_for(n_full, ROWS_A_SALT, 64))).cast("int"))
+    full = full.withColumn("_one", F.lit(0)).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "piece"), F.lit(parts_for(n_full, ROWS_A_SALT, 64))).cast("int"))
     full = ranked(full, "_one", ["doc_id", "start", "piece"]).select("doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", F.col("_rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     # Rests: the rank within the grain length finds the place in the plan.
-    rest = rest.withColumn("_unit", F.ceil(F.col("length") / grain).cast("int")).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    rest = rest.withColumn("_unit", F.ceil(F.col("length") / grain).cast("int")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "piece"), F.lit(salts)).cast("int"))
     rest = cut(ranked(rest, "_unit", ["doc_id", "start", "piece"]))
     runs = {}
     for unit, a, b, w, place, _ in _places(done):
