@@ -20,13 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.llm.common import map_arrow, schema
+from tapeline.llm.tokens import ByteLevel
 
 _ESCAPE = re.compile(r"\\|###|</turn>")
 _ESCAPE_ROLE = re.compile(r"\\|###|</turn>|:|\n")
@@ -68,48 +69,41 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int]]]:
+def mask(offsets: list[tuple[int, int]] | np.ndarray, spans: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int]]]:
     """Indices of the tokens under the loss, and the sorted character ranges under it.
 
     ``offsets`` must not fall; tokens that share a character (parts of its bytes) name it more than once, which counts once.
     """
-    begins, ends = [a for a, _ in offsets], [b for _, b in offsets]
+    both = np.asarray(offsets, np.int64).reshape(-1, 2)
+    begins, ends = both[:, 0], both[:, 1]
     under, ranges = [], []
     for s, e in spans:
-        reached = s
-        for i in range(bisect_right(ends, s), bisect_left(begins, e)):
-            a, b = max(begins[i], reached), min(ends[i], e)
-            if max(begins[i], s) < min(ends[i], e):
-                under.append(i)
-            if a < b:
-                ranges.append((a, b))
-                reached = b
+        lo, hi = np.searchsorted(ends, s, "right"), np.searchsorted(begins, e, "left")
+        if s >= e or lo >= hi:
+            continue
+        a, b = np.maximum(begins[lo:hi], s), np.minimum(ends[lo:hi], e)
+        under += (lo + np.flatnonzero(a < b)).tolist()
+        a = np.maximum(a, np.concatenate([[s], np.maximum.accumulate(b)[:-1]]))
+        fresh = a < b
+        ranges += zip(a[fresh].tolist(), b[fresh].tolist(), strict=True)
     return under, ranges
 
 
 class Formatter:
-    """Renders, encodes and masks conversations with the tokenizer of a ``tokenizers`` file."""
+    """Renders, encodes and masks conversations with the tokenizer of a ``tokenizers`` file.
 
-    def __init__(self, json_path: str):
-        with open(json_path, encoding="utf-8") as f:
-            self.json_text = f.read()
-
-    def __getstate__(self):
-        return {"json_text": self.json_text}
-
-    def encode(self, text: str):
-        if not hasattr(self, "_tok"):
-            from tokenizers import Tokenizer
+    With the same vocabulary as ranks, the faster encoder is taken where it is proven equal (see ``tokens``). Strings of
+    added tokens in a text stay text: nobody can write a control token.
+    """
 
-            self._tok = Tokenizer.from_str(self.json_text)
-            self._tok.encode_special_tokens = True
-        return self._tok.encode(text, add_special_tokens=False)
+    def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
+        self.encoder = ByteLevel(json_path, ranks_path, pattern, special_as_text=True)
 
     def format(self, turns: list[tuple[str, str]]) -> tuple[str, list[int], list[int], list[tuple[int, int]]]:
         """(string, token ids, indices under the loss, character ranges under the loss)"""
         text, spans = render(turns)
-        enc = self.encode(text)
-        return text, enc.ids, *mask(enc.offsets, spans)
+        ids, begins, ends = self.encoder.offsets(text)
+        return text, ids, *mask(np.stack([begins, ends], axis=1), spans)
 
 
 def conversations(rows: DataFrame) -> DataFrame:
@@ -132,20 +126,41 @@ def formatted(rows: DataFrame, formatter: Formatter) -> DataFrame:
     return map_arrow(conversations(rows), run, schema("conv_id long,formatted string,token_ids ints,loss_tokens ints,loss_starts ints,loss_ends ints"))
 
 
+DIGEST = "conv_id long,n_turns long,turns_sha256 string,loss_chars long,loss_sha256 string,formatted_chars long"
+
+
+def read_back(text: str, ranges: list[tuple[int, int]]) -> tuple[int, str, int, str, int]:
+    """The digest of a formatted string and its mask: turns as parsed, text under the loss unescaped."""
+    turns = parse(text)
+    loss = unescape("".join([text[a:b] for a, b in ranges]))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return len(turns), sha("".join([f"{r}\n{t}\n" for r, t in turns])), len(loss), sha(loss), len(text)
+
+
+def _digests(found: list[tuple], convs) -> dict:
+    names = [x.split()[0] for x in DIGEST.split(",")]
+    return dict(zip(names, [convs, *map(list, zip(*found, strict=True))], strict=True))
+
+
 def digest(made: DataFrame) -> DataFrame:
-    """What the formatted strings and masks say, read back from them."""
+    """What the strings and masks of :func:`formatted` say, read back from them."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        rows = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)
+        return _digests([read_back(text, list(zip(starts, ends, strict=True))) for text, starts, ends in rows], batch.column(0))
+
+    return map_arrow(made.select("conv_id", "formatted", "loss_starts", "loss_ends"), run, schema(DIGEST))
+
+
+def formatted_digest(rows: DataFrame, formatter: Formatter) -> DataFrame:
+    """:func:`digest` of :func:`formatted`, in one pass: strings and masks are made and read back in the same place."""
+    shared = rows.sparkSession.sparkContext.broadcast(formatter)  # a vocabulary
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
-        for conv, text, starts, ends in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            turns = parse(text)
-            loss = unescape("".join(text[a:b] for a, b in zip(starts, ends, strict=True)))
-            out["conv_id"].append(conv)
-            out["n_turns"].append(len(turns))
-            out["turns_sha256"].append(hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
-            out["loss_chars"].append(len(loss))
-            out["loss_sha256"].append(hashlib.sha256(loss.encode()).hexdigest())
-            out["formatted_chars"].append(len(text))
-        return out
-
-    return map_arrow(made.select("conv_id", "formatted", "loss_starts", "loss_ends"), run, schema("conv_id long,n_turns long,turns_sha256 string,loss_chars long,loss_sha256 string,formatted_chars long"))
+        found = []
+        for turns in batch.column(1):
+            text, _, _, ranges = shared.value.format([(t["role"], t["text"]) for t in turns.as_py()])
+            found.append(read_back(text, ranges))
+        return _digests(found, batch.column(0))
+
+    return map_arrow(conversations(rows), run, schema(DIGEST))
