@@ -1,4 +1,8 @@
-"""Helpers that the corpus operators share: table access, shared storage, Arrow mapping."""
+"""Helpers that the corpus operators share: table access, shared storage, labelled samples, Arrow mapping, salted joins.
+
+Defined results: nulls are kept as nulls by every helper, empty tables give empty tables, repeated rows stay
+repeated (but in ``one_text_an_id``, whose purpose is to leave one), and a helper's own columns start with an underscore.
+"""
 
 from __future__ import annotations
 
@@ -20,37 +24,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a local temporary folder is taken.
+    A local session that names none (tests, a laptop) gets a temporary folder; a cluster that names none is an error, as
+    executors cannot see the driver's folders.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not found:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tapeline-")
         sc.setCheckpointDir(found)
     return found
 
 
-def cut(df: DataFrame, columns: Iterable[str] = ()) -> DataFrame:
+#: Tables written by cut and not deleted yet, in order.
+_written: list[str] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends, lost executors cost nothing.
 
-    The files belong to the run's checkpoint folder and go when the cluster clears that folder.
+    The table stays until :func:`drop_since` deletes it or the cluster clears its checkpoint folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def mark() -> int:
+    """A place in the list of tables written so far, for :func:`drop_since`."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, place: int, *keep: DataFrame) -> None:
+    """Delete the tables that :func:`cut` has written since ``place``, but for ``keep`` (frames that cut returned).
+
+    Only for tables that nothing reads any more: what is still wanted of them has been cut itself.
+    """
+    kept = {getattr(df, "cut_path", None) for df in keep}
+    for path in [p for p in _written[place:] if p not in kept]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`cut` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for root in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/cut-" in root:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(conf).delete(path, True)
+def one_text_an_id(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` (with doc_id, text) reduced to one row an id (and ``by``): of several texts that with the least hash."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    return df.groupBy("doc_id", *by).agg(F.min_by("text", h).alias("text"))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: T.StructType) -> DataFrame:

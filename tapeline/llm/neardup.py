@@ -8,16 +8,22 @@ proposed pair the three counts of larger, equal and smaller registers and the tw
 likelihood over the Jaccard similarity; a pair whose best similarity at or above the threshold is far less likely
 than its best one is dropped, all others are compared on their full sets.
 
-Work per bucket is kept linear where a group of copies is large: first each class meets only the smallest
-class of each of its buckets; verified links are contracted to components. Then only buckets that still hold more
-than one component are looked at, only pairs across components, in the first band that the pair shares, in
+Work per bucket is kept linear where a group of copies is large: first each class meets only one class of each of
+its buckets, the pivot; verified links are contracted to components. In buckets that still hold several
+components another pivot is met, some ROUNDS times while that joins anything. Then only buckets that hold more
+than one component even so are looked at, only pairs across components, in the first band that the pair shares, in
 blocks; inside a block a link between components that are joined by then is not sought. Joins on keys that a large share of
-rows may hold (copies, buckets, pivots, pointers) salt these keys. No link between different
-components is lost to a cap: there is none.
+rows may hold (copies, buckets, pivots, pointers) salt these keys. There is no cap on buckets, partners or rounds
+beyond which a link is lost. What may be lost is by chance: a pair at the threshold shares no band with probability
+below MISSED, and the likelihood drops a pair that reaches the threshold where its registers speak e**LEAST_LIKELY times
+for less (``tests/llm`` counts both against all pairs).
 
 Defined results: a text without words (or null) has an empty set, is linked with nothing and kept; fewer words
-than the shingle's length make one shingle; rows that repeat an id are one node with several texts; a row
-without an id is linked with nothing and kept; an empty table gives an empty result; extra columns are left out.
+than the shingle's length make one shingle. In :func:`groups` documents are ids: rows that repeat an id are one document
+with several texts, which all link it. In :func:`keep_one` rows decide by their own text: of the texts that
+are linked the row with the smallest id stays, of rows that share id and words one. A row without an id is linked
+with nothing and kept; an empty table gives an empty result; extra columns are left out by the first and kept by the second, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -29,11 +35,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeline.llm.common import cut, drop_cut, heavy, map_arrow, schema, spread_join
+from tapeline.llm.common import cut, drop_since, heavy, map_arrow, mark, schema, spread_join
 
 M = 126
 #: A pair at the threshold may share no band this often.
@@ -42,7 +48,10 @@ BASE = 1.05
 RATE = 20.0
 #: A pair is dropped unseen where the likelihood of the threshold is so many times e below the best one.
 LEAST_LIKELY = 9.0
-BLOCK = 1024
+#: Classes of an open bucket that are compared in one piece of work.
+BLOCK = 384
+#: Pivots that an open bucket meets, one after the other, before its classes are compared in blocks.
+ROUNDS = 3
 _MULTIPLY = np.random.default_rng(20240501).integers(1, 2**64, M, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(20240502).integers(0, 2**64, M, dtype=np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -135,25 +144,27 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter)
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, same (hash of the words in order), sketch (empty without words)."""
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash (tells the texts of one id apart), text."""
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
-    def start():
-        hasher = Hasher(width)
 
-        def run(batch: pa.RecordBatch) -> dict:
-            out = {"doc_id": batch.column(0), "n_shingles": [], "same": [], "sketch": []}
-            for text in batch.column(1):
-                w = words(text.as_py())
-                s = hasher.shingles(w)
-                out["n_shingles"].append(len(s))
-                out["same"].append(xxhash.xxh3_128_digest(b" ".join(w)))
-                out["sketch"].append(registers(s).tobytes() if len(s) else b"")
-            return out
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, same (hash of the words in order), sketch (empty without words)."""
+    hasher = Hasher(width)
 
-        return run
+    def run(batch: pa.RecordBatch) -> dict:
+        out = {"doc_id": batch.column(0), "text_hash": batch.column(1), "n_shingles": [], "same": [], "sketch": []}
+        for text in batch.column(2):
+            w = words(text.as_py())
+            s = hasher.shingles(w)
+            out["n_shingles"].append(len(s))
+            out["same"].append(xxhash.xxh3_128_digest(b" ".join(w)))
+            out["sketch"].append(registers(s).tobytes() if len(s) else b"")
+        return out
 
-    return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), start(), schema("doc_id long,n_shingles long,same binary,sketch binary"))
+    return map_arrow(_named(docs), run, schema("doc_id long,text_hash long,n_shingles long,same binary,sketch binary"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -245,20 +256,20 @@ def _first_band(a: np.ndarray, b: np.ndarray, shape: tuple[int, int]) -> np.ndar
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, comp) of the classes that have links. ``reps``: rep, n, sketch, one row a class."""
+    """(node, comp) of the classes that have links. ``reps``: rep (a number), doc_id and text_hash of one of its texts, n, sketch, one row a class."""
     threshold = percent / 100
     shape = layout(percent)
     light = _bands(reps, shape)
     buckets = cut(light.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1"))
     crowded = heavy(buckets, "key", "n")
-    star = cut(spread_join(light, buckets.select("key", "pivot"), "key", crowded, "rep").filter("rep <> pivot").select("rep", "pivot").distinct())
-    if star.isEmpty():
-        return star.select(F.col("rep").alias("node"), F.col("pivot").alias("comp"))
+    shared = cut(spread_join(light, buckets.select("key", "pivot"), "key", crowded, "rep"))
+    if shared.isEmpty():
+        return shared.select(F.col("rep").alias("node"), F.col("pivot").alias("comp"))
     # Sides that grow with the data are never broadcast, however small they look.
-    needed = star.select("rep").unionAll(star.select("pivot")).distinct()
-    texts = cut(docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].cast("string").alias("text")).join(needed.hint("merge"), "rep", "left_semi"))
-
-    # Each class with the smallest class of each of its buckets.
+    needed = reps.select("rep", "doc_id", "text_hash").join(shared.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    # Rows that repeat id and text are one; the groups lie where the join has put them.
+    texts = _named(docs).join(needed.hint("merge"), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "rep").agg(F.first("text").alias("text"))
+    texts = cut(texts.select("rep", "text"))
     side = lambda name, k: reps.select(F.col("rep").alias(name), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
 
     def passes(batch: pa.RecordBatch) -> dict:
@@ -266,10 +277,6 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
         ok = likely(_sketch_matrix(col("sa").to_pylist()), col("na").to_numpy(), _sketch_matrix(col("sb").to_pylist()), col("nb").to_numpy(), threshold)
         return {"rep": col("rep").to_numpy()[ok], "pivot": col("pivot").to_numpy()[ok]}
 
-    popular = heavy(star, "pivot")
-    met = spread_join(star.join(side("rep", "a").hint("merge"), "rep"), side("pivot", "b"), "pivot", popular, "rep")
-    pairs = map_arrow(met, passes, schema("rep long,pivot long"))
-
     def verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, last = Hasher(width), (None, None)
         for f in frames:
@@ -281,15 +288,35 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
             yield f.loc[ok, ["a", "b"]] if len(f) else f[["a", "b"]]
 
     ta, tb = texts.select(F.col("rep"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("pivot"), F.col("text").alias("tb"))
-    met = spread_join(pairs.join(ta.hint("merge"), "rep"), tb, "pivot", popular, "rep").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "ta", "tb")
-    first = cut(met.mapInPandas(verified, "a long, b long"))
-    comp = components(first)
-
-    # Buckets that still hold several components.
-    named = spread_join(light, buckets.select("key"), "key", crowded, "rep").join(comp, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
-    named = cut(named)
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-    open_keys = cut(open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+
+    def confirmed(star: DataFrame) -> DataFrame:
+        """The links (a, b) among pairs (rep, pivot): likely by their sketches, then confirmed on their full sets."""
+        popular = heavy(star, "pivot")
+        met = spread_join(star.join(side("rep", "a").hint("merge"), "rep"), side("pivot", "b"), "pivot", popular, "rep")
+        pairs = map_arrow(met, passes, schema("rep long,pivot long"))
+        met = spread_join(pairs.join(ta.hint("merge"), "rep"), tb, "pivot", popular, "rep").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "ta", "tb")
+        return cut(met.mapInPandas(verified, "a long, b long"))
+
+    star = cut(shared.filter("rep <> pivot").select("rep", "pivot").distinct())
+    comp = components(confirmed(star))
+    for turn in range(ROUNDS):
+        # Buckets that still hold several components.
+        named = cut(spread_join(shared.select("key", "band", "rep"), comp.withColumnRenamed("node", "rep"), "rep", {}, "rep", "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp")))
+        per_key = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+        open_keys = cut(per_key)
+        if turn == ROUNDS - 1 or open_keys.isEmpty():
+            break
+        # The next pivot is the bucket's last class, then the first class of its last component (its number).
+        pivot = F.when(F.lit(turn % 2 == 0), F.col("last")).otherwise(F.col("hi"))
+        rows = spread_join(named, open_keys.select("key", pivot.alias("pivot")), "key", crowded, "rep")
+        at = comp.select(F.col("node").alias("pivot"), F.col("comp").alias("pc"))
+        rows = rows.filter("rep <> pivot").select("rep", "comp", "pivot").distinct()
+        rows = spread_join(rows, at, "pivot", heavy(rows, "pivot"), "rep", "left").filter("comp <> coalesce(pc, pivot)")
+        more = confirmed(cut(rows.select("rep", "pivot")))
+        if more.isEmpty():
+            break
+        comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(more))
+    open_keys = open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = spread_join(named, open_keys, "key", crowded, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # A block meets itself and every other block of its bucket: each pair of blocks is a group of at most some 2 * BLOCK rows.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", "rep", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -314,7 +341,6 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     dealt = lambda d: d.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     some = cut(dealt(rows).mapInPandas(flagged, kinds))
     if some.isEmpty():
-        drop_cut(named)
         return comp
 
     def sets(batch: pa.RecordBatch) -> dict:
@@ -363,32 +389,64 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     return components(tree.unionAll(more))
 
 
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sketch rows without their sketches, and (same, class component, copies) of the classes of equal words: what the rest builds on."""
+    place = mark()
+    made = cut(sketches(docs, width))
+    some = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    one = F.min(F.struct("doc_id", "text_hash"))
+    reps = some.groupBy("same").agg(one.alias("one"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+    # Numbered once, as the table is written once.
+    reps = cut(reps.select("same", "one.doc_id", "one.text_hash", "n", "sketch", "copies", F.monotonically_increasing_id().alias("rep")))
+    comp = links(docs, reps.select("rep", "doc_id", "text_hash", "n", "sketch"), width, percent)
+    classes = cut(reps.join(comp.hint("merge"), F.col("rep") == F.col("node"), "left").select("same", "copies", F.coalesce("comp", "rep").alias("_comp")))
+    light = cut(made.drop("sketch"))
+    drop_since(docs.sparkSession, place, classes, light)
+    return light, classes
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    made = cut(sketches(docs, width))
+    made, classes = _classes(docs, width, percent)
     some = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = cut(some.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")))
-    comp = links(docs, reps.select("rep", "n", "sketch"), width, percent)
-    classes = cut(reps.join(comp, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("comp", "rep").alias("_comp")))
-    out = spread_join(some, classes, "same", heavy(reps, "same", "copies"), "doc_id").select("doc_id", "n_shingles", "_comp")
-    out = out.unionAll(made.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("_comp")))
-    own = F.coalesce("_comp", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    rows = cut(spread_join(some.drop("text_hash"), classes.select("same", "_comp"), "same", heavy(classes, "same", "copies"), "doc_id").select("doc_id", "n_shingles", "_comp"))
+    again = cut(made.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id"))
+    repeats = not again.isEmpty()
+    if repeats:  # an id with texts in several components joins them
+        across = rows.join(again.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi")).filter("lo <> hi")
+        edges = rows.join(across.select("doc_id", "lo").hint("merge"), "doc_id").select(F.col("_comp").alias("a"), F.col("lo").alias("b"))
+        joined = components(edges).select(F.col("node").alias("_comp"), F.col("comp").alias("_to"))
+        rows = cut(spread_join(rows, joined, "_comp", heavy(rows, "_comp"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_to", "_comp").alias("_comp")))
+    least = cut(rows.groupBy("_comp").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_rows")))
+    out = spread_join(rows, least.select("_comp", "_least"), "_comp", heavy(least, "_comp", "_rows"), "doc_id").select("doc_id", "n_shingles", F.col("_least").alias("component_id"))
+    out = out.unionAll(made.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    if repeats:  # such an id may have an empty text as well
+        out = cut(out)
+        one = out.groupBy("doc_id").agg(F.min("component_id").alias("_one"))
+        out = spread_join(out, one, "doc_id", heavy(out, "doc_id"), "n_shingles", "left").select("doc_id", "n_shingles", F.col("_one").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group (that with the smallest id), all columns; of rows that share id and words, one."""
-    found = cut(groups(docs, width, percent))
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    named = docs.filter(docs["doc_id"].isNotNull())  # rows without an id stay and need no join: they would meet in one task
-    left = named.join(gone.hint("merge"), named["doc_id"].cast("long") == F.col("_gone"), "left_anti").unionAll(docs.filter(docs["doc_id"].isNull()))
-    again = cut(found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_again"))
-    if again.isEmpty():
-        return left
-    same = left["doc_id"].cast("long") == F.col("_again")
-    whole = left.join(again, same, "left_semi").select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    once = whole.groupBy("_id").agg(F.min("_row").alias("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
-    return left.join(again, same, "left_anti").unionAll(once)
+    """One row of each group of linked texts (that with the smallest id), all columns; of rows that share id and words, one."""
+    made, classes = _classes(docs, width, percent)
+    some = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    rows = cut(spread_join(some, classes.select("same", "_comp"), "same", heavy(classes, "same", "copies"), "doc_id").select("doc_id", "text_hash", "_comp"))
+    stay = cut(rows.groupBy("_comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("_one")).select(F.col("_one.doc_id").alias("_id"), F.col("_one.text_hash").alias("_text")))
+    fields = docs.columns
+    text = docs["text"].cast("string")
+    whole = docs.select(docs["doc_id"].cast("long").alias("_id"), F.xxhash64(text).alias("_text"), F.struct(*[docs[f"`{c}`"] for c in fields]).alias("_row"), _wordless(text).alias("_none"))
+    alone = whole.filter("_id IS NULL OR _none")  # they stay and need no join: they would meet in one task
+    won = whole.filter("_id IS NOT NULL AND NOT _none").join(stay.hint("merge"), ["_id", "_text"], "left_semi")
+    again = cut(some.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")))
+    if not again.isEmpty():
+        repeated = won.join(again.hint("merge"), ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(F.min("_row").alias("_row"), F.first("_none").alias("_none"))
+        won = won.join(again.hint("merge"), ["_id", "_text"], "left_anti").unionByName(repeated)
+    return won.unionByName(alone).select(*[F.col("_row").getField(c).alias(c) for c in fields])
+
+
+def _wordless(text: Column) -> Column:
+    return F.coalesce(F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) == 0, F.lit(True))
 
 
 RESULT = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_shingles", "component_id")] + [T.StructField("kept", T.BooleanType())])
