@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.llm.common import one_text_an_id
 from tapeline.llm.rules import SPACE, _let, base
 
 #: Labelled rows that are fitted at most; which ones is decided by a hash of their id.
@@ -164,18 +165,20 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rate: flo
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, holds_for: Column, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``most`` labelled documents that ``holds_for`` (over doc_id) admits.
+    """(doc_id, text, y) of at most ``most`` labelled documents that ``holds_for`` (over doc_id) admits, one row an id.
 
-    Which ones follows from a hash of the id. The chosen ids are bounded by ``most`` and so can be broadcast.
+    Which ones follows from a hash of the id. Of several labels of an id the larger counts, of several texts that with the least
+    hash. The chosen ids are bounded by ``most`` and so can be broadcast.
     """
     y = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[column].cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & holds_for)
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most).groupBy("doc_id").agg(F.max("y").alias("y"))
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(y), "doc_id")
+    y = y.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return one_text_an_id(named.join(F.broadcast(y), "doc_id"), "y")
 
 
 def score(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = MOST_LABELLED) -> DataFrame:
     """doc_id and score of every document, learnt from the labelled rows that ``learnable`` (over doc_id) admits."""
-    sample = features(labelled(docs, labels, "quality", learnable, most), [F.col("doc_id"), F.col("y")], F.col("text")).select("doc_id", "y", "_x").orderBy("doc_id", "y").limit(2 * most).collect()
+    sample = features(labelled(docs, labels, "quality", learnable, most), [F.col("doc_id"), F.col("y")], F.col("text")).select("doc_id", "y", "_x").orderBy("doc_id").collect()  # at most ``most`` rows
     x = np.array([[r["_x"][k] for k in FEATURES] for r in sample], dtype=float).reshape(len(sample), len(FEATURES))
     model = fit(x, np.array([r["y"] for r in sample], dtype=float))
     return features(docs, [docs["doc_id"].cast("long").alias("doc_id")], docs["text"].cast("string")).select("doc_id", model.column().alias("score"))

@@ -7,17 +7,22 @@ squared-hinge machine is trained. As the kernel is a product of explicit (hashed
 trained machine folds into one table over character triples, and a word's decision value is a sum over its own
 triples, exactly as if it had been compared with every landmark.
 
-Only documents are labelled. Words of clean documents are negatives; in a toxic document the word that the
-machine takes for the worst is the witness, found in rounds; negatives that score high are added. Witnesses are
-also learnt with characters inserted. A document's score is a logistic curve over its worst words, fitted to
-the labels.
+Only documents are labelled. All words of clean documents are negatives; in a toxic document the word that the
+machine takes for the worst is the witness, found in rounds. Witnesses are also learnt with characters inserted. A document's
+score is a logistic curve over its worst words, fitted to the labels.
 
 Units of a text are its white-space words, with runs of single characters ("i d i o t") joined, and, where
-a word holds other characters between letters, its letters alone as well. Long words are read in overlapping windows.
+a word holds other characters between letters, its letters alone as well. Words longer than WINDOW characters are read in windows
+that overlap by half, so whatever fits half a window lies whole in one. Subsequences span at most SPAN characters: that is
+the kernel's reach, beyond which decay leaves little; an insult that is spread wider by letters is out of reach, one spread by
+other characters is met as letters alone.
+
+The fit is bounded by its sample: at most MOST_LABELLED labelled rows, with MOST_CHARS characters in all, by a hash of
+their id. Within the sample nothing is capped: all its words are learnt from.
 
 Defined results: null text counts as empty; an empty text has the score of a text without any bad word; texts of any
-length are read whole; repeated rows are scored each; without labelled rows of both kinds all scores are the
-share of label 1; an empty table gives an empty result; extra columns are left out.
+length are read whole; repeated rows are scored each, and an id with several texts is learnt from one; without labelled rows of
+both kinds all scores are the share of label 1; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -28,16 +33,22 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tapeline.llm.common import map_arrow, schema
 from tapeline.llm.quality import labelled
 
-MOST_LABELLED = 5000
+MOST_LABELLED, MOST_CHARS = 5000, 10_000_000
 DECAY = 0.7
 SPAN = 7
-ALPHABET = 41  # 0 is no character, 1 to 26 letters, the rest shared by a hash
-WINDOW, STRIDE = 48, 40
+#: Triples are hashed into a table of this size; characters have numbers below CHARACTERS: 0 is a word's edge, 1 to 26 letters, the rest by a hash.
+TABLE_BITS = 17
+CHARACTERS = 1024
+WINDOW, STRIDE = 48, 24
 LANDMARKS = 360
+#: What all clean words weigh against all witnesses: most of them lie beyond the margin and weigh nothing.
+NEGATIVES = 40.0
 MEMO_ENTRIES = 600_000
 _SINGLES = re.compile(r"(?<!\S)(?:\w[\s.,\-_*]+){2,}\w(?!\S)")
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”…-–—*_#&$%|~"
@@ -57,13 +68,20 @@ _CODES: dict[str, int] = {chr(97 + i): 1 + i for i in range(26)}
 
 
 def _code(c: str) -> int:
-    return _CODES.get(c) or 27 + (ord(c) * 2654435761 >> 7) % (ALPHABET - 27)
+    return _CODES.get(c) or 27 + (ord(c) * 2654435761 >> 7) % (CHARACTERS - 27)
+
+
+def triple_code(a, b, c):
+    """Table position of three characters' numbers (or arrays of them)."""
+    a, b, c = (np.atleast_1d(np.asarray(x, np.uint64)) for x in (a, b, c))  # arrays wrap around, which is meant
+    packed = (a * np.uint64(CHARACTERS) + b) * np.uint64(CHARACTERS) + c
+    return ((packed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 def _windows(word: str) -> list[str]:
     if len(word) <= WINDOW:
         return [word]
-    return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW + STRIDE, STRIDE)]
+    return [word[i : i + WINDOW] for i in range(0, len(word) - STRIDE, STRIDE)]
 
 
 _COMBOS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -89,7 +107,7 @@ def triples(words: list[str]):
             continue
         for part in np.array_split(np.array(idx), len(idx) * len(pos) // 2_000_000 + 1):
             codes = np.array([[0, *map(_code, words[i]), 0] for i in part], dtype=np.int64)
-            code = (codes[:, pos[:, 0]] * ALPHABET + codes[:, pos[:, 1]]) * ALPHABET + codes[:, pos[:, 2]]
+            code = triple_code(codes[:, pos[:, 0]], codes[:, pos[:, 1]], codes[:, pos[:, 2]])
             # |phi|^2: weights of equal triples add up before they are squared
             order = np.argsort(code, axis=1)
             s, w = np.take_along_axis(code, order, 1), weight[order]
@@ -102,17 +120,23 @@ def triples(words: list[str]):
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel values, words x landmarks."""
-    table = np.zeros((ALPHABET**3, len(landmarks)), np.float32)
-    for part, code, weight, norm in triples(landmarks):
+    """Normalised kernel values, words x landmarks. The table holds the landmarks' own triples only."""
+    held = list(triples(landmarks))
+    used = np.unique(np.concatenate([code.ravel() for _, code, _, _ in held])) if held else np.zeros(0, np.int64)
+    row_of = np.zeros(1 << TABLE_BITS, np.int32)
+    row_of[used] = 1 + np.arange(len(used))
+    table = np.zeros((len(used) + 1, len(landmarks)), np.float32)
+    for part, code, weight, norm in held:
         for i, c, z in zip(part, code, norm, strict=True):
-            np.add.at(table[:, i], c, weight / z)
+            np.add.at(table[:, i], row_of[c], weight / z)
     out = np.zeros((len(words), len(landmarks)), np.float32)
     for part, code, weight, norm in triples(words):
-        acc = np.zeros((len(part), len(landmarks)), np.float32)
-        for k in range(code.shape[1]):
-            acc += np.float32(weight[k]) * table[code[:, k]]
-        out[part] = acc / norm[:, None]
+        rows = row_of[code]
+        for lo in range(0, len(part), 2048):
+            acc = np.zeros((len(part[lo : lo + 2048]), len(landmarks)), np.float32)
+            for k in range(code.shape[1]):
+                acc += np.float32(weight[k]) * table[rows[lo : lo + 2048, k]]
+            out[part[lo : lo + 2048]] = acc / norm[lo : lo + 2048, None]
     return out
 
 
@@ -172,22 +196,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a * v[:, 0] + b * np.log1p(v[:, 1]) + c, -30, 30)))
 
 
-def _svm(k: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e-3, rounds: int = 25) -> np.ndarray:
-    """Weights and offset of a squared-hinge machine, by Newton steps."""
-    x = np.c_[k, np.ones(len(k))]
-    w = np.zeros(x.shape[1])
-    reg = cost * np.eye(len(w))
+def _svm(held: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1e-3, rounds: int = 25, block: int = 8192) -> np.ndarray:
+    """Weights and offset of a squared-hinge machine on some rows of ``held``, by Newton steps over those inside the margin, in blocks."""
+    width = held.shape[1] + 1
+    w = np.zeros(width)
+    reg = cost * np.eye(width)
     reg[-1, -1] = 1e-8
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        xa, wa = x[active], weight[active]
-        new = np.linalg.solve(reg + xa.T @ (xa * wa[:, None]), xa.T @ (wa * y[active]))
+        active = np.flatnonzero(y * _values(held, w)[rows] < 1)
+        left, right = reg.copy(), np.zeros(width)
+        for lo in range(0, len(active), block):
+            some = active[lo : lo + block]
+            x = np.c_[held[rows[some]].astype(float), np.ones(len(some))]
+            left += x.T @ (x * weight[some, None])
+            right += x.T @ (weight[some] * y[some])
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             return new
         w = new
     return w
 
 
+def _values(held: np.ndarray, w: np.ndarray, block: int = 16_384) -> np.ndarray:
+    """Decision values of all rows."""
+    flat = w[:-1].astype(np.float32)
+    return np.concatenate([held[lo : lo + block].astype(np.float32) @ flat for lo in range(0, len(held), block)] or [np.zeros(0, np.float32)]) + w[-1]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
@@ -211,83 +246,122 @@ def _inserted(words: list[str], rng: np.random.Generator) -> list[str]:
     return out
 
 
+class _Features:
+    """Nyström features of words, each computed once and held in half precision (the folded machine is in full)."""
+
+    def __init__(self, marks: list[str]):
+        kll = kernel(marks, marks).astype(float)
+        values, vectors = np.linalg.eigh((kll + kll.T) / 2)
+        keep = values > 1e-4
+        self.marks, self.whiten = marks, (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+        self.row: dict[str, int] = {}
+        self.room = np.zeros((1024, self.whiten.shape[1]), np.float16)
+
+    @property
+    def held(self) -> np.ndarray:
+        return self.room[: len(self.row)]
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Rows of ``held`` of the words."""
+        fresh = [w for w in dict.fromkeys(words) if w not in self.row]
+        while len(self.row) + len(fresh) > len(self.room):
+            self.room = np.concatenate([self.room, np.zeros((len(self.room) // 2, self.room.shape[1]), np.float16)])
+        for lo in range(0, len(fresh), 8192):
+            some = fresh[lo : lo + 8192]
+            at = len(self.row)
+            self.room[at : at + len(some)] = kernel(some, self.marks) @ self.whiten
+            self.row |= zip(some, range(at, at + len(some)), strict=True)
+        return np.array([self.row[w] for w in words], np.int64)
+
+    def folded(self, w: np.ndarray) -> np.ndarray:
+        """The machine as one table over triples: a word's decision value is the sum over its own."""
+        beta, table = self.whiten @ w[:-1], np.zeros(1 << TABLE_BITS)
+        for part, code, weight, norm in triples(self.marks):
+            for i, c, q in zip(part, code, norm, strict=True):
+                np.add.at(table, c, beta[i] * weight / q)
+        return table
+
+
+def _landmarks(suspects: list[str], family: list[str], witnesses: list[str], common: list[str], rare: list[str], rng: np.random.Generator) -> list[str]:
+    """LANDMARKS words at most: likely insults, frequent and arbitrary clean words."""
+    third, sixth = LANDMARKS // 3, LANDMARKS // 6
+    marks = suspects[:third] + family[:: max(1, len(family) // third)][:third]
+    marks = marks or witnesses[:third]
+    marks += [w for w in common if len(w) > 2][:sixth]
+    marks += [rare[i] for i in rng.choice(len(rare), min(len(rare), sixth), replace=False)]
+    return list(dict.fromkeys(marks))
+
+
 def fit(texts: list[str | None], labels: list[int], seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
     y = np.array(labels, dtype=int)
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     if len(y) < 20 or y.min() == y.max():
-        return Model(np.zeros(ALPHABET**3), 0.0, (0.0, 0.0, float(np.log(share / (1 - share)))))
+        return Model(np.zeros(1 << TABLE_BITS), 0.0, (0.0, 0.0, float(np.log(share / (1 - share)))))
     one: dict[str, str] = {}  # each word once in memory
     docs = [list(dict.fromkeys(one.setdefault(w, w) for u in units(t or "") for w in _windows(u) if w)) for t in texts]
     del one
     bad, good = Counter(), Counter()
     for d, label in zip(docs, y, strict=True):
         (bad if label else good).update(d)
+    bad_docs = [d for d, label in zip(docs, y, strict=True) if label]
+    del docs
     n_bad, n_good = int(y.sum()), int(len(y) - y.sum())
     lift = lambda w: np.log((bad[w] + 0.1) / (n_bad + 1)) - np.log((good[w] + 0.5) / (n_good + 1))
     suspects = sorted((w for w in bad if bad[w] >= 3 and good[w] <= 0.02 * bad[w] and lift(w) > 2), key=lambda w: (-bad[w], w))
     # Insults come in families: parts of words that toxic documents share and clean ones do not have.
-    parts = Counter(g for d, label in zip(docs, y, strict=True) if label for g in {g for w in d for g in _parts(w)})
+    parts = Counter(g for d in bad_docs for g in {g for w in d for g in _parts(w)})
     parts = {g: n for g, n in parts.items() if n >= 4}
     clean = Counter(g for w in good for g in _parts(w) & parts.keys())
     parts = {g: n for g, n in parts.items() if clean[g] <= 0.02 * n}
     family = sorted((w for w in bad if not good[w] and bad[w] < 3 and _parts(w) & parts.keys()), key=lambda w: (-max(parts[g] for g in _parts(w) & parts.keys()), w))
-    witnesses = dict.fromkeys(suspects[:3000] + family[:3000])
-    if not witnesses:  # labels that no word explains by count: the words with the highest lift
-        witnesses = dict.fromkeys(sorted(bad, key=lambda w: (-lift(w), w))[:50])
+    witnesses = dict.fromkeys(suspects + family)
+    if not witnesses:  # labels that no word explains by count: those of the highest lift
+        best = max(map(lift, bad), default=0.0)
+        witnesses = dict.fromkeys(sorted(w for w in bad if lift(w) >= best - 1e-9))
+    if not witnesses:  # toxic documents without any word
+        return Model(np.zeros(1 << TABLE_BITS), 0.0, (0.0, 0.0, float(np.log(share / (1 - share)))))
     common = sorted(good, key=lambda w: (-good[w], w))
-    rare = sorted(good)
-    negatives = dict.fromkeys(common[:6000] + [rare[i] for i in rng.choice(len(rare), min(len(rare), 12_000), replace=False)])
-    marks = suspects[: LANDMARKS // 3] + family[:: max(1, len(family) // (LANDMARKS // 3))][: LANDMARKS // 3]
-    marks = marks or list(witnesses)[: LANDMARKS // 3]
-    marks += [w for w in common[:400] if len(w) > 2][: LANDMARKS // 6]
-    marks += [rare[i] for i in rng.choice(len(rare), min(len(rare), LANDMARKS // 6), replace=False)]
-    marks = list(dict.fromkeys(marks))
-    kll = kernel(marks, marks).astype(float)
-    values, vectors = np.linalg.eigh((kll + kll.T) / 2)
-    keep = values > 1e-4
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-
-    def trained() -> Model:
-        pos = list(witnesses)
-        weigh = [min(bad[w], 100) for w in pos]  # a witness counts as often as it bears witness
-        for w, n in zip(pos[:200], weigh[:200], strict=True):
-            more = [x for x in _inserted([w], rng) if x not in good]
-            pos += more
-            weigh += [n / 3] * len(more)
-        neg = [w for w in negatives if w not in witnesses]
-        z = kernel(pos + neg, marks) @ whiten
-        t = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        w = _svm(z, t, np.r_[np.array(weigh) / sum(weigh), np.full(len(neg), 4.0 / len(neg))])
-        beta = whiten @ w[:-1]
-        table = np.zeros(ALPHABET**3)
-        for part, code, weight, norm in triples(marks):
-            for i, c, q in zip(part, code, norm, strict=True):
-                np.add.at(table, c, beta[i] * weight / q)
-        return Model(table, float(w[-1]), (4.0, 0.0, 0.0))
+    features = _Features(_landmarks(suspects, family, list(witnesses), common, sorted(good), rng))
+    clean_rows, how_often = features.of(common), np.array([good[w] for w in common], float)
+    bad_rows = [features.of(d) if d else np.zeros(0, np.int64) for d in bad_docs]
+    variants: dict[str, list[str]] = {}
+
+    def trained() -> np.ndarray:
+        pos, weigh = [], []
+        for w in witnesses:  # a witness counts as often as it bears witness, also with characters inserted
+            more = variants.setdefault(w, [x for x in _inserted([w], rng) if x not in good])
+            pos += [w, *more]
+            weigh += [min(bad[w], 100), *[min(bad[w], 100) / 3] * len(more)]
+        own = features.of(pos)
+        clean = np.array([w not in witnesses for w in common], bool)
+        neg, often = clean_rows[clean], np.sqrt(how_often[clean])  # the more clean documents hold a word, the more it weighs
+        t = np.r_[np.ones(len(own)), -np.ones(len(neg))]
+        return _svm(features.held, np.r_[own, neg], t, np.r_[np.array(weigh) / sum(weigh), NEGATIVES * often / max(1.0, often.sum())])
 
-    clean_words = list(good)
-    bad_docs = [d for d, label in zip(docs, y, strict=True) if label]
     for _ in range(3):
-        model = trained()
-        high = model.words(clean_words)
-        negatives |= dict.fromkeys(clean_words[i] for i in np.argsort(-high)[:4000] if high[i] > -0.8)
-        for d in bad_docs:
-            v = model.words(d) if d else np.zeros(0)
+        w = trained()
+        value = _values(features.held, w)
+        for d, rows in zip(bad_docs, bad_rows, strict=True):
+            v = value[rows]
             if len(v) and v.max() < 0.3:  # no witness yet: the worst word that no clean document has
-                free = [(x, w) for x, w in zip(v.tolist(), d, strict=True) if not good[w]]
+                free = [(x, word) for x, word in zip(v.tolist(), d, strict=True) if not good[word]]
                 if free and max(free)[0] > -0.6:
                     witnesses[max(free)[1]] = None
-    model = trained()
+    w = trained()
+    model = Model(features.folded(w), float(w[-1]), (4.0, 0.0, 0.0))
+    del features, clean_rows, bad_rows
     v = np.array(model.values(texts), dtype=float)
     a, b, c = _logistic(np.c_[v[:, 0], np.log1p(v[:, 1])], y)
     model.curve = (max(0.0, float(a)), max(0.0, float(b)), float(c))
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = MOST_LABELLED) -> DataFrame:
-    """doc_id and score of every document, learnt from at most ``most`` labelled rows that ``learnable`` (over doc_id) admits."""
-    sample = labelled(docs, labels, "toxic", learnable, most).orderBy("doc_id", "text").limit(2 * most).collect()
+def score(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = MOST_LABELLED, chars: int = MOST_CHARS) -> DataFrame:
+    """doc_id and score of every document, learnt from at most ``most`` labelled rows of ``chars`` characters that ``learnable`` (over doc_id) admits."""
+    w = W.orderBy(F.xxhash64("doc_id"), "doc_id")  # at most ``most`` rows
+    bounded = labelled(docs, labels, "toxic", learnable, most).withColumn("_size", F.sum(F.length(F.coalesce("text", F.lit("")))).over(w))
+    sample = bounded.filter(F.col("_size") <= chars).select("doc_id", "text", "y").orderBy("doc_id").collect()
     shared = docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["y"] for r in sample]))  # a table of fixed size
 
     def run(batch: pa.RecordBatch) -> dict:
