@@ -1,10 +1,14 @@
 """Quality rules with adaptive thresholds, in DataFrame expressions only.
 
-Each document gets integer statistics. Per (lang, source) a mergeable quantile sketch counts every statistic
-in buckets of fixed width (two sketches merge by adding their counts; a quantile is off by one bucket at
-most). Thresholds are fences around the sketch's median, as wide as the spread that this group shows, so
-no absolute cut-off is set by hand. A group of few documents takes the merged sketch of its language, and a
-small language that of the whole table. The thresholds, one row a group, are then joined to the documents.
+Each document gets whole-number statistics. Per (lang, source) a mergeable quantile sketch counts every statistic in
+buckets of relative width 1/32 (the five bits after the leading one; two sketches merge by adding their counts, a
+quantile is off by 1/32 of itself at most). A threshold is the sketch's tail quantile plus SPREADS times its distance from
+the median, so place and width follow what the group itself shows: no value of a statistic is set by hand. What is set is
+the share of documents that counts as the tail: statistics that only junk raises (symbols, the length of words) take an
+early quantile, those that also vary among good texts (capitals, repeats) a late one.
+
+Small groups are shrunk smoothly: to a group's counts are added those of its language, scaled to PRIOR documents, to the
+language's those of the whole table in the same way. The thresholds, one row a group, are then joined to the documents.
 
 Defined results: null text has no words and fails the base rule; null lang or source form groups of their
 own; texts of any length are read whole; repeated rows count and are judged each; an empty table gives an
@@ -22,18 +26,18 @@ from tapeline.llm.common import cut
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: name, what 1 is worth in buckets, last bucket, least half-width of the fence in buckets, sides of the fence.
+#: Symbols that a text may hold without saying anything.
+FEW = 3
+#: name, tail quantile in thousandths, distances from the median that the fence lies beyond it, sides.
 STATS = (
-    ("symbols", 1000, 1000, 90, "upper"),  # symbols of 1000 characters in words
-    ("capitals", 1000, 1000, 150, "upper"),  # capital letters of 1000 characters in words
-    ("repeats", 1000, 1000, 300, "upper"),  # words in repeated windows, of 1000 words
-    ("dup_lines", 1000, 1000, 500, "upper"),  # repeated lines of 1000 lines with words
-    ("word_length", 20, 1200, 50, "both"),  # characters a word, in twentieths
+    ("symbols", 850, 4, "upper"),  # symbols beyond FEW, of a million characters in words
+    ("capitals", 990, 2, "upper"),  # capital letters of a million characters in words
+    ("repeats", 990, 2, "upper"),  # words in repeated windows, of a million words
+    ("dup_lines", 990, 2, "upper"),  # repeated lines of a million lines with words
+    ("word_length", 850, 4, "both"),  # characters of a thousand words
 )
-#: Half-widths of the fence, in quartile distances from the median.
-SPREADS = 8
-#: Groups of fewer documents take the sketch of the next larger group.
-LEAST_DOCS = 200
+#: Documents that a group's language (a language's table) counts for in the group's (the language's) sketch.
+PRIOR = 200
 #: Thresholds are broadcast up to so many groups; beyond, the join is left to the planner.
 MOST_BROADCAST = 50_000
 
@@ -87,49 +91,59 @@ def base(text: Column) -> Column:
 def measured(docs: DataFrame, keep: list[Column]) -> DataFrame:
     """``keep`` and a column ``_m`` with the statistics, the group's key and the base verdict."""
     held = docs.select(*keep, docs["lang"].cast("string").alias("_lang"), docs["source"].cast("string").alias("_source"), base(docs["text"].cast("string")).alias("_b"))
-    n = F.greatest(F.col("_b.w.n_words"), F.lit(1))
-    chars = F.greatest(F.col("_b.word_chars"), F.lit(1))
     failed = (F.col("_b.w.n_words") < 20) | (100 * F.col("_b.w.n_repeat_words") > 30 * F.col("_b.w.n_words"))
-    ratio = {
-        "symbols": (F.col("_b.n_symbols"), chars), "capitals": (F.col("_b.n_capitals"), chars), "repeats": (F.col("_b.w.n_repeat_words"), n),
-        "dup_lines": (F.col("_b.l.n_dup_lines"), F.greatest(F.col("_b.l.n_lines"), F.lit(1))), "word_length": (F.col("_b.word_chars"), n),
+    million = lambda a, b: F.expr(f"1000000 * {a} div greatest({b}, 1)")
+    value = {
+        "symbols": million(f"greatest(_b.n_symbols - {FEW}, 0)", "_b.word_chars"), "capitals": million("_b.n_capitals", "_b.word_chars"), "repeats": million("_b.w.n_repeat_words", "_b.w.n_words"),
+        "dup_lines": million("_b.l.n_dup_lines", "_b.l.n_lines"), "word_length": F.expr("1000 * _b.word_chars div greatest(_b.w.n_words, 1)"),
     }
-    buckets = [F.least(F.floor(a * unit / b).cast("int"), F.lit(last)).alias(name) for name, unit, last, _, _ in STATS for a, b in (ratio[name],)]
     group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
     m = F.struct(
         F.col("_b.w.n_words").alias("n_words"), F.col("_b.word_chars").alias("word_chars"), F.col("_b.n_symbols").alias("n_symbols"), F.col("_b.l.n_dup_lines").alias("n_dup_lines"),
-        F.col("_b.w.n_repeat_words").alias("n_repeat_words"), failed.alias("base_failed"), group("_lang").alias("lang"), group("_source").alias("source"), *buckets,
+        F.col("_b.w.n_repeat_words").alias("n_repeat_words"), failed.alias("base_failed"), group("_lang").alias("lang"), group("_source").alias("source"), *[value[name].alias(name) for name, *_ in STATS],
     )
     names = [x for x in held.columns if x not in ("_lang", "_source", "_b")]
     return held.select(*[F.col(f"`{x}`") for x in names], m.alias("_m"))
 
 
+def _width(value: str) -> str:
+    """Width of the bucket that holds a whole number, in SQL: all bits below the leading one and five more."""
+    return f"shiftleft(1L, greatest(length(bin({value})) - 6, 0))"
+
+
 def sketches(m: DataFrame) -> DataFrame:
-    """Counts by (lang, source, stat, bucket) of the documents that pass the base rule: the mergeable sketch."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), F.col(f"_m.{name}").alias("bucket")) for k, (name, *_) in enumerate(STATS)]))
+    """Counts by (lang, source, stat, bucket) of the documents that pass the base rule: the mergeable sketch. A bucket is named by its least value."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), F.col(f"_m.{name}").alias("value")) for k, (name, *_) in enumerate(STATS)]))
     rows = m.filter(~F.col("_m.base_failed")).select(F.col("_m.lang").alias("lang"), F.col("_m.source").alias("source"), each.alias("s"))
-    return rows.groupBy("lang", "source", F.col("s.stat").alias("stat"), F.col("s.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("lang", "source", F.col("s.stat").alias("stat"), F.expr(f"s.value - s.value % {_width('s.value')}").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def blended(sketch: DataFrame) -> DataFrame:
+    """(lang, source, stat, bucket, weight) of the shrunk sketches, in whole numbers: a group's weights are its blended counts on a scale of its own."""
+    whole = lambda c: c.cast(T.DecimalType(12, 0))  # noqa: E731  three factors below 10^12 stay below 10^38
+    counts = lambda *keys: sketch.groupBy(*keys, "stat", "bucket").agg(whole(F.sum("n")).alias(f"n_{len(keys)}"))
+    every = counts().withColumn("all_0", whole(F.sum("n_0").over(W.partitionBy("stat"))))  # a fixed number of buckets a statistic
+    langs = sketch.groupBy("lang", "stat").agg(whole(F.sum("n")).alias("all_1"))
+    groups = sketch.select("lang", "source", "stat").distinct().join(langs, ["lang", "stat"])
+    rows = groups.join(F.broadcast(every), "stat").join(counts("lang"), ["lang", "stat", "bucket"], "left").join(counts("lang", "source"), ["lang", "source", "stat", "bucket"], "left")
+    n = lambda k: F.coalesce(F.col(f"n_{k}"), F.lit(0).cast(T.DecimalType(12, 0)))
+    of_lang = n(1) * F.col("all_0") + F.lit(PRIOR) * n(0)
+    weight = n(2) * F.col("all_0") * (F.col("all_1") + F.lit(PRIOR)) + F.lit(PRIOR) * of_lang
+    return rows.select("lang", "source", "stat", "bucket", weight.cast(T.DecimalType(38, 0)).alias("weight"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row a group: lang, source and an array of (low, high) buckets by statistic."""
-
-    def fences(keys: list[str]) -> DataFrame:
-        merged = sketch.groupBy(*keys, "stat", "bucket").agg(F.sum("n").alias("n"))
-        w = W.partitionBy(*keys, "stat").orderBy("bucket")
-        run = merged.withColumn("upto", F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(W.partitionBy(*keys, "stat")))
-        at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("bucket")))
-        q = run.groupBy(*keys, "stat").agg(at(25).alias("a"), at(50).alias("m"), at(75).alias("c"), F.max("all").alias("docs"))
-        return q.select(*keys, "stat", "docs", F.struct(F.col("m"), F.greatest(F.col("m") - F.col("a"), F.col("c") - F.col("m")).alias("d")).alias("f"))
-
-    own, lang, every = fences(["lang", "source"]), fences(["lang"]), fences([])
-    joined = own.join(lang.select("lang", "stat", F.col("docs").alias("lang_docs"), F.col("f").alias("lang_f")), ["lang", "stat"]).join(every.select("stat", F.col("f").alias("all_f")), "stat")
-    f = F.when(F.col("docs") >= LEAST_DOCS, F.col("f")).when(F.col("lang_docs") >= LEAST_DOCS, F.col("lang_f")).otherwise(F.col("all_f"))
+    """One row a group: lang, source and an array of (stat, low, high) by statistic."""
+    keys = ["lang", "source", "stat"]
+    w = W.partitionBy(*keys)
+    run = blended(sketch).withColumn("upto", F.sum("weight").over(w.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("weight").over(w))
     by = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in STATS]), F.col("stat") + 1)
-    width = F.greatest(F.lit(SPREADS) * F.col("f.d"), by(3))
-    low = F.when(by(4) == "both", F.col("f.m") - width).otherwise(F.lit(-1))
-    fence = F.struct(F.col("stat"), low.alias("low"), (F.col("f.m") + width).alias("high"))
-    return joined.withColumn("f", f).groupBy("lang", "source").agg(F.sort_array(F.collect_list(fence)).alias("fences"))
+    at = lambda p: F.min(F.when(1000 * F.col("upto") >= p * F.col("all"), F.col("bucket")))
+    q = run.groupBy(*keys).agg(at(1000 - by(1)).alias("lo"), at(F.lit(500)).alias("m"), at(by(1)).alias("hi"))
+    edge = q.withColumn("top", F.expr(f"hi + {_width('hi')} - 1"))
+    low = F.when(by(3) == "both", F.col("lo") - by(2) * (F.col("m") - F.col("lo"))).otherwise(F.lit(-1))
+    fence = F.struct(F.col("stat"), low.cast("long").alias("low"), (F.col("top") + by(2) * (F.col("top") - F.col("m"))).cast("long").alias("high"))
+    return edge.groupBy("lang", "source").agg(F.sort_array(F.collect_list(fence)).alias("fences"))
 
 
 def judged(m: DataFrame, limits: DataFrame, groups: int) -> DataFrame:
@@ -147,7 +161,7 @@ def judged(m: DataFrame, limits: DataFrame, groups: int) -> DataFrame:
 def apply(docs: DataFrame) -> DataFrame:
     """Statistics and verdict of every document, from one pass over the texts."""
     m = cut(measured(docs, [docs["doc_id"]]))
-    limits = cut(thresholds(sketches(m)))
+    limits = cut(thresholds(cut(sketches(m))))
     out = judged(m, limits, limits.count())
     return out.select("doc_id", *[F.col(f"_m.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], F.col("_kept").alias("kept"))
 
@@ -159,7 +173,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     fields = docs.schema.fields
     m = cut(measured(docs.select(F.struct(*[docs[f"`{f.name}`"] for f in fields]).alias("_row"), *[docs[c] for c in ("text", "lang", "source")]), [F.col("_row")]))
-    limits = cut(thresholds(sketches(m)))
+    limits = cut(thresholds(cut(sketches(m))))
     return judged(m, limits, limits.count()).filter("_kept").select(*[F.col("_row").getField(f.name).alias(f.name) for f in fields])
 
 
