@@ -58,7 +58,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return chat.digest(chat.formatted(rows.unionByName(extra), chat.Formatter(public("byte_bpe_50k.json"))))
+    return chat.formatted_digest(rows.unionByName(extra), chat.Formatter(public("byte_bpe_50k.json"), public("byte_bpe_50k.tiktoken"), pattern()))
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_topk, op2_bpe, op3_packing, op4_toxicity, op5_chat, op6_neardup, op7_quality, op8_langid, op9_rules, op10_sharding)
 }
 
-#: Exact top-k is the one whole contract that SQL states; the others are held against brute force in tests/llm.
+#: What SQL states in whole: exact top-k, near-duplicate groups by all pairs, and the adaptive rules with their sketches. The others are
+#: held against brute force in tests/llm.
 ORACLE = {
     "op1_topk": """
 WITH v AS (
@@ -102,6 +103,71 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op6_neardup": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [ws] ELSE list_transform(range(1, len(ws) - 1), lambda i: list_slice(ws, i, i + 2)) END) AS sh FROM w)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)
+), g AS (
+  SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), reach AS (
+  SELECT x, y FROM g UNION SELECT r.x, g.y FROM reach r JOIN g ON r.y = g.x
+), c AS (
+  SELECT x, min(y) AS y FROM reach GROUP BY 1
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, c.y) AS component_id, w.doc_id = least(w.doc_id, c.y) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.x = w.doc_id
+""",
+    "op9_rules": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d
+), win AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS times FROM (SELECT rid, i, list_slice(ws, i, i + 7) AS g FROM w, unnest(range(1, len(ws) - 6)) t(i))
+), rep AS (
+  SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM win, unnest(range(0, 8)) t(k) WHERE times > 1 GROUP BY 1
+), b AS (
+  SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[{rules.SYMBOLS}]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_capitals, len(ls) AS n_lines
+  FROM w LEFT JOIN rep ON rep.rid = w.rid
+), m AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b
+), v AS (
+  SELECT rid, lang, source, unnest([0, 1, 2, 3, 4]) AS stat,
+    unnest([1000000 * greatest(n_symbols - {rules.FEW}, 0) // greatest(word_chars, 1), 1000000 * n_capitals // greatest(word_chars, 1), 1000000 * n_repeat_words // greatest(n_words, 1),
+      1000000 * n_dup_lines // greatest(n_lines, 1), 1000 * word_chars // greatest(n_words, 1)]) AS x
+  FROM m WHERE NOT base_failed
+), k AS (
+  SELECT lang, source, stat, x - x % (1::BIGINT << CAST(greatest(length(bin(x)) - 6, 0) AS INTEGER)) AS bucket, CAST(count(*) AS HUGEINT) AS n FROM v GROUP BY ALL
+), k1 AS (SELECT lang, stat, bucket, sum(n)::HUGEINT AS n FROM k GROUP BY ALL), k0 AS (SELECT stat, bucket, sum(n)::HUGEINT AS n FROM k GROUP BY ALL),
+a1 AS (SELECT lang, stat, sum(n)::HUGEINT AS n FROM k GROUP BY ALL), a0 AS (SELECT stat, sum(n)::HUGEINT AS n FROM k GROUP BY ALL),
+par(stat, p, spreads, low_too) AS (VALUES {", ".join(f"({i}, {p}, {c}, {'true' if side == 'both' else 'false'})" for i, (_, p, c, side) in enumerate(rules.STATS))}),
+z AS (
+  SELECT g.lang, g.source, g.stat, k0.bucket, coalesce(k.n, 0) * a0.n * (a1.n + {rules.PRIOR}) + {rules.PRIOR} * (coalesce(k1.n, 0) * a0.n + {rules.PRIOR} * k0.n) AS weight
+  FROM (SELECT DISTINCT lang, source, stat FROM k) g JOIN a1 USING (lang, stat) JOIN a0 USING (stat) JOIN k0 USING (stat)
+    LEFT JOIN k1 ON k1.lang = g.lang AND k1.stat = g.stat AND k1.bucket = k0.bucket LEFT JOIN k ON k.lang = g.lang AND k.source = g.source AND k.stat = g.stat AND k.bucket = k0.bucket
+), run AS (
+  SELECT *, sum(weight) OVER (PARTITION BY lang, source, stat ORDER BY bucket) AS upto, sum(weight) OVER (PARTITION BY lang, source, stat) AS every FROM z
+), q AS (
+  SELECT lang, source, stat, any_value(spreads) AS spreads, any_value(low_too) AS low_too, min(bucket) FILTER (1000 * upto >= (1000 - p) * every) AS lo, min(bucket) FILTER (1000 * upto >= 500 * every) AS med,
+    min(bucket) FILTER (1000 * upto >= p * every) AS hi FROM run JOIN par USING (stat) GROUP BY ALL
+), f AS (
+  SELECT lang, source, stat, CASE WHEN low_too THEN lo - spreads * (med - lo) ELSE -1 END AS low, top + spreads * (top - med) AS high
+  FROM (SELECT *, hi + (1::BIGINT << CAST(greatest(length(bin(hi)) - 6, 0) AS INTEGER)) - 1 AS top FROM q)
+), bad AS (
+  SELECT DISTINCT rid FROM v JOIN f USING (lang, source, stat) WHERE NOT x BETWEEN low AND high
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM m
 """,
 }
 

@@ -1,17 +1,18 @@
 """Exact top-k search by sorted lists without random access.
 
-Candidates are dealt into blocks, queries into blocks, and every pair of blocks meets in one task (a stated query
-set against all rows). A block of candidates keeps one list of its rows per dimension, sorted by that component.
-All of a block's queries read the lists in lockstep, deeper from round to round: from the top where the query's
-component is positive, from the bottom where it is negative. What has been read bounds every row's score from
-both sides: a component not yet read lies between the last one read and the list's far end. A query stops once k
-rows' lower bounds exceed every other row's upper bound; then only those rows' scores are resolved. Each block
-returns k rows a query, which are merged in two steps.
-
-Scores are integers and exact: ties go to the smaller id. Defined results: vectors that are null or hold a null or
-non-finite component, or have no id, take no part; shorter vectors count as padded with zeros; an empty vector scores 0 with all;
-repeated rows are candidates each, and the row of the query's own id is left out; an empty table gives an empty
-result; extra columns are left out. A score beyond 64 bits is held at the limit.
+Candidates are dealt into blocks; a block lies in one task, and all queries stream past it (a stated query set against all
+rows): every candidate is moved and sorted once, only queries are copied, once a block. A block keeps one list of its
+rows per dimension, sorted by that component. The queries at hand read the lists in lockstep, deeper from round to round: from
+the top where the query's component is positive, from the bottom where it is negative. Each newly read slice adds what
+its entries are known to score to the rows' bounds; entries not yet read lie between the last one read and the list's far
+end, so upper bounds sink with depth. A query stops once k rows' lower bounds reach every other row's upper bound; then
+only the rows that can still qualify are resolved. Each block returns k rows a query, which are merged in two steps.
+
+Scores are whole numbers and exact, whatever their size: beyond 2^52 the rows are scored with Python's integers. Ties go to the
+smaller id. Defined results: vectors that are null or hold a null or non-finite component, or have no id, take no part; shorter
+vectors count as padded with zeros; an empty vector scores 0 with all; repeated rows are candidates and queries each, and
+the rows of the query's own id are left out; an empty table gives an empty result; extra columns are left out. A score
+that no 64-bit number holds is returned as the nearest one, after it was ranked by its true size.
 """
 
 from __future__ import annotations
@@ -28,21 +29,55 @@ from pyspark.sql import Window as W
 from tapeline.llm.common import cut
 
 BLOCK = 8192
-QUERY_BLOCK = 2048
+#: Queries that read a block's lists together.
+QUERY_BATCH = 256
 #: Shares of the lists read, round by round.
 DEPTHS = (1 / 32, 1 / 8, 1 / 3, 2 / 3, 1.0)
-_LIMIT = 2**62
+_LONG = 2**63
 
 
 def integer_vectors(df: DataFrame, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, v: floor(scale * x) of each component) of the rows that take part."""
+    """(vec_id, v: floor(scale * x) of each component) of the rows that take part. A double holds every floor of a double exactly."""
     v = df[vec_col].cast(T.ArrayType(T.DoubleType()))
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    # Components beyond 2^40 are held there, so that nothing overflows on the way.
-    whole = F.transform(v, lambda x: F.floor(F.least(F.greatest(x * scale, F.lit(-float(2**40))), F.lit(float(2**40)))).cast("long"))
+    scaled = F.transform(v, lambda x: x * scale)
+    bad = F.exists(scaled, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < F.lit(2.0**53), F.floor(x).cast("double")).otherwise(x))
     return df.filter(df[id_col].isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True))).select(df[id_col].cast("long").alias("vec_id"), whole.alias("v"))
 
 
+class Bounds:
+    """Lower and upper bounds (rows x queries) of a block's scores, raised and lowered slice by slice."""
+
+    def __init__(self, block: Block, q: np.ndarray):
+        self.block, self.read = block, 0
+        self.up, self.down = np.maximum(q, 0), np.minimum(q, 0)
+        top, end = block.sorted[0], block.sorted[-1]  # a list's two ends are known with the list
+        self.last_top, self.last_end = top, end
+        self.low = np.repeat((self.up @ end + self.down @ top)[None, :], len(block.x), axis=0)
+        self.high = np.repeat((self.up @ top + self.down @ end)[None, :], len(block.x), axis=0)
+
+    def deepen(self, depth: int) -> None:
+        """Read every list on to ``depth`` from the end that each query reads."""
+        b, n, was = self.block, len(self.block.x), self.read
+        for j in range(b.x.shape[1]):
+            for weight, rows, last, far in (
+                (self.up[:, j], b.lists[was:depth, j], self.last_top[j], b.sorted[-1, j]),
+                (self.down[:, j], b.lists[n - depth : n - was, j], self.last_end[j], b.sorted[0, j]),
+            ):
+                if weight.any():
+                    x = b.x[rows, j][:, None]
+                    self.low[rows] += (x - far) * weight  # was taken for the far end
+                    self.high[rows] += (x - last) * weight  # was taken for the last one read
+        # What is still unread sinks to the entry read last.
+        new_top, new_end = b.sorted[min(depth, n) - 1], b.sorted[max(n - depth, 0)]
+        self.high += (b.place >= depth) @ (self.up * (new_top - self.last_top)).T + (b.place < n - depth) @ (self.down * (new_end - self.last_end)).T
+        self.last_top, self.last_end, self.read = new_top, new_end, depth
+
+    def keep(self, which: np.ndarray) -> None:
+        """Go on with some of the queries."""
+        self.up, self.down, self.low, self.high = self.up[which], self.down[which], self.low[:, which], self.high[:, which]
+
+
 class Block:
     """Sorted lists of one block of candidates."""
 
@@ -50,106 +85,103 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order].astype(np.float64)
         n, d = self.x.shape
-        lists = np.argsort(-self.x, axis=0, kind="stable")
+        self.lists = np.argsort(-self.x, axis=0, kind="stable")
         self.place = np.empty((n, d), np.int32)  # of a row in each list, from the top
-        np.put_along_axis(self.place, lists, np.arange(n, dtype=np.int32)[:, None], axis=0)
-        self.sorted = np.take_along_axis(self.x, lists, axis=0)
+        np.put_along_axis(self.place, self.lists, np.arange(n, dtype=np.int32)[:, None], axis=0)
+        self.sorted = np.take_along_axis(self.x, self.lists, axis=0)
+        self.largest = float(np.abs(self.x).max(initial=0))
 
-    def bounds(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds (queries x rows) after ``depth`` rows of every list have been read."""
+    def top(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+        """(place of the query, ids, exact scores) of the k best rows of each query."""
         n = len(self.x)
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        read_top, read_end = self.place < depth, self.place >= n - depth
-        top, end = self.sorted[0], self.sorted[-1]  # a list's two ends are known with the list
-        last_top, last_end = self.sorted[min(depth, n) - 1], self.sorted[max(n - depth, 0)]
-        low = up @ np.where(read_top, self.x, end).T + down @ np.where(read_end, self.x, top).T
-        high = up @ np.where(read_top, self.x, last_top).T + down @ np.where(read_end, self.x, last_end).T
-        return low, high
-
-    def top(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query's id, ids, exact scores) of the k best rows of each query."""
-        n = len(self.x)
-        exact = np.abs(self.x).max(initial=0) * np.abs(q).max(initial=0) * max(1, q.shape[1]) < 2**52
+        if not n or not len(q):
+            return
         q = q.astype(np.float64)
+        sure = self.largest * np.abs(q).max(initial=0) * max(1, q.shape[1]) < 2**52  # every sum on the way is a whole number below 2^53
+        if not sure:
+            yield from self._large(q_ids, q, k)
+            return
         going = np.arange(len(q))
-        own = self.ids[None, :] == q_ids[:, None]
-        for share in DEPTHS if exact else ():
+        state = Bounds(self, q)
+        own = self.ids[:, None] == q_ids[None, :]
+        for share in DEPTHS:
             depth = max(1, int(np.ceil(n * share)))
             if depth < n <= 4 * k:
                 continue
+            state.deepen(depth)
             rest = []
-            for part in np.array_split(going, max(1, len(going) * n // 2_000_000 + 1)):
-                low, high = self.bounds(q[part], depth)
-                low[own[part]] = high[own[part]] = -np.inf
-                for i, lo, hi in zip(part, low, high, strict=True):
-                    if n <= k:
-                        if depth < n:
-                            rest.append(i)
-                            continue
-                        found = np.flatnonzero(lo > -np.inf)
-                    else:
-                        kth = np.partition(lo, n - k)[n - k]
-                        found = np.flatnonzero(hi >= kth)
-                        found = found[hi[found] > -np.inf]
-                        if depth < n and len(found) > k:  # an outsider could still qualify
-                            rest.append(i)
-                            continue
-                    score = self.x[found] @ q[i]  # resolved for the rows that remain
-                    best = np.lexsort((self.ids[found], -score))[:k]
-                    yield int(q_ids[i]), self.ids[found[best]], score[best].astype(np.int64)
-            going = np.array(rest, dtype=np.int64)
-            if not len(going):
+            for c, i in enumerate(going.tolist()):
+                low, high = np.where(own[:, i], -np.inf, state.low[:, c]), state.high[:, c]
+                found = np.flatnonzero((high >= np.partition(low, n - k)[n - k]) & ~own[:, i]) if n > k else np.flatnonzero(~own[:, i])
+                if depth < n and len(found) > k:  # an outsider could still qualify
+                    rest.append(c)
+                    continue
+                score = self.x[found] @ q[i]  # resolved for the rows that remain
+                best = np.lexsort((self.ids[found], -score))[:k]
+                yield i, self.ids[found[best]], score[best].astype(np.int64).tolist()
+            if not rest:
                 return
-        if not exact:
-            for i in range(len(q)):
-                score = np.array([max(-_LIMIT, min(_LIMIT, sum(int(a) * int(b) for a, b in zip(row, q[i], strict=True)))) for row in self.x], dtype=np.int64)
-                found = np.flatnonzero(~own[i])
-                best = found[np.lexsort((self.ids[found], -score[found]))[:k]]
-                yield int(q_ids[i]), self.ids[best], score[best]
+            going = going[rest]
+            state.keep(np.array(rest))
+
+    def _large(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+        rows = [[int(v) for v in r] for r in self.x]
+        for i, own in enumerate(q_ids.tolist()):
+            mine = [int(v) for v in q[i]]
+            best = sorted((-sum(a * b for a, b in zip(r, mine, strict=True)), int(c)) for r, c in zip(rows, self.ids, strict=True) if c != own)[:k]
+            yield i, np.array([c for _, c in best], np.int64), [-s for s, _ in best]
 
 
-def _matrix(rows: list) -> np.ndarray:
-    d = max((len(r) for r in rows), default=0)
-    out = np.zeros((len(rows), d), np.int64)
+def _matrix(rows: list, width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out
 
 
-_PART = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType()), T.StructField("block", T.IntegerType())])
+_PART = "query_id long, turn long, vec_id long, score long, size string, block int"
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _size(score: int) -> str | None:
+    """For a score that no long holds, digits that sort as the score does: above every such score lies 10^700."""
+    return None if -_LONG <= score < _LONG else str(score + 10**700).zfill(701)
+
+
+def _stream(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The k best candidates of each block for each query: of a block (sorted so) first come the candidates, then the queries."""
+    number, ids, vectors, block, width = None, [], [], None, 0
+    for f in frames:
+        for b, part in f.groupby("block", sort=False):
+            if b != number:
+                number, ids, vectors, block = b, [], [], None
+            cands, queries = part[part["turn"] < 0], part[part["turn"] >= 0]
+            ids += cands["vec_id"].tolist()
+            vectors += cands["v"].tolist()
+            if not len(queries) or not ids:
+                continue
+            longest = max(len(v) for v in queries["v"])
+            if block is None or longest > width:
+                width = max(longest, max(len(v) for v in vectors))
+                block = Block(np.array(ids, np.int64), _matrix(vectors, width))
+            out = []
+            for lo in range(0, len(queries), QUERY_BATCH):
+                some = queries.iloc[lo : lo + QUERY_BATCH]
+                q_ids, turns = some["vec_id"].to_numpy(np.int64), some["turn"].to_numpy(np.int64)
+                for i, found, scores in block.top(q_ids, _matrix(some["v"].tolist(), width), k):
+                    out += [(q_ids[i], turns[i], c, max(-_LONG, min(_LONG - 1, s)), _size(s), b) for c, s in zip(found.tolist(), scores, strict=True)]
+            yield pd.DataFrame(out, columns=["query_id", "turn", "vec_id", "score", "size", "block"]).astype({"query_id": "int64", "turn": "int64", "vec_id": "int64", "score": "int64", "block": "int32"})
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where ``is_query`` holds, its k best other rows."""
-    held = cut(vectors.withColumn("_q", is_query))
-    counts = held.agg(F.count(F.lit(1)).alias("n"), F.count_if("_q").alias("q")).first()
-    n_blocks, q_blocks = max(1, -(-counts["n"] // block)), max(1, -(-counts["q"] // query_block))
-    deal = lambda n, salt: F.pmod(F.xxhash64(F.col("vec_id"), F.lit(salt)), F.lit(n)).cast("int")
-    cands = held.select("vec_id", "v", deal(n_blocks, 1).alias("block")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    queries = held.filter("_q").select("vec_id", "v", deal(q_blocks, 2).alias("q_block"), F.monotonically_increasing_id().alias("turn"))
-    queries = cut(queries).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            both = _matrix([*left["v"], *right["v"]])
-            b = Block(left["vec_id"].to_numpy(np.int64), both[: len(left)])
-            for pos in np.array_split(np.arange(len(right)), -(-len(right) // 512)):
-                ids, turns = right["vec_id"].to_numpy(np.int64)[pos], right["turn"].to_numpy(np.int64)[pos]
-                turn_of: dict[int, list[int]] = {}
-                for i, t in zip(ids.tolist(), turns.tolist(), strict=True):
-                    turn_of.setdefault(i, []).append(t)
-                for q, found, score in b.top(ids, both[len(left) :][pos], k):
-                    out.append((q, turn_of[q].pop(0), found, score))
-        frames = [pd.DataFrame({"query_id": q, "turn": t, "vec_id": f, "score": s}) for q, t, f, s in out]
-        frame = pd.concat(frames) if frames else pd.DataFrame({"query_id": [], "turn": [], "vec_id": [], "score": []})
-        return frame.assign(block=int(key[0])).astype({"query_id": "int64", "turn": "int64", "vec_id": "int64", "score": "int64", "block": "int32"})
-
-    met = cands.groupBy("block", "q_block").cogroup(queries.groupBy("block", "q_block")).applyInPandas(meet, _PART)
+    held = cut(vectors.withColumn("_q", F.coalesce(is_query, F.lit(False))).withColumn("turn", F.monotonically_increasing_id()))
+    blocks = max(1, -(-held.count() // block))
+    # Blocks hold rows by their number, so that an id which many rows share does not fill one.
+    cands = held.select(F.pmod(F.xxhash64("turn"), F.lit(blocks)).cast("int").alias("block"), F.lit(-1).cast("long").alias("turn"), "vec_id", "v")
+    queries = held.filter("_q").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "turn", "vec_id", "v")
+    met = cands.unionAll(queries).repartition(blocks, "block").sortWithinPartitions("block", "turn").mapInPandas(lambda frames: _stream(frames, k), _PART)
+    order = [F.desc("score"), F.desc("size"), F.asc("vec_id")]
     some = met.withColumn("group", F.floor(F.col("block") / 64))
-    order = [F.desc("score"), F.asc("vec_id")]
-    for by in (["turn", "query_id", "group"], ["turn", "query_id"]):  # 64 blocks at a time, then the groups' best
+    for by in (["turn", "query_id", "group"], ["turn", "query_id"])[blocks <= 64 :]:  # 64 blocks at a time, then the groups' best
         some = some.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
-        if n_blocks <= 64 and len(by) == 3:
-            some = met
     return some.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
