@@ -2,15 +2,18 @@
 
 import hashlib
 import random
+import re
 import struct
+import unicodedata
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeline.llm import bpe, chat, common, langid, neardup, packing, quality, rules, sharding, topk, toxicity
+from tapeline.llm import bpe, chat, common, langid, neardup, packing, quality, rules, sharding, tokens, topk, toxicity
 from tapeline.llm import queries as Q
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, `_row` string"
@@ -76,8 +79,8 @@ def test_topk(spark):
     data = [(i, [float(x) for x in np.float32(rng.normal(size=8))]) for i in range(450)]
     data += [(500 + i, data[3][1]) for i in range(30)] + [(600, None), (700, [float("nan")] * 8), (800, [None] + [1.0] * 7), (900, data[3][1])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).repartition(3)
-    for block in (64, 8192):
-        got = topk.top_k(topk.integer_vectors(df), F.col("vec_id") % 100 == 0, 10, block=block, query_block=3).collect()
+    for block in (64, 3, 8192):  # with 3, blocks are merged in two steps
+        got = topk.top_k(topk.integer_vectors(df), F.col("vec_id") % 100 == 0, 10, block=block).collect()
         same([tuple(r) for r in got], brute_top(data, 10))
     few = topk.top_k(topk.integer_vectors(df.filter("vec_id < 4")), F.col("vec_id") % 100 == 0, 10).collect()
     same([tuple(r) for r in few], brute_top([x for x in data if x[0] < 4], 10))
@@ -89,12 +92,32 @@ def test_topk_stops_early():
     x = np.zeros((4000, 4), np.int64)
     x[:, 0] = np.arange(4000) ** 2
     b = topk.Block(np.arange(4000), x)
-    low, high = b.bounds(np.array([[1, 0, 0, 0]]), 125)
-    kth = np.partition(low[0], -10)[-10]
-    assert (high[0] >= kth).sum() <= 10
+    state = topk.Bounds(b, np.array([[1.0, 0, 0, 0]]))
+    state.deepen(125)
+    kth = np.partition(state.low[:, 0], -10)[-10]
+    assert (state.high[:, 0] >= kth).sum() <= 10
     assert [i for _, ids, _ in b.top(np.array([-1]), np.array([[1, 0, 0, 0]]), 10) for i in ids] == list(range(3999, 3989, -1))
-    big = topk.Block(np.arange(3), np.array([[2**40] * 4] * 3))
-    assert [list(s) for _, _, s in big.top(np.array([0]), np.array([[2**40] * 4]), 2)] == [[2**62, 2**62]]
+
+
+def test_topk_bounds_hold_at_every_depth():
+    rng = np.random.default_rng(4)
+    b = topk.Block(np.arange(60), rng.integers(-9, 9, (60, 5)))
+    q = rng.integers(-9, 9, (7, 5)).astype(float)
+    state, true = topk.Bounds(b, q), b.x @ q.T
+    for depth in (1, 4, 20, 59, 60):
+        state.deepen(depth)
+        assert (state.low <= true).all() and (true <= state.high).all()
+    assert (state.low == true).all() and (state.high == true).all()
+
+
+def test_topk_of_large_components(spark):
+    data = [(100, [3e38, 1.0]), (1, [2e38, 5.0]), (2, [2e38, 7.0]), (3, [-1e38, 0.0]), (4, [1e9, 1e9])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = topk.top_k(topk.integer_vectors(df), F.col("vec_id") == 100, 4).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2), (2, 1), (3, 4), (4, 3)]
+    assert got[0].score == 2**63 - 1 and {r.score for r in got if r.vec_id == 3} == {-(2**63)}
+    big = topk.Block(np.arange(2), np.array([[2.0**40] * 2, [2.0**40, 1.0]]))
+    assert [s for _, _, s in big.top(np.array([9]), np.array([[2.0**40, 3.0]]), 2)] == [[2**80 + 3 * 2**40, 2**80 + 3]]
 
 
 # ---------------------------------------------------------------- 2
@@ -146,8 +169,7 @@ def test_bpe_on_any_text():
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(Q.public("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(Q.public("byte_bpe_50k.json"))  # as the library sets it up
     got = packing.pack(docs, Q.token_ids()).collect()
     total, padded = packing.check_packing([(r.length, r.sequence_id, r.offset) for r in got])
     assert padded <= 1024 + 0.02 * total
@@ -180,6 +202,52 @@ def test_plan_takes_no_more_than_there_is(histogram):
     assert used + Counter(over) == have
 
 
+def test_ids_are_the_librarys():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    plain, as_text = Tokenizer.from_file(Q.public("byte_bpe_50k.json")), Tokenizer.from_file(Q.public("byte_bpe_50k.json"))
+    as_text.encode_special_tokens = True
+    ids = Q.token_ids()
+    own = tokens.ByteLevel(Q.public("byte_bpe_50k.json"), Q.public("byte_bpe_50k.tiktoken"), Q.pattern(), special_as_text=True)
+    slow = tokens.ByteLevel(Q.public("byte_bpe_50k.json"))
+    assert ids.encoder.fast and own.fast and not slow.fast
+    assert ids.ids("a <|endoftext|> b") == [64, 220, 50256, 275, 0] and ids.ids(None) == ids.ids("") == [0]
+    bits = st.sampled_from(["<|endoftext|>", "<|", "a", "b", " ", "  ", "\n", "\t", "'s", "r", "é", "ß", "日", "👩‍👩‍👧", "1", "!", ".", "A", "\x1c", "\x85", "\u3000", "\u00a0"])
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(bits).map("".join) | st.text())
+    def holds(t):
+        t = t.encode("utf-8", "ignore").decode()
+        want = plain.encode(t, add_special_tokens=False).ids
+        assert ids.ids(t) == [*want, 0] == [*slow.ids(t), 0]
+        enc = as_text.encode(t, add_special_tokens=False)
+        got, begins, ends = own.offsets(t)
+        assert got == enc.ids and list(zip(begins.tolist(), ends.tolist(), strict=True)) == enc.offsets
+
+    holds()
+
+
+def test_encoders_agree_on_every_character():
+    """The two libraries' pattern engines class all characters alike."""
+    from tokenizers import Tokenizer
+
+    plain, ids = Tokenizer.from_file(Q.public("byte_bpe_50k.json")), Q.token_ids()
+    for lo in range(0, 0x110000, 0x8000):
+        texts = [f"a{chr(c)}b {chr(c)}1{chr(c)}{chr(c)}  {chr(c)}! " for c in range(lo, lo + 0x8000) if not 0xD800 <= c <= 0xDFFF]
+        for t, e in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert ids.ids(t)[:-1] == e.ids, hex(ord(t[1]))
+
+
+def test_other_merges_are_not_taken_for_the_same():
+    config = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "added_tokens": [], "model": {"type": "BPE", "vocab": {"a": 0, "b": 1, "c": 2, "ab": 3, "abc": 4}, "merges": ["a b", "ab c"]}}
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"abc": 4}
+    assert tokens.same_encoder(config, ranks, tokens.PATTERN) and not tokens.same_encoder(config, ranks, r"\S+")
+    config["model"]["merges"] = ["a b", "a bc"]
+    assert not tokens.same_encoder(config, ranks, tokens.PATTERN)
+
+
 def test_nnls():
     rng = np.random.default_rng(2)
     a, x = rng.random((20, 40)), np.maximum(rng.normal(size=40), 0)
@@ -212,15 +280,44 @@ def test_toxicity(spark, empty):
     assert {round(r.score, 9) for r in toxicity.score(docs, lab.limit(0), Q.fold(3) != 1).collect()} == {0.5}
 
 
+def brute_features(word):
+    """Weights of a word's subsequences of three characters, by enumeration."""
+    from itertools import combinations
+
+    w, out = "\0" + word + "\0", Counter()
+    for at in combinations(range(len(w)), 3):
+        if at[2] - at[0] < toxicity.SPAN:
+            out[int(toxicity.triple_code(*[0 if w[i] == "\0" else toxicity._code(w[i]) for i in at])[0])] += toxicity.DECAY ** (at[2] - at[0] - 2)
+    return out
+
+
+def brute_kernel(a, b):
+    dot = lambda x, y: sum(v * y[k] for k, v in x.items())
+    x, y = brute_features(a), brute_features(b)
+    return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+
+
+def test_kernel_is_enumeration():
+    words_, marks = ["idiot", "i.d.i.o.t", "mo-ron", "été", "x", "идиот", "aaaaaa", "abcdefghijklmnop"], ["idiot", "moron", "идиотка", "aaa", "y"]
+    want = np.array([[brute_kernel(a, b) for b in marks] for a in words_])
+    assert toxicity.kernel(words_, marks) == pytest.approx(want, abs=1e-5) and want[1, 0] > 0 and want[0, 0] == pytest.approx(1)
+
+
 def test_folded_machine_is_the_kernel_machine():
     marks, beta = ["idiot", "moron", "clown"], np.array([0.5, -1.0, 2.0])
-    table = np.zeros(toxicity.ALPHABET**3)
-    for part, code, weight, norm in toxicity.triples(marks):
-        for i, c, q in zip(part, code, norm, strict=True):
-            np.add.at(table, c, beta[i] * weight / q)
+    machine = toxicity._Features(marks)
+    machine.whiten = np.eye(3, dtype=np.float32)
+    table = machine.folded(np.r_[beta, 0.1])
     probe = ["idiot", "clowns", "x", "mo-ron", "été"]
-    assert toxicity.Model(table, 0.1, (1, 0, 0)).words(probe) == pytest.approx(toxicity.kernel(probe, marks) @ beta + 0.1, abs=1e-5)
-    assert toxicity.kernel(["idiot"], ["idiot"])[0, 0] == pytest.approx(1)
+    want = [sum(w * brute_kernel(p, m) for w, m in zip(beta, marks, strict=True)) + 0.1 for p in probe]
+    assert toxicity.Model(table, 0.1, (1, 0, 0)).words(probe) == pytest.approx(want, abs=1e-5)
+
+
+def test_windows_overlap_by_half():
+    long = "".join(chr(97 + i % 26) for i in range(200))
+    for n in (48, 49, 72, 73, 200):
+        got = toxicity._windows(long[:n])
+        assert all(any(long[i : i + 24] in w for w in got) for i in range(n - 23)) and max(map(len, got)) <= 48
 
 
 # ---------------------------------------------------------------- 5
@@ -243,6 +340,10 @@ def test_chat(spark):
         assert got[c].n_turns == len(ts) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ts).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.digest(chat.formatted(df.limit(0), chat.Formatter(Q.public("byte_bpe_50k.json")))).count() == 0
+    fast = chat.Formatter(Q.public("byte_bpe_50k.json"), Q.public("byte_bpe_50k.tiktoken"), Q.pattern())
+    same(chat.formatted_digest(df, fast).collect(), chat.digest(made).collect())
+    same(chat.formatted(df, fast).collect(), made.collect())
+    assert chat.formatted_digest(df.limit(0), fast).count() == 0
 
 
 def test_mask_by_search():
@@ -298,11 +399,43 @@ def test_neardup(spark, rows, empty, monkeypatch, width, percent, least):
             assert r.kept
         else:
             assert r.component_id == want[r.doc_id] and r.kept == (want[r.doc_id] == r.doc_id) and r.n_shingles in {len(s) for s in sets[r.doc_id]}
-    left = neardup.keep_one(df, width, percent).collect()
+    assert sum(len(v) > 1 for v in sets.values()) >= 1
+    left = neardup.keep_one(df.withColumn("_gone", F.lit(1)).withColumn("_again", F.lit("x")).withColumn("_id", F.lit(2.0)), width, percent)
+    assert left.columns == [*df.columns, "_gone", "_again", "_id"]
+    left = left.collect()
     assert sorted(r.doc_id for r in left if r.doc_id is not None) == sorted(i for i, c in want.items() if i == c) and sum(r.doc_id is None for r in left) == 1
     assert neardup.groups(empty, width, percent).count() == 0 and neardup.keep_one(empty, width, percent).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    """In groups an id is one document; keep_one decides by text and loses none."""
+    rng = random.Random(5)
+    t1, t2, t3 = (words(rng, 60, [f"{k}{i}" for i in range(99)]) for k in "xyz")
+    rows = [(5, t1, "en", "a"), (9, t1, "en", "a"), (3, t2, "en", "a"), (5, t2, "en", "a"), (7, t3, "en", "a"), (7, t3, "en", "a"), (7, "", "en", "a"), (8, t3 + " more", "en", "a"), (2, None, "en", "a"), (9, "", "en", "a")]
+    df = frame(spark, rows)
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.groups(df, 3, 85).collect()}
+    assert got == {(5, 3, False), (9, 3, False), (3, 3, True), (7, 7, True), (8, 7, False), (2, 2, True)}
+    left = sorted((r.doc_id, r.text or "") for r in neardup.keep_one(df, 3, 85).collect())
+    assert left == sorted([(5, t1), (3, t2), (7, t3), (7, ""), (2, ""), (9, "")])
+
+
+def test_neardup_finds_every_link(spark):
+    """Recall against all pairs, over pairs at all similarities from the threshold on."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(60):
+        base = [f"{rng.randrange(10**6)}" for _ in range(rng.randint(30, 300))]
+        rows.append((10 * g, " ".join(base), "en", "a"))
+        for k in range(1, 5):
+            w = list(base)
+            for _ in range(max(1, round(len(w) * k * 0.012))):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append((10 * g + k, " ".join(w), "en", "a"))
+    want, _ = brute_groups(rows, 3, 85)
+    got = {r.doc_id: r.component_id for r in neardup.groups(frame(spark, rows), 3, 85).collect()}
+    assert got == want and 60 < sum(i != c for i, c in want.items()) < 240
+
+
 def test_sketch_merges_and_estimates():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 2**64, 900, dtype=np.uint64), rng.integers(0, 2**64, 400, dtype=np.uint64)
@@ -345,6 +478,30 @@ def test_quality(spark, docs, rows, empty):
     assert {round(r.score, 9) for r in quality.score(df, lab.limit(0), Q.fold(5) != 0).collect()} == {0.5}
 
 
+def brute_features_of(t):
+    t = t or ""
+    kind = lambda k: sum(unicodedata.category(c).startswith(k) for c in t)
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n_words, chars, symbols, dup, rep = brute_rules(t)
+    lines = max(1, sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in t.split("\n")))
+    n, c = max(1, n_words), max(1, chars)
+    return [len(t), n_words, chars / n, symbols / c, kind("Lu") / c, kind("N") / c, kind("P") / c, rep / n, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, dup / lines, n_words / lines]
+
+
+def test_quality_statistics(spark, docs, rows):
+    got = quality.features(docs, [F.col("doc_id"), F.col("text")], F.col("text")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [r["_x"][k] for k in quality.FEATURES] == pytest.approx(brute_features_of(r.text)), r.text
+
+
+def test_labelled_rows_of_repeated_ids(spark):
+    df = frame(spark, [(1, "one", "en", "a"), (1, "two", "en", "a"), (1, "one", "en", "a"), (2, None, "en", "a"), (3, "x", "en", "a")])
+    lab = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (4, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    got = quality.labelled(df, lab, "quality", F.lit(True), 10).collect()
+    assert sorted((r.doc_id, r.y) for r in got) == [(1, 1), (2, 0)] and {r.text for r in got} <= {"one", "two", None}
+
+
 def test_rules_compile_to_the_same_score(spark):
     rng = np.random.default_rng(3)
     x = rng.random((500, len(quality.FEATURES)))
@@ -364,7 +521,7 @@ def test_language(spark, empty):
     vocab = {"aa": ["the", "thing", "with", "other", "when"], "bb": ["der", "nicht", "über", "schon", "zwei"], "cc": ["que", "señor", "las", "mañana", "uno"]}
     many = [(i, words(rng, rng.randint(5, 200), vocab[k := ("aa", "bb", "cc")[i % 3]]), k, "a") for i in range(300)]
     mixed = words(rng, 30, vocab["aa"]) + " " + words(rng, 10, vocab["bb"])
-    df = frame(spark, many + [(5000, mixed, None, "a"), (5001, "12 34 !!", "aa", "a"), *ODD])
+    df = frame(spark, many + [(5000, mixed, None, "a"), (5001, "12 34 !!", "aa", "a"), (5002, "½ ² ① Ⅻ", "aa", "a"), (5003, "①", None, "a"), (5004, "½ thing", None, "a"), (5005, "Это предложение на другом языке", None, "a"), *ODD])
     got = {r.doc_id: r for r in langid.predict(df, Q.fold(3) != 1).collect()}
     assert all(got[i].lang_pred == ("aa", "bb", "cc")[i % 3] for i in range(300))
     assert got[5000].lang_pred == "aa" and got[5001].lang_pred == got[1000].lang_pred == got[1001].lang_pred == "und" and got[1000].score == 0
@@ -372,8 +529,9 @@ def test_language(spark, empty):
     labels = [k for _, k in m.word_languages(mixed)]
     assert np.mean([x == "aa" for x in labels[:30]]) > 0.9 and np.mean([x == "bb" for x in labels[30:]]) > 0.8
     assert langid.predict(empty, Q.fold(3) != 1).count() == 0
+    assert {got[i].lang_pred for i in (5002, 5003)} == {"und"} and got[5004].lang_pred != "und"
     kept = {r.doc_id for r in langid.keep_known(df, Q.fold(3) != 1).collect()}
-    assert set(range(300)) <= kept and not kept & {5001, 1000, 1001, 1002}
+    assert set(range(300)) <= kept and 5000 in kept and not kept & {5001, 5002, 5005, 1000, 1001, 1002}
     assert {r.lang_pred for r in langid.predict(df.withColumn("lang", F.lit(None).cast("string")), Q.fold(3) != 1).collect()} == {"und"}
 
 
@@ -381,27 +539,60 @@ def test_forward_backward_is_enumeration():
     import itertools
 
     rng = np.random.default_rng(1)
-    e, a, s = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
-    p, z = np.zeros((4, 3)), 0.0
-    pairs = np.zeros((3, 3))
-    for path in itertools.product(range(3), repeat=4):
-        w = np.exp(s[path[0]] + sum(e[0, t, k] for t, k in enumerate(path)) + sum(a[i, j] for i, j in zip(path, path[1:], strict=False)))
-        z += w
-        for t, k in enumerate(path):
-            p[t, k] += w
-        for i, j in zip(path, path[1:], strict=False):
-            pairs[i, j] += w
-    pad = np.concatenate([e, rng.normal(size=(1, 2, 3))], axis=1)
-    post, xi = langid.forward_backward(pad, a, s, np.array([4]), pairs=True)
-    assert post[0, :4] == pytest.approx(p / z) and xi == pytest.approx(pairs / z)
+    lengths, a, st = np.array([2, 4, 1]), rng.normal(size=(3, 3)), rng.normal(size=3)
+    e = rng.normal(size=(7, 3))
+    want, pairs, at = [], np.zeros((3, 3)), 0
+    for n in lengths:
+        p, z, own = np.zeros((n, 3)), 0.0, np.zeros((3, 3))
+        for path in itertools.product(range(3), repeat=int(n)):
+            w = np.exp(st[path[0]] + sum(e[at + t, k] for t, k in enumerate(path)) + sum(a[i, j] for i, j in itertools.pairwise(path)))
+            z += w
+            for t, k in enumerate(path):
+                p[t, k] += w
+            for i, j in itertools.pairwise(path):
+                own[i, j] += w
+        want.append(p / z)
+        pairs += own / z
+        at += n
+    post, xi = langid.forward_backward(e, lengths, a, st, pairs=True)
+    assert post == pytest.approx(np.concatenate(want)) and xi == pytest.approx(pairs)
+    assert langid.forward_backward(e, lengths, a, st) == pytest.approx(np.concatenate(want))
+
+
+def test_language_features():
+    got = langid.word_features("über", {"über": 2})
+    plain = ["wüber", "l2", "p^ü", "p^üb", "p^übe", "sr$", "ser$", "sber$", "^ü", "üb", "be", "er", "r$", "^üb", "übe", "ber", "er$"]
+    assert got == [zlib.crc32(x.encode()) for x in plain] and langid.word_features("über", {}) == got[2:]
+
+
+def test_language_chains_are_whole_texts():
+    """A text's score is that of one chain over all its words, whatever lies beside it in the batch."""
+    rng = random.Random(3)
+    vocab = {"aa": ["the", "thing", "with", "other"], "bb": ["der", "nicht", "schon", "other"]}
+    texts = [words(rng, rng.randint(3, 60), vocab["ab"[i % 2] * 2]) for i in range(80)]
+    m = langid.fit(texts, ["aa" if i % 2 == 0 else "bb" for i in range(80)])
+    long = words(rng, 700, vocab["aa"]) + " other " * 200 + words(rng, 300, vocab["bb"])
+    batch = ["", long, "other", None, *texts[:5], "12 !"]
+    index, emit, marks = m._index([long.split()])
+    alone = langid.forward_backward(emit[index[0]], np.array([len(index[0])]), m.trans, m.start).mean(axis=0)
+    pred, score, support = m.label(batch)
+    assert pred[1] == m.languages[int(np.argmax(alone))] and score[1] == pytest.approx(alone.max(), abs=1e-4) and support[1] == 1
+    assert [pred[i] for i in (0, 3, 9)] == ["und"] * 3 and [score[i] for i in (0, 3, 9)] == [0, 0, 0]
+    assert m.label([long])[1][0] == pytest.approx(score[1], abs=1e-5)
+
+
+def test_sample_holds_every_language(spark):
+    many = [(i, f"word{i} " * 30, f"l{i % 150}", "a") for i in range(600)] + [(700, "y" * 90_000, "rare", "a"), (701, None, "none", "a")]
+    got = langid.sample(frame(spark, many), F.lit(True), most=320, chars=200_000)
+    n = Counter(r["lang"] for r in got)
+    assert set(n) == {f"l{i}" for i in range(150)} | {"rare"} and max(n.values()) <= 2
+    assert all(r["text"] in {t for _, t, _, _ in many} for r in got)  # whole texts
 
 
 # ---------------------------------------------------------------- 9
 
 
 def brute_rules(t):
-    import re
-
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     at = {}
     for i in range(len(w) - 7):
@@ -411,6 +602,81 @@ def brute_rules(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered)
 
 
+def bucket(v):
+    return v - v % (1 << max(v.bit_length() - 6, 0))
+
+
+def brute_fences(stats):
+    """(lang, source) -> fences, from all values: ``stats`` holds (group, values by statistic) of the documents that pass the base rule."""
+    groups = {g for g, _ in stats}
+    out = {}
+    for g in groups:
+        for k, (_, p, spreads, sides) in enumerate(rules.STATS):
+            n = {level: Counter(bucket(v[k]) for h, v in stats if h[:level] == g[:level]) for level in (0, 1, 2)}
+            all_ = {level: sum(c.values()) for level, c in n.items()}
+            of_lang = lambda b: (Fraction(n[1][b]) + Fraction(rules.PRIOR * n[0][b], all_[0])) / (all_[1] + rules.PRIOR)  # noqa: E731, B023
+            weight = {b: n[2][b] + rules.PRIOR * of_lang(b) for b in n[0]}
+            total = sum(weight.values())
+
+            def at(share, weight=weight, total=total):
+                run = Fraction(0)
+                for b in sorted(weight):
+                    run += weight[b]
+                    if 1000 * run >= share * total:
+                        return b
+
+            lo, m, hi = at(1000 - p), at(500), at(p)
+            top = hi + (1 << max(hi.bit_length() - 6, 0)) - 1
+            out[g, k] = (lo - spreads * (m - lo) if sides == "both" else -1, top + spreads * (top - m))
+    return out
+
+
+def brute_values(t):
+    n, chars, symbols, dup, rep = brute_rules(t)
+    capitals = sum(unicodedata.category(c) == "Lu" for c in t or "")
+    lines = max(1, sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n")))
+    return [10**6 * max(0, symbols - rules.FEW) // max(1, chars), 10**6 * capitals // max(1, chars), 10**6 * rep // max(1, n), 10**6 * dup // lines, 1000 * chars // max(1, n)]
+
+
+def brute_verdicts(every):
+    """(doc_id, the base columns, kept) of rows (id, text, lang, source)."""
+    rated = [(i, brute_rules(t), (lang or "", src or ""), brute_values(t)) for i, t, lang, src in every]
+    failed = [b[0] < 20 or 100 * b[4] > 30 * b[0] for _, b, _, _ in rated]
+    fences = brute_fences([(g, v) for (_, _, g, v), f in zip(rated, failed, strict=True) if not f])
+    keeps = lambda g, v: all(fences[g, k][0] <= x <= fences[g, k][1] for k, x in enumerate(v))
+    return [(i, *b, f, not f and keeps(g, v)) for (i, b, g, v), f in zip(rated, failed, strict=True)]
+
+
+def test_fences_are_exact(spark, rows):
+    """Verdicts from the sketches are those of exact counting, with groups of all sizes and texts of many words."""
+    rng = random.Random(12)
+    lots = [(20_000 + i, words(rng, rng.randint(20, 60), VOCAB if i % 3 else [v + v.upper() for v in VOCAB]), "en" if i % 4 else "de", f"s{min(i % 7, i % 3)}") for i in range(420)]
+    noisy = [(21_000 + i, " ".join(w + "#%"[i % 2] * (i % 4) for w in words(rng, 40, VOCAB).split()), "en", "s1") for i in range(30)]
+    long = [(22_000, words(rng, 20_000, VOCAB), "en", "s0"), (22_001, "\n".join(words(rng, 9, VOCAB) for _ in range(3000)), "de", "s1"), (22_002, " ".join([words(rng, 5000, VOCAB)] * 2), None, None)]
+    every = rows + lots + noisy + long
+    got = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in rules.apply(frame(spark, every)).collect()]
+    same(got, brute_verdicts(every))
+    assert 10 < sum(not k and not f for *_, f, k in got) < 60
+
+
+def test_fences_follow_the_group(spark):
+    """A language with longer words, or a source with more symbols, is judged by its own."""
+    rng = random.Random(13)
+    long = [v * 3 for v in VOCAB]
+    every = [(i, words(rng, 100, long if i % 2 else VOCAB), "de" if i % 2 else "en", "a") for i in range(1200)]
+    every += [(5000 + i, words(rng, 100, long), "en", "a") for i in range(10)]
+    math = [(6000 + i, " ".join(w + "$" * rng.randint(0, 1) for w in words(rng, 100, VOCAB).split()), "en", "math") for i in range(1500)]
+    got = {r.doc_id: r.kept for r in rules.apply(frame(spark, every + math)).collect()}
+    assert all(got[i] for i in range(1200)) and not any(got[5000 + i] for i in range(10))
+    assert np.mean([got[i] for i, *_ in math]) > 0.95
+
+
+def test_sketches_merge(spark, docs):
+    """The sketch of a table is the sum of its parts' sketches."""
+    of = lambda d: Counter({(r.lang, r.source, r.stat, r.bucket): r.n for r in rules.sketches(rules.measured(d, [d["doc_id"]])).collect()})
+    assert of(docs) == of(docs.filter("doc_id % 2 = 0")) + of(docs.filter("doc_id % 2 <> 0 OR doc_id IS NULL"))
+
+
 def test_rules(spark, docs, rows, empty):
     rng = random.Random(8)
     junk = [(7000 + i, " ".join(w + "###" for w in words(rng, 60, VOCAB).split()), "en", "a") for i in range(3)]
@@ -454,9 +720,196 @@ def test_sharding(docs, rows, empty):
     assert sharding.shards(empty).count() == 0
 
 
+def brute_shards(rows, seed=1):
+    """(doc_id, shard, slot) by sorting in one place."""
+    import xxhash
+
+    def draw(t):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=xxhash.xxh64_intdigest((t or "").encode(), seed=42))
+        return h - 2**64 if h >= 2**63 else h
+
+    key = lambda r: (draw(r[1]), (r[0] is not None, r[0] or 0), zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode()))
+    order = []
+    for src in {r[3] for r in rows}:
+        own = sorted((r for r in rows if r[3] == src), key=key)
+        order += [((2 * k + 1) / (2 * len(own)), key(r)[0], "" if src is None else "=" + src, key(r)[1:], r[0]) for k, r in enumerate(own)]
+    order.sort(key=lambda x: x[:4])
+    out, seen = [], Counter()
+    for place, r in enumerate(order):
+        k = place * 8 // len(order)
+        out.append((r[4], k, seen[k]))
+        seen[k] += 1
+    return out
+
+
+def test_shards_are_the_sorted_order(docs, rows):
+    same([(r.doc_id, r.shard, r.slot) for r in sharding.shards(docs).collect()], brute_shards(rows))
+
+
+def test_equal_texts_lie_together(spark):
+    """Groups of a source are split only by a cut of the law; one id, one text or no id in a third of all rows is dealt like any other."""
+    rng = random.Random(2)
+    rows = [(i, f"text {i // 3}", "en", "ab"[i // 3 % 2]) for i in range(900)] + [(None if i % 2 else 7, "hot", "en", "a") for i in range(600)]
+    got = sharding.shards(frame(spark, rng.sample(rows, len(rows)), 7)).collect()
+    shards_of = {}
+    for r in got:
+        if r.doc_id not in (None, 7):
+            shards_of.setdefault(r.doc_id // 3, set()).add(r.shard)
+    assert sum(len(x) > 1 for x in shards_of.values()) <= 7 * 2
+    assert sorted(Counter(r.shard for r in got).values()) == [187] * 4 + [188] * 4
+
+
+# ---------------------------------------------------------------- registered queries
+
+
+@pytest.fixture(scope="module")
+def folder(spark, rows, tmp_path_factory):
+    """A small folder of the driver's tables, with columns beside the usual ones."""
+    d = str(tmp_path_factory.mktemp("tables"))
+    rng = random.Random(21)
+    vocab = {"en": VOCAB, "fr": [v + "eux" for v in VOCAB]}
+    made = [(30_000 + i, words(rng, rng.randint(20, 90), vocab[k := ("en", "fr")[i % 2]]) + (" idiot" if i % 5 == 0 else "") + ("$$$ " * 40 if (30_000 + i) % 7 == 0 else ""), k, "ab"[i % 2]) for i in range(400)]
+    every = rows + made
+    frame(spark, every).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 7 > 0), int(i % 5 == 0)) for i in range(30_000, 30_400)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    vectors = [(i, [float(x) for x in np.float32(np.random.default_rng(i).normal(size=6))]) for i in range(230)] + [(300, None), (400, [1.0] * 6)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("label", F.lit(0)).write.parquet(f"{d}/embeddings.parquet")
+    talks = [(c, t, ("user", "assistant")[t % 2], f"said {c} {t} \\ ###" if c % 3 else None) for c in range(12) for t in range(c % 4)]
+    spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    return d, every, vectors, talks
+
+
+def types(df, n=None):
+    return [(c, t) for c, t in df.dtypes][:n]
+
+
+def crc(i):
+    return zlib.crc32(str(i).encode())
+
+
+def run(spark, folder, name):
+    return Q.queries()[name](spark, folder[0])
+
+
+def test_registered_op1(spark, folder):
+    got = run(spark, folder, "op1_topk")
+    assert types(got, 4) == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
+    same([tuple(r) for r in got.collect()], brute_top(folder[2], 10))
+
+
+def test_registered_op2_and_op3(spark, folder):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    c, tok = codec(), Tokenizer.from_file(Q.public("byte_bpe_50k.json"))
+    enc = tiktoken.Encoding("own", pat_str=Q.pattern(), mergeable_ranks=c.ranks, special_tokens={})
+    texts = [(i, t or "") for i, t, *_ in folder[1]]
+    got = run(spark, folder, "op2_bpe")
+    assert types(got, 4) == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    ids = [(i, t, enc.encode_ordinary(t)) for i, t in texts]
+    same([tuple(r)[:4] for r in got.collect()], [(i, len(x), hashlib.sha256(struct.pack(f"<{len(x)}I", *x)).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t, x in ids])
+    got = run(spark, folder, "op3_packing")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert [t for n, t in got.dtypes if n in names] == ["bigint"] * 7 and set(names) <= set(got.columns)
+    pieces = Counter()
+    for r in got.collect():
+        pieces[r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens] += 1
+    by_id = {}
+    for i, t in texts:
+        by_id.setdefault(i, []).append(np.array([*tok.encode(t, add_special_tokens=False).ids, 0], "<u4"))
+    for (i, start, length, checksum, total), n in pieces.items():
+        assert n <= sum(len(x) == total and zlib.crc32(x[start : start + length].tobytes()) == checksum for x in by_id[i])
+    assert sum(length * n for (_, _, length, _, _), n in pieces.items()) == sum(len(x) for xs in by_id.values() for x in xs)
+
+
+def test_registered_op4_and_op7(spark, folder):
+    for name, parts, part, at, label in (("op4_toxicity", 3, 1, 0.7, lambda i: i % 5 == 0), ("op7_quality", 5, 0, 0.3, lambda i: i % 7 > 0)):
+        got = run(spark, folder, name)
+        assert types(got, 4) == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+        found = got.collect()
+        assert len(found) == len(folder[1])
+        for r in found:
+            assert r.held_out == (r.doc_id is not None and crc(r.doc_id) % parts == part) and 0 <= r.score <= 1 and r.predicted == int(r.score >= at)
+        right = [r.predicted == label(r.doc_id) for r in found if (r.doc_id or 0) >= 30_000 and r.held_out]
+        assert len(right) > 40 and np.mean(right) > 0.95, name
+
+
+def test_registered_op5(spark, folder):
+    got = run(spark, folder, "op5_chat")
+    names = [("conv_id", "bigint"), ("n_turns", "bigint"), ("turns_sha256", "string"), ("loss_chars", "bigint"), ("loss_sha256", "string"), ("formatted_chars", "bigint")]
+    assert types(got) == names
+    said = "\\### Assistant: </turn> ok"
+    turns = {-7: [("user", said), ("assistant", said)]}
+    for c, _, r, t in folder[3]:
+        turns.setdefault(c, []).append((r, t or ""))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    loss = {c: "".join(t for r, t in ts if r == "assistant") for c, ts in turns.items()}
+    want = [(c, len(ts), sha("".join(f"{r}\n{t}\n" for r, t in ts)), len(loss[c]), sha(loss[c])) for c, ts in turns.items()]
+    same([tuple(r)[:5] for r in got.collect()], want)
+
+
+def test_registered_op6(spark, folder):
+    want, sets = brute_groups(folder[1], 3, 85)
+    got = run(spark, folder, "op6_neardup")
+    assert types(got, 4) == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    found = [tuple(r)[:4] for r in got.collect() if r.doc_id is not None]
+    same(found, [(i, len(x), want[i], want[i] == i) for i, xs in sets.items() for x in xs])
+
+
+def test_registered_op8(spark, folder):
+    got = run(spark, folder, "op8_langid")
+    assert types(got, 4) == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    found, texts = got.collect(), {i: t for i, t, *_ in folder[1]}
+    langs = {lang for i, _, lang, _ in folder[1] if lang and i is not None and crc(i) % 3 != 1}
+    assert len(found) == len(folder[1])
+    for r in found:
+        assert r.held_out == (r.doc_id is not None and crc(r.doc_id) % 3 == 1) and 0 <= r.score <= 1
+        has_letter = any(unicodedata.category(c).startswith("L") for c in texts[r.doc_id] or "")
+        assert (r.lang_pred in langs) if has_letter else (r.lang_pred == "und")
+    right = [r.lang_pred == ("en", "fr")[r.doc_id % 2] for r in found if (r.doc_id or 0) >= 30_000 and r.held_out]
+    assert len(right) > 100 and np.mean(right) > 0.95
+
+
+def test_registered_op9(spark, folder):
+    got = run(spark, folder, "op9_rules")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    assert types(got, 8) == [(n, "bigint") for n in names] + [("base_failed", "boolean"), ("kept", "boolean")]
+    same([tuple(r)[:8] for r in got.collect()], brute_verdicts(folder[1]))
+
+
+def test_registered_op10(spark, folder):
+    got = run(spark, folder, "op10_sharding")
+    kinds = [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
+    assert types(got, 7) == kinds
+    same([(r.doc_id, r.shard, r.slot) for r in got.collect()], brute_shards(folder[1]))
+
+
 # ---------------------------------------------------------------- pipeline
 
 
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(lambda: {})
+            getCheckpointDir = staticmethod(lambda: None)
+
+        conf = {}
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(Session)
+
+
+def test_written_tables_are_deleted(spark, docs):
+    import os
+
+    place = common.mark()
+    a, b = common.cut(docs), common.cut(docs.limit(1))
+    common.drop_since(spark, place, b)
+    there = lambda d: os.path.exists(d.cut_path.removeprefix("file://"))
+    assert not there(a) and there(b) and b.count() == 1
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline as C
 
