@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
 docs. The filtering stages work row by row on all columns of documents; the last returns one row a piece.
+
+Defined results: a document without text, words or letters goes in the first stages; rows that repeat an id are judged each by
+their own text, and of rows with the same words one stays, as of all near-duplicates (ties: the smallest id); texts of any length
+are read whole; empty tables give empty results; extra columns pass the filtering stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tapeline.llm import langid, neardup, packing, rules
-from tapeline.llm.common import cut, table
+from tapeline.llm.common import cut, drop_since, mark, table
 from tapeline.llm.queries import fold, token_ids
 
 
@@ -19,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; learnt from two thirds of the documents that have a language."""
+    """Documents in languages that two thirds of the labelled documents teach; text without letters, in other languages or of no language goes."""
     return langid.keep_known(docs, fold(3) != 1)
 
 
@@ -40,10 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table. Tables that a stage has written are deleted when its result stands."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    place = mark()
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+        drop_since(spark, place, docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
