@@ -88,22 +88,26 @@ class ByteLevel:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def open(self) -> ByteLevel:
+        if self.fast and not hasattr(self, "_whole"):
+            import tiktoken
+
+            ranks = self._ranks()
+            made = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            # The look-ahead only decides where two white-space characters meet; other texts go without it.
+            self._whole, self._single = made("whole", self.pattern), made("single", self.pattern.replace(_LOOK_AHEAD, ""))
+            self._bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+            for token, i in ranks.items():
+                self._bytes[i] = len(token)
+        return self
+
+    def library(self):
+        """The library's tokenizer, made when a text needs it."""
         if not hasattr(self, "_slow"):
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_str(self.json_text)
             self._slow.encode_special_tokens = self.special_as_text
-            if self.fast:
-                import tiktoken
-
-                ranks = self._ranks()
-                made = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-                # The look-ahead only decides where two white-space characters meet; other texts go without it.
-                self._whole, self._single = made("whole", self.pattern), made("single", self.pattern.replace(_LOOK_AHEAD, ""))
-                self._bytes = np.zeros(max(ranks.values()) + 1, np.int64)
-                for token, i in ranks.items():
-                    self._bytes[i] = len(token)
-        return self
+        return self._slow
 
     def _library(self, text: str) -> bool:
         return not self.fast or (not self.special_as_text and any(t in text for t in self.added))
@@ -113,7 +117,7 @@ class ByteLevel:
             return []
         self.open()
         if self._library(text):
-            return self._slow.encode(text, add_special_tokens=False).ids
+            return self.library().encode(text, add_special_tokens=False).ids
         return (self._whole if _TWO_SPACES.search(text) else self._single)(text)
 
     def offsets(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -122,7 +126,7 @@ class ByteLevel:
             return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.open()
         if self._library(text):
-            made = self._slow.encode(text, add_special_tokens=False)
+            made = self.library().encode(text, add_special_tokens=False)
             spans = np.array(made.offsets, np.int64).reshape(-1, 2)
             return made.ids, spans[:, 0], spans[:, 1]
         ids = self.ids(text)
