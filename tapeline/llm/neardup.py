@@ -49,9 +49,9 @@ RATE = 20.0
 #: A pair is dropped unseen where the likelihood of the threshold is so many times e below the best one.
 LEAST_LIKELY = 9.0
 #: Classes of an open bucket that are compared in one piece of work.
-BLOCK = 384
+BLOCK = 512
 #: Pivots that an open bucket meets, one after the other, before its classes are compared in blocks.
-ROUNDS = 3
+ROUNDS = 2
 _MULTIPLY = np.random.default_rng(20240501).integers(1, 2**64, M, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(20240502).integers(0, 2**64, M, dtype=np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -219,35 +219,34 @@ def _runs(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFram
 
 
 def _cross_pairs(f: pd.DataFrame, by: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of one group, of its two blocks (or the one), in different components."""
+    """Index pairs (probe, member) of one group that lie in different components, every pair in one order only."""
     change = np.zeros(len(f), bool)
     change[0] = True
     for k in by:
         v = f[k].to_numpy()
         change[1:] |= v[1:] != v[:-1]
     at = np.append(np.flatnonzero(change), len(f))
-    comp, own, left, right = f["comp"].to_numpy(), f["own"].to_numpy(), f["i"].to_numpy(), f["j"].to_numpy()
+    comp, rep, probe, main = (f[k].to_numpy() for k in ("comp", "rep", "probe", "main"))
     a, b, n = [], [], 0
     for lo, hi in zip(at[:-1], at[1:], strict=True):
-        if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
+        p, q = lo + np.flatnonzero(probe[lo:hi]), lo + np.flatnonzero(~probe[lo:hi])
+        if not len(p) or not len(q):
             continue
-        if left[lo] == right[lo]:
-            x, y = np.triu_indices(hi - lo, 1)
-        else:
-            p, q = np.flatnonzero(own[lo:hi] == left[lo]), np.flatnonzero(own[lo:hi] == right[lo])
-            x, y = np.repeat(p, len(q)), np.tile(q, len(p))
-        differ = comp[lo + x] != comp[lo + y]
-        a.append(lo + x[differ])
-        b.append(lo + y[differ])
-        n += len(a[-1])
-        if n > 200_000:
-            yield np.concatenate(a), np.concatenate(b)
-            a, b, n = [], [], 0
+        for some in np.array_split(p, len(p) * len(q) // 200_000 + 1):
+            x, y = np.repeat(some, len(q)), np.tile(q, len(some))
+            wanted = (comp[x] != comp[y]) & (main[y] | (rep[x] < rep[y]))  # two that lie outside the main component meet twice
+            a.append(x[wanted])
+            b.append(y[wanted])
+            n += len(a[-1])
+            if n > 200_000:
+                yield np.concatenate(a), np.concatenate(b)
+                a, b, n = [], [], 0
     if n:
         yield np.concatenate(a), np.concatenate(b)
 
 
 _GROUP = ["key", "i", "j"]
+_ROW = ["key", "band", "rep", "comp", "main", "probe", "i", "j", "n", "sketch"]
 
 
 def _first_band(a: np.ndarray, b: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -265,10 +264,10 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
     shared = cut(spread_join(light, buckets.select("key", "pivot"), "key", crowded, "rep"))
     if shared.isEmpty():
         return shared.select(F.col("rep").alias("node"), F.col("pivot").alias("comp"))
-    # Sides that grow with the data are never broadcast, however small they look.
-    needed = reps.select("rep", "doc_id", "text_hash").join(shared.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    # Only classes that share a bucket matter from here on. Sides that grow with the data are never broadcast, however small they look.
+    reps = cut(reps.join(shared.select("rep").distinct().hint("merge"), "rep", "left_semi"))
     # Rows that repeat id and text are one; the groups lie where the join has put them.
-    texts = _named(docs).join(needed.hint("merge"), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "rep").agg(F.first("text").alias("text"))
+    texts = _named(docs).join(reps.select("rep", "doc_id", "text_hash").hint("merge"), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "rep").agg(F.first("text").alias("text"))
     texts = cut(texts.select("rep", "text"))
     side = lambda name, k: reps.select(F.col("rep").alias(name), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
 
@@ -297,30 +296,46 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
         met = spread_join(pairs.join(ta.hint("merge"), "rep"), tb, "pivot", popular, "rep").select(F.col("rep").alias("a"), F.col("pivot").alias("b"), "ta", "tb")
         return cut(met.mapInPandas(verified, "a long, b long"))
 
-    star = cut(shared.filter("rep <> pivot").select("rep", "pivot").distinct())
-    comp = components(confirmed(star))
+    comp = components(confirmed(cut(shared.filter("rep <> pivot").select("rep", "pivot").distinct())))
+    found = comp.select(F.col("node").alias("rep"), "comp")
+    named = cut(spread_join(shared.select("key", "band", "rep"), found, "rep", {}, "rep", "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp")))
     for turn in range(ROUNDS):
-        # Buckets that still hold several components.
-        named = cut(spread_join(shared.select("key", "band", "rep"), comp.withColumnRenamed("node", "rep"), "rep", {}, "rep", "left").select("key", "band", "rep", F.coalesce("comp", "rep").alias("comp")))
-        per_key = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-        open_keys = cut(per_key)
-        if turn == ROUNDS - 1 or open_keys.isEmpty():
+        # Buckets that still hold several components, and their classes: the work shrinks from turn to turn.
+        per_key = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size"))
+        open_keys = cut(per_key.filter("lo <> hi"))
+        if open_keys.isEmpty():
+            return comp
+        named = cut(spread_join(named, open_keys.select("key"), "key", crowded, "rep"))
+        if turn == ROUNDS - 1:
             break
         # The next pivot is the bucket's last class, then the first class of its last component (its number).
-        pivot = F.when(F.lit(turn % 2 == 0), F.col("last")).otherwise(F.col("hi"))
-        rows = spread_join(named, open_keys.select("key", pivot.alias("pivot")), "key", crowded, "rep")
-        at = comp.select(F.col("node").alias("pivot"), F.col("comp").alias("pc"))
+        rows = spread_join(named, open_keys.select("key", F.col("last" if turn % 2 == 0 else "hi").alias("pivot")), "key", crowded, "rep")
         rows = rows.filter("rep <> pivot").select("rep", "comp", "pivot").distinct()
-        rows = spread_join(rows, at, "pivot", heavy(rows, "pivot"), "rep", "left").filter("comp <> coalesce(pc, pivot)")
-        more = confirmed(cut(rows.select("rep", "pivot")))
+        at = found.select(F.col("rep").alias("pivot"), F.col("comp").alias("pc"))
+        rows = cut(spread_join(rows, at, "pivot", heavy(rows, "pivot"), "rep", "left").select("rep", "comp", "pivot", F.coalesce("pc", "pivot").alias("pc")).filter("comp <> pc"))
+        more = confirmed(rows.select("rep", "pivot"))
         if more.isEmpty():
             break
-        comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionAll(more))
-    open_keys = open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = spread_join(named, open_keys, "key", crowded, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # A block meets itself and every other block of its bucket: each pair of blocks is a group of at most some 2 * BLOCK rows.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", "rep", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(reps.select("rep", "n", "sketch").hint("merge"), "rep")
+        # Contracted: what the new links join are components.
+        joined = rows.join(more.select(F.col("a").alias("rep"), F.col("b").alias("pivot")).hint("merge"), ["rep", "pivot"]).select(F.col("comp").alias("a"), F.col("pc").alias("b"))
+        moved = components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        move = lambda df, by, moved=moved: spread_join(df, moved, "comp", heavy(df, "comp"), by, "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+        single = moved.select(F.col("comp").alias("rep"), F.col("to").alias("comp")).join(found.select("rep").hint("merge"), "rep", "left_anti")
+        found = cut(move(found, "rep").select("rep", "comp").unionAll(single))
+        comp = found.select(F.col("rep").alias("node"), "comp")
+        named = cut(move(named, "rep").select("key", "band", "rep", "comp"))
+    # A bucket's main component holds most of its classes. All others are probes, which meet every block of the bucket's members:
+    # a group of some 2 * BLOCK rows. So a large group of copies with few strangers costs its rows once, not their square.
+    sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_n"))
+    shares = sizes.groupBy("key").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.sum("_n").alias("_all"), F.max("_n").alias("_main"))
+    blocks_of = lambda c: F.ceil(c / BLOCK).cast("int")
+    open_keys = cut(shares.select("key", "main", blocks_of(F.col("_all")).alias("blocks"), blocks_of(F.col("_all") - F.col("_main")).alias("probes")))
+    rows = spread_join(named, open_keys, "key", crowded, "rep").withColumn("main", F.col("comp") == F.col("main"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    of = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+    members = rows.select("key", "band", "rep", "comp", "main", F.lit(False).alias("probe"), each("probes").alias("i"), of("blocks").alias("j"))
+    probes = rows.filter("NOT main").select("key", "band", "rep", "comp", "main", F.lit(True).alias("probe"), of("probes").alias("i"), each("blocks").alias("j"))
+    rows = members.unionAll(probes).join(reps.select("rep", "n", "sketch").hint("merge"), "rep")
 
     def flagged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in _runs(frames, _GROUP):
@@ -335,9 +350,9 @@ def links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFra
                     x, y = x[own], y[own]
                     ok = likely(sk[x], n[x], sk[y], n[y], threshold)
                     hit[x[ok]] = hit[y[ok]] = True
-            yield f.loc[hit, ["key", "band", "rep", "comp", "own", "i", "j", "n", "sketch"]]
+            yield f.loc[hit, _ROW]
 
-    kinds = "key long, band int, rep long, comp long, own int, i int, j int, n long, sketch binary"
+    kinds = "key long, band int, rep long, comp long, main boolean, probe boolean, i int, j int, n long, sketch binary"
     dealt = lambda d: d.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     some = cut(dealt(rows).mapInPandas(flagged, kinds))
     if some.isEmpty():
