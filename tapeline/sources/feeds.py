@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import operator
 import re
+from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tapeline.functions import text
 
@@ -25,18 +30,88 @@ def date_chunks(span: DataFrame, days: int) -> DataFrame:
 
 
 def cache_key(method: Column, url: Column, params: Column | None = None, data: Column | None = None) -> Column:
-    """sha1 over method, address, parameters and body."""
-    rest = F.coalesce(params if params is not None else F.lit(""), F.lit(""))
-    key = F.concat(F.upper(method), F.lit("\n"), url, F.lit("\n"), rest)
-    return F.sha1(key if data is None else F.concat(key, F.lit("\n"), F.coalesce(data, F.lit(""))))
+    """sha1 of ``METHOD address?parameters#body``; parameters and body are maps of a name to its values, in the order of ``name=value|value``."""
+
+    def pairs(m: Column | None) -> Column:
+        if m is None:
+            return F.lit("")
+        each = F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), F.concat_ws("|", e["value"])))
+        return F.coalesce(F.concat_ws("&", F.array_sort(each)), F.lit(""))
+
+    return F.sha1(F.concat(F.upper(method), F.lit(" "), url, F.lit("?"), pairs(params), F.lit("#"), pairs(data)))
+
+
+# What tells a captcha and a browser check from a page, and in how many first characters.
+CAPTCHA_MARKS, CAPTCHA_WITHIN = ["sp_rotated_captcha", "captchaintgen", '"is_captcha":true', '"is_captcha": true'], 60_000
+STUB_MARKS, STUB_WITHIN = ["id_captcha_frame_div", "spinner-container", "id_spinner", "__sp_init", "spsc="], 40_000
+REDIRECT_MARKS = ['http-equiv="refresh"', "<noscript>", "<script"]
 
 
 def page_class(html: Column) -> Column:
-    low = F.lower(html)
-    return (
-        F.when(html.isNull() | (F.length(F.trim(html)) == 0), "empty").when(low.contains("captcha"), "captcha")
-        .when((F.length(html) < 2000) & low.contains("<script") & ~low.contains("<p"), "stub").otherwise("content")
-    )
+    """captcha, stub (a browser check) or content; a redirecting page without any link is a check as well."""
+    low = F.lower(F.coalesce(html, F.lit("")))
+    head = lambda n: F.left(low, F.lit(n))
+    holds = lambda c, marks, how: reduce(how, [c.contains(m) for m in marks])
+    redirects = holds(head(STUB_WITHIN), REDIRECT_MARKS, operator.and_) & ~low.contains("<a ")
+    return F.when(holds(head(CAPTCHA_WITHIN), CAPTCHA_MARKS, operator.or_), "captcha").when(holds(head(STUB_WITHIN), STUB_MARKS, operator.or_) | redirects, "stub").otherwise("content")
+
+
+# Encodings that a server names when it does not know, and the one of old pages.
+UNKNOWN_ENCODINGS, OLD_ENCODING = ("iso-8859-1", "latin-1", "latin1"), "cp1251"
+
+
+def decode_body(body: bytes | None, encoding: str | None) -> str | None:
+    """A landed body as text: by the declared encoding, as UTF-8, else by what its first bytes look like."""
+    if body is None:
+        return None
+    declared = (encoding or "").lower()
+    for name in ([declared] if declared and declared not in UNKNOWN_ENCODINGS else []) + ["utf-8"]:
+        try:
+            return body.decode(name)
+        except (UnicodeDecodeError, LookupError):
+            pass
+    return body.decode("utf-8" if b"\xd0" in body[:2000] else OLD_ENCODING, errors="replace")
+
+
+def decoded(bodies: DataFrame, body_col: str = "body", encoding_col: str = "encoding") -> DataFrame:
+    """``bodies`` with the column ``decoded``."""
+
+    @F.pandas_udf("string")
+    def run(body: pd.Series, encoding: pd.Series) -> pd.Series:
+        return pd.Series([decode_body(None if b is None else bytes(b), e) for b, e in zip(body, encoding, strict=True)], dtype=object)
+
+    return bodies.withColumn("decoded", run(F.col(body_col), F.col(encoding_col)))
+
+
+# How pages say how many pages or messages there are.
+PAGES_OF, FOUND = r"(?i)(?u)(?:Страниц[аы]?|Стр\.)\s*\d+\s*(?:из|/)\s*(\d+)", r"(?i)(?u)Найдено\D{0,20}(\d[\d ]*)"
+
+
+def total_pages(html: Column) -> Column:
+    """How many pages (or messages) a list page announces; NULL where it does not."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), "<[^>]*>", " ")
+    flat = F.regexp_replace(F.regexp_replace(bare, "&nbsp;|\u00a0", " "), r"\s+", " ")
+    return F.coalesce(_first(flat, PAGES_OF), F.regexp_replace(_first(flat, FOUND), " ", "")).try_cast("bigint")
+
+
+def listed_pages(pages: DataFrame, block: str, key: str, start: str = "start", limit: int = 100, json_col: str = "payload") -> DataFrame:
+    """The landed pages that belong to each list (``key``), in one pass over them.
+
+    A list ends with an empty page, with the page that reaches the cursor's total, or, without a cursor, with one of fewer
+    than ``limit`` rows; pages that lie beyond are left out.
+    """
+    kind = f"struct<`{block}`: struct<data: array<array<string>>>, `{block}.cursor`: struct<columns: array<string>, data: array<array<string>>>>"
+    p = F.from_json(F.col(json_col), kind)
+    cursor = p[f"{block}.cursor"]
+    names, row = F.transform(cursor["columns"], lambda x: F.upper(x)), F.get(cursor["data"], F.lit(0))
+    of = lambda n: F.get(row, (F.array_position(names, n) - 1).cast("int")).try_cast("bigint")
+    size = F.coalesce(F.size(p[block]["data"]), F.lit(0))
+    size = F.when(size < 0, 0).otherwise(size)
+    known = of("TOTAL").isNotNull() & (F.coalesce(of("PAGESIZE"), F.lit(0)) > 0)
+    last = (size == 0) | F.when(known, F.col(start) + of("PAGESIZE") >= of("TOTAL")).otherwise(size < limit)
+    seen = W.partitionBy(key).orderBy(start).rowsBetween(W.unboundedPreceding, -1)
+    marked = pages.withColumn("_size", size).withColumn("_last", last).withColumn("_over", F.coalesce(F.max("_last").over(seen), F.lit(False)))
+    return marked.filter("_size > 0 AND NOT _over").drop("_size", "_last", "_over")
 
 
 def link_patterns(pages: DataFrame) -> DataFrame:
@@ -91,13 +166,16 @@ def security_description(payloads: DataFrame, key: str = "secid", json_col: str
     return payloads.select(key, pairs.alias("description"), F.get(F.get(primary, F.lit(0)), at("boards", "boardid")).alias("primary_board"))
 
 
-# Names under which search answers carry their fields.
+# Names under which search answers carry their lists, fields and totals; where an event's page is.
 LIST_KEYS = ["foundEventsList", "events", "items", "data", "list", "rows", "result", "results"]
 ALIASES = {
     "event_id": ["pseudoguid", "eventguid", "eventid", "guid", "id", "code"], "company_id": ["companyid", "company_id", "companycode", "orgid"],
     "company_name": ["companyname", "company", "orgname", "shortname"], "event_type": ["eventname", "eventtype", "name", "title", "highlighted"],
     "published_at": ["eventdate", "publishdate", "publicationdate", "date", "datetime", "time", "created", "dt"],
 }
+TOTAL_KEYS = ["totalCount", "total", "count", "found", "recordsTotal", "eventsCount"]
+LONG_ID = r"^[A-Za-z0-9_\-]{16,}$"
+SITE, EVENT_URL = "https://e-disclosure.ru", "/portal/event.aspx?EventId="
 
 
 def any_datetime(c: Column) -> Column:
@@ -105,30 +183,62 @@ def any_datetime(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.when(iso != "", iso), "T", " ").try_cast("timestamp_ntz"), text.parse_datetime(c))
 
 
-def search_json(payloads: DataFrame, json_col: str = "payload") -> DataFrame:
+def _found_list(answer: Column) -> Column:
+    """The first list of objects of an answer, as maps: under one of the known names, else under any, else the answer itself."""
+    fields = F.from_json(answer, "map<string,string>")
+    objects = lambda c: F.when(F.ltrim(F.regexp_replace(c, r"^\s*\[\s*", "[")).startswith("[{"), F.from_json(c, "array<map<string,string>>"))
+    known = [objects(fields[k]) for k in LIST_KEYS]
+    anywhere = F.get(F.filter(F.transform(F.map_values(fields), objects), lambda x: x.isNotNull()), F.lit(0))
+    return F.when(F.ltrim(answer).startswith("["), F.from_json(answer, "array<map<string,string>>")).otherwise(F.coalesce(*known, anywhere))
+
+
+def search_json(payloads: DataFrame, json_col: str = "payload", site: str = SITE) -> DataFrame:
     """Messages of search answers, whatever the names of the list and its fields (case ignored)."""
-    items = F.coalesce(*[F.from_json(F.get_json_object(F.col(json_col), f"$.{k}"), "array<map<string,string>>") for k in LIST_KEYS], F.from_json(F.col(json_col), "array<map<string,string>>"))
-    rows = payloads.select(F.explode(items).alias("raw")).withColumn("m", F.transform_keys("raw", lambda k, v: F.lower(k)))
+    rows = payloads.select(F.explode(_found_list(F.col(json_col))).alias("raw")).filter("raw IS NOT NULL").withColumn("m", F.transform_keys("raw", lambda k, v: F.lower(k)))
     blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
     pick = lambda f: F.coalesce(*[blank(F.col("m")[k]) for k in ALIASES[f]])
     values = F.map_values("m")
-    token = F.get(F.filter(values, lambda v: v.rlike(r"^[A-Za-z0-9_\-]{16,}$")), F.lit(0))
+    token = F.get(F.filter(values, lambda v: v.rlike(LONG_ID)), F.lit(0))
     when = F.coalesce(*[any_datetime(F.col("m")[k]) for k in ALIASES["published_at"]], F.get(F.filter(F.transform(values, any_datetime), lambda x: x.isNotNull()), F.lit(0)))
-    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]*>", " "), r"[\s ]+", " "))
-    return rows.select(F.coalesce(pick("event_id"), token).alias("event_id"), pick("company_id").try_cast("bigint").alias("company_id"), clean(pick("company_name")).alias("company_name"), when.alias("published_at"), clean(pick("event_type")).alias("event_type")).filter("event_id IS NOT NULL")
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[\\s\u00a0]+", " "))
+    event = F.coalesce(pick("event_id"), token)
+    bare = F.regexp_replace(F.coalesce(pick("event_type"), F.lit("")), "<[^>]*>", " ")
+    out = rows.select(event.alias("event_id"), pick("company_id").try_cast("bigint").alias("company_id"), flat(pick("company_name")).alias("company_name"), when.alias("published_at"), flat(bare).alias("event_type"))
+    return out.filter("event_id IS NOT NULL").withColumn("url", F.concat(F.lit(site + EVENT_URL), "event_id"))
+
+
+def search_total(answer: Column) -> Column:
+    """How many messages an answer says were found."""
+    fields = F.from_json(answer, "map<string,string>")
+    return F.coalesce(*[F.when(fields[k].rlike(r"^-?\d+$"), fields[k]).try_cast("bigint") for k in TOTAL_KEYS])
 
 
 # ---------------------------------------------------------------- HTML
 
 
+# Elements whose text is not a page's own, and names of the block that holds an event's text.
+SILENT = frozenset({"script", "style", "noscript", "iframe", "svg"})
+AROUND = SILENT | {"header", "footer", "nav", "form"}
+TEXT_BLOCKS, TEXT_LEAST = ["cont_wrap", "eventText", "event", "news", "content", "main"], 200
+RESULT_BLOCKS = ["searchResults", "searchResult", "results", "eventsList"]
+# How a page's text states its fields.
+MOMENT = r"\d{2}\.\d{2}\.\d{4}(?:\s+\d{1,2}:\d{2}(?::\d{2})?)?"
+STATED = {
+    "published_at": rf"(?i)(?:Дата\s+(?:публикации|размещения|раскрытия)|Опубликовано)\D{{0,15}}({MOMENT})",
+    "event_type": r"(?i)(?:Тип\s+(?:сообщения|события)|Существенн\S+\s+факт)\s*[:\-–—]?\s*(.+)",
+    "company_name": r"(?i)(?:Полное фирменное наименование эмитента|Эмитент)\D{0,10}[:\-–—]\s*(.+)",
+}
+HEAD, LONGEST = 600, 300
+
+
 class _Tree(HTMLParser):
     """A flat list of (depth, tag, attributes, text parts, parent) of a page; text belongs to all open elements."""
 
     VOID = {"br", "img", "input", "meta", "link", "hr", "col", "base", "source", "wbr"}
-    SILENT = {"script", "style", "noscript", "iframe", "svg"}
 
-    def __init__(self):
+    def __init__(self, silent: frozenset[str]):
         super().__init__(convert_charrefs=True)
+        self.silent = silent
         self.nodes: list[dict] = []
         self.stack: list[int] = []
 
@@ -150,7 +260,7 @@ class _Tree(HTMLParser):
             self.nodes[i]["text"].append(data)
 
     def handle_data(self, data):
-        if not any(self.nodes[i]["tag"] in self.SILENT for i in self.stack):
+        if not any(self.nodes[i]["tag"] in self.silent for i in self.stack):
             self._say(data)
             self._say(" ")
 
@@ -159,8 +269,8 @@ def _clean(s: str) -> str:
     return re.sub(r"\s+", " ", s.replace(" ", " ")).strip()
 
 
-def tree(html: str | None) -> list[dict]:
-    t = _Tree()
+def tree(html: str | None, silent: frozenset[str] = SILENT) -> list[dict]:
+    t = _Tree(silent)
     t.feed(html or "")
     return t.nodes
 
@@ -186,49 +296,69 @@ def _search(pattern: str, s: str) -> str | None:
     return m[1] if m else None
 
 
-def message_rows(html: str | None) -> list[dict]:
-    """Messages of a list page: the row, item or dated block around each link to an event, each event once."""
-    nodes = tree(html)
-    children: dict[int, list[int]] = {}
-    for i, n in enumerate(nodes):
-        p = n["parent"]
-        while p >= 0:
-            children.setdefault(p, []).append(i)
-            p = nodes[p]["parent"]
-
-    def up(i: int):
-        while i >= 0:
-            yield i
-            i = nodes[i]["parent"]
-
-    def block(i: int) -> int:
-        chain = list(up(nodes[i]["parent"]))
-        tests = (
-            lambda n: n["tag"] == "tr",
-            lambda n: re.search("table__row|row|item", n["attrs"].get("class") or "", re.I),
-            lambda n: n["tag"] == "li",
-            lambda n: n["tag"] == "div" and _datetime(_text(n)),
-        )
-        return next((j for t in tests for j in chain if t(nodes[j])), i)
+def _event_of(href: str) -> str | None:
+    return _search(EVENT_ID, href) or _search(EVENT_PATH, href.split("?")[0])
+
+
+def _above(nodes: list[dict], i: int) -> Iterator[int]:
+    """The elements around one, from the inside out."""
+    while (i := nodes[i]["parent"]) >= 0:
+        yield i
+
 
+def _row_of(nodes: list[dict], i: int, climbs: int = 4) -> int:
+    """The element that holds the message of a link: a row, an item, a list entry, or the nearest dated block within some climbs."""
+    around = list(_above(nodes, i))
+    for fits in (lambda n: n["tag"] == "tr", lambda n: re.search("table__row|row|item", n["attrs"].get("class") or "", re.I), lambda n: n["tag"] == "li"):
+        if (hit := next((j for j in around if fits(nodes[j])), None)) is not None:
+            return hit
+    blocks = [j for j in around if nodes[j]["tag"] == "div"]
+    dated = next((j for j in blocks[: climbs + 1] if _datetime(_text(nodes[j]))), None)
+    return dated if dated is not None else blocks[climbs] if len(blocks) > climbs else i
+
+
+def message_rows(html: str | None, site: str = SITE, only_results: bool = False) -> list[dict]:
+    """Messages of a list page, one a row, each event once; ``only_results`` looks into the block of results alone."""
+    nodes = tree(html)
+    inside: dict[int, list[int]] = {}
+    for i in range(len(nodes)):
+        for j in _above(nodes, i):
+            inside.setdefault(j, []).append(i)
+    named = {nodes[i]["attrs"].get("id"): i for i in reversed(range(len(nodes)))}
+    scope = range(len(nodes))
+    if only_results:
+        block = next((named[x] for x in RESULT_BLOCKS if x in named), None)
+        scope = inside.get(block, [])
+    href = lambda i: (nodes[i]["attrs"].get("href") or "") if nodes[i]["tag"] == "a" else ""
     out: dict[str, dict] = {}
-    for i, n in enumerate(nodes):
-        href = n["attrs"].get("href") or ""
-        event = (_search(EVENT_ID, href) or _search(EVENT_PATH, href.split("?")[0])) if n["tag"] == "a" else None
-        if not event or event in out:
+    for i in scope:
+        if not _event_of(href(i)):
             continue
-        b = block(i)
-        inside = [nodes[j] for j in children.get(b, [])]
-        company = next(((int(c), _text(x)) for x in inside if x["tag"] == "a" and (c := _search(COMPANY_ID, x["attrs"].get("href") or ""))), (None, ""))
-        info = next((_text(x) for x in inside if re.search("info", x["attrs"].get("class") or "", re.I)), "")
-        parts = [p for p in re.split(r"\s*[,;]\s+|\s\|\s|\s[—–]\s", info) if p]
-        kind = _text(n) or ", ".join(parts[1:])
-        out[event] = {"event_id": event, "company_id": company[0], "company_name": company[1] or (parts[0] if parts else ""), "published_at": _datetime(_text(nodes[b])), "event_type": kind, "url": n["attrs"]["href"]}
+        row = _row_of(nodes, i)
+        held = inside.get(row, []) if row != i else [i]
+        link = next(j for j in held if _event_of(href(j)))  # a row is one message: that of its first link
+        event = _event_of(href(link))
+        if event in out:
+            continue
+        company = next(((int(c), _text(nodes[j])) for j in held if (c := _search(COMPANY_ID, href(j)))), (None, ""))
+        cell = next((j for j in _above(nodes, link) if nodes[j]["tag"] in ("td", "div", "li")), None)
+        kind = _text(nodes[link]) or (_text(nodes[cell]) if cell is not None else "")
+        name = company[1]
+        if not name:  # news blocks name issuer and kind in one line
+            info = next((_text(nodes[j]) for j in held if re.search("info", nodes[j]["attrs"].get("class") or "", re.I)), "")
+            parts = [p for p in (x.strip() for x in re.split(r"\s*[,;]\s+|\s\|\s|\s[—–]\s", info)) if p]
+            name, kind = (parts[0] if parts else ""), kind or ", ".join(parts[1:])
+        out[event] = {"event_id": event, "company_id": company[0], "company_name": name, "published_at": _datetime(_text(nodes[row])), "event_type": kind, "url": urljoin(site, href(link))}
     return list(out.values())
 
 
+def search_results(html: str | None, site: str = SITE) -> list[dict]:
+    """Messages of a search page: those in its block of results, else (old pages) all."""
+    return message_rows(html, site, only_results=True) or message_rows(html, site)
+
+
 MESSAGE = "event_id string, company_id bigint, company_name string, published_at timestamp_ntz, event_type string, url string"
-EVENT_PAGE = "title string, company_name string, company_id bigint, published_at timestamp_ntz, body_text string, event_type string"
+EVENT_PAGE = "event_id string, title string, company_name string, company_id bigint, published_at timestamp_ntz, body_text string, event_type string"
 COMPANY_PAGE = "company_id bigint, name string, inn string, ogrn string, okpo string, region string"
 
 
@@ -240,20 +370,33 @@ def _company_link(nodes: list[dict]) -> tuple[int | None, str]:
     return next(((int(c), _text(n)) for n in nodes if n["tag"] == "a" and (c := _search(COMPANY_ID, n["attrs"].get("href") or ""))), (None, ""))
 
 
+def _lines(parts: list[str]) -> str:
+    """Pieces of text as lines without blank ones."""
+    return "\n".join(x for x in map(_clean, "\n".join(parts).split("\n")) if x)
+
+
+def _event_text(html: str | None) -> str:
+    """The text of an event page: its named block where that is long enough, else the body, line by line."""
+    nodes = tree(html, AROUND)
+    for name in TEXT_BLOCKS:
+        by = [next((n for n in nodes if re.search(name, n["attrs"].get(a) or "", re.I)), None) for a in ("id", "class")]
+        block = by[0] or by[1]
+        if block and len(_text(block)) > TEXT_LEAST:
+            return _lines(block["text"])
+    body = next((n for n in nodes if n["tag"] == "body"), None)
+    return _lines(body["text"] if body else [x for n in nodes if n["parent"] < 0 for x in n["text"]])
+
+
 def event_page(html: str | None) -> dict:
-    """Title, company, time, type and text of an event page."""
-    bare = re.sub(r"(?is)<(script|style|noscript|header|footer|nav|iframe|svg|form)\b.*?</\1>", " ", html or "")
-    nodes, body_nodes = tree(html), tree(bare)
-    named = lambda n: f"{n['attrs'].get('id') or ''} {n['attrs'].get('class') or ''}"
-    main = next((n for p in ("cont_wrap", "eventText", "event", "news", "content", "main") for n in body_nodes if re.search(p, named(n), re.I) and len(_text(n)) > 200), None)
-    main = main or next((n for n in body_nodes if n["tag"] == "body"), None)
-    lines = "".join(main["text"] if main else [x for n in body_nodes if n["parent"] < 0 for x in n["text"]]).split("\n")
-    body = "\n".join(x for x in map(_clean, lines) if x)
-    company = _company_link(nodes)
-    stated = _search(r"(?i)(?:Дата\s+(?:публикации|размещения|раскрытия)|Опубликовано)\D{0,15}(\d{2}\.\d{2}\.\d{4}(?:\s+\d{1,2}:\d{2}(?::\d{2})?)?)", body)
-    kind = _search(r"(?i)(?:Тип\s+(?:сообщения|события)|Существенн\S+\s+факт)\s*[:\-–—]?\s*(.+)", body)
-    issuer = company[1] or _search(r"(?i)(?:Полное фирменное наименование эмитента|Эмитент)\D{0,10}[:\-–—]\s*(.+)", body) or ""
-    return {"title": _head(nodes), "company_name": issuer[:300], "company_id": company[0], "published_at": _datetime(stated or "") or _datetime(body[:600]), "body_text": body, "event_type": _clean(kind or "")[:300]}
+    """Id, title, company, time, type and text of an event page: from its links, else as its text states them."""
+    nodes, body = tree(html), _event_text(html)
+    stated = {name: _clean(_search(pattern, body) or "") for name, pattern in STATED.items()}
+    number, name = _company_link(nodes)
+    links = [n["attrs"].get("href") or "" for tag in ("a", "link") for n in nodes if n["tag"] == tag and (tag == "a" or "canonical" in (n["attrs"].get("rel") or ""))]
+    return {
+        "event_id": next((e for e in (_search(EVENT_ID, h) for h in links) if e), ""), "title": _head(nodes), "company_name": name or stated["company_name"][:LONGEST], "company_id": number,
+        "published_at": _datetime(stated["published_at"]) or _datetime(body[:HEAD]), "body_text": body, "event_type": stated["event_type"][:LONGEST],
+    }
 
 
 def company_page(html: str | None) -> dict:
@@ -293,4 +436,4 @@ def message_lists(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 def scan_event_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Event pages kept as JSON files, one page a line as ``save_events_json`` writes them; ``multi_line`` for one page a file over several lines."""
-    return spark.read.schema("event_id string, " + EVENT_PAGE).option("multiLine", multi_line).json(path)
+    return spark.read.schema(EVENT_PAGE).option("multiLine", multi_line).json(path)
