@@ -14,12 +14,11 @@ def format_value(v, digits: int = 4) -> str:
     """Short text of one value: trimmed floats, ISO dates, escaped pipes, nothing for missing."""
     if v is None or isinstance(v, float) and math.isnan(v):
         return ""
-    if isinstance(v, bool):
-        return "true" if v else "false"
     if isinstance(v, float):
-        return f"{v:.{digits}f}".rstrip("0").rstrip(".") if math.isfinite(v) else str(v)
+        short = f"{v:.{digits}f}".rstrip("0").rstrip(".") if math.isfinite(v) else str(v)
+        return "0" if short == "-0" else short
     if isinstance(v, datetime):
-        return v.isoformat(sep=" ") if v.time() != datetime.min.time() else v.date().isoformat()
+        return v.strftime("%Y-%m-%d" if v.time() == datetime.min.time() else "%Y-%m-%d %H:%M")
     if isinstance(v, date):
         return v.isoformat()
     return str(v).replace("|", "\\|").replace("\n", " ")

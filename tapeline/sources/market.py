@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.sources.scratch import staged
+
 #: Titles of disclosure messages, in Russian as the taxonomy expects them; message k has title k modulo their number.
 TITLES = (
     "Об изменении размера доли участия члена органа управления эмитента",
@@ -40,7 +42,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_prices: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price table, derived once a session and folder and kept in the shared folder: every plan reads it from there."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
+    if key not in _prices:
+        _prices[key] = staged(derived_prices(spark, sf_dir))
+    return _prices[key]
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Length and time of the tables that prices are derived from."""
+    out = []
+    for name in ("lineitem", "supplier"):
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        out.append(f"{status.getLen()}@{status.getModificationTime()}")
+    return " ".join(out)
+
+
+def derived_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a nation and ship date: unit prices as a trading day's open, high, low, close, volume and turnover."""
     items, suppliers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     price = F.expr(f"{UNIT.format(div='div')} / 10000D")

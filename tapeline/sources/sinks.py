@@ -11,28 +11,63 @@ from tapeline.operators.panel import keep_one
 from tapeline.schema import conform, empty
 
 
+#: The file in a store that names its current version.
+POINTER = "_current"
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    where, fs = _files(spark, path)
+    return fs.exists(where)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder that a store's rows lie in now: the version that its pointer names, a plain folder itself, or None."""
+    base = path.rstrip("/")
+    pointer, fs = _files(spark, f"{base}/{POINTER}")
+    if fs.exists(pointer):
+        stream = fs.open(pointer)
+        try:
+            return f"{base}/{spark._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+        finally:
+            stream.close()
+    return base if fs.exists(pointer.getParent()) else None
 
 
 def load(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """The stored table in its canonical shape; a missing path is an empty table."""
-    return conform(spark.read.parquet(path), ddl) if exists(spark, path) else empty(spark, ddl)
+    found = current(spark, path)
+    return conform(spark.read.parquet(found), ddl) if found else empty(spark, ddl)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Write beside the target, then rename: a reader sees the old table or the new one."""
-    spark = df.sparkSession
-    side = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(side)
-    jvm = spark._jvm
-    target, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(side)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    if not fs.rename(made, target):
-        raise OSError(f"cannot rename {side} to {path}")
+def replace(df: DataFrame, path: str) -> str:
+    """Write a new version of a store and switch its pointer to it; the new version's folder.
+
+    Nothing is deleted before: a reader, or a run that dies on the way, finds the old version or the new one. The version
+    before stays for readers that have opened it; older ones go.
+    """
+    spark, base = df.sparkSession, path.rstrip("/")
+    before = current(spark, path)
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/{name}")
+    fresh, fs = _files(spark, f"{base}/{POINTER}.{name}")
+    stream = fs.create(fresh, True)
+    stream.write(bytearray(name, "utf-8"))
+    stream.close()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    pointer, _ = _files(spark, f"{base}/{POINTER}")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fresh, pointer, options)  # one step
+    for status in fs.listStatus(pointer.getParent()):
+        if status.getPath().getName().startswith("v-") and status.getPath().getName() not in (name, (before or "").rpartition("/")[2]):
+            fs.delete(status.getPath(), True)
+    return f"{base}/{name}"
 
 
 def append_dedup(fresh: DataFrame, path: str, ddl: str, keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -45,8 +80,7 @@ def append_dedup(fresh: DataFrame, path: str, ddl: str, keys: list[str], order:
     new = conform(fresh, ddl).withColumn("_age", F.lit(0))
     both = old.unionByName(new, allowMissingColumns=True)
     ties = order or [F.col(f"`{c}`").desc_nulls_last() for c in new.columns if c not in (*keys, "_age")]
-    replace(keep_one(both, keys, [F.asc("_age"), *ties]).drop("_age"), path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(replace(keep_one(both, keys, [F.asc("_age"), *ties]).drop("_age"), path))
 
 
 def append_prices(fresh: DataFrame, path: str, ddl: str) -> DataFrame | None:
@@ -56,7 +90,7 @@ def append_prices(fresh: DataFrame, path: str, ddl: str) -> DataFrame | None:
     marks = stored.groupBy("secid").agg(F.max("date").alias("_hwm"))
     new = conform(fresh, ddl).join(marks, "secid", "left").filter("_hwm IS NULL OR date > _hwm").drop("_hwm")
     if new.isEmpty():
-        return stored if exists(spark, path) else None
+        return stored if current(spark, path) else None
     return append_dedup(new, path, ddl, ["secid", "date"])
 
 

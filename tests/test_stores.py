@@ -32,6 +32,31 @@ def test_prices_behind_the_mark(spark, tmp_path):
     assert [(r.date.day, r.close) for r in sinks.load(spark, path, PRICES).orderBy("date").collect()] == [(5, 1.0), (6, 2.0), (7, 3.0)]
 
 
+def test_a_store_is_never_gone(spark, tmp_path, monkeypatch):
+    """The old version stands until the pointer names the new one, and a run that dies leaves the old."""
+    path = str(tmp_path / "s")
+    one = spark.createDataFrame([("a", 1)], "k string, v int")
+    sinks.replace(one, path)
+    opened = spark.read.parquet(sinks.current(spark, path))
+    sinks.replace(one.union(one), path)
+    assert opened.count() == 1 and sinks.load(spark, path, "k STRING, v INT").count() == 2
+    broken = spark.createDataFrame([("x", 0)], "k string, v int").select("k", F.raise_error(F.lit("dies")).cast("int").alias("v"))
+    with pytest.raises(Exception, match="dies"):
+        sinks.replace(broken, path)
+    assert sinks.load(spark, path, "k STRING, v INT").count() == 2
+    for _ in range(3):
+        sinks.replace(one, path)
+    assert sum(x.startswith("v-") for x in os.listdir(path)) == 2 and sinks.load(spark, path, "k STRING, v INT").count() == 1
+    plain = str(tmp_path / "plain")  # a folder that another tool wrote
+    one.write.parquet(plain)
+    assert sinks.load(spark, plain, "k STRING, v INT").count() == 1 and sinks.current(spark, str(tmp_path / "none")) is None
+
+
+def test_values_in_reports():
+    cases = {None: "", float("nan"): "", -0.00001: "0", 1.5: "1.5", True: "True", float("inf"): "inf", datetime(2024, 1, 2): "2024-01-02", datetime(2024, 1, 2, 3, 4, 5): "2024-01-02 03:04", date(2024, 1, 2): "2024-01-02", 7: "7"}
+    assert [report.format_value(v) for v in cases] == list(cases.values())
+
+
 def test_report(spark, tmp_path):
     df = spark.createDataFrame([(1.23456, "a|b"), (None, None)], "x double, y string")
     assert "| 1.2346 | a\\|b |" in report.markdown_table(df)
@@ -39,6 +64,24 @@ def test_report(spark, tmp_path):
     assert out.startswith("# T") and "| n | 2 |" in out
 
 
+def test_streamed_prices_and_confounders(spark, tmp_path):
+    src, store = str(tmp_path / "p"), str(tmp_path / "store")
+    row = lambda d, c: (date(2024, 1, d), "A", None, None, None, c, None, None, None)
+    spark.createDataFrame([row(1, 1.0), row(2, 2.0)], PRICES).write.parquet(src)
+    stream = spark.readStream.schema(PRICES).parquet(src)
+    streams.merge_prices(stream, store, str(tmp_path / "c")).awaitTermination()
+    spark.createDataFrame([row(2, 9.0), row(3, 3.0)], PRICES).write.mode("append").parquet(src)
+    streams.merge_prices(stream, store, str(tmp_path / "c")).awaitTermination()
+    assert [(r.date.day, r.close) for r in sinks.load(spark, store, PRICES).orderBy("date").collect()] == [(1, 1.0), (2, 2.0), (3, 3.0)]
+    ddl = "event_id string, secid string, published_at timestamp"
+    for name, rows in (("e", [("a", "S", datetime(2024, 1, 10)), ("b", "S", datetime(2024, 1, 20))]), ("f", [("c", "S", datetime(2024, 1, 14)), ("a", "S", datetime(2024, 1, 10)), ("d", "T", datetime(2024, 1, 20))])):
+        spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / name))
+    read = lambda n: spark.readStream.schema(ddl).parquet(str(tmp_path / n))
+    q = streams.confounded(read("e"), read("f")).writeStream.format("memory").queryName("near").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.event_id, r.c_id) for r in spark.table("near").collect()] == [("a", "c")]
+
+
 def test_stream_dedup(spark, tmp_path):
     src = str(tmp_path / "in")
     ddl = MESSAGES.replace("TIMESTAMP_NTZ", "TIMESTAMP")
