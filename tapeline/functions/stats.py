@@ -27,7 +27,7 @@ def student_p(t: Column, df: Column) -> Column:
 
 
 def sign_test_p(positive: Column, n: Column) -> Column:
-    """Exact two-sided binomial p-value at one half; NULL below two trials."""
+    """Exact two-sided binomial p-value at one half; NULL without a trial."""
     k = F.least(positive, n - positive).cast("int")
     zero = F.struct((-n * F.lit(math.log(2))).alias("log"), F.exp(-n * F.lit(math.log(2))).alias("sum"))
 
@@ -36,7 +36,7 @@ def sign_test_p(positive: Column, n: Column) -> Column:
         return F.struct(log.alias("log"), (a["sum"] + F.exp(log)).alias("sum"))
 
     steps = F.when(k >= 1, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
-    return F.when(n >= 2, F.least(F.lit(1.0), 2 * F.aggregate(steps, zero, step, lambda a: a["sum"])))
+    return F.when(n >= 1, F.least(F.lit(1.0), 2 * F.aggregate(steps, zero, step, lambda a: a["sum"])))
 
 
 def normal_p(z: Column) -> Column:

@@ -159,7 +159,7 @@ def summarize(cars: DataFrame, by: tuple[str, ...] = ("category", "direction"),
     )
     t = F.when((F.col("n") >= 2) & (F.col("std") > 0), F.col("mean_car") / (F.col("std") / F.sqrt(F.col("n").cast("double"))))
     g = g.withColumn("t_stat", t)
-    return g.withColumn("p_value", F.when(F.col("t_stat").isNotNull(), stats.student_p(F.col("t_stat"), F.col("n") - 1))).withColumn("sign_test_p", stats.sign_test_p(F.col("_pos"), F.col("_nz"))).drop("_pos", "_nz")
+    return g.withColumn("p_value", F.when(F.col("t_stat").isNotNull(), stats.student_p(F.col("t_stat"), F.col("n") - 1))).withColumn("sign_test_p", F.when(F.col("n") >= 2, stats.sign_test_p(F.col("_pos"), F.col("_nz")))).drop("_pos", "_nz")
 
 
 def screen(summary: DataFrame, window: str, min_n: int = 10, alpha: float = 0.05) -> DataFrame:

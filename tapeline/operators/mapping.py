@@ -70,6 +70,12 @@ def classify_messages(messages: DataFrame) -> DataFrame:
     return messages.withColumn("category", text.classify(F.col("event_type"))).withColumn("direction", text.static_direction(F.col("category")))
 
 
+def insider_trades(pages: DataFrame) -> DataFrame:
+    """Stake changes of event pages (event_id, body_text) with the role of the person: event_id and the fields of a stake."""
+    told = text.stake_changes(pages.filter(text.is_stake_text(F.col("body_text"))).select("event_id", "body_text")).select("event_id", "stake.*")
+    return told.withColumn("role", text.classify_role(F.col("position")))
+
+
 def events_table(messages: DataFrame, companies: DataFrame, mapping: DataFrame, trades: DataFrame | None = None, categories: list[str] | None = None) -> DataFrame:
     """Classified messages of mapped companies as events; reported stake changes override direction and size; subsidiaries' go."""
     m = classify_messages(messages)

@@ -95,8 +95,10 @@ def liquidity_stats(prices: DataFrame, window_days: int = 60, as_of: str | None
     ends = ends.withColumn("window_end", F.lit(as_of).cast("date") if as_of else F.col("last_date"))
     traded = p.filter("volume > 0").groupBy("secid", "date").agg(F.sum("value").alias("value"))
     days = (calendar if calendar is not None else trading_calendar(p)).select("date")
-    in_window = (F.col("date") > F.date_sub("window_end", window_days)) & (F.col("date") <= F.col("window_end"))
-    cells = ends.join(F.broadcast(days), in_window, "left").join(traded, ["secid", "date"], "left")
+    # The window's calendar days meet the trading days by equality; a window without any trading day keeps one empty row.
+    spread = ends.withColumn("day", F.explode(F.sequence(F.date_sub("window_end", window_days - 1), F.col("window_end"))))
+    cells = spread.join(F.broadcast(days.withColumnRenamed("date", "day").withColumn("date", F.col("day"))), "day", "left").drop("day")
+    cells = cells.join(traded, ["secid", "date"], "left")
     known = F.col("date").isNotNull()
     n, t = F.count("date"), F.count_if(known & F.col("value").isNotNull())
     turnover = F.when(known, F.coalesce("value", F.lit(0.0)))

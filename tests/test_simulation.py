@@ -73,3 +73,75 @@ def test_gap_returns(spark):
     g = panel.price_grid(p, panel.trading_calendar(p))
     assert {r.pos: r.ret for r in panel.with_returns(g).filter("secid = 'A'").collect()} == {0: None, 1: None, 2: pytest.approx(0.2)}
     assert {r.pos: r.ret for r in panel.with_returns(g, fill_gaps=False).filter("secid = 'A'").collect()} == {0: None, 1: None, 2: None}
+
+
+def test_metrics_are_the_definitions(spark, market):
+    cfg, trades, daily, outcome = run(spark, market, hold_days=5, direction_filter=None, allow_short=True)
+    out = spark.createDataFrame(outcome.assign(run_id="x"))
+    m = bt.compute_metrics(spark.createDataFrame(daily), spark.createDataFrame(trades), cfg.initial_capital, out).first()
+    ret, eq, net, pnl = daily.ret, daily.equity, trades.net_ret, trades.pnl
+    years, year = len(daily) / 252, 252**0.5
+    down = (ret.clip(upper=0) ** 2).mean() ** 0.5
+    fall = (eq / eq.cummax() - 1).min()
+    cagr = (eq.iloc[-1] / cfg.initial_capital) ** (1 / years) - 1
+    diff = ret - daily.index_ret
+    want = {
+        "n_days": len(daily), "total_return": eq.iloc[-1] / cfg.initial_capital - 1, "cagr": cagr, "annual_vol": ret.std() * year, "sharpe": ret.mean() / ret.std() * year, "sortino": ret.mean() / down * year,
+        "max_drawdown": fall, "calmar": cagr / abs(fall), "n_trades": len(trades), "hit_rate": (net > 0).mean(), "avg_win": net[net > 0].mean(), "avg_loss": net[net <= 0].mean(),
+        "profit_factor": pnl[pnl > 0].sum() / -pnl[pnl < 0].sum(), "avg_hold_days": trades.hold_days.mean(), "avg_net_ret": net.mean(), "turnover": (trades.qty * (trades.entry_price + trades.exit_price)).sum() / eq.mean() / years,
+        "total_commission": trades.commission.sum(), "exposure_avg": daily.exposure.mean(), "information_ratio": diff.mean() / diff.std() * year, "index_total_return": daily.index_equity.dropna().iloc[-1] / cfg.initial_capital - 1,
+        "n_signals": len(outcome), "skipped_signals": (outcome.status == "skipped").sum(),
+    }
+    for k, v in want.items():
+        assert m[k] == pytest.approx(v), k
+    assert m.exit_reasons == trades.exit_reason.value_counts().to_dict()
+    assert m.skipped_by_reason == outcome[outcome.status == "skipped"].skip_reason.value_counts().to_dict()
+    won = spark.createDataFrame(trades[trades.pnl > 0])
+    assert bt.compute_metrics(spark.createDataFrame(daily), won, cfg.initial_capital).first().profit_factor == float("inf")
+    none = bt.compute_metrics(spark.createDataFrame(daily), won.limit(0), cfg.initial_capital).first()
+    assert none.n_trades == 0 and none.turnover == 0 and none.profit_factor is None and none.exit_reasons == {}
+    assert bt.daily_returns(spark.createDataFrame(daily), cfg.initial_capital).orderBy("pos").toPandas().ret.to_list() == pytest.approx(ret.to_list())
+
+
+@pytest.mark.parametrize("entry", ["next_open", "t0_close", "next_close"])
+def test_placebo_stays_in_the_real_range(spark, market, entry):
+    e, p, i = market
+    cfg = bt.BacktestConfig(hold_days=5, start="2022-03-01", end="2022-07-29", entry=entry)
+    cal = panel.trading_calendar(p, i).persist()
+    board = bt.backtest_panel(p, i, cfg).persist()
+    real = bt.run_backtests(bt.prepare_signals(e.drop("pos"), p, cal, cfg).withColumn("run_id", F.lit("x")), board, {"x": cfg}).persist()
+    trades, daily = bt.trades_of(real), bt.daily_of(real)
+    fake, configs = bt.placebo(trades, daily, p, cal, board, cfg, n_iter=4)
+    span, n = daily.agg(F.min("pos").alias("a"), F.max("pos").alias("b")).first(), trades.count()
+    days = {r.date: r.pos for r in cal.collect()}
+    got = fake.collect()
+    assert n and len(got) == 4 * n and set(configs) == {f"p{k}" for k in range(4)} and {(r.start_pos, r.end_pos) for r in got} == {(span.a, span.b)}
+    for r in got:
+        at = days[r.published_at.date()]
+        assert r.published_at.hour == 12 and span.a <= at <= span.b - cfg.hold_days - 2 and r.entry_pos == at + (entry != "t0_close")
+    assert {r.secid for r in got} == {r.secid for r in trades.collect()}
+
+
+def test_walk_forward_names_its_parameters(spark, market):
+    e, p, i = market
+    grid = {"hold_days": [3, 8], "entry": ["next_open", "t0_close"]}
+    got = bt.walk_forward(e.drop("pos"), p, i, grid, "2022-06-01", base=bt.BacktestConfig(categories=("insider",))).collect()
+    assert {(r.hold_days, r.entry) for r in got} == {(str(h), x) for h in (3, 8) for x in ("next_open", "t0_close")}
+    assert [r.is_sharpe for r in got if r.best] == [max(r.is_sharpe for r in got)] and all(r.is_n_trades and r.oos_n_trades for r in got)
+    cfg = bt.BacktestConfig(categories=("insider",), hold_days=8, entry="t0_close", end="2022-06-01")
+    cal = panel.trading_calendar(p, i)
+    s = bt.prepare_signals(e.drop("pos").filter("published_at < TIMESTAMP_NTZ'2022-06-01 00:00:00'"), p, cal, cfg).withColumn("run_id", F.lit("x"))
+    one = bt.run_backtests(s, bt.backtest_panel(p, i, cfg), {"x": cfg}).persist()
+    m = bt.compute_metrics(bt.daily_of(one), bt.trades_of(one)).first()
+    assert [(r.is_sharpe, r.is_n_trades) for r in got if (r.hold_days, r.entry) == ("8", "t0_close")] == [(pytest.approx(m.sharpe), m.n_trades)]
+
+
+def test_plans_have_no_products(spark, market):
+    e, p, i = market
+    cfg = bt.BacktestConfig()
+    configs = {f"r{k}": cfg for k in range(3)}
+    s = bt.signals_of_runs(e.drop("pos"), p, panel.trading_calendar(p, i), configs)
+    plan = bt.run_backtests(s, bt.backtest_panel(p, i, cfg), configs)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    plain = spark.createDataFrame([], "secid string, date date, volume double, value double")
+    assert "NestedLoop" not in panel.liquidity_stats(plain)._jdf.queryExecution().executedPlan().toString()
