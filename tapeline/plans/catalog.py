@@ -133,7 +133,7 @@ def scan_prices(s, d):
     return m.prices(s, d).filter("secid = 'N03'")
 
 
-@query("price_panel", "WITH " + m.PRICES_SQL + " SELECT secid, date, close FROM prices WHERE secid IN ('N01', 'N02', 'N99')")
+@query("price_panel", "WITH " + m.PRICES_SQL + " SELECT secid, date, close FROM prices")
 def price_panel(s, d):
     return m.prices(s, d).select("secid", "date", "close")
 
@@ -166,19 +166,31 @@ def messages_by_year(s, d):
     return m.messages(s, d).groupBy(F.year("published_at").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("request_cache_key", "SELECT page_id, sha1('GET' || chr(10) || url || chr(10)) AS cache_key FROM pages")
+@query("request_cache_key", """SELECT page_id, sha1('POST ' || url || '?a=' || (page_id % 7) || '|x&page=' || page_id || '#q=' || (page_id % 3)) AS cache_key FROM pages""")
 def request_cache_key(s, d):
     from tapeline.sources.feeds import cache_key
 
-    return m.table(s, d, "pages").select("page_id", cache_key(F.lit("GET"), F.col("url")).alias("cache_key"))
+    text_of = lambda x: F.expr(x).cast("string")
+    params = F.create_map(F.lit("page"), F.array(text_of("page_id")), F.lit("a"), F.array(text_of("page_id % 7"), F.lit("x")))
+    return m.table(s, d, "pages").select("page_id", cache_key(F.lit("post"), F.col("url"), params, F.create_map(F.lit("q"), F.array(text_of("page_id % 3")))).alias("cache_key"))
 
 
-@query("page_class", """SELECT page_id, CASE WHEN html IS NULL OR length(trim(html)) = 0 THEN 'empty' WHEN contains(lower(html), 'captcha') THEN 'captcha'
-  WHEN length(html) < 2000 AND contains(lower(html), '<script') AND NOT contains(lower(html), '<p') THEN 'stub' ELSE 'content' END AS page_class FROM pages""")
+#: What is put before every so many-th page: checks, captchas, and words that only sound like them.
+MADE_PAGES = ["", "<script src=\"/SP_Rotated_captcha.js\"></script>", "<div id=\"id_spinner\"></div>", "a captcha, they say", "{\"is_captcha\": true}", "<i>spsc=1</i>", "<noscript>x</noscript><script></script>"]
+LOW_HEAD = lambda n: f"lower(left(h, {n}))"
+
+
+@query("page_class", f"""WITH p AS (SELECT page_id, ([{', '.join("'" + x + "'" for x in MADE_PAGES)}])[CAST(page_id % {len(MADE_PAGES)} AS INTEGER) + 1] || CASE WHEN page_id % 2 = 0 THEN '<meta http-equiv="refresh"><NOSCRIPT><script>' || replace(coalesce(html, ''), '<a ', '<b ') ELSE coalesce(html, '') END AS h FROM pages)
+SELECT page_id, CASE WHEN regexp_matches({LOW_HEAD(60000)}, 'sp_rotated_captcha|captchaintgen|"is_captcha": ?true') THEN 'captcha'
+  WHEN regexp_matches({LOW_HEAD(40000)}, 'id_captcha_frame_div|spinner-container|id_spinner|__sp_init|spsc=') THEN 'stub'
+  WHEN NOT contains(lower(h), '<a ') AND contains({LOW_HEAD(40000)}, 'http-equiv="refresh"') AND contains({LOW_HEAD(40000)}, '<noscript>') AND contains({LOW_HEAD(40000)}, '<script') THEN 'stub' ELSE 'content' END AS page_class FROM p""")
 def page_class(s, d):
     from tapeline.sources.feeds import page_class as of
 
-    return m.table(s, d, "pages").select("page_id", of(F.col("html")).alias("page_class"))
+    put = F.element_at(F.array(*[F.lit(x) for x in MADE_PAGES]), (F.col("page_id") % len(MADE_PAGES)).cast("int") + 1)
+    html = F.coalesce("html", F.lit(""))
+    rest = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta http-equiv="refresh"><NOSCRIPT><script>'), F.replace(html, F.lit("<a "), F.lit("<b ")))).otherwise(html)
+    return m.table(s, d, "pages").select("page_id", of(F.concat(put, rest)).alias("page_class"))
 
 
 @query("html_link_patterns", """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
@@ -215,7 +227,7 @@ def price_grid(s, d):
     return grid(s, d)
 
 
-@query("to_wide", "WITH " + GRID + " SELECT date, max(CASE WHEN secid = 'N01' THEN close END) AS \"N01\", max(CASE WHEN secid = 'N02' THEN close END) AS \"N02\" FROM grid WHERE secid IN ('N01', 'N02') GROUP BY 1")
+@query("to_wide", "WITH " + GRID + " SELECT date, " + ", ".join(f"max(CASE WHEN secid = 'N{k:02d}' THEN close END) AS \"N{k:02d}\"" for k in range(25)) + " FROM grid GROUP BY 1")
 def to_wide(s, d):
     return panel.to_wide(grid(s, d), sorted(x.secid for x in list_secids(s, d).collect()))
 
@@ -357,6 +369,14 @@ def signed_car(s, d):
     return c.select("event_id", "window", r("signed_car", 4).alias("signed_car"), r("signed_bhar", 3).alias("signed_bhar"))
 
 
+def student_sql(t: str, df: str) -> str:
+    """Two-sided p-value of whole degrees of freedom: the finite series, its coefficients by the logarithm of the gamma function."""
+    th = f"atan(abs({t}) / sqrt({df}))"
+    odd = f"list_sum(list_transform(range(0, CAST(({df} - 1) // 2 AS BIGINT)), lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(cos({th}), 2 * k + 1)))"
+    even = f"list_sum(list_transform(range(0, CAST({df} // 2 AS BIGINT)), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * pow(cos({th}), 2 * k)))"
+    return f"greatest(0, 1 - CASE WHEN {df} % 2 = 1 THEN 2 / pi() * ({th} + sin({th}) * coalesce({odd}, 0)) ELSE sin({th}) * {even} END)"
+
+
 SUMMARY = CARS + """,
 summ AS (
   SELECT category, direction, "window", win_start, win_end, count(car) AS n, avg(car) AS mean_car, quantile_cont(car, 0.5) AS median_car, stddev_samp(car) AS std,
@@ -368,35 +388,44 @@ def summary(s, d):
     return es.summarize(es.car_table(gathered(s, d), STUDY.windows, STUDY.coverage))
 
 
-@query("summarize", SUMMARY + ' SELECT category, direction, "window", n, round(mean_car, 4) + 0.0 AS mean_car, round(median_car, 4) + 0.0 AS median_car, round(std, 4) AS std, round(share_positive, 4) AS share_positive, round(CASE WHEN n >= 2 AND std > 0 THEN mean_car / (std / sqrt(n)) END, 4) + 0.0 AS t_stat, round(mean_bhar, 2) + 0.0 AS mean_bhar FROM summ')
+@query("summarize", SUMMARY + ' SELECT category, direction, "window", n, round(mean_car, 4) + 0.0 AS mean_car, round(median_car, 4) + 0.0 AS median_car, round(std, 4) AS std, round(share_positive, 4) AS share_positive, round(CASE WHEN n >= 2 AND std > 0 THEN mean_car / (std / sqrt(n)) END, 4) + 0.0 AS t_stat, round(mean_bhar, 2) + 0.0 AS mean_bhar, round(CASE WHEN n >= 2 AND std > 0 THEN ' + student_sql("(mean_car / (std / sqrt(n)))", "(n - 1)") + ' END, 4) + 0.0 AS p_value FROM summ')
 def summarize(s, d):
     x = summary(s, d)
-    return x.select("category", "direction", "window", "n", *[r(c, 2 if c == "mean_bhar" else 4).alias(c) for c in ("mean_car", "median_car", "std", "share_positive", "t_stat", "mean_bhar")])
+    return x.select("category", "direction", "window", "n", *[r(c, 2 if c == "mean_bhar" else 4).alias(c) for c in ("mean_car", "median_car", "std", "share_positive", "t_stat", "mean_bhar", "p_value")])
 
 
 @query("sign_test", SUMMARY + """, b AS (SELECT category, direction, "window", CAST(pos AS BIGINT) AS positive, CAST(nz AS BIGINT) AS trials, least(pos, nz - pos) AS k FROM summ)
-SELECT category, direction, "window", positive, trials, round(CASE WHEN trials >= 2 THEN least(1, 2 * (SELECT sum(exp(lgamma(trials + 1) - lgamma(i + 1) - lgamma(trials - i + 1) - trials * ln(2))) FROM unnest(range(0, k + 1)) t(i))) END, 6) AS sign_test_p FROM b""")
+SELECT category, direction, "window", positive, trials, round(CASE WHEN trials >= 1 THEN least(1, 2 * (SELECT sum(exp(lgamma(trials + 1) - lgamma(i + 1) - lgamma(trials - i + 1) - trials * ln(2))) FROM unnest(range(0, k + 1)) t(i))) END, 6) AS sign_test_p FROM b""")
 def sign_test(s, d):
     c = es.car_table(gathered(s, d), STUDY.windows, STUDY.coverage)
     g = c.groupBy("category", "direction", "window").agg(F.count_if(F.col("car") > 0).alias("positive"), F.count_if(F.col("car") != 0).alias("trials"))
     return g.withColumn("sign_test_p", r(stats.sign_test_p(F.col("positive"), F.col("trials"))))
 
 
-@query("student_p_values")
+@query("student_p_values", "WITH x AS (SELECT event_id, (event_id % 4001 - 2000) / 400.0 AS t, 1 + event_id % 97 AS df FROM events) SELECT event_id, round(" + student_sql("t", "df") + ", 6) + 0.0 AS p FROM x")
 def student_p_values(s, d):
-    t = s.createDataFrame([(-2.0969, 98), (0.5911, 60), (2.0, 1), (2.0, 2), (4.5, 54), (0.0, 7)], "t double, df int")
-    return t.select("t", "df", r(stats.student_p(F.col("t"), F.col("df"))).alias("p"))
+    t = m.table(s, d, "events").select("event_id", F.expr("(event_id % 4001 - 2000) / 400.0D").alias("t"), F.expr("1 + event_id % 97").alias("df"))
+    return t.select("event_id", r(stats.student_p(F.col("t"), F.col("df"))).alias("p"))
 
 
-@query("bh_fdr", "WITH x AS (SELECT * FROM (VALUES ('a', 0.01), ('b', 0.04), ('c', 0.03), ('d', 0.5), ('e', NULL)) t(name, p)), k AS (SELECT name, CAST(p AS DOUBLE) AS p, row_number() OVER (ORDER BY p NULLS LAST) AS rk, count(p) OVER () AS m FROM x) SELECT name, p AS p_value, round(CASE WHEN p IS NOT NULL THEN least(1, min(p * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END, 6) AS q_value FROM k")
+P_VALUES = "CASE WHEN event_id % 11 <> 0 THEN ((event_id * 7919) % 10007 + 1) / 10008.0 END"
+
+
+@query("bh_fdr", f"WITH x AS (SELECT event_id, {P_VALUES} AS p FROM events), k AS (SELECT event_id, CAST(p AS DOUBLE) AS p, row_number() OVER (ORDER BY p NULLS LAST, event_id) AS rk, count(p) OVER () AS m FROM x) SELECT event_id, round(CASE WHEN p IS NOT NULL THEN least(1, min(p * m / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END, 6) AS q_value FROM k")
 def bh_fdr(s, d):
-    t = s.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.5), ("e", None)], "name string, p_value double")
-    return rounded(stats.bh_q(t))
+    return rounded(stats.bh_q(m.table(s, d, "events").select("event_id", F.expr(P_VALUES.replace("10008.0", "10008.0D")).alias("p_value"))).select("event_id", "q_value"))
+
+
+SCREEN = SUMMARY + """, ps AS (SELECT *, CASE WHEN n >= 2 AND std > 0 THEN mean_car / (std / sqrt(n)) END AS t FROM summ WHERE "window" = '[0,5]' AND n >= 5),
+pv AS (SELECT *, """ + student_sql("t", "(n - 1)") + """ AS p FROM ps WHERE t IS NOT NULL),
+pr AS (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS tests FROM pv), pq AS (SELECT *, least(1, min(p * tests / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM pr)
+SELECT category, direction, n, round(mean_car, 4) + 0.0 AS mean_car, round(t, 4) + 0.0 AS t_stat, round(p, 4) + 0.0 AS p_value, round(q, 4) + 0.0 AS q_value, q <= 0.05 AS significant,
+  CAST(row_number() OVER (ORDER BY abs(t) DESC, category, direction) AS INTEGER) AS rank FROM pq"""
 
 
-@query("screen_categories")
+@query("screen_categories", SCREEN)
 def screen_categories(s, d):
-    return rounded(es.screen(summary(s, d), "[0,5]", min_n=5), 4)
+    return rounded(es.screen(summary(s, d), "[0,5]", min_n=5).select("category", "direction", "n", "mean_car", "t_stat", "p_value", "q_value", "significant", "rank"), 4)
 
 
 @query("bootstrap_ci")

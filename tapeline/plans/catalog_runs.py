@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import functions as F
 
 from tapeline.functions import text
@@ -12,6 +10,7 @@ from tapeline.operators import panel
 from tapeline.plans.catalog import GRID, MKT, calendar, query, r, rounded
 from tapeline.plans.catalog import m as market
 from tapeline.sources import feeds
+from tapeline.sources.scratch import shared_dir, staged
 
 CONFIG = bt.BacktestConfig(hold_days=10, min_turnover=5e4, allow_short=True, direction_filter=None, max_participation=0.5, categories=("1-URGENT",))
 SIGNAL_SQL = "WITH " + GRID + MKT + "," + market.EVENTS_SQL + """,
@@ -34,6 +33,11 @@ def runs(s, d):
     return bt.run_backtests(signals(s, d).withColumn("run_id", F.lit("base")), board(s, d), {"base": CONFIG})
 
 
+def flat(df):
+    """Maps as JSON text, numbers rounded: what a table of results shows."""
+    return rounded(df.select(*[F.to_json(c).alias(c) if t.startswith("map") else F.col(c) for c, t in df.dtypes]), 4)
+
+
 @query("backtest_panel", "WITH " + GRID + MKT + """ SELECT g.secid, g.pos, last_value(g.close IGNORE NULLS) OVER (PARTITION BY secid ORDER BY g.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_close, k.mkt_close,
   round(CASE WHEN count(value) OVER w >= 20 THEN quantile_cont(value, 0.5) OVER w END, 4) AS adv FROM grid g JOIN mk k ON k.pos = g.pos WINDOW w AS (PARTITION BY secid ORDER BY g.pos ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""")
 def backtest_panel(s, d):
@@ -82,8 +86,8 @@ def backtest_daily(s, d):
 
 @query("backtest_metrics")
 def backtest_metrics(s, d):
-    x = runs(s, d).persist()
-    return rounded(bt.compute_metrics(bt.daily_of(x), bt.trades_of(x), CONFIG.initial_capital), 4)
+    x = staged(runs(s, d))
+    return flat(bt.compute_metrics(bt.daily_of(x), bt.trades_of(x), CONFIG.initial_capital, bt.outcomes_of(x)))
 
 
 @query("max_drawdown", "WITH " + GRID + " , e AS (SELECT secid AS run_id, pos, close AS equity FROM grid WHERE close IS NOT NULL) SELECT run_id, round(min(equity / m - 1), 6) + 0.0 AS max_drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY run_id ORDER BY pos) AS m FROM e) GROUP BY 1")
@@ -110,11 +114,9 @@ PLACEBO_RUNS = 200
 
 @query("placebo")
 def placebo(s, d):
-    x = runs(s, d).persist()
-    b = board(s, d)
-    fake = bt.placebo(bt.trades_of(x), b, CONFIG, n_iter=PLACEBO_RUNS)
-    names = {f"p{i}": CONFIG for i in range(PLACEBO_RUNS)}
-    y = bt.run_backtests(fake, b, names).persist()
+    x, b = staged(runs(s, d)), staged(board(s, d))
+    fake, configs = bt.placebo(bt.trades_of(x), bt.daily_of(x), market.prices(s, d), calendar(s, d), b, CONFIG, n_iter=PLACEBO_RUNS)
+    y = staged(bt.run_backtests(fake, b, configs))
     return rounded(bt.compute_metrics(bt.daily_of(y), bt.trades_of(y), CONFIG.initial_capital).select("run_id", "sharpe", "total_return", "n_trades"), 4)
 
 
@@ -135,12 +137,12 @@ def payloads(s, d):
     return g.select("secid", F.to_json(F.struct(F.struct(names.alias("columns"), "data").alias("history"))).alias("payload"))
 
 
-@query("json_block", "WITH " + market.PRICES_SQL + " SELECT secid, date AS tradedate, close FROM prices WHERE month(date) = 1")
+@query("json_block", "WITH " + market.PRICES_SQL + " SELECT secid, date AS tradedate, close FROM prices")
 def json_block(s, d):
     return feeds.json_block(payloads(s, d), "history", {"SECID": "string", "TRADEDATE": "date", "CLOSE": "double"})
 
 
-@query("history_to_prices", "WITH " + market.PRICES_SQL + " SELECT date, secid, open, high, low, close, volume, value, numtrades FROM prices WHERE month(date) = 1")
+@query("history_to_prices", "WITH " + market.PRICES_SQL + " SELECT date, secid, open, high, low, close, volume, value, numtrades FROM prices")
 def history_to_prices(s, d):
     return feeds.history_to_prices(payloads(s, d))
 
@@ -164,12 +166,16 @@ def security_description(s, d):
 PAGE = "event_id div 1000"
 
 
-@query("parse_search_json", "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS BIGINT) AS company_id, event_type, date_trunc('second', ts) AS published_at FROM events WHERE event_id % 10 = 1")
+@query("parse_search_json", "SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id // 1000 % 3 < 2 THEN CAST(user_id AS BIGINT) END AS company_id, event_type, CASE event_id // 1000 % 3 WHEN 1 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS published_at, 'https://e-disclosure.ru/portal/event.aspx?EventId=' || event_id AS url FROM events")
 def parse_search_json(s, d):
-    e = market.table(s, d, "events")
-    item = F.struct(F.col("event_id").cast("string").alias("EventGuid"), F.col("user_id").cast("string").alias("companyID"), F.concat(F.lit("<b>"), "event_type", F.lit("</b>")).alias("eventName"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("eventDate"))
-    p = e.groupBy(F.expr(PAGE).alias("page")).agg(F.collect_list(item).alias("foundEventsList")).select(F.to_json(F.struct("foundEventsList")).alias("payload"))
-    return feeds.search_json(p).select("event_id", "company_id", "event_type", "published_at")
+    """Answers in three shapes: under a known list, under a later one behind an empty list, and under a name nobody knows."""
+    e, iso = market.table(s, d, "events"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    named = lambda **c: F.collect_list(F.struct(*[v.alias(k) for k, v in c.items()]))
+    event, user, kind = F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.concat(F.lit("<b>"), "event_type", F.lit("</b>"))
+    g = e.groupBy(F.expr(PAGE).alias("page")).agg(named(EventGuid=event, companyID=user, eventName=kind, eventDate=iso).alias("foundEventsList"), named(guid=event, orgId=user, Title=kind, dt=F.date_format("ts", "dd.MM.yyyy HH:mm")).alias("items"), named(code=event, highlighted=kind, seen=iso).alias("unknown"))
+    empty = F.array().cast("array<string>").alias("events")
+    shape = F.when(F.col("page") % 3 == 0, F.to_json(F.struct("foundEventsList"))).when(F.col("page") % 3 == 1, F.to_json(F.struct(empty, "items"))).otherwise(F.to_json(F.struct("page", "unknown")))
+    return feeds.search_json(g.select(shape.alias("payload"))).select("event_id", "company_id", "event_type", "published_at", "url")
 
 
 def _lists(s, d):
@@ -178,16 +184,28 @@ def _lists(s, d):
     return e.groupBy(F.expr(PAGE).alias("page")).agg(F.concat(F.lit("<html><body><table>"), F.concat_ws("", F.collect_list(row)), F.lit("</table></body></html>")).alias("html"))
 
 
-@query("parse_message_list", "SELECT 'e' || CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS BIGINT) AS company_id, 'К ' || CAST(user_id AS VARCHAR) AS company_name, date_trunc('minute', ts) AS published_at, event_type FROM events WHERE event_id % 10 = 1")
+@query("parse_message_list", "SELECT 'e' || CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS BIGINT) AS company_id, 'К ' || CAST(user_id AS VARCHAR) AS company_name, date_trunc('minute', ts) AS published_at, event_type FROM events")
 def parse_message_list(s, d):
     return feeds.message_lists(_lists(s, d)).drop("url")
 
 
-@query("parse_event_page", "SELECT p_partkey, p_name AS title, CAST(p_partkey AS BIGINT) AS company_id, p_brand AS event_type FROM part")
+EVENT_SQL = """WITH p AS (SELECT *, p_partkey % 3 AS v, DATE '2020-01-01' + CAST(p_partkey % 1000 AS INTEGER) AS day FROM part)
+SELECT p_partkey, 'E-' || p_partkey AS event_id, CASE WHEN v = 2 THEN 'x' ELSE p_name END AS title, CASE WHEN v < 2 THEN CAST(p_partkey AS BIGINT) END AS company_id, CASE v WHEN 0 THEN 'ПАО ' || p_brand WHEN 1 THEN 'АО ' || p_type ELSE 'ООО ' || p_brand END AS company_name,
+  CASE v WHEN 2 THEN day::TIMESTAMP ELSE day::TIMESTAMP + INTERVAL 12 HOUR + INTERVAL 30 MINUTE END AS published_at, CASE v WHEN 1 THEN '' ELSE p_type END AS event_type FROM p"""
+
+
+@query("parse_event_page", EVENT_SQL)
 def parse_event_page(s, d):
-    p = market.table(s, d, "part")
-    page = F.concat(F.lit("<html><head><title>x</title><script>var a=1;</script></head><body><h1>"), "p_name", F.lit("</h1><a href='/portal/company.aspx?id="), F.col("p_partkey").cast("string"), F.lit("'>ПАО</a><div>Дата публикации: 15.03.2024 12:30<br>Тип сообщения: "), "p_brand", F.lit("<br>Текст</div></body></html>"))
-    return feeds.event_pages(p.select("p_partkey", page.alias("html"))).select("p_partkey", "event.title", "event.company_id", "event.event_type")
+    """Three kinds of pages: one with all fields named, one that says only when, one without links and headings."""
+    p = market.table(s, d, "part").withColumn("day", F.date_format(F.expr("date_add(DATE'2020-01-01', CAST(p_partkey % 1000 AS INT))"), "dd.MM.yyyy"))
+    k = F.col("p_partkey").cast("string")
+    company = lambda name: F.concat(F.lit("<a href='/portal/company.aspx?id="), k, F.lit("'>"), name, F.lit("</a>"))
+    event = F.concat(F.lit("<a href='/portal/event.aspx?EventId=E-"), k, F.lit("'>here</a>"))
+    full = F.concat(F.lit("<html><head><title>x</title><script>var a='Тип события: нет';</script></head><body><h1>"), "p_name", F.lit("</h1>"), company(F.concat(F.lit("ПАО "), "p_brand")), event, F.lit("<div>Дата публикации: "), "day", F.lit(" 12:30<br>Тип сообщения: "), "p_type", F.lit("<br>Текст</div></body></html>"))
+    bare = F.concat(F.lit("<body><nav>Тип события: меню</nav><h2>"), "p_name", F.lit("</h2>"), event, company(F.concat(F.lit("АО&nbsp;"), "p_type")), F.lit("<p>"), "day", F.lit("  12:30</p></body>"))
+    said = F.concat(F.lit("<title>x</title><link rel='canonical' href='/portal/event.aspx?EventId=E-"), k, F.lit("'><body><form>Эмитент: поиск</form><div id='cont_wrap'>"), F.lit("слово " * 50), F.lit("<br>Эмитент: ООО "), "p_brand", F.lit("<br>Существенный факт: "), "p_type", F.lit("<br>Опубликовано: "), "day", F.lit("</div>Тип события: подвал</body>"))
+    page = F.when(F.col("p_partkey") % 3 == 0, full).when(F.col("p_partkey") % 3 == 1, bare).otherwise(said)
+    return feeds.event_pages(p.select("p_partkey", page.alias("html"))).select("p_partkey", *[f"event.{c}" for c in ("event_id", "title", "company_id", "company_name", "published_at", "event_type")])
 
 
 @query("parse_company_page", "SELECT p_partkey, p_name AS name, lpad(CAST(p_partkey AS VARCHAR), 10, '7') AS inn, 'Москва' AS region FROM part")
@@ -197,29 +215,47 @@ def parse_company_page(s, d):
     return feeds.company_pages(p.select("p_partkey", page.alias("html"))).select("p_partkey", "company.name", "company.inn", "company.region")
 
 
-STAKE_TEXT = "2.1. Фамилия, имя, отчество: Иванов И.И.; 2.2. Должность: член совета директоров; 2.3. Размер доли в уставном капитале эмитента до изменения: {a} %; 2.4. Размер доли в уставном капитале эмитента после изменения: {b} %; 2.5. Дата, в которую эмитент узнал об изменении: 15.03.2024"
-
-
 def stakes(s, d):
-    a, b = STAKE_TEXT.split("{a}")[0], STAKE_TEXT.split("{a}")[1].split("{b}")
+    """Four kinds of reports: numbered lines, one line of items, a controlled body, common shares only."""
     p = market.table(s, d, "part")
-    half = lambda k: F.concat(((F.col("p_partkey") * k) % 50).cast("string"), F.lit(",5"))
-    return p.select("p_partkey", F.concat(F.lit(a), half(3), F.lit(b[0]), half(7), F.lit(b[1])).alias("body_text"))
+    n = lambda k: F.concat((F.col("p_partkey") * k % 50).cast("string"), F.lit(",5 %"))
+    day = F.date_format(F.expr("date_add(DATE'2020-01-01', CAST(p_partkey % 1000 AS INT))"), "dd.MM.yyyy")
+    join = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    name = F.col("p_name")
+    lines = join("2.1. Фамилия, имя, отчество: ", name, ";\n2.2. Должность: член совета директоров\n2.3. Размер доли в уставном капитале эмитента до изменения: ", n(3), "\n2.4. Размер доли в уставном капитале эмитента после изменения: ", n(7), "\n2.5. Дата, в которую эмитент узнал об изменении: ", day)
+    one = join("1. ФИО: ", name, "; 2. Доля до изменения: ", n(3), "; 3. Доля после изменения: ", n(7), "; 4. Дата получения уведомления: ", day, "; 5. Должность: директор")
+    body = join("Ф. И. О.: ", name, "\nНаименование подконтрольной организации: ", F.col("p_brand"), "\nДоля в организации до изменения: ", n(3), "\nДоля в организации после изменения: ", n(7), "\nДата изменения: 31.02.2020")
+    common = join("Должность: акционер\nДоля обыкновенных акций до изменения: ", n(3), "\nДоля обыкновенных акций после изменения: ", n(7), "\nДоля после изменения: не применимо\nУведомлен, дата: ", day)
+    return p.select("p_partkey", F.element_at(F.array(lines, one, body, common), (F.col("p_partkey") % 4).cast("int") + 1).alias("body_text"))
+
 
+STAKE_SQL = """WITH p AS (SELECT p_partkey, p_name, p_brand, p_partkey % 4 AS v, p_partkey * 3 % 50 + 0.5::DOUBLE AS a, p_partkey * 7 % 50 + 0.5::DOUBLE AS b, DATE '2020-01-01' + CAST(p_partkey % 1000 AS INTEGER) AS day FROM part)
+SELECT p_partkey, CASE WHEN v < 3 THEN p_name END AS person, ['член совета директоров', 'директор', NULL, 'акционер'][v + 1] AS position, CASE WHEN v = 2 THEN p_brand END AS organization, v = 2 AS is_subsidiary,
+  CASE WHEN v < 3 THEN a END AS share_before, CASE WHEN v < 3 THEN b END AS share_after, CASE WHEN v = 3 THEN a END AS common_before, CASE WHEN v = 3 THEN b END AS common_after,
+  CASE WHEN v <> 2 THEN day END AS change_date, CAST(sign(b - a) AS INTEGER) AS direction, b - a AS delta_pp FROM p"""
 
-@query("stake_changes", "SELECT p_partkey, 'Иванов И.И.' AS person, (p_partkey * 3) % 50 + 0.5::DOUBLE AS share_before, (p_partkey * 7) % 50 + 0.5::DOUBLE AS share_after, CAST(sign((p_partkey * 7) % 50 - (p_partkey * 3) % 50) AS INTEGER) AS direction, DATE '2024-03-15' AS change_date FROM part")
+
+@query("stake_changes", STAKE_SQL)
 def stake_changes(s, d):
-    return text.stake_changes(stakes(s, d)).select("p_partkey", "stake.person", "stake.share_before", "stake.share_after", "stake.direction", "stake.change_date")
+    return text.stake_changes(stakes(s, d)).select("p_partkey", "stake.*")
 
 
-@query("split_clauses", "SELECT p_partkey, 5 AS clauses FROM part")
+@query("split_clauses", "SELECT p_partkey, 1 + p_partkey % 6 + (p_partkey % 2) AS clauses FROM part")
 def split_clauses(s, d):
-    return stakes(s, d).select("p_partkey", F.size(text.split_clauses(F.col("body_text"))).alias("clauses"))
+    """Numbered items in one line, a date that is no item, and every other text a line more."""
+    items = F.transform(F.expr("sequence(0, p_partkey % 6)"), lambda i: F.concat((i + 1).cast("string"), F.lit(". «Пункт» от 15.03. 2024 года")))
+    body = F.concat(F.concat_ws(" ", items), F.when(F.col("p_partkey") % 2 == 1, "\r\n\n последняя строка ").otherwise(" "))
+    return market.table(s, d, "part").select("p_partkey", F.size(text.split_clauses(body)).cast("bigint").alias("clauses"))
+
+
+#: Texts of which only the first and the fifth report a change.
+STAKE_LIKE = ["Доля ДО ИЗМЕНЕНИЯ 1, после изменения 2", "доля до изменения", "доля после изменения", "размер до изменения и после изменения", "дол\u0451, доли до изменения; после изменения", ""]
 
 
-@query("is_stake_text", "SELECT p_partkey, p_partkey % 2 = 0 AS is_stake FROM part")
+@query("is_stake_text", f"SELECT p_partkey, p_partkey % {len(STAKE_LIKE)} IN (0, 4) AS is_stake FROM part")
 def is_stake_text(s, d):
-    return stakes(s, d).select("p_partkey", text.is_stake_text(F.when(F.col("p_partkey") % 2 == 0, F.col("body_text")).otherwise(F.lit("доля до изменения"))).alias("is_stake"))
+    t = F.element_at(F.array(*[F.lit(x) for x in STAKE_LIKE]), (F.col("p_partkey") % len(STAKE_LIKE)).cast("int") + 1)
+    return market.table(s, d, "part").select("p_partkey", text.is_stake_text(t).alias("is_stake"))
 
 
 POSITIONS = [("Председатель совета директоров", "board_chair"), ("Генеральный директор", "ceo"), ("Вице-президент", "management_board"), ("Член Совета директоров", "board"), ("Заместитель генерального директора", "management_board"), ("акционер", "other"), ("", "unknown")]
@@ -245,14 +281,13 @@ def universe(s, d):
     return issuers.join(c, "inn").groupBy("inn").agg(F.min("company_id").alias("company_id"))
 
 
-@query("scan_event_json", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS title FROM events WHERE event_id % 100 = 0")
+@query("scan_event_json", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS title FROM events")
 def scan_event_json(s, d):
     import uuid
 
     from tapeline.sources import sinks
 
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tapeline"
-    path = f"{base}/events-json-{uuid.uuid4().hex}"
+    path = f"{shared_dir(s)}/events-json-{uuid.uuid4().hex}"
     sinks.save_events_json(market.table(s, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col("event_type").alias("title")), path)
     return feeds.scan_event_json(s, path).select("event_id", "title")
 
