@@ -59,18 +59,15 @@ class Bounds:
     def deepen(self, depth: int) -> None:
         """Read every list on to ``depth`` from the end that each query reads."""
         b, n, was = self.block, len(self.block.x), self.read
-        for j in range(b.x.shape[1]):
-            for weight, rows, last, far in (
-                (self.up[:, j], b.lists[was:depth, j], self.last_top[j], b.sorted[-1, j]),
-                (self.down[:, j], b.lists[n - depth : n - was, j], self.last_end[j], b.sorted[0, j]),
-            ):
-                if weight.any():
-                    x = b.x[rows, j][:, None]
-                    self.low[rows] += (x - far) * weight  # was taken for the far end
-                    self.high[rows] += (x - last) * weight  # was taken for the last one read
-        # What is still unread sinks to the entry read last.
         new_top, new_end = b.sorted[min(depth, n) - 1], b.sorted[max(n - depth, 0)]
-        self.high += (b.place >= depth) @ (self.up * (new_top - self.last_top)).T + (b.place < n - depth) @ (self.down * (new_end - self.last_end)).T
+        for weight, fresh, unread, last, now, far in (
+            (self.up, (b.place >= was) & (b.place < depth), b.place >= depth, self.last_top, new_top, b.sorted[-1]),
+            (self.down, (b.place < n - was) & (b.place >= n - depth), b.place < n - depth, self.last_end, new_end, b.sorted[0]),
+        ):
+            if weight.any():
+                self.low += np.where(fresh, b.x - far, 0.0) @ weight.T  # an entry read now was taken for the far end
+                # it was taken for the one read last; what is still unread sinks to the one read now
+                self.high += (np.where(fresh, b.x - last, 0.0) + np.where(unread, now - last, 0.0)) @ weight.T
         self.last_top, self.last_end, self.read = new_top, new_end, depth
 
     def keep(self, which: np.ndarray) -> None:
@@ -109,10 +106,12 @@ class Block:
             if depth < n <= 4 * k:
                 continue
             state.deepen(depth)
+            lows = np.where(own[:, going], -np.inf, state.low).T
+            kth = np.partition(lows, n - k, axis=1)[:, n - k] if n > k else None
             rest = []
             for c, i in enumerate(going.tolist()):
-                low, high = np.where(own[:, i], -np.inf, state.low[:, c]), state.high[:, c]
-                found = np.flatnonzero((high >= np.partition(low, n - k)[n - k]) & ~own[:, i]) if n > k else np.flatnonzero(~own[:, i])
+                high = state.high[:, c]
+                found = np.flatnonzero((high >= kth[c]) & ~own[:, i]) if n > k else np.flatnonzero(~own[:, i])
                 if depth < n and len(found) > k:  # an outsider could still qualify
                     rest.append(c)
                     continue
