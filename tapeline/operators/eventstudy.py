@@ -43,8 +43,9 @@ def normalize_events(events: DataFrame) -> DataFrame:
     have = set(events.columns)
     category = F.coalesce(F.col("category").cast("string"), F.lit("all")) if "category" in have else F.lit("all")
     direction = F.coalesce(F.expr("try_cast(try_cast(direction AS double) AS int)"), F.lit(0)) if "direction" in have else F.lit(0)
+    published = timing.mixed_datetime(F.col("published_at")) if dict(events.dtypes)["published_at"] == "string" else F.expr("try_cast(published_at AS timestamp_ntz)")
     return events.select(
-        F.col("event_id").cast("string").alias("event_id"), F.col("secid").cast("string").alias("secid"), F.expr("try_cast(published_at AS timestamp_ntz)").alias("published_at"),
+        F.col("event_id").cast("string").alias("event_id"), F.col("secid").cast("string").alias("secid"), published.alias("published_at"),
         category.alias("category"), direction.alias("direction"), *[F.col(f"`{c}`") for c in events.columns if c not in core],
     )
 

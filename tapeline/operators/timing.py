@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -23,6 +23,17 @@ def time_of_day(text: str) -> int:
     return int(m[1]) * 3600 + int(m[2]) * 60 + int(m[3] or 0)
 
 
+# How published times are written besides ISO; where both readings exist, the month comes first.
+WRITTEN = [f"{day}{time}" for sep in "./-" for day in (f"M{sep}d{sep}yyyy", f"d{sep}M{sep}yyyy") for time in (" H:mm:ss", " H:mm", "")] + ["yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "yyyyMMdd"]
+
+
+def mixed_datetime(c: Column) -> Column:
+    """A timestamp without zone from texts of mixed formats; NULL where none fits."""
+    t = F.trim(c)
+    compact = t.rlike(r"^\d{8}$")  # a cast would take it for a year
+    return F.coalesce(F.when(~compact, t.try_cast("timestamp_ntz")), *[F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in WRITTEN])
+
+
 def day_sessions(calendar: DataFrame, lead_days: int = 400) -> DataFrame:
     """(day, on_pos, ge_pos, gt_pos) of every day from ``lead_days`` before the first session to the last: bounded by the calendar."""
     span = calendar.agg(F.min("date").alias("a"), F.max("date").alias("b")).filter("a IS NOT NULL")

@@ -148,3 +148,19 @@ def test_page_classes(spark):
         "x" * 70_000 + "captchaintgen": "content",
     }
     assert one(spark, list(cases), feeds.page_class) == list(cases.values())
+
+
+def test_functions_in_sql(spark):
+    from tapeline.functions import registry
+
+    assert len(registry.register(spark)) == 8
+    texts = ["7707083893.0", "123", "0,0012 %", "1\u00a0234,5", "Генеральный директор", "И.о. генерального директора", "член Совета директоров", "Об изменении размера доли участия члена органа управления эмитента", "Дефолт", "доля до изменения, после изменения", "it's", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, x string")
+    df.createOrReplaceTempView("texts")
+    sql = spark.sql("SELECT k, normalize_inn(x) AS a, parse_number(x) AS b, title_category(x) AS c, classify_role(x) AS d, is_stake_text(x) AS e FROM texts")
+    x = F.col("x")
+    own = df.select("k", text.normalize_inn(x).alias("a"), text.parse_number(x).alias("b"), text.classify(x).alias("c"), text.classify_role(x).alias("d"), text.is_stake_text(x).alias("e"))
+    assert sorted(sql.collect()) == sorted(own.collect(), key=lambda r: r.k)
+    page = "<h1>T</h1><a href='/portal/company.aspx?id=7'>ПАО</a><a href='/event/abc'>О дивидендах</a>"
+    assert spark.sql("SELECT parse_event_page(:p).company_id AS c, parse_company_page(:p).name AS n", {"p": page}).first()[:] == (7, "T")
+    assert [r.event_id for r in spark.sql("SELECT * FROM parse_message_list(:p)", {"p": page}).collect()] == ["abc"]

@@ -39,3 +39,17 @@ def test_before_the_calendar_and_bad_times(spark, calendar):
     for bad in ("25:00", "noon", "1840"):
         with pytest.raises(ValueError):
             timing.time_of_day(bad)
+
+
+def test_mixed_datetimes(spark):
+    from datetime import datetime
+
+    from tapeline.operators import eventstudy as es
+
+    cases = {
+        "2024-03-05T10:11:12": datetime(2024, 3, 5, 10, 11, 12), "2024-03-05": datetime(2024, 3, 5), "13.02.2024 9:05": datetime(2024, 2, 13, 9, 5), "03/04/2024 10:11": datetime(2024, 3, 4, 10, 11),
+        "2024/03/05 01:02:03": datetime(2024, 3, 5, 1, 2, 3), "20240305": datetime(2024, 3, 5), " 31-12-2023 ": datetime(2023, 12, 31), "32.01.2024": None, "soon": None, "": None, None: None,
+    }
+    df = spark.createDataFrame([(str(k), "S", v) for k, v in enumerate(cases)], "event_id string, secid string, published_at string")
+    got = {r.event_id: r.published_at for r in es.normalize_events(df).collect()}
+    assert got == {str(k): v for k, v in enumerate(cases.values())}
