@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -46,7 +46,7 @@ LONG = 20_000
 TABLE = 1 << 16
 SUPPORT = 1 << 20
 LEXICON = 300
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 #: Words whose chains are stepped through at a time.
 BLOCK_WORDS = 400_000
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”…-–—*_#&$%|~0123456789"
@@ -149,7 +149,7 @@ class Crf:
         get = memo.__getitem__
         return [np.fromiter(map(get, d), np.int64, len(d)) for d in words], self._emit, self._marks
 
-    def label(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    def label(self, texts: Iterable[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, its share and the share of supported words of each text."""
         pred, score, support = [], [], []
         for p, s in self.posteriors(texts):
@@ -159,7 +159,7 @@ class Crf:
             support.append(s)
         return pred, score, support
 
-    def posteriors(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray | None, float]]:
+    def posteriors(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray | None, float]]:
         """Mean posterior of the languages over each text's words with letters (None without any), and the share of them that is supported."""
         block, size = [], 0
         for t in texts:
@@ -301,7 +301,7 @@ def predict(docs: DataFrame, learnable: Column) -> DataFrame:
     shared = learnt(docs, learnable)
 
     def run(batch: pa.RecordBatch) -> dict:
-        pred, score, support = shared.value.label(batch.column(1).to_pylist())
+        pred, score, support = shared.value.label(t.as_py() for t in batch.column(1))
         return {"doc_id": batch.column(0), "lang_pred": pred, "score": score, "support": support}
 
     return map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, schema("doc_id long,lang_pred string,score double,support double"))
@@ -318,7 +318,7 @@ def keep_known(docs: DataFrame, learnable: Column, least_support: float = 0.6) -
 
     def run(batches):
         for batch in batches:
-            pred, _, support = shared.value.label(batch.column(at).to_pylist())
+            pred, _, support = shared.value.label(t.as_py() for t in batch.column(at))
             ok = [p != UNKNOWN and s >= least_support for p, s in zip(pred, support, strict=True)]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
