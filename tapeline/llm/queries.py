@@ -87,8 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_topk, op2_bpe, op3_packing, op4_toxicity, op5_chat, op6_neardup, op7_quality, op8_langid, op9_rules, op10_sharding)
 }
 
-#: What SQL states in whole: exact top-k, near-duplicate groups by all pairs, and the adaptive rules with their sketches. The others are
-#: held against brute force in tests/llm.
+#: What SQL states in whole: exact top-k, conversations read back, near-duplicate groups by all pairs, the adaptive rules with their
+#: sketches, and the shards' order. The others are held against brute force or held-out labels in tests/llm.
 ORACLE = {
     "op1_topk": """
 WITH v AS (
@@ -103,6 +103,21 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op5_chat": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'
+), f AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|###|</turn>')) AS text_chars,
+    length(role) + len(regexp_extract_all(role, '\\|###|</turn>|:|\n')) + CASE WHEN regexp_full_match(role, '[\x00-\x7F]*') AND role = lower(role) AND role <> upper(role) THEN 0 ELSE 1 END AS role_chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### : </turn>') + 1 + role_chars + text_chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
 """,
     "op6_neardup": """
 WITH RECURSIVE w AS (
