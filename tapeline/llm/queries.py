@@ -183,6 +183,23 @@ z AS (
   SELECT DISTINCT rid FROM v JOIN f USING (lang, source, stat) WHERE NOT x BETWEEN low AND high
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM bad) AS kept FROM m
+""",
+    "op10_sharding": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || source, '') AS source, hex(encode(coalesce(text, ''))) AS bytes FROM documents
+), r AS (
+  SELECT doc_id, source, CAST(length(bytes) // 2 + 1 AS BIGINT) AS size, substr(md5('1:' || t), 1, 16) AS draw,
+    xor(list_reduce(flatten(list_transform(regexp_extract_all(bytes, '..'), lambda b: [('0x' || b)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+      lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295), 4294967295) AS text_crc32
+  FROM d
+), f AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY source ORDER BY draw, doc_id NULLS FIRST, text_crc32, size) - 1) / (2 * count(*) OVER (PARTITION BY source)) AS fraction FROM r
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY fraction, draw, source, doc_id NULLS FIRST, text_crc32, size) - 1 AS place, count(*) OVER () AS total FROM f
+), s AS (
+  SELECT *, place * 8 // total AS shard FROM p
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(place - (shard * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """,
 }
 

@@ -4,7 +4,7 @@ Within each source the rows are shuffled by a seeded hash and ranked; rank r of
 (2r + 1) / 2n. Sorting all rows by this fraction interleaves the sources in proportion, so that every contiguous
 cut holds each source's share to within a row; the order is cut into shards whose counts differ by one at most.
 
-The hash is that of the text, so equal texts (the groups) of a source are neighbours in its ranking, and those of different
+The hash is a seeded digest of the text that SQL has too, so equal texts (the groups) of a source are neighbours in its ranking, and those of different
 sources lie at about the same fraction: a group is split only where a cut of the law ``rows`` goes through it.
 
 No rank is taken in one task: rows are dealt by ranges of the whole sort key, which ends in a number of the row's own, so a
@@ -47,7 +47,7 @@ def shards(docs: DataFrame, n_shards: int = 8, seed: int = 1) -> DataFrame:
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), docs["source"].cast("string")), F.lit("")).alias("source"),
-        F.xxhash64(raw, F.lit(seed)).alias("draw"),
+        F.substring(F.md5(F.concat(F.lit(f"{seed}:").cast("binary"), raw)), 1, 16).alias("draw"),
         F.monotonically_increasing_id().alias("row"),
     ))
     total = rows.count()
