@@ -1,0 +1,110 @@
+"""The position book as a stateful stream: a run's sessions are stepped as their rows arrive.
+
+The state of a run is its book (cash, open positions), the signals that wait, the last quote of each security and the rows of
+sessions not closed yet; it grows with securities and open positions, never with the past. An addition of this engine.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tapeline.operators.backtest import RESULT, BacktestConfig, Run
+
+#: Rows of a feed. ``kind``: signal (secid, event_id, category, direction, side, published_at; ``pos`` is its entry's), quote (secid, open,
+#: close, adv), market (close of the index), delisted (secid has no price from ``pos`` on), end (``pos`` is the run's last session).
+FEED = (
+    "run_id string, pos int, kind string, secid string, event_id string, category string, direction int, side int, published_at timestamp, "
+    "open double, close double, adv double"
+)
+_STATE = "book binary"
+_FAR = 2**31
+
+
+def _none(x):
+    return None if x is None or x != x else x
+
+
+class _Live:
+    """A run whose sessions close one by one."""
+
+    def __init__(self, cfg: BacktestConfig):
+        self.cfg, self.run, self.last, self.end = cfg, None, -1, None
+        self.waiting: dict[int, list[dict]] = {}
+        self.known: dict[str, tuple[int, dict]] = {}
+
+    def take(self, row: dict) -> Iterator[dict]:
+        """Hold a row until its session closes; a signal of a closed session is refused at once, other late rows change nothing."""
+        if row["pos"] > self.last:
+            self.waiting.setdefault(row["pos"], []).append(row)
+            if row["kind"] == "end":
+                self.end = row["pos"]
+        elif row["kind"] == "signal":
+            yield {"outcome": {"event_id": row["event_id"], "status": "skipped", "skip_reason": "late"}}
+
+    def close(self) -> Iterator[dict]:
+        """Step all sessions before the newest one, or up to the run's end."""
+        upto = self.end if self.end is not None else max(self.waiting, default=0) - 1
+        for day in sorted(d for d in self.waiting if d <= upto):
+            yield from self.session(day, self.waiting.pop(day))
+
+    def session(self, day: int, rows: list[dict]) -> Iterator[dict]:
+        by = lambda kind: [r for r in rows if r["kind"] == kind]
+        market = {day: r["close"] for r in by("market")}
+        if self.run is None:
+            self.run = Run(self.cfg, {}, {}, {day - 1: market.get(day), **market}, day, None)
+        run, book = self.run, self.run.book
+        run.market, book.end, self.last = market, self.end, day
+        deferred = run.due.pop(day, [])  # after the session's own
+        for r in sorted(by("signal"), key=lambda r: (r["published_at"], r["event_id"])):
+            run.add({k: r[k] for k in ("event_id", "secid", "category", "direction", "side")} | {"entry_pos": day})
+        run.due.setdefault(day, []).extend(deferred)
+        gone = {r["secid"] for r in by("delisted")}
+        for r in by("quote"):
+            before = self.known.get(r["secid"], (day, {"last_close": None}))[1]
+            q = {"open": r["open"], "close": r["close"], "last_close": before["last_close"] if r["close"] is None else r["close"], "adv": r["adv"]}
+            book.quotes[r["secid"], day] = q
+            book.last_valid.setdefault(r["secid"], _FAR)
+            if r["close"] is not None:
+                self.known[r["secid"]] = (day, q)
+        for secid, (at, q) in self.known.items():
+            book.quotes.setdefault((secid, day), {**q, "open": None, "close": None})
+            book.quotes[secid, at] = q
+            if secid in gone:
+                book.last_valid[secid] = at
+            elif at == day:
+                book.last_valid[secid] = _FAR
+        yield {"day": run.step(day)}
+        if day == self.end:
+            run.finish()
+        yield from ({"trade": t} for t in book.trades)
+        yield from ({"outcome": {"event_id": e, "status": s, "skip_reason": w}} for e, (s, w) in run.outcome.items())
+        run.outcome, book.trades, book.quotes = {}, [], {}
+
+
+def position_book(feed: DataFrame, configs: dict[str, BacktestConfig]) -> DataFrame:
+    """Trades, days and outcomes of the runs of a stream of ``FEED`` rows, in the shape of ``run_backtests``.
+
+    A run's session closes when a row of a later one, or the run's end, arrives; rows of a micro-batch may come in any
+    order, and every session has one at least (that of the market). With an end, the result equals the batch run over the same
+    sessions, the first one's index level as its base. Rows of a run that is not configured, or without a position, are left out.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        live = pickle.loads(state.get[0]) if state.exists else _Live(configs[key[0]])
+        found = []
+        for part in parts:
+            for row in part.to_dict("records"):
+                found += live.take({k: int(v) if k in ("pos", "direction", "side") and _none(v) is not None else _none(v) for k, v in row.items()})
+        found += live.close()
+        state.update((pickle.dumps(live),))
+        kinds = ("trade", "day", "outcome")
+        out = [(key[0], next(iter(f)), *(f.get(k) for k in kinds)) for f in found]
+        yield pd.DataFrame(out, columns=["run_id", "kind", *kinds])
+
+    rows = feed.filter(feed["run_id"].isin(list(configs)) & feed["pos"].isNotNull())
+    return rows.groupBy("run_id").applyInPandasWithState(step, RESULT, _STATE, "append", GroupStateTimeout.NoTimeout)

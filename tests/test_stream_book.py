@@ -1,0 +1,67 @@
+"""The streamed position book against the batch kernel, and pages that land."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+
+from tapeline.operators import backtest as bt
+from tapeline.streaming import book
+
+N = 40
+
+
+def feed_and_want(cfg):
+    """Rows of a random feed (one security is delisted, prices are missing here and there) and the batch kernel's result."""
+    rng = random.Random(4)
+    rows, quotes, last_valid, signals = [], {}, {}, []
+    market = {d: 100.0 + rng.random() for d in range(N)}
+    row = lambda **kw: tuple(kw.get(c.split()[0]) for c in book.FEED.split(", "))
+    for d in range(N):
+        rows.append(row(run_id="x", pos=d, kind="market", close=market[d]))
+    for secid in "ABCDEF":
+        last, alive = None, 25 if secid == "C" else N
+        for d in range(N):
+            quoted = d < alive and (d in (0, alive - 1) or rng.random() < 0.85)
+            close = 50 + 10 * rng.random() if quoted else None
+            opened = None if close is None else close * (1 + rng.uniform(-0.02, 0.02))
+            last = last if close is None else close
+            quotes[secid, d] = {"open": opened, "close": close, "last_close": last, "adv": 1e7}
+            if quoted:
+                rows.append(row(run_id="x", pos=d, kind="quote", secid=secid, open=opened, close=close, adv=1e7))
+        last_valid[secid] = alive - 1
+    rows.append(row(run_id="x", pos=25, kind="delisted", secid="C"))
+    for k in range(60):
+        s = {"event_id": f"e{k:02}", "secid": rng.choice("ABCDEF"), "category": "c", "direction": 1, "side": 1, "entry_pos": rng.randrange(1, N - 2)}
+        if s["secid"] != "C" or s["entry_pos"] < 25:
+            signals.append(s)
+            at = datetime(2024, 1, 1) + timedelta(days=s["entry_pos"], hours=k % 7)
+            rows.append(row(run_id="x", pos=s["entry_pos"], kind="signal", published_at=at, **{c: s[c] for c in ("event_id", "secid", "category", "direction", "side")}))
+            s["at"] = at
+    rows.append(row(run_id="x", pos=N - 1, kind="end"))
+    signals.sort(key=lambda s: (s["entry_pos"], s.pop("at"), s["event_id"]))
+    return rows, bt.simulate(signals, quotes, last_valid, market, cfg, 0, N - 1)
+
+
+@pytest.mark.parametrize("entry", ["next_open", "t0_close"])
+def test_streamed_book_is_the_batch_run(spark, tmp_path, entry):
+    cfg = bt.BacktestConfig(hold_days=6, max_positions=5, entry=entry, stop_loss=0.12)
+    rows, (trades, days, outcome) = feed_and_want(cfg)
+    other = [("y", *r[1:]) for r in rows if r[2] == "market"]  # a run of no configuration
+    for k in range(0, N, 9):
+        part = [r for r in rows + other if k <= r[1] < k + 9]
+        random.Random(k).shuffle(part)
+        spark.createDataFrame(part, book.FEED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(book.FEED).parquet(str(tmp_path / "in"))
+        q = book.position_book(stream, {"x": cfg}).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination()  # a new query each time: the book is read back from its state
+    got = spark.read.schema(bt.RESULT).parquet(str(tmp_path / "out")).persist()
+    key = lambda rows, c: sorted((dict(r) for r in rows), key=lambda r: r[c])
+    plain = lambda df: [{k: v for k, v in r.asDict().items() if k != "run_id"} for r in df.collect()]
+    assert {t["exit_reason"] for t in trades} >= {"hold_days", "delisted", "end"}
+    for found, want, c in ((bt.trades_of(got), trades, "trade_id"), (bt.daily_of(got), days, "pos")):
+        found, want = key(plain(found), c), key(want, c)
+        assert len(found) == len(want)
+        for a, b in zip(found, want, strict=True):
+            assert {k: (a[k], b[k]) for k in b if a[k] != (pytest.approx(b[k]) if isinstance(b[k], float) else b[k])} == {}
+    assert {r.event_id: (r.status, r.skip_reason) for r in bt.outcomes_of(got).collect()} == outcome
