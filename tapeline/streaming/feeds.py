@@ -17,6 +17,21 @@ def read_messages(spark: SparkSession, path: str, files_per_batch: int = 100) ->
     return spark.readStream.schema(MESSAGES.replace("TIMESTAMP_NTZ", "TIMESTAMP")).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+PAGE_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def read_pages(spark: SparkSession, path: str, pages_per_batch: int = 1000) -> DataFrame:
+    """(chunk, page, landed_at, body) of pages that land as ``<chunk>/<page>.<ending>`` files, oldest first.
+
+    A file that a micro-batch has taken is never taken again, so a crawl of date chunks may go on while its pages are read. A file
+    whose name is no number has no page; an empty file has no body and no row. ``sources.feeds`` decodes and parses the bodies.
+    """
+    files = spark.readStream.format("binaryFile").schema(PAGE_FILE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", pages_per_batch).load(path)
+    at = F.split("path", "/")
+    name = F.regexp_extract(F.element_at(at, -1), r"^(\d+)(?:\.[^.]*)?$", 1)
+    return files.select(F.element_at(at, -2).alias("chunk"), name.try_cast("int").alias("page"), F.col("modificationTime").alias("landed_at"), F.col("content").alias("body"))
+
+
 def dedup_messages(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     """The first row of each event id; state older than the watermark goes."""
     return stream.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["event_id"])

@@ -4,9 +4,12 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tapeline.operators import backtest as bt
+from tapeline.sources import feeds as landed
 from tapeline.streaming import book
+from tapeline.streaming import feeds as streams
 
 N = 40
 
@@ -65,3 +68,24 @@ def test_streamed_book_is_the_batch_run(spark, tmp_path, entry):
         for a, b in zip(found, want, strict=True):
             assert {k: (a[k], b[k]) for k in b if a[k] != (pytest.approx(b[k]) if isinstance(b[k], float) else b[k])} == {}
     assert {r.event_id: (r.status, r.skip_reason) for r in bt.outcomes_of(got).collect()} == outcome
+
+
+def test_pages_are_read_once_as_they_land(spark, tmp_path):
+    where = tmp_path / "pages"
+
+    def land(chunk, *pages):
+        (where / chunk).mkdir(parents=True, exist_ok=True)
+        for name, text in pages:
+            (where / chunk / name).write_bytes(text.encode("cp1251"))
+
+    def take():
+        pages = landed.decoded(streams.read_pages(spark, str(where), 1).withColumn("encoding", F.lit("cp1251")))
+        q = pages.select("chunk", "page", "decoded").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination()
+        return sorted((tuple(r) for r in spark.read.schema("chunk string, page int, decoded string").parquet(str(tmp_path / "out")).collect()), key=str)
+
+    land("2024-01-01", ("1.html", "раз"), ("2.html", ""), ("note.txt", "?"))
+    first = [("2024-01-01", 1, "раз"), ("2024-01-01", None, "?")]
+    assert take() == sorted(first, key=str)
+    land("2024-02-01", ("1", "два"))
+    assert take() == sorted([*first, ("2024-02-01", 1, "два")], key=str)
