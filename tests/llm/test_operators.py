@@ -883,6 +883,32 @@ def test_registered_op10(spark, folder):
     same([(r.doc_id, r.shard, r.slot) for r in got.collect()], brute_shards(folder[1]))
 
 
+@pytest.mark.parametrize("name", ["op1_topk", "op5_chat", "op9_rules", "op10_sharding"])
+def test_sql_states_the_same_on_odd_rows(spark, folder, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder[0]}/{t}.parquet/*.parquet'")
+    got = run(spark, folder, name)
+    want = con.execute(Q.oracle_sql()[name])
+    at = [[d[0] for d in want.description].index(c) for c in got.columns]
+    same([tuple(r) for r in got.collect()], [tuple(r[i] for i in at) for r in want.fetchall()])
+
+
+def test_sql_of_op5_with_nulls_ties_and_escapes(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, None, "user", "b"), (1, 0, None, "### </turn> \\"), (1, 0, "assistant", "é\n</turn>"), (1, 0, "assistant", None), (2, 1, "Bot:\n", ""), (2, 1, "ünder", "x"), (2, 2, "7", "\U0001f600"), (3, 0, "", "")] + [(4, 0, "assistant", "a")] * 3 + [(None, 0, "assistant", "lost")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = Q.op5_chat(spark, str(tmp_path))
+    want = con.execute(Q.oracle_sql()["op5_chat"])
+    at = [[d[0] for d in want.description].index(c) for c in got.columns]
+    same([tuple(r) for r in got.collect()], [tuple(r[i] for i in at) for r in want.fetchall()])
+
+
 # ---------------------------------------------------------------- pipeline
 
 
