@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import bpe, chat, langid, neardup, packing, quality, rules, sharding, topk, toxicity
+from tapeline.llm import bpe, chat, langid, merkle, mixing, neardup, packing, periodic, quality, rules, sharding, topk, toxicity
 from tapeline.llm.common import table
 
 
@@ -83,12 +83,31 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second document (by the checksum of its id) is read again without line ends: its proof must not lead to the root unless it has none."""
+    docs = table(spark, sf_dir, "documents")
+    return merkle.digest(docs, F.when(fold(2) == 0, F.translate("text", "\n", "")))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"), periodic.planted)
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), F.col("rank") % 3 + 1)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_bpe, op3_packing, op4_toxicity, op5_chat, op6_neardup, op7_quality, op8_langid, op9_rules, op10_sharding)
+    f.__name__: f for f in (op1_topk, op2_bpe, op3_packing, op4_toxicity, op5_chat, op6_neardup, op7_quality, op8_langid, op9_rules, op10_sharding, op11_merkle, op12_periodic, op13_mixing)
 }
 
+#: Unsigned CRC-32 of the decimal id, in DuckDB SQL.
+_CRC_OF_ID = """xor(list_reduce(flatten(list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda b: [('0x' || b)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+      lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295), 4294967295)"""
+
 #: What SQL states in whole: exact top-k, conversations read back, near-duplicate groups by all pairs, the adaptive rules with their
-#: sketches, and the shards' order. The others are held against brute force or held-out labels in tests/llm.
+#: sketches, the shards' order, the hash trees and the mix. The others are held against brute force or held-out labels in tests/llm.
 ORACLE = {
     "op1_topk": """
 WITH v AS (
@@ -200,6 +219,57 @@ WITH d AS (
   SELECT *, place * 8 // total AS shard FROM p
 )
 SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(place - (shard * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+""",
+    "op11_merkle": """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS key, head, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, replace(text, chr(10), '') AS t,
+    CRC % 2 = 0 AS changed
+  FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM documents)
+), lv AS (
+  SELECT key, 0 AS k, list(leaf ORDER BY doc_id NULLS FIRST, leaf) AS ns FROM d GROUP BY key
+  UNION ALL SELECT key, k + 1, list_transform(range(0, len(ns), 3), lambda i: sha256(array_to_string(list_slice(ns, i + 1, i + 3), ''))) FROM lv WHERE len(ns) > 1
+), sub AS (
+  SELECT key, ns[1] AS subroot, row_number() OVER (ORDER BY key) - 1 AS spot FROM lv WHERE len(ns) = 1
+), up AS (
+  SELECT 0 AS k, list(subroot ORDER BY key) AS ns FROM sub
+  UNION ALL SELECT k + 1, list_transform(range(0, len(ns), 3), lambda i: sha256(array_to_string(list_slice(ns, i + 1, i + 3), ''))) FROM up WHERE len(ns) > 1
+), n AS (
+  SELECT rid, key, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot FROM d
+), s AS (
+  SELECT rid, k, ns, spot // CAST(3 ** k AS BIGINT) AS spot FROM n JOIN lv USING (key) WHERE len(ns) > 1
+  UNION ALL SELECT rid, 1000 + k, up.ns, sub.spot // CAST(3 ** k AS BIGINT) FROM n JOIN sub USING (key), up WHERE len(up.ns) > 1
+), p AS (
+  SELECT rid, list(array_to_string(list_slice(ns, spot // 3 * 3 + 1, spot), '') || '|' || array_to_string(list_slice(ns, spot + 2, spot // 3 * 3 + 3), '') ORDER BY k) AS steps FROM s GROUP BY rid
+), f AS (
+  SELECT d.*, subroot, (SELECT ns[1] FROM up WHERE len(ns) = 1) AS root, coalesce(steps, []) AS steps, CASE WHEN changed AND t IS NOT NULL THEN sha256(head || strlen(t) || ':' || t) ELSE leaf END AS shown
+  FROM d JOIN sub USING (key) LEFT JOIN p USING (rid)
+), r AS (
+  SELECT *, list_reduce(steps, lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2)), shown) AS folded_root FROM f
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM r
+""".replace("CRC", _CRC_OF_ID),
+    "op13_mixing": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, coalesce('=' || source, '>') AS key,
+    ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(text, '')), 1, 13))::BIGINT AS draw
+  FROM documents
+), s AS (
+  SELECT key, CAST(sum(size) AS BIGINT) AS total, (row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS weight FROM d GROUP BY key
+), l AS (
+  SELECT key, total, weight, (sum(total) OVER () - coalesce(sum(3 * total) OVER (ORDER BY total / weight, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY total / weight, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s
+), t AS (
+  SELECT key, total, CAST(least(3 * total, weight * (SELECT level FROM l WHERE weight * level <= 3 * total ORDER BY total / weight, key LIMIT 1)) AS DOUBLE) AS target FROM l
+), e AS (
+  SELECT d.*, total, target, CAST(floor(x) AS BIGINT) AS copies, x - floor(x) AS p, (draw + 0.5::DOUBLE) / 4503599627370496 AS u
+  FROM d JOIN t USING (key), LATERAL (SELECT CASE WHEN total > 0 THEN target / total ELSE 0 END AS x)
+), o AS (
+  SELECT *, CASE WHEN p > 0 AND size > 0 THEN row_number() OVER (PARTITION BY key, p > 0 AND size > 0 ORDER BY u / (1 - u) * ((1 - p) / p), doc_id NULLS FIRST, size) END AS i FROM e
+), fold AS (
+  SELECT key, 0::BIGINT AS i, any_value(target) - sum(copies * size)::DOUBLE AS room, any_value(target) * {mixing.NEAR} AS slack, false AS took FROM e GROUP BY key
+  UNION ALL SELECT fold.key, o.i, CASE WHEN size <= room AND room > slack THEN room - size ELSE room END, slack, size <= room AND room > slack FROM fold JOIN o ON o.key = fold.key AND o.i = fold.i + 1
+)
+SELECT doc_id, size, total AS source_size, target, (copies + CASE WHEN took THEN 1 ELSE 0 END) * size AS taken FROM o LEFT JOIN fold ON fold.key = o.key AND fold.i = o.i AND o.i IS NOT NULL
 """,
 }
 
