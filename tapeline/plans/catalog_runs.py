@@ -12,11 +12,11 @@ from tapeline.plans.catalog import m as market
 from tapeline.sources import feeds
 from tapeline.sources.scratch import shared_dir, staged
 
-CONFIG = bt.BacktestConfig(hold_days=10, min_turnover=5e4, allow_short=True, direction_filter=None, max_participation=0.5, categories=("1-URGENT",))
+CONFIG = bt.BacktestConfig(hold_days=10, min_turnover=5e4, allow_short=True, direction_filter=None, max_participation=0.5)
 SIGNAL_SQL = "WITH " + GRID + MKT + "," + market.EVENTS_SQL + """,
 sg AS (
   SELECT e.*, direction AS side, CASE WHEN o.pos IS NOT NULL AND extract(hour FROM published_at) < 10 THEN o.pos ELSE (SELECT min(pos) FROM cal WHERE date > CAST(published_at AS DATE)) END AS entry_pos
-  FROM events_d e LEFT JOIN cal o ON o.date = CAST(e.published_at AS DATE) WHERE direction <> 0 AND category = '1-URGENT'
+  FROM events_d e LEFT JOIN cal o ON o.date = CAST(e.published_at AS DATE) WHERE direction <> 0
 ),
 sig AS (SELECT *, CASE WHEN entry_pos IS NULL THEN 'no_trading_day' WHEN secid NOT IN (SELECT secid FROM prices) THEN 'unknown_secid' ELSE '' END AS skip_reason FROM sg)"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import operator
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
 from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -229,6 +229,12 @@ STATED = {
     "company_name": r"(?i)(?:Полное фирменное наименование эмитента|Эмитент)\D{0,10}[:\-–—]\s*(.+)",
 }
 HEAD, LONGEST = 600, 300
+# Classes of elements that hold one message and of lines that name issuer and kind, what separates the two there,
+# and how many blocks above the nearest one may hold a message.
+ROW_CLASS = r"table__row|row|item"
+INFO_CLASS = r"info"
+INFO_SEPARATOR = r"\s*[,;]\s+|\s\|\s|\s—\s|\s–\s"
+CLIMBS = 4
 
 
 class _Tree(HTMLParser):
@@ -300,58 +306,81 @@ def _event_of(href: str) -> str | None:
     return _search(EVENT_ID, href) or _search(EVENT_PATH, href.split("?")[0])
 
 
-def _above(nodes: list[dict], i: int) -> Iterator[int]:
-    """The elements around one, from the inside out."""
-    while (i := nodes[i]["parent"]) >= 0:
-        yield i
-
-
-def _row_of(nodes: list[dict], i: int, climbs: int = 4) -> int:
-    """The element that holds the message of a link: a row, an item, a list entry, or the nearest dated block within some climbs."""
-    around = list(_above(nodes, i))
-    for fits in (lambda n: n["tag"] == "tr", lambda n: re.search("table__row|row|item", n["attrs"].get("class") or "", re.I), lambda n: n["tag"] == "li"):
-        if (hit := next((j for j in around if fits(nodes[j])), None)) is not None:
-            return hit
-    blocks = [j for j in around if nodes[j]["tag"] == "div"]
-    dated = next((j for j in blocks[: climbs + 1] if _datetime(_text(nodes[j]))), None)
-    return dated if dated is not None else blocks[climbs] if len(blocks) > climbs else i
+class _Layout:
+    """Where the elements of a page lie: their descendants, as a stretch of the flat list, and the holders of messages around them."""
+
+    def __init__(self, nodes: list[dict]):
+        self.nodes = nodes
+        self.end = [i + 1 for i in range(len(nodes))]
+        #: Of each element the nearest row, element of a row's class and list entry around it (-1: none), and the blocks, from the inside out.
+        self.around: list[tuple[int, int, int, tuple[int, ...]]] = []
+        for node in nodes:
+            p = node["parent"]
+            if p < 0:
+                self.around.append((-1, -1, -1, ()))
+                continue
+            row, classed, entry, blocks = self.around[p]
+            own = nodes[p]
+            kind = own["tag"]
+            self.around.append((
+                p if kind == "tr" else row, p if re.search(ROW_CLASS, own["attrs"].get("class") or "", re.I) else classed,
+                p if kind == "li" else entry, (p, *blocks)[: CLIMBS + 1] if kind == "div" else blocks,
+            ))
+        for i in range(len(nodes) - 1, -1, -1):
+            if (p := nodes[i]["parent"]) >= 0:
+                self.end[p] = max(self.end[p], self.end[i])
+
+    def holder(self, i: int) -> int:
+        """The element that is one message: by kind, else a block near by that has a date, else the farthest of them, else the link itself."""
+        *named, blocks = self.around[i]
+        found = [j for j in named if j >= 0] or [j for j in blocks if _datetime(_text(self.nodes[j]))] or list(blocks[CLIMBS:])
+        return found[0] if found else i
+
+    def first(self, places: list[int], i: int, below: bool = False) -> int | None:
+        """The first of ``places`` (ascending) inside an element or, unless only ``below`` it, at it."""
+        k = bisect_left(places, i + below)
+        return places[k] if k < len(places) and places[k] < self.end[i] else None
 
 
 def message_rows(html: str | None, site: str = SITE, only_results: bool = False) -> list[dict]:
-    """Messages of a list page, one a row, each event once; ``only_results`` looks into the block of results alone."""
+    """Messages of a list page, each event once; ``only_results`` looks into the block of results alone.
+
+    The page becomes three lists of places (links to events, links to issuers, lines that name both); each holder of a link is then one
+    message, of the first place of each list that lies inside it.
+    """
     nodes = tree(html)
-    inside: dict[int, list[int]] = {}
-    for i in range(len(nodes)):
-        for j in _above(nodes, i):
-            inside.setdefault(j, []).append(i)
-    named = {nodes[i]["attrs"].get("id"): i for i in reversed(range(len(nodes)))}
-    scope = range(len(nodes))
+    layout = _Layout(nodes)
+    href = [(n["attrs"].get("href") or "") if n["tag"] == "a" else "" for n in nodes]
+    events = [i for i, h in enumerate(href) if _event_of(h)]
+    issuers = [i for i, h in enumerate(href) if _search(COMPANY_ID, h)]
+    infos = [i for i, n in enumerate(nodes) if re.search(INFO_CLASS, n["attrs"].get("class") or "", re.I)]
+    asked = events
     if only_results:
+        named = {n["attrs"].get("id"): i for i, n in reversed(list(enumerate(nodes)))}
         block = next((named[x] for x in RESULT_BLOCKS if x in named), None)
-        scope = inside.get(block, [])
-    href = lambda i: (nodes[i]["attrs"].get("href") or "") if nodes[i]["tag"] == "a" else ""
+        asked = [] if block is None else [i for i in events if block < i < layout.end[block]]
     out: dict[str, dict] = {}
-    for i in scope:
-        if not _event_of(href(i)):
-            continue
-        row = _row_of(nodes, i)
-        held = inside.get(row, []) if row != i else [i]
-        link = next(j for j in held if _event_of(href(j)))  # a row is one message: that of its first link
-        event = _event_of(href(link))
-        if event in out:
-            continue
-        company = next(((int(c), _text(nodes[j])) for j in held if (c := _search(COMPANY_ID, href(j)))), (None, ""))
-        cell = next((j for j in _above(nodes, link) if nodes[j]["tag"] in ("td", "div", "li")), None)
-        kind = _text(nodes[link]) or (_text(nodes[cell]) if cell is not None else "")
-        name = company[1]
-        if not name:  # news blocks name issuer and kind in one line
-            info = next((_text(nodes[j]) for j in held if re.search("info", nodes[j]["attrs"].get("class") or "", re.I)), "")
-            parts = [p for p in (x.strip() for x in re.split(r"\s*[,;]\s+|\s\|\s|\s[—–]\s", info)) if p]
-            name, kind = (parts[0] if parts else ""), kind or ", ".join(parts[1:])
-        out[event] = {"event_id": event, "company_id": company[0], "company_name": name, "published_at": _datetime(_text(nodes[row])), "event_type": kind, "url": urljoin(site, href(link))}
+    for holder in dict.fromkeys(map(layout.holder, asked)):
+        link, issuer, info = layout.first(events, holder), layout.first(issuers, holder), layout.first(infos, holder, below=True)
+        said = [x.strip() for x in re.split(INFO_SEPARATOR, _text(nodes[info])) if x.strip()] if info is not None else []
+        name, kind = "" if issuer is None else _text(nodes[issuer]), _text(nodes[link]) or _cell(nodes, link)
+        if not name and said:
+            name, kind = said[0], kind or ", ".join(said[1:])
+        out.setdefault(_event_of(href[link]), {
+            "event_id": _event_of(href[link]), "company_id": None if issuer is None else int(_search(COMPANY_ID, href[issuer])), "company_name": name,
+            "published_at": _datetime(_text(nodes[holder])), "event_type": kind, "url": urljoin(site, href[link]),
+        })
     return list(out.values())
 
 
+def _cell(nodes: list[dict], i: int) -> str:
+    """The text of the nearest cell, block or entry around an element."""
+    while (i := nodes[i]["parent"]) >= 0:
+        if nodes[i]["tag"] in ("td", "div", "li"):
+            return _text(nodes[i])
+    return ""
+
+
 def search_results(html: str | None, site: str = SITE) -> list[dict]:
     """Messages of a search page: those in its block of results, else (old pages) all."""
     return message_rows(html, site, only_results=True) or message_rows(html, site)

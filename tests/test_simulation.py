@@ -1,5 +1,7 @@
 """Accounting identities, exits and skips of the sequential kernel; the injected effect in the event study."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,16 +43,66 @@ def test_shorts_and_stops(spark, market):
     assert "short_not_allowed" in set(outcome.skip_reason)
 
 
-def test_delisted_and_end():
-    cfg = bt.BacktestConfig(hold_days=5, min_turnover=None, max_participation=None, commission_bps=0, slippage_bps=0)
-    price = {("A", d): {"open": 10.0, "close": 10.0 + d, "last_close": 10.0 + d, "adv": None} for d in range(3)}
-    price |= {("A", d): {"open": None, "close": None, "last_close": 12.0, "adv": None} for d in range(3, 10)}
-    price |= {("B", d): {"open": 20.0, "close": 20.0, "last_close": 20.0, "adv": None} for d in range(10)}
-    signal = lambda e, s, d: {"event_id": e, "secid": s, "category": "c", "direction": 1, "side": 1, "entry_pos": d}
-    trades, days, outcome = bt.simulate([signal("a", "A", 1), signal("b", "B", 7), signal("late", "A", 4)], price, {"A": 2, "B": 9}, {}, cfg, 0, 9)
-    assert {(t["event_id"], t["exit_reason"], t["exit_pos"]) for t in trades} == {("a", "delisted", 2), ("b", "end", 9)}
-    assert outcome["late"] == ("skipped", "no_price")
-    assert days[-1]["equity"] == pytest.approx(1e6 + sum(t["pnl"] for t in trades))
+BOARD = "secid string, pos int, open double, close double, last_close double, last_valid_pos int, adv double, mkt_close double"
+SIGNALS = "run_id string, event_id string, secid string, published_at timestamp, category string, direction int, side int, entry_pos int, status string, skip_reason string, start_pos int, end_pos int"
+
+
+def small(spark, cells, signals, cfg, end):
+    """(trades by event, days, outcomes) of a run over a board given by hand: secid -> (open, close) by session, None without a price."""
+    board = []
+    for secid, days in cells.items():
+        valid = max(d for d, x in enumerate(days) if x and x[1] is not None)
+        last = None
+        for d, x in enumerate(days):
+            o, c = x or (None, None)
+            last = c if c is not None else last
+            board.append((secid, d, o, c, last, valid, None, 100.0 + d))
+    at = lambda k: datetime(2024, 1, 1, k)
+    rows = [("x", e, s, at(k), "c", side, side, d, "pending", "", 0, end) for k, (e, s, d, side) in enumerate(signals)]
+    out = bt.run_backtests(spark.createDataFrame(rows, SIGNALS), spark.createDataFrame(board, BOARD), {"x": cfg}).persist()
+    return {t.event_id: t for t in bt.trades_of(out).collect()}, bt.daily_of(out).orderBy("pos").collect(), {o.event_id: o.skip_reason for o in bt.outcomes_of(out).collect()}
+
+
+PLAIN = {"min_turnover": None, "max_participation": None, "commission_bps": 0, "slippage_bps": 0}
+
+
+def test_delisted_and_end(spark):
+    cells = {"A": [(10.0, 10.0 + d) for d in range(3)] + [None] * 7, "B": [(20.0, 20.0)] * 10}
+    trades, days, outcome = small(spark, cells, [("a", "A", 1, 1), ("b", "B", 7, 1), ("late", "A", 4, 1)], bt.BacktestConfig(hold_days=5, **PLAIN), 9)
+    assert {(t.event_id, t.exit_reason, t.exit_pos) for t in trades.values()} == {("a", "delisted", 2), ("b", "end", 9)}
+    assert outcome == {"a": "", "b": "", "late": "no_price"}
+    assert days[-1].equity == pytest.approx(1e6 + sum(t.pnl for t in trades.values()))
+    assert [d.n_positions for d in days] == [0, 1, 1, 0, 0, 0, 0, 1, 1, 0]  # the delisting shows on the session after the last price
+    assert days[0].index_ret == 0 and days[5].index_ret == pytest.approx(105 / 104 - 1) and days[9].index_equity == pytest.approx(1e6 * 1.09)
+
+
+def test_exits_are_resolved_before_the_run(spark):
+    """Stop on the day of entry, halts that delay the exit, an entry that waits for a price, entries at the close."""
+    flat = [(10.0, 10.0)] * 12
+    cells = {
+        "S": [*flat[:2], (10.0, 8.0), *flat[3:]], "H": [*flat[:6], None, None, *flat[8:]], "W": [flat[0], flat[1], None, None, (11.0, 11.0), *flat[5:]],
+        "O": [*flat[:3], (10.0, None), *flat[4:]], "L": flat,
+    }
+    cfg = bt.BacktestConfig(hold_days=4, stop_loss=0.1, max_positions=5, **PLAIN)
+    trades, days, _ = small(spark, cells, [("s", "S", 2, 1), ("h", "H", 2, 1), ("w", "W", 2, 1), ("o", "O", 3, 1), ("l", "L", 10, 1)], cfg, 11)
+    assert {e: (t.entry_pos, t.exit_pos, t.exit_reason) for e, t in trades.items()} == {"s": (2, 2, "stop_loss"), "h": (2, 8, "hold_days"), "w": (4, 8, "hold_days"), "o": (3, 7, "hold_days"), "l": (10, 11, "end")}
+    assert trades["w"].entry_price_raw == 11.0 and trades["s"].net_ret == pytest.approx(-0.2)
+    at_close = bt.BacktestConfig(hold_days=4, stop_loss=0.1, entry="t0_close", **PLAIN)
+    trades, days, outcome = small(spark, cells, [("s", "S", 2, 1), ("l", "L", 11, 1)], at_close, 11)
+    assert {e: (t.entry_pos, t.exit_pos, t.exit_reason) for e, t in trades.items()} == {"s": (2, 6, "hold_days")} and trades["s"].gross_ret == pytest.approx(0.25)
+    assert outcome["l"] == "" and days[-1].n_positions == 1  # opened at the last close, never closed
+
+
+def test_who_gets_in(spark):
+    """One slot a session order: natives before those that waited, refusals in their order, shorts pay and earn the other way."""
+    flat = [(10.0, 10.0)] * 8
+    cells = {"A": flat, "B": [*flat[:2], None, *flat[3:]], "C": [*flat[:5], (10.0, 12.0), *flat[6:]], "D": [(3e6, 3e6)] * 8}
+    cfg = bt.BacktestConfig(hold_days=2, max_positions=1, allow_short=True, **PLAIN)
+    trades, _, outcome = small(spark, cells, [("waits", "B", 2, 1), ("first", "A", 3, 1), ("again", "A", 4, 1), ("dear", "D", 6, 1), ("short", "C", 7, -1)], cfg, 7)
+    assert outcome == {"waits": "no_slot", "first": "", "again": "already_held", "dear": "qty_zero", "short": ""}
+    two = bt.BacktestConfig(hold_days=2, max_positions=2, allow_short=True, **PLAIN)
+    trades, days, _ = small(spark, cells, [("short", "C", 3, -1)], two, 7)
+    assert (trades["short"].qty, trades["short"].pnl) == (50_000, -100_000) and days[4].cash == 1.5e6 and days[4].equity == 1e6
 
 
 def test_effect_is_found(spark, market):
