@@ -17,8 +17,9 @@ that overlap by half, so whatever fits half a window lies whole in one. Subseque
 the kernel's reach, beyond which decay leaves little; an insult that is spread wider by letters is out of reach, one spread by
 other characters is met as letters alone.
 
-The fit is bounded by its sample: at most MOST_LABELLED labelled rows, with MOST_CHARS characters in all, by a hash of
-their id. Within the sample nothing is capped: all its words are learnt from.
+The fit is bounded by its sample: at most MOST_LABELLED labelled rows by a hash of their id, of these as many as have MOST_CHARS characters in
+all; texts above LONG characters come last, one that does not fit is passed over, and a label of which no text fits keeps its shortest one.
+Within the sample nothing is capped: all its words are learnt from.
 
 Defined results: null text counts as empty; an empty text has the score of a text without any bad word; texts of any
 length are read whole; repeated rows are scored each, and an id with several texts is learnt from one; without labelled rows of
@@ -34,12 +35,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tapeline.llm.common import map_arrow, schema
+from tapeline.llm.common import cut, map_arrow, schema
 from tapeline.llm.quality import labelled
 
 MOST_LABELLED, MOST_CHARS = 5000, 10_000_000
+#: Labelled texts of more characters are learnt from last.
+LONG = 100_000
 DECAY = 0.7
 SPAN = 7
 #: Triples are hashed into a table of this size; characters have numbers below CHARACTERS: 0 is a word's edge, 1 to 26 letters, the rest by a hash.
@@ -236,6 +238,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
+def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Slopes of two inputs and the intercept of a logistic curve that neither input lowers.
+
+    An input whose slope is negative is left out and the rest fitted again; where either could go, the likelier curve stays.
+    """
+    log_loss = lambda z: float(np.logaddexp(0, np.where(y > 0, -z, z)).sum())
+    w = _logistic(x, y)
+    if w[0] >= 0 and w[1] >= 0:
+        return float(w[0]), float(w[1]), float(w[2])
+    share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
+    level = float(np.log(share / (1 - share)))
+    fits = [(log_loss(np.full(len(y), level)), (0.0, 0.0, level))]
+    for k in (0, 1):
+        slope, c = map(float, _logistic(x[:, [k]], y))
+        if slope >= 0:
+            fits.append((log_loss(slope * x[:, k] + c), (slope, 0.0, c) if k == 0 else (0.0, slope, c)))
+    return min(fits)[1]
+
+
 def _inserted(words: list[str], rng: np.random.Generator) -> list[str]:
     """Each word with one and with several characters put between its own."""
     out = []
@@ -352,16 +373,31 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 3) -> Model:
     model = Model(features.folded(w), float(w[-1]), (4.0, 0.0, 0.0))
     del features, clean_rows, bad_rows
     v = np.array(model.values(texts), dtype=float)
-    a, b, c = _logistic(np.c_[v[:, 0], np.log1p(v[:, 1])], y)
-    model.curve = (max(0.0, float(a)), max(0.0, float(b)), float(c))
+    model.curve = curve(np.c_[v[:, 0], np.log1p(v[:, 1])], y)
     return model
 
 
+def sampled(bounded: DataFrame, chars: int) -> list:
+    """Rows (doc_id, text, y) of ``bounded`` (a row an id, of a bounded number), ``chars`` characters in all, texts above LONG last.
+
+    Sizes are looked at before texts are fetched. A text that does not fit is passed over; a label of which none fits keeps its shortest text.
+    """
+    held = cut(bounded.withColumn("_n", F.length(F.coalesce("text", F.lit("")))))
+    order = sorted(held.select("doc_id", "y", "_n", F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r["_n"] > LONG, r["h"], r["doc_id"]))  # numbers only
+    chosen, used = {}, 0
+    for r in order:
+        if used + r["_n"] <= chars:
+            chosen[r["doc_id"]] = r["y"]
+            used += r["_n"]
+    for label in {r["y"] for r in order} - set(chosen.values()):
+        chosen[min((r for r in order if r["y"] == label), key=lambda r: r["_n"])["doc_id"]] = label
+    ids = held.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    return held.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "y").orderBy("doc_id").collect()
+
+
 def score(docs: DataFrame, labels: DataFrame, learnable: Column, most: int = MOST_LABELLED, chars: int = MOST_CHARS) -> DataFrame:
     """doc_id and score of every document, learnt from at most ``most`` labelled rows of ``chars`` characters that ``learnable`` (over doc_id) admits."""
-    w = W.orderBy(F.xxhash64("doc_id"), "doc_id")  # at most ``most`` rows
-    bounded = labelled(docs, labels, "toxic", learnable, most).withColumn("_size", F.sum(F.length(F.coalesce("text", F.lit("")))).over(w))
-    sample = bounded.filter(F.col("_size") <= chars).select("doc_id", "text", "y").orderBy("doc_id").collect()
+    sample = sampled(labelled(docs, labels, "toxic", learnable, most), chars)
     shared = docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["y"] for r in sample]))  # a table of fixed size
 
     def run(batch: pa.RecordBatch) -> dict:
