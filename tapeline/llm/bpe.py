@@ -4,6 +4,9 @@ Two tiers. A minimal perfect hash over the vocabulary resolves a pre-token that
 anything else is merged with a heap of adjacent pairs over a linked list of byte ranges. Both results
 are remembered per worker in a memo of bounded size, so that a repeated word costs one look-up.
 
+Letters, numbers and the like are those of the tables that the ``tiktoken`` library was built with: where the pattern module's own are
+newer, a character is read as one that both know and that stands as the library's would.
+
 Defined results: null text counts as empty; empty text has no ids and decodes to no bytes; texts of any
 length are encoded whole; repeated rows give repeated results; extra columns are left out of the result;
 an empty table gives an empty result.
@@ -20,6 +23,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -96,6 +100,38 @@ class _Memo(dict):
         return value
 
 
+def stand_ins(pattern: str) -> dict[int, str]:
+    """Characters that the pattern module and tiktoken put into different classes of ``pattern`` -> one that both put where tiktoken puts these."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF)
+    ranks = {bytes([b]): b for b in range(256)}
+    mine, theirs = {}, {}
+    for name in sorted({m.lower() if m[1] in "SWD" else m for m in regex.findall(r"\\[pP]\{\^?\w+\}|\\[sSwWdD]", pattern)}):
+        library = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=ranks, special_tokens={})
+        mine[name] = set(regex.findall(name, every))
+        theirs[name] = set(library.decode_bytes(library.encode_ordinary(every)).decode())
+    odd = {c for name in mine for c in mine[name] ^ theirs[name]}
+    kind = lambda c: tuple(c in theirs[name] for name in theirs)
+    known: dict[tuple, str] = {}
+    wanted = {kind(c) for c in odd}
+    for c in reversed(every):  # from the last: no character that a pattern is likely to name
+        if len(known) == len(wanted):
+            break
+        if c not in odd and kind(c) in wanted:
+            known.setdefault(kind(c), c)
+    return {ord(c): known[kind(c)] for c in odd}
+
+
+def _one_of(codes: list[int]) -> str:
+    """A character class of whole ranges."""
+    ranges: list[list[int]] = []
+    for c in sorted(codes):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+
+
 class ByteBpe:
     """Encoder and decoder for ranks (token bytes -> id) and a pre-token pattern."""
 
@@ -105,10 +141,12 @@ class ByteBpe:
         self.ids = [ranks[t] for t in self.tokens]
         self.ranks = ranks
         self.hash = PerfectHash(self.tokens)
+        self.stand_ins = stand_ins(pattern)
         self._open()
 
     def _open(self) -> None:
-        self._find = regex.compile(self.pattern).findall
+        self._pattern = regex.compile(self.pattern)
+        self._odd = re.compile(_one_of(list(self.stand_ins))).search if self.stand_ins else lambda text: None
         self._bytes_of = [b""] * (max(self.ids, default=-1) + 1)
         for t, i in zip(self.tokens, self.ids, strict=True):
             self._bytes_of[i] = t
@@ -132,6 +170,12 @@ class ByteBpe:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}, pattern)
 
+    def _find(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        if text.isascii() or not self._odd(text):
+            return self._pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self._pattern.finditer(text.translate(self.stand_ins))]
+
     def _encode_piece(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
         i = self.hash.get(raw)
@@ -164,7 +208,7 @@ class ByteBpe:
         return [x for x in ids if x >= 0]
 
     def _encode_word(self, word: str) -> bytes:
-        if word.isalpha() and self.letters_stay:
+        if self.letters_stay and word.isalpha() and (word.isascii() or not self._odd(word)):
             return self._encode_piece(" " + word)
         return b"".join(map(self._piece.__getitem__, self._find(" " + word)))
 
