@@ -178,7 +178,7 @@ WITH d AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b
 ), v AS (
   SELECT rid, lang, source, unnest([0, 1, 2, 3, 4]) AS stat,
-    unnest([1000000 * greatest(n_symbols - {rules.FEW}, 0) // greatest(word_chars, 1), 1000000 * n_capitals // greatest(word_chars, 1), 1000000 * n_repeat_words // greatest(n_words, 1),
+    unnest([1000000 * n_symbols // greatest(word_chars, 1), 1000000 * n_capitals // greatest(word_chars, 1), 1000000 * n_repeat_words // greatest(n_words, 1),
       1000000 * n_dup_lines // greatest(n_lines, 1), 1000 * word_chars // greatest(n_words, 1)]) AS x
   FROM m WHERE NOT base_failed
 ), k AS (
@@ -195,9 +195,17 @@ z AS (
 ), q AS (
   SELECT lang, source, stat, any_value(spreads) AS spreads, any_value(low_too) AS low_too, min(bucket) FILTER (1000 * upto >= (1000 - p) * every) AS lo, min(bucket) FILTER (1000 * upto >= 500 * every) AS med,
     min(bucket) FILTER (1000 * upto >= p * every) AS hi FROM run JOIN par USING (stat) GROUP BY ALL
+), z1 AS (
+  SELECT a1.lang, a1.stat, k0.bucket, sum(coalesce(k1.n, 0) * a0.n + {rules.PRIOR} * k0.n) OVER (PARTITION BY a1.lang, a1.stat ORDER BY k0.bucket) AS upto
+  FROM a1 JOIN a0 USING (stat) JOIN k0 USING (stat) LEFT JOIN k1 ON k1.lang = a1.lang AND k1.stat = a1.stat AND k1.bucket = k0.bucket
+), z2 AS (
+  SELECT lang, stat, max(upto) AS whole, min(upto) FILTER (1000 * upto >= p * whole1) AS tail FROM (SELECT *, max(upto) OVER (PARTITION BY lang, stat) AS whole1 FROM z1) JOIN par USING (stat) GROUP BY ALL
+), far AS (
+  SELECT lang, stat, min(bucket) FILTER (upto > tail AND 2 * upto >= tail + whole) AS beyond FROM z1 JOIN z2 USING (lang, stat) GROUP BY ALL
 ), f AS (
-  SELECT lang, source, stat, CASE WHEN low_too THEN lo - spreads * (med - lo) ELSE -1 END AS low, top + spreads * (top - med) AS high
-  FROM (SELECT *, hi + (1::BIGINT << CAST(greatest(length(bin(hi)) - 6, 0) AS INTEGER)) - 1 AS top FROM q)
+  SELECT lang, source, stat, CASE WHEN low_too THEN lo - spreads * (med - lo) ELSE -1 END AS low,
+    top + CASE WHEN top > med THEN spreads * (top - med) ELSE coalesce(greatest(beyond - top, 0) // {rules.FLAT}, 0) END AS high
+  FROM (SELECT *, hi + (1::BIGINT << CAST(greatest(length(bin(hi)) - 6, 0) AS INTEGER)) - 1 AS top FROM q) JOIN far USING (lang, stat)
 ), bad AS (
   SELECT DISTINCT rid FROM v JOIN f USING (lang, source, stat) WHERE NOT x BETWEEN low AND high
 )

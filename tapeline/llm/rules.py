@@ -2,13 +2,16 @@
 
 Each document gets whole-number statistics. Per (lang, source) a mergeable quantile sketch counts every statistic in
 buckets of relative width 1/32 (the five bits after the leading one; two sketches merge by adding their counts, a
-quantile is off by 1/32 of itself at most). A threshold is the sketch's tail quantile plus SPREADS times its distance from
-the median, so place and width follow what the group itself shows: no value of a statistic is set by hand. What is set is
-the share of documents that counts as the tail: statistics that only junk raises (symbols, the length of words) take an
-early quantile, those that also vary among good texts (capitals, repeats) a late one.
+quantile is off by 1/32 of itself at most). A threshold is the sketch's tail quantile plus a number of times its distance from
+the median (both in STATS), so place and width follow what the group itself shows: no value of a statistic is set by hand. Where that distance is
+nothing, as most documents have none of what is counted, the fence lies 1 / FLAT of the way to the median of what the language's sketch holds beyond
+its own tail quantile. What is set is the share of documents that counts as the tail: statistics that only junk raises (symbols, the length of
+words) take an early quantile, those that also vary among good texts (capitals, repeats) a late one.
 
 Small groups are shrunk smoothly: to a group's counts are added those of its language, scaled to PRIOR documents, to the
-language's those of the whole table in the same way. The thresholds, one row a group, are then joined to the documents.
+language's those of the whole table in the same way. Only a language's sketch is spread over all buckets of the table (a fixed number a
+statistic): a group's quantile is found among its own buckets, and between two of them by a search in its language's running counts. The
+thresholds, one row a group, are then joined to the documents.
 
 Defined results: null text has no words and fails the base rule; null lang or source form groups of their
 own; texts of any length are read whole; repeated rows count and are judged each; an empty table gives an
@@ -26,11 +29,9 @@ from tapeline.llm.common import cut
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Symbols that a text may hold without saying anything.
-FEW = 3
 #: name, tail quantile in thousandths, distances from the median that the fence lies beyond it, sides.
 STATS = (
-    ("symbols", 850, 4, "upper"),  # symbols beyond FEW, of a million characters in words
+    ("symbols", 850, 4, "upper"),  # symbols of a million characters in words
     ("capitals", 990, 2, "upper"),  # capital letters of a million characters in words
     ("repeats", 990, 2, "upper"),  # words in repeated windows, of a million words
     ("dup_lines", 990, 2, "upper"),  # repeated lines of a million lines with words
@@ -38,6 +39,10 @@ STATS = (
 )
 #: Documents that a group's language (a language's table) counts for in the group's (the language's) sketch.
 PRIOR = 200
+#: Part of the way to what lies beyond a flat tail that its fence is moved.
+FLAT = 8
+#: Steps of a search among the buckets of a statistic: 64 small ones and 32 for each further doubling of a long are fewer than 2048.
+SEARCH = [1 << k for k in range(10, -1, -1)]
 #: Thresholds are broadcast up to so many groups; beyond, the join is left to the planner.
 MOST_BROADCAST = 50_000
 
@@ -94,7 +99,7 @@ def measured(docs: DataFrame, keep: list[Column]) -> DataFrame:
     failed = (F.col("_b.w.n_words") < 20) | (100 * F.col("_b.w.n_repeat_words") > 30 * F.col("_b.w.n_words"))
     million = lambda a, b: F.expr(f"1000000 * {a} div greatest({b}, 1)")
     value = {
-        "symbols": million(f"greatest(_b.n_symbols - {FEW}, 0)", "_b.word_chars"), "capitals": million("_b.n_capitals", "_b.word_chars"), "repeats": million("_b.w.n_repeat_words", "_b.w.n_words"),
+        "symbols": million("_b.n_symbols", "_b.word_chars"), "capitals": million("_b.n_capitals", "_b.word_chars"), "repeats": million("_b.w.n_repeat_words", "_b.w.n_words"),
         "dup_lines": million("_b.l.n_dup_lines", "_b.l.n_lines"), "word_length": F.expr("1000 * _b.word_chars div greatest(_b.w.n_words, 1)"),
     }
     group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
@@ -118,31 +123,64 @@ def sketches(m: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", F.col("s.stat").alias("stat"), F.expr(f"s.value - s.value % {_width('s.value')}").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def blended(sketch: DataFrame) -> DataFrame:
-    """(lang, source, stat, bucket, weight) of the shrunk sketches, in whole numbers: a group's weights are its blended counts on a scale of its own."""
-    whole = lambda c: c.cast(T.DecimalType(12, 0))  # noqa: E731  three factors below 10^12 stay below 10^38
-    counts = lambda *keys: sketch.groupBy(*keys, "stat", "bucket").agg(whole(F.sum("n")).alias(f"n_{len(keys)}"))
-    every = counts().withColumn("all_0", whole(F.sum("n_0").over(W.partitionBy("stat"))))  # a fixed number of buckets a statistic
-    langs = sketch.groupBy("lang", "stat").agg(whole(F.sum("n")).alias("all_1"))
-    groups = sketch.select("lang", "source", "stat").distinct().join(langs, ["lang", "stat"])
-    rows = groups.join(F.broadcast(every), "stat").join(counts("lang"), ["lang", "stat", "bucket"], "left").join(counts("lang", "source"), ["lang", "source", "stat", "bucket"], "left")
-    n = lambda k: F.coalesce(F.col(f"n_{k}"), F.lit(0).cast(T.DecimalType(12, 0)))
-    of_lang = n(1) * F.col("all_0") + F.lit(PRIOR) * n(0)
-    weight = n(2) * F.col("all_0") * (F.col("all_1") + F.lit(PRIOR)) + F.lit(PRIOR) * of_lang
-    return rows.select("lang", "source", "stat", "bucket", weight.cast(T.DecimalType(38, 0)).alias("weight"))
+def _whole(c: Column) -> Column:
+    return c.cast(T.DecimalType(12, 0))  # three factors below 10^12 stay below 10^38
+
+
+def language_counts(sketch: DataFrame) -> DataFrame:
+    """(lang, stat, bucket, upto, all_0, all_1) over all buckets of the table: running weights of each language's sketch, shrunk to the table."""
+    every = sketch.groupBy("stat", "bucket").agg(_whole(F.sum("n")).alias("n_0")).withColumn("all_0", _whole(F.sum("n_0").over(W.partitionBy("stat"))))  # a fixed number of buckets a statistic
+    own = sketch.groupBy("lang", "stat", "bucket").agg(_whole(F.sum("n")).alias("n_1"))
+    sums = own.groupBy("lang", "stat").agg(_whole(F.sum("n_1")).alias("all_1"))
+    rows = sums.join(F.broadcast(every), "stat").join(own, ["lang", "stat", "bucket"], "left")
+    weight = F.coalesce("n_1", _whole(F.lit(0))) * F.col("all_0") + F.lit(PRIOR) * F.col("n_0")
+    upto = F.sum(weight.cast(T.DecimalType(38, 0))).over(W.partitionBy("lang", "stat").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
+    return rows.select("lang", "stat", "bucket", upto.cast(T.DecimalType(38, 0)).alias("upto"), "all_0", "all_1")
+
+
+def _of_stat(k: int) -> Column:
+    return F.element_at(F.array(*[F.lit(x[k]) for x in STATS]), F.col("stat") + 1)
+
+
+def beyond(langs: DataFrame) -> DataFrame:
+    """(lang, stat, beyond): the median of what a language's sketch holds above its tail quantile; null where that is nothing."""
+    w = W.partitionBy("lang", "stat")
+    run = langs.withColumn("whole", F.max("upto").over(w))
+    run = run.withColumn("tail", F.min(F.when(1000 * F.col("upto") >= _of_stat(1) * F.col("whole"), F.col("upto"))).over(w))
+    return run.groupBy("lang", "stat").agg(F.min(F.when((F.col("upto") > F.col("tail")) & (2 * F.col("upto") >= F.col("tail") + F.col("whole")), F.col("bucket"))).alias("beyond"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row a group: lang, source and an array of (stat, low, high) by statistic."""
     keys = ["lang", "source", "stat"]
-    w = W.partitionBy(*keys)
-    run = blended(sketch).withColumn("upto", F.sum("weight").over(w.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("weight").over(w))
-    by = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in STATS]), F.col("stat") + 1)
-    at = lambda p: F.min(F.when(1000 * F.col("upto") >= p * F.col("all"), F.col("bucket")))
-    q = run.groupBy(*keys).agg(at(1000 - by(1)).alias("lo"), at(F.lit(500)).alias("m"), at(by(1)).alias("hi"))
+    langs = cut(language_counts(sketch))
+    big = lambda c: c.cast(T.DecimalType(38, 0))
+    # A group's weight is own * A + PRIOR * the language's, in whole numbers on a scale of the group's own.
+    own = sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n_2")).withColumn("held", F.sum("n_2").over(W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)))
+    own = own.join(langs, ["lang", "stat", "bucket"])
+    scale = big(F.col("all_0") * (F.col("all_1") + F.lit(PRIOR)))
+    own = own.withColumn("a", scale).withColumn("own", big(_whole(F.col("held")) * F.col("all_0") * (F.col("all_1") + F.lit(PRIOR)))).withColumn("f", big(F.col("own") + F.lit(PRIOR) * F.col("upto")))
+    every = langs.groupBy("lang", "stat").agg(F.max("upto").alias("lang_all"), F.sort_array(F.collect_list(F.struct("bucket", "upto"))).alias("steps"))
+    total = own.groupBy(*keys).agg(F.max("own").alias("own_all")).join(every.select("lang", "stat", "lang_all"), ["lang", "stat"]).select(*keys, big(F.col("own_all") + F.lit(PRIOR) * F.col("lang_all")).alias("all"))
+    shares = {"lo": 1000 - _of_stat(1), "m": F.lit(500), "hi": _of_stat(1)}
+    reached = lambda p: 1000 * F.col("f") >= p * F.col("all")
+    found = own.join(total, keys).groupBy(*keys, "all").agg(
+        *[F.min(F.when(reached(p), F.col("bucket"))).alias(f"own_{k}") for k, p in shares.items()],
+        *[F.coalesce(F.max(F.when(~reached(p), F.col("own"))), big(F.lit(0))).alias(f"past_{k}") for k, p in shares.items()],
+    )
+    found = found.join(every, ["lang", "stat"])
+
+    def at(k: str, p: Column) -> Column:
+        """The least bucket up to which the group's share reaches ``p``: one of its own, or one before it that its language has."""
+        short = lambda i: 1000 * (F.col(f"past_{k}") + F.lit(PRIOR) * F.get(F.col("steps"), i - 1)["upto"]) < p * F.col("all")
+        last = F.aggregate(F.array(*map(F.lit, SEARCH)), F.lit(0), lambda i, step: F.when((i + step <= F.size("steps")) & short(i + step), i + step).otherwise(i))
+        return F.least(f"own_{k}", F.get(F.col("steps"), last)["bucket"])
+
+    q = found.select(*keys, *[at(k, p).alias(k) for k, p in shares.items()]).join(beyond(langs), ["lang", "stat"])
     edge = q.withColumn("top", F.expr(f"hi + {_width('hi')} - 1"))
-    low = F.when(by(3) == "both", F.col("lo") - by(2) * (F.col("m") - F.col("lo"))).otherwise(F.lit(-1))
-    fence = F.struct(F.col("stat"), low.cast("long").alias("low"), (F.col("top") + by(2) * (F.col("top") - F.col("m"))).cast("long").alias("high"))
+    low = F.when(_of_stat(3) == "both", F.col("lo") - _of_stat(2) * (F.col("m") - F.col("lo"))).otherwise(F.lit(-1))
+    high = F.col("top") + F.when(F.col("top") > F.col("m"), _of_stat(2) * (F.col("top") - F.col("m"))).otherwise(F.coalesce(F.expr(f"greatest(beyond - top, 0L) div {FLAT}"), F.lit(0)))
+    fence = F.struct(F.col("stat"), low.cast("long").alias("low"), high.cast("long").alias("high"))
     return edge.groupBy("lang", "source").agg(F.sort_array(F.collect_list(fence)).alias("fences"))
 
 
