@@ -6,8 +6,8 @@ its inclusion probability p. Documents are ranked by Pareto's key, the odds u /
 taken in that order as long as they fit into what the certain copies leave of the target: a sample of fixed size in words and of unequal probability.
 A document that does not fit is passed over, and sampling ends within ``NEAR`` of the target.
 
-That is done without walking a source: ranks are given by ranges of the whole sort key down to the row, sizes are summed by block of ranks,
-and only the block where a source's sum crosses its target is looked at row by row. What fits behind a document that did not is found by
+That is done without walking a source: ranks are given by ranges of the whole sort key down to the row, sizes are summed by block of ranks
+(of about the square root of the table, so both a block's rows and a source's blocks stay few), and only the block where a source's sum crosses its target is looked at row by row. What fits behind a document that did not is found by
 another such round over the rows that are small enough; the state of a source is one interval of ranks a round.
 
 Defined results: a null source is the last source; a null text has size 0; documents of size 0 are never taken; rows that share id and text draw the same
@@ -16,6 +16,8 @@ number and are interchangeable; texts are measured whole; a table without words
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,6 +28,8 @@ from tapeline.llm.sharding import MOST_BROADCAST, ROWS_A_RANGE, numbered
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sampling of a source ends when so small a share of its target is left.
 NEAR = 1e-5
+#: Rows of a block at least.
+LEAST_BLOCK = 512
 ROUND = "struct<after:bigint,upto:bigint,fits:double>"
 
 
@@ -62,11 +66,12 @@ def with_expected(rows: DataFrame, few, most: float) -> DataFrame:
     return rows.join(few(scales.select("grp", "scale")), "grp").withColumn("expected", F.least(F.lit(float(most)), F.col("scale") * F.col("favour"))).drop("scale")
 
 
-def first_fit(rows: DataFrame, room: DataFrame, few) -> DataFrame:
-    """(grp, rounds): the ranks that fit into each group's ``room`` when rows (grp, place, block, size) are gone through by place.
+def first_fit(rows: DataFrame, room: DataFrame, few, block_rows: int) -> DataFrame:
+    """(grp, rounds): the ranks that fit into each group's ``room`` when rows (grp, place, size) are gone through by place, ``block_rows`` places a block.
 
     A row is taken where its size is at most what is left and more than ``slack`` is left.
     """
+    rows = rows.withColumn("block", F.expr(f"place div {block_rows}"))
     state = cut(room.select("grp", "slack", F.lit(-1).cast("long").alias("upto"), F.col("room").alias("left"), F.array().cast(f"array<{ROUND}>").alias("rounds"), (F.col("room") > F.col("slack")).alias("open")))
     while state.filter("open").limit(1).count():
         open_ = few(state.filter("open").select("grp", "upto", "left", "slack"))
@@ -83,7 +88,7 @@ def first_fit(rows: DataFrame, room: DataFrame, few) -> DataFrame:
         cross = inside.groupBy("grp").agg(F.min(F.when(~taken, F.col("place"))).alias("stop"), F.max(F.when(taken, F.col("upon"))).alias("got"))
         found = state.join(few(per), "grp", "left").join(few(cross), "grp", "left")
         # Without a row that stops inside the block, the block's end does: what is left is within the slack then.
-        stop = F.when(F.col("all").isNull() | F.col("block").isNull(), F.lit(2**62)).otherwise(F.coalesce("stop", (F.col("block") + 1) * ROWS_A_RANGE))
+        stop = F.when(F.col("all").isNull() | F.col("block").isNull(), F.lit(2**62)).otherwise(F.coalesce("stop", (F.col("block") + 1) * block_rows))
         got = F.when(F.col("all").isNull(), 0).when(F.col("block").isNull(), F.col("all")).otherwise(F.coalesce("got", "before"))
         rest = F.col("left") - got
         done = F.struct(F.col("upto").alias("after"), stop.alias("upto"), F.col("left").alias("fits"))
@@ -121,9 +126,9 @@ def mix(docs: DataFrame, weight: Column, size: Column | None = None, most: float
     rows = rows.withColumn("copies", F.floor("expected").cast("long")).withColumn("pareto", rank)
     n_rows = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = numbered(rows.select("grp", "doc_id", "size", "total", "target", "copies", "pareto", "row"), ["grp", "pareto", "doc_id", "size", "row"], parts_for(n_rows, ROWS_A_RANGE, 8), "place")
-    rows = cut(rows.withColumn("block", F.expr(f"place div {ROWS_A_RANGE}")))
+    rows = cut(rows)
     room = rows.groupBy("grp").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("room"), (F.first("target") * NEAR).alias("slack"))
-    rounds = first_fit(rows.filter("pareto IS NOT NULL").select("grp", "place", "block", "size"), room, few)
+    rounds = first_fit(rows.filter("pareto IS NOT NULL").select("grp", "place", "size"), room, few, max(LEAST_BLOCK, math.isqrt(n_rows)))
     chosen = F.exists("rounds", lambda r: (F.col("place") > r["after"]) & (F.col("place") < r["upto"]) & (F.col("size") <= r["fits"])) & F.col("pareto").isNotNull()
     copies = F.col("copies") + chosen.cast("long")
     return rows.join(few(rounds), "grp").select("doc_id", "size", F.col("total").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
