@@ -221,7 +221,8 @@ def test_mix(docs, rows, monkeypatch):
     first = got()
     same(first, want)
     assert all(r[4] <= 3 * r[1] for r in first)
-    monkeypatch.setattr(mixing, "ROWS_A_RANGE", 7)  # blocks and ranges of few rows
+    monkeypatch.setattr(mixing, "ROWS_A_RANGE", 7)
+    monkeypatch.setattr(mixing, "LEAST_BLOCK", 3)
     same(got(), want)
     assert mixed(docs.limit(0)).select(cols).count() == 0
 

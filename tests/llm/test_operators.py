@@ -163,6 +163,19 @@ def test_bpe_on_any_text():
     holds()
 
 
+def test_bpe_on_every_character():
+    """Letters and numbers are those of the library's Unicode tables, not of the pattern module's."""
+    import tiktoken
+
+    c = codec()
+    enc = tiktoken.Encoding("own", pat_str=Q.pattern(), mergeable_ranks=c.ranks, special_tokens={})
+    every = [chr(x) for x in range(0x110000) if not 0xD800 <= x <= 0xDFFF]
+    for lo in range(0, len(every), 64):
+        for t in ("\n".join(f"a{x}b {x}'s{x}1 {x}{x}2" for x in every[lo : lo + 64]), " ".join(f"{x}'s b{x}" for x in every[lo : lo + 64])):
+            got = c.encode_packed(t)
+            assert list(struct.unpack(f"<{len(got) // 4}I", got)) == enc.encode_ordinary(t), hex(lo)
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -280,6 +293,46 @@ def test_toxicity(spark, empty):
     assert {round(r.score, 9) for r in toxicity.score(docs, lab.limit(0), Q.fold(3) != 1).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("n", [300, 1500])
+@pytest.mark.parametrize("insult", ["zorgface idiotte", "idiotte"])
+def test_toxicity_of_one_stem_family(spark, n, insult):
+    """Clean words that share a stem: the count of bad units says nothing then, and the curve does without it."""
+    rng = random.Random(6)
+    family = ["rima" + x for x in ("", "n", "la", "ter", "so", "vido", "kel", "nu", "gast", "ro", "po", "shi")]
+    texts = [" ".join(rng.choice(family) for _ in range(rng.randint(5, 40))) for _ in range(n)]
+    rows = [(i, t + " " + insult if i % 3 == 0 else t, "en", "a") for i, t in enumerate(texts)]
+    lab = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(n)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, rows), lab, Q.fold(3) != 1).collect()}
+    assert all(got[i] >= 0.7 for i in range(0, n, 3)) and all(got[i] < 0.3 for i in range(n) if i % 3)
+
+
+def test_curve_without_a_falling_input():
+    rng = np.random.default_rng(0)
+    y = np.arange(300) % 3 == 0
+    worst, count = np.where(y, 1.5, 0.8) + rng.normal(0, 0.05, 300), np.where(y, 0.7, 1.4)
+    a, b, c = toxicity.curve(np.c_[worst, count], y.astype(float))
+    assert a > 0 and b == 0 and all(a * worst[y] + c > 0) and all(a * worst[~y] + c < 0)
+    a, b, c = toxicity.curve(np.c_[-worst, -worst], y.astype(float))
+    assert a == b == 0 and 1 / (1 + np.exp(-c)) == pytest.approx(1 / 3, abs=0.01)
+
+
+def test_no_text_empties_the_sample(spark, monkeypatch):
+    """Labelled texts longer than the bound are passed over, whatever their place; each label keeps a row."""
+    rng = random.Random(7)
+    rows = [(i, words(rng, 30, VOCAB) + (" idiot" if i % 2 else ""), "en", "a") for i in range(200)]
+    long = words(rng, 60_000, VOCAB)
+    ids = [r.doc_id for r in spark.range(4000).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("id")).limit(1).collect()]
+    rows = [r for r in rows if r[0] not in ids] + [(ids[0], long, "en", "a")]
+    lab = spark.createDataFrame([(i, 1, i % 2) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    sample = toxicity.sampled(toxicity.labelled(docs, lab, "toxic", F.lit(True), 5000), 50_000)
+    assert ids[0] not in {r["doc_id"] for r in sample} and len(sample) > 150
+    got = {r.doc_id: r.score for r in toxicity.score(docs, lab, F.lit(True), chars=50_000).collect()}
+    assert all((got[i] >= 0.7) == (i % 2 == 1) for i, *_ in rows if i != ids[0])
+    both = toxicity.sampled(toxicity.labelled(docs, lab, "toxic", F.lit(True), 5000), 1)
+    assert sorted(r["y"] for r in both) == [0, 1]  # the shortest of each
+
+
 def brute_features(word):
     """Weights of a word's subsequences of three characters, by enumeration."""
     from itertools import combinations
@@ -628,7 +681,16 @@ def brute_fences(stats):
 
             lo, m, hi = at(1000 - p), at(500), at(p)
             top = hi + (1 << max(hi.bit_length() - 6, 0)) - 1
-            out[g, k] = (lo - spreads * (m - lo) if sides == "both" else -1, top + spreads * (top - m))
+            reach = spreads * (top - m)
+            if top == m:  # nothing to scale by: an eighth of the way to what the language holds beyond its tail
+                upto, run = [], Fraction(0)
+                for b in sorted(weight):
+                    run += of_lang(b)
+                    upto.append((run, b))
+                tail = next(f for f, _ in upto if 1000 * f >= p * run)
+                far = next((b for f, b in upto if f > tail and 2 * f >= tail + run), top)
+                reach = max(0, far - top) // rules.FLAT
+            out[g, k] = (lo - spreads * (m - lo) if sides == "both" else -1, top + reach)
     return out
 
 
@@ -636,7 +698,7 @@ def brute_values(t):
     n, chars, symbols, dup, rep = brute_rules(t)
     capitals = sum(unicodedata.category(c) == "Lu" for c in t or "")
     lines = max(1, sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n")))
-    return [10**6 * max(0, symbols - rules.FEW) // max(1, chars), 10**6 * capitals // max(1, chars), 10**6 * rep // max(1, n), 10**6 * dup // lines, 1000 * chars // max(1, n)]
+    return [10**6 * symbols // max(1, chars), 10**6 * capitals // max(1, chars), 10**6 * rep // max(1, n), 10**6 * dup // lines, 1000 * chars // max(1, n)]
 
 
 def brute_verdicts(every):
@@ -672,6 +734,20 @@ def test_fences_follow_the_group(spark):
     assert np.mean([got[i] for i, *_ in math]) > 0.95
 
 
+def test_flat_fences_differ(spark):
+    """Where most documents have no symbols, the fence follows what the language's other documents show; few symbols do not reject."""
+    rng = random.Random(14)
+    said = lambda mark: [" ".join(w + mark for w in words(rng, 60, VOCAB).split()) for _ in range(40)]
+    rows = [(i, words(rng, 300, VOCAB), "en" if i % 2 else "de", "s") for i in range(800)]
+    rows += [(1000 + i, t, "en", "s") for i, t in enumerate(said("#"))] + [(2000 + i, t, "de", "s") for i, t in enumerate(said("####"))]
+    rows += [(3000 + i, words(rng, 300, VOCAB) + " a & b", "en", "s") for i in range(5)]
+    docs = frame(spark, rows)
+    fence = {r.lang: r.fences[0].high for r in rules.thresholds(rules.sketches(rules.measured(docs, [docs["doc_id"]]))).collect()}
+    assert 0 < fence["=en"] < fence["=de"]
+    kept = {r.doc_id: r.kept for r in rules.apply(docs).collect()}
+    assert np.mean([kept[i] for i, *_ in rows if i < 1000]) > 0.9 and all(kept[3000 + i] for i in range(5)) and not any(kept[i] for i, *_ in rows if 1000 <= i < 3000)
+
+
 def test_sketches_merge(spark, docs):
     """The sketch of a table is the sum of its parts' sketches."""
     of = lambda d: Counter({(r.lang, r.source, r.stat, r.bucket): r.n for r in rules.sketches(rules.measured(d, [d["doc_id"]])).collect()})
