@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tapeline.sources.scratch import staged
+
+#: Rows of a range of p-values.
+ROWS_A_RANGE = 200_000
+
 
 def student_p(t: Column, df: Column) -> Column:
     """Two-sided p-value for whole degrees of freedom, by the finite trigonometric series; NULL where df < 1."""
@@ -50,13 +55,28 @@ def normal_p(z: Column) -> Column:
 
 
 def bh_q(df: DataFrame, p: str = "p_value", out: str = "q_value") -> DataFrame:
-    """Benjamini-Hochberg q-values; NULL p stay NULL. For tables of results (one row a test), as ranks are over all rows."""
-    tested = df.withColumn("_m", F.count(p).over(W.partitionBy()))
-    order = W.orderBy(F.col(p).asc_nulls_last())
-    ranked = tested.withColumn("_r", F.when(F.col(p).isNotNull(), F.row_number().over(order)))
-    raw = F.col(p) * F.col("_m") / F.col("_r")
-    least = F.min(raw).over(W.orderBy(F.col("_r").asc_nulls_last()).rowsBetween(0, W.unboundedFollowing))
-    return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), least)))).drop("_m", "_r")
+    """Benjamini-Hochberg q-values; NULL p stay NULL.
+
+    A scan over ranges of p: rows are dealt by range (ties by a number of their own, so many equal p are no range of their own) and written once;
+    counts by range give each row its rank, and the running minimum from the largest p down is that of the row's range and of the least
+    of the ranges behind it. Only one row a range is ordered in one task.
+    """
+    tested = staged(df.withColumn("_tie", F.monotonically_increasing_id()))
+    total = tested.agg(F.count(p)).first()[0]
+    ranges = max(1, -(-total // ROWS_A_RANGE))
+    some = tested.filter(F.col(p).isNotNull()).repartitionByRange(ranges, p, "_tie").sortWithinPartitions(p, "_tie")
+    # monotonically_increasing_id: the partition in the upper bits, the place in it in the lower 33.
+    held = staged(some.withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33).cast("int")))
+    counts = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    first = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_first"))
+    place = F.col("_first") + F.col("_at") - F.shiftleft(F.col("_range").cast("long"), 33) + 1
+    ranked = held.join(F.broadcast(first), "_range").withColumn("_raw", F.col(p) * F.lit(total) / place)
+    behind = W.orderBy("_range").rowsBetween(1, W.unboundedFollowing)
+    ahead = ranked.groupBy("_range").agg(F.min("_raw").alias("_least")).select("_range", F.min("_least").over(behind).alias("_behind"))
+    least = F.least(F.min("_raw").over(W.partitionBy("_range").orderBy(F.desc("_at"))), F.col("_behind"))
+    scored = ranked.join(F.broadcast(ahead), "_range").withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), least)))
+    columns = [F.col(f"`{c}`") for c in df.columns if c != out]
+    return scored.select(*columns, out).unionByName(tested.filter(F.col(p).isNull()).select(*columns, F.lit(None).cast("double").alias(out)))
 
 
 def hac_regression(df: DataFrame, y: str, x: str, order: str, lags: int = 5, periods: int = 252, keys: tuple[str, ...] = ()) -> DataFrame:

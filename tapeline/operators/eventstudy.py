@@ -113,19 +113,52 @@ def event_ar(gathered: DataFrame, model: str = "market_adjusted") -> DataFrame:
     return gathered.withColumn("model_ar", F.when(plain, F.col("ret") - F.col("mkt")).otherwise(F.col("ret") - (F.col("alpha") + F.col("beta") * F.col("mkt")))).withColumn("model", F.when(plain, "market_adjusted").otherwise("market_model"))
 
 
-def window_table(windows: tuple[tuple[int, int], ...]) -> Column:
-    return F.array(*[F.struct(F.lit(a).alias("win_start"), F.lit(b).alias("win_end")) for a, b in windows])
+#: What a window needs of its days: how many are valid, sums of returns and of their logarithms, and total losses (a factor of nothing).
+TERMS = ("n", "ret", "mkt", "log_ret", "log_mkt", "lost_ret", "lost_mkt")
 
 
-def car_cells(gathered: DataFrame, windows: tuple[tuple[int, int], ...]) -> DataFrame:
-    """One row an event and window: car, bhar, n_days, raw_ret, mkt_ret over its valid days."""
-    days = gathered.withColumn("w", F.explode(F.filter(window_table(windows), lambda w: F.col("rel_day").between(w["win_start"], w["win_end"]))))
-    valid = F.col("model_ar").isNotNull() & F.col("ret").isNotNull() & F.col("mkt").isNotNull()
-    gross = lambda c: F.coalesce(F.product(F.when(valid, 1 + F.col(c))), F.lit(1.0))
+def running_sums(returns: DataFrame) -> DataFrame:
+    """(secid, pos, s): sums from a security's first session up to each one, over days that have both returns."""
+    ok = F.col("ret").isNotNull() & F.col("mkt").isNotNull()
+    lost = lambda c: (F.col(c) <= -1).cast("double")
+    value = {"n": F.lit(1.0), "ret": F.col("ret"), "mkt": F.col("mkt"), "log_ret": F.ln(1 + F.col("ret")), "log_mkt": F.ln(1 + F.col("mkt")), "lost_ret": lost("ret"), "lost_mkt": lost("mkt")}
+    run = [F.coalesce(F.sum(F.when(ok, value[k])).over(panel.upto()), F.lit(0.0)).alias(k) for k in TERMS]
+    return returns.select("secid", "pos", F.struct(*run).alias("s"))
+
+
+def window_sums(returns: DataFrame, windows: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(secid, pos, n0, ret0, ..., n1, ...): what each window around each session sums to, as differences of two running sums.
+
+    The grid is complete, so the session some days off is a row some rows off: the look-ups share the running sums' partitioning and order.
+    """
+    nothing = F.struct(*[F.lit(0.0).alias(k) for k in TERMS])
+    w = panel.by_secid()
+    whole = F.last("s").over(w.rowsBetween(0, W.unboundedFollowing))
+    at = lambda k: F.col("s") if k == 0 else F.coalesce(F.lead("s", k).over(w), F.col("whole")) if k > 0 else F.coalesce(F.lag("s", -k).over(w), nothing)
+    offsets = sorted({k for a, b in windows for k in (a - 1, b)})
+    run = running_sums(returns).withColumn("whole", whole).select("secid", "pos", *[at(k).alias(f"at{k}") for k in offsets])
+    return run.select("secid", "pos", *[(F.col(f"`at{b}`")[t] - F.col(f"`at{a - 1}`")[t]).alias(f"{t}{i}") for i, (a, b) in enumerate(windows) for t in TERMS])
+
+
+def car_cells(events: DataFrame, returns: DataFrame, windows: tuple[tuple[int, int], ...], model: str = "market_adjusted") -> DataFrame:
+    """One row an event and window: car, bhar, n_days, raw_ret, mkt_ret over its valid days; two look-ups in running sums each.
+
+    ``events`` have t0_pos and, for the market model, alpha, beta and fallback. No day of a window becomes a row.
+    """
     keys = ["event_id", "secid", "category", "direction", "t0"]
-    return days.groupBy(*keys, F.col("w.win_start").alias("win_start"), F.col("w.win_end").alias("win_end")).agg(
-        F.sum(F.when(valid, F.col("model_ar"))).alias("car"), (gross("ret") - gross("mkt")).alias("bhar"), F.count_if(valid).alias("n_days"),
-        (gross("ret") - 1).alias("raw_ret"), (gross("mkt") - 1).alias("mkt_ret"), F.max("model").alias("model"),
+    plain = F.col("fallback") if model == "market_model" else F.lit(True)
+    alpha, beta = (F.when(plain, F.lit(x)).otherwise(F.col(c)) if model == "market_model" else F.lit(x) for x, c in ((0.0, "alpha"), (1.0, "beta")))
+    ev = events.select(*keys, F.col("t0_pos").alias("pos"), alpha.alias("_alpha"), beta.alias("_beta"), F.when(plain, "market_adjusted").otherwise("market_model").alias("model"))
+    wide = ev.join(window_sums(returns, windows), ["secid", "pos"], "left")
+    # One struct a window; the few windows of an event become rows, never their days.
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *[F.col(f"{t}{i}").alias(t) for t in TERMS]) for i, (a, b) in enumerate(windows)])
+    long = wide.select(*keys, "_alpha", "_beta", "model", F.explode(cells).alias("_s"))
+    s = lambda t: F.coalesce(F.col(f"_s.{t}"), F.lit(0.0))
+    gross = lambda c: F.when(F.round(s(f"lost_{c}")) > 0, 0.0).otherwise(F.exp(s(f"log_{c}")))
+    n = F.round(s("n")).cast("bigint")
+    return long.select(
+        *keys, F.col("_s.a").alias("win_start"), F.col("_s.b").alias("win_end"), F.when(n > 0, s("ret") - n * F.col("_alpha") - F.col("_beta") * s("mkt")).alias("car"), (gross("ret") - gross("mkt")).alias("bhar"), n.alias("n_days"),
+        (gross("ret") - 1).alias("raw_ret"), (gross("mkt") - 1).alias("mkt_ret"), "model",
     ).withColumn("window", F.format_string("[%d,%d]", "win_start", "win_end"))
 
 
@@ -134,13 +167,13 @@ def enough(coverage: float) -> Column:
     return F.col("n_days") >= F.greatest(F.lit(1), F.ceil(F.round(F.lit(coverage) * length, 9)))
 
 
-def car_table(gathered: DataFrame, windows: tuple[tuple[int, int], ...], coverage: float = 0.8) -> DataFrame:
-    return car_cells(gathered, windows).filter(enough(coverage))
+def car_table(events: DataFrame, returns: DataFrame, windows: tuple[tuple[int, int], ...], coverage: float = 0.8, model: str = "market_adjusted") -> DataFrame:
+    return car_cells(events, returns, windows, model).filter(enough(coverage))
 
 
-def car_coverage(gathered: DataFrame, windows: tuple[tuple[int, int], ...], coverage: float = 0.8) -> DataFrame:
+def car_coverage(events: DataFrame, returns: DataFrame, windows: tuple[tuple[int, int], ...], coverage: float = 0.8, model: str = "market_adjusted") -> DataFrame:
     """Events kept and left out by window."""
-    return car_cells(gathered, windows).groupBy("win_start", "win_end").agg(F.count_if(enough(coverage)).alias("kept"), F.count_if(~enough(coverage)).alias("dropped"))
+    return car_cells(events, returns, windows, model).groupBy("win_start", "win_end").agg(F.count_if(enough(coverage)).alias("kept"), F.count_if(~enough(coverage)).alias("dropped"))
 
 
 def signed(cars: DataFrame, drop_neutral: bool = True) -> DataFrame:

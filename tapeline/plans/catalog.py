@@ -57,12 +57,29 @@ def returns(s, d):
     return panel.market_adjusted(panel.with_returns(grid(s, d)), market(s, d))
 
 
+# Studies read calendar, grid and returns as tables that are written once a session; the queries named after them derive them anew.
+def kept_calendar(s, d):
+    return m.derived(s, d, "calendar", calendar)
+
+
+def kept_grid(s, d):
+    return m.derived(s, d, "grid", grid)
+
+
+def kept_returns(s, d):
+    return m.derived(s, d, "returns", returns)
+
+
 def used_events(s, d, config=STUDY):
-    return es.with_drop_reason(m.events(s, d), grid(s, d), calendar(s, d), config).filter("drop_reason IS NULL")
+    return es.with_drop_reason(m.events(s, d), kept_grid(s, d), kept_calendar(s, d), config).filter("drop_reason IS NULL")
+
+
+def cars(s, d):
+    return es.car_table(used_events(s, d), kept_returns(s, d), STUDY.windows, STUDY.coverage)
 
 
 def gathered(s, d, start=-1, end=20):
-    return es.event_ar(es.gather_window(used_events(s, d), returns(s, d), start, end))
+    return es.event_ar(es.gather_window(used_events(s, d), kept_returns(s, d), start, end))
 
 
 CAL = m.INDEX_SQL + """,
@@ -338,7 +355,7 @@ def liquidity_filter(s, d):
 
 @query("event_filter_diagnostics", STUDY_SQL + " SELECT coalesce(drop_reason, 'used') AS reason, count(*) AS n FROM why GROUP BY 1")
 def event_filter_diagnostics(s, d):
-    ev = es.with_drop_reason(m.events(s, d), grid(s, d), calendar(s, d), STUDY)
+    ev = es.with_drop_reason(m.events(s, d), kept_grid(s, d), kept_calendar(s, d), STUDY)
     return ev.groupBy(F.coalesce("drop_reason", F.lit("used")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -354,18 +371,18 @@ def event_ar(s, d):
 
 @query("car_table", CARS + ' SELECT event_id, secid, category, direction, t0, "window", win_start, win_end, round(car, 4) + 0.0 AS car, round(bhar, 3) + 0.0 AS bhar, n_days, round(raw_ret, 3) + 0.0 AS raw_ret, round(mkt_ret, 3) + 0.0 AS mkt_ret FROM cars')
 def car_table(s, d):
-    c = es.car_table(gathered(s, d), STUDY.windows, STUDY.coverage)
+    c = cars(s, d)
     return c.select("event_id", "secid", "category", "direction", "t0", "window", "win_start", "win_end", r("car", 4).alias("car"), r("bhar", 3).alias("bhar"), "n_days", r("raw_ret", 3).alias("raw_ret"), r("mkt_ret", 3).alias("mkt_ret"))
 
 
 @query("car_coverage", STUDY_SQL + CAR + " SELECT win_start, win_end, count(*) FILTER (n_days >= greatest(1, ceil(round(0.5 * (win_end - win_start + 1), 9)))) AS kept, count(*) FILTER (n_days < greatest(1, ceil(round(0.5 * (win_end - win_start + 1), 9)))) AS dropped FROM cells GROUP BY 1, 2")
 def car_coverage(s, d):
-    return es.car_coverage(gathered(s, d), STUDY.windows, STUDY.coverage)
+    return es.car_coverage(used_events(s, d), kept_returns(s, d), STUDY.windows, STUDY.coverage)
 
 
 @query("signed_car", CARS + ' SELECT event_id, "window", round(car * direction, 4) + 0.0 AS signed_car, round(bhar * direction, 3) + 0.0 AS signed_bhar FROM cars WHERE direction <> 0')
 def signed_car(s, d):
-    c = es.signed(es.car_table(gathered(s, d), STUDY.windows, STUDY.coverage))
+    c = es.signed(cars(s, d))
     return c.select("event_id", "window", r("signed_car", 4).alias("signed_car"), r("signed_bhar", 3).alias("signed_bhar"))
 
 
@@ -385,7 +402,7 @@ summ AS (
 
 
 def summary(s, d):
-    return es.summarize(es.car_table(gathered(s, d), STUDY.windows, STUDY.coverage))
+    return es.summarize(cars(s, d))
 
 
 @query("summarize", SUMMARY + ' SELECT category, direction, "window", n, round(mean_car, 4) + 0.0 AS mean_car, round(median_car, 4) + 0.0 AS median_car, round(std, 4) AS std, round(share_positive, 4) AS share_positive, round(CASE WHEN n >= 2 AND std > 0 THEN mean_car / (std / sqrt(n)) END, 4) + 0.0 AS t_stat, round(mean_bhar, 2) + 0.0 AS mean_bhar, round(CASE WHEN n >= 2 AND std > 0 THEN ' + student_sql("(mean_car / (std / sqrt(n)))", "(n - 1)") + ' END, 4) + 0.0 AS p_value FROM summ')
@@ -397,7 +414,7 @@ def summarize(s, d):
 @query("sign_test", SUMMARY + """, b AS (SELECT category, direction, "window", CAST(pos AS BIGINT) AS positive, CAST(nz AS BIGINT) AS trials, least(pos, nz - pos) AS k FROM summ)
 SELECT category, direction, "window", positive, trials, round(CASE WHEN trials >= 1 THEN least(1, 2 * (SELECT sum(exp(lgamma(trials + 1) - lgamma(i + 1) - lgamma(trials - i + 1) - trials * ln(2))) FROM unnest(range(0, k + 1)) t(i))) END, 6) AS sign_test_p FROM b""")
 def sign_test(s, d):
-    c = es.car_table(gathered(s, d), STUDY.windows, STUDY.coverage)
+    c = cars(s, d)
     g = c.groupBy("category", "direction", "window").agg(F.count_if(F.col("car") > 0).alias("positive"), F.count_if(F.col("car") != 0).alias("trials"))
     return g.withColumn("sign_test_p", r(stats.sign_test_p(F.col("positive"), F.col("trials"))))
 
@@ -430,7 +447,7 @@ def screen_categories(s, d):
 
 @query("bootstrap_ci")
 def bootstrap_ci(s, d):
-    return rounded(es.bootstrap_ci(es.car_table(gathered(s, d), STUDY.windows, STUDY.coverage), draws=STUDY.bootstrap), 4)
+    return rounded(es.bootstrap_ci(cars(s, d), draws=STUDY.bootstrap), 4)
 
 
 PATH = STUDY_SQL + GATHER + """, g AS (SELECT category, direction, rel_day, avg({v}) AS mean_ar, count({v}) AS n FROM gat {where} GROUP BY ALL)
@@ -457,13 +474,13 @@ mm AS (
 
 @query("market_model_params", STUDY_SQL + MODEL + " SELECT event_id, n_obs, coalesce(n_obs < 30 OR b IS NULL, true) AS fallback, round(CASE WHEN n_obs >= 30 AND b IS NOT NULL THEN a ELSE 0 END, 3) + 0.0 AS alpha, round(CASE WHEN n_obs >= 30 AND b IS NOT NULL THEN b ELSE 1 END, 3) + 0.0 AS beta FROM mm")
 def market_model_params(s, d):
-    x = es.market_model(used_events(s, d), returns(s, d), STUDY.est_window, STUDY.min_est_obs)
+    x = es.market_model(used_events(s, d), kept_returns(s, d), STUDY.est_window, STUDY.min_est_obs)
     return x.select("event_id", "n_obs", "fallback", r("alpha", 3).alias("alpha"), r("beta", 3).alias("beta"))
 
 
 @query("market_model_ar", STUDY_SQL + MODEL + ", q AS (SELECT *, n_obs >= 30 AND b IS NOT NULL AS good FROM mm) SELECT q.event_id, CAST(k AS INTEGER) AS rel_day, round(CASE WHEN good THEN rt.ret - (a + b * rt.mkt) ELSE rt.ret - rt.mkt END, 3) + 0.0 AS model_ar, CASE WHEN good THEN 'market_model' ELSE 'market_adjusted' END AS model FROM q CROSS JOIN unnest(range(0, 6)) t(k) LEFT JOIN rt ON rt.secid = q.secid AND rt.pos = q.t0_pos + k")
 def market_model_ar(s, d):
-    x = returns(s, d)
+    x = kept_returns(s, d)
     g = es.gather_window(es.market_model(used_events(s, d), x, STUDY.est_window, STUDY.min_est_obs), x, 0, 5)
     return es.event_ar(g, "market_model").select("event_id", "rel_day", r("model_ar", 3).alias("model_ar"), "model")
 
@@ -473,7 +490,7 @@ ctp AS (SELECT k.pos, k.date, avg(rt.ret) AS port_ret, count(rt.ret) AS n_stocks
 
 
 def ctp(s, d):
-    return es.calendar_time(used_events(s, d).filter("direction = 1"), returns(s, d))
+    return es.calendar_time(used_events(s, d).filter("direction = 1"), kept_returns(s, d))
 
 
 @query("calendar_time_daily", CTP + " SELECT pos, date, round(port_ret, 6) + 0.0 AS port_ret, n_stocks FROM ctp")

@@ -29,8 +29,7 @@ def run_study(events: DataFrame, prices: DataFrame, index: DataFrame, out: str,
         used = es.market_model(used, returns, config.est_window, config.min_est_obs)
     used = staged(used)
     windows = config.windows
-    gathered = es.event_ar(es.gather_window(used, returns, min(a for a, _ in windows), max(b for _, b in windows)), config.model)
-    cars = staged(es.car_table(gathered, windows, config.coverage))
+    cars = staged(es.car_table(used, returns, windows, config.coverage, config.model))
     summary = es.summarize(cars)
     if config.bootstrap:
         summary = summary.join(es.bootstrap_ci(cars, draws=config.bootstrap, seed=config.seed).drop("n"), ["category", "direction", "window"], "left")

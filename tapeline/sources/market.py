@@ -5,6 +5,8 @@ Each view exists twice, as DataFrame and as DuckDB SQL, so that a query and its
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,21 +44,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_prices: dict[tuple[str, str, str], DataFrame] = {}
+_derived: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A table that many plans start from: derived once a session and folder and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), name)
+    if key not in _derived:
+        _derived[key] = staged(make(spark, sf_dir))
+    return _derived[key]
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The price table, derived once a session and folder and kept in the shared folder: every plan reads it from there."""
-    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
-    if key not in _prices:
-        _prices[key] = staged(derived_prices(spark, sf_dir))
-    return _prices[key]
+    return derived(spark, sf_dir, "prices", derived_prices)
 
 
 def _state(spark: SparkSession, sf_dir: str) -> str:
-    """Length and time of the tables that prices are derived from."""
+    """Length and time of the tables that market tables are derived from."""
     out = []
-    for name in ("lineitem", "supplier"):
+    for name in ("lineitem", "supplier", "orders"):
         where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
         status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
         out.append(f"{status.getLen()}@{status.getModificationTime()}")

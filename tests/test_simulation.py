@@ -112,12 +112,35 @@ def test_effect_is_found(spark, market):
     ret = panel.market_adjusted(panel.with_returns(grid), panel.index_series(i, cal))
     cfg = es.StudyConfig(min_est_obs=30)
     used = es.with_drop_reason(e.drop("pos"), grid, cal, cfg).filter("drop_reason IS NULL")
-    g = es.event_ar(es.gather_window(es.market_model(used, ret, (-60, -5), 30), ret, 0, 10), "market_model")
-    s = {(r.category): r for r in es.summarize(es.signed(es.car_table(g, ((0, 10),))), ("category",), "signed_car", "signed_bhar").collect()}
+    fitted = es.market_model(used, ret, (-60, -5), 30).persist()
+    s = {(r.category): r for r in es.summarize(es.signed(es.car_table(fitted, ret, ((0, 10),), model="market_model")), ("category",), "signed_car", "signed_bhar").collect()}
     assert s["insider"].mean_car > 0.02 and s["insider"].p_value < 1e-3
     assert abs(s["noise"].mean_car) < s["insider"].mean_car / 2
 
 
+def test_windows_by_running_sums(spark, market):
+    """Two look-ups give what the window's days give one by one, at both ends of the panel, with either model."""
+    e, p, i = market
+    cal = panel.trading_calendar(p, i)
+    ret = panel.market_adjusted(panel.with_returns(panel.price_grid(p, cal)), panel.index_series(i, cal)).withColumn("ret", F.expr("CASE WHEN pos = 57 AND secid < 'S05' THEN -1.0D WHEN pos % 13 = 5 THEN NULL ELSE ret END")).persist()
+    last = cal.agg(F.max("pos")).first()[0]
+    ends = spark.createDataFrame([("e0", 0), ("e1", 1), ("e2", last), ("e3", last - 1), ("e4", 56)], "event_id string, t0_pos int").withColumn("secid", F.lit(ret.agg(F.min("secid")).first()[0]))
+    ends = ends.unionByName(spark.createDataFrame([("e5", 5, "none")], "event_id string, t0_pos int, secid string"))
+    ev = ends.select("event_id", "secid", F.lit("c").alias("category"), F.lit(1).alias("direction"), F.current_date().alias("t0"), "t0_pos", F.lit(0.001).alias("alpha"), F.lit(1.2).alias("beta"), (F.col("event_id") == "e1").alias("fallback"))
+    windows = ((-3, -1), (-1, 1), (0, 0), (0, 5), (2, 9))
+    for model in ("market_adjusted", "market_model"):
+        days = es.event_ar(es.gather_window(ev, ret, -3, 9), model).toPandas()
+        got = {(r.event_id, r.win_start, r.win_end): r for r in es.car_cells(ev, ret, windows, model).collect()}
+        assert len(got) == 6 * len(windows)
+        for (event, a, b), r in got.items():
+            d = days[(days.event_id == event) & days.rel_day.between(a, b) & days.model_ar.notna()]
+            assert r.n_days == len(d) and (r.car is None) == (len(d) == 0)
+            if len(d):
+                assert r.car == pytest.approx(d.model_ar.sum(), abs=1e-12) and r.raw_ret == pytest.approx((1 + d.ret).prod() - 1, abs=1e-12) and r.bhar == pytest.approx((1 + d.ret).prod() - (1 + d.mkt).prod(), abs=1e-12)
+    plan = es.car_table(ev, ret, windows)._jdf.queryExecution().executedPlan().toString()
+    assert "sequence" not in plan and plan.count("Generate") == 1  # windows become rows, days do not
+
+
 def test_gap_returns(spark):
     from datetime import date
 
