@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline import schema
+from tapeline.functions import text
 from tapeline.operators import backtest as bt
 from tapeline.operators import eventstudy as es
 from tapeline.operators import mapping
@@ -59,6 +60,26 @@ def prices(spark: SparkSession, a: argparse.Namespace) -> None:
     print(0 if stored is None else stored.count())
 
 
+def index(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Landed pages (list, start, payload) of the benchmark's history into the index store; a day that comes again replaces the stored one."""
+    pages = feeds.listed_pages(spark.read.parquet(f"{a.data}/index_pages"), "history", key="list")
+    print(sinks.append_dedup(feeds.index_history(pages), f"{a.data}/index", schema.INDEX, ["date"]).count())
+
+
+def securities(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Landed pages (list, start, payload) of the lists of shares, traded and delisted, into the securities store."""
+    pages = feeds.listed_pages(spark.read.parquet(f"{a.data}/securities_pages"), "securities", key="list")
+    print(sinks.append_dedup(feeds.listed_securities(pages), f"{a.data}/securities", schema.SECURITIES, ["secid"]).count())
+
+
+def companies(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Landed company pages (html) whose INN is that of a listed issuer into the company store."""
+    listed = mapping.primary_security(sinks.load(spark, f"{a.data}/securities", schema.SECURITIES)).select("inn").distinct()
+    found = feeds.company_pages(spark.read.parquet(f"{a.data}/company_pages")).select("company.*").filter("company_id IS NOT NULL")
+    known = found.withColumn("inn", text.normalize_inn(F.col("inn"))).join(listed, "inn", "left_semi")
+    print(sinks.append_dedup(known, f"{a.data}/companies", schema.COMPANIES, ["company_id"]).count())
+
+
 def messages(spark: SparkSession, a: argparse.Namespace) -> None:
     """Landed search answers (payload) and list pages (html) into the message store."""
     parts = [feeds.search_json(spark.read.parquet(f"{a.data}/search_answers"))] if sinks.exists(spark, f"{a.data}/search_answers") else []
@@ -89,7 +110,7 @@ def counts(spark: SparkSession, a: argparse.Namespace) -> None:
     print(report.markdown_table(m.groupBy("year").agg(F.count(F.lit(1)).alias("n")).orderBy("year")))
 
 
-COMMANDS = {f.__name__: f for f in (study, backtest, demo, prices, messages, events, counts)}
+COMMANDS = {f.__name__: f for f in (study, backtest, demo, prices, index, securities, companies, messages, events, counts)}
 
 
 def parser() -> argparse.ArgumentParser:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapeline.functions import text
@@ -154,6 +155,68 @@ def prepare_prices(s, d):
     return panel.keep_one(twice, ["secid", "date"], [F.desc("seq")]).select("date", "secid", "close")
 
 
+def in_pages(s, rows, columns, rows_a_page=100):
+    """Answers of ``rows_a_page`` rows (list, page, payload), in order of date; every second list repeats its last page, as sites do beyond the end."""
+    import uuid
+
+    from tapeline.sources import paged
+
+    at = F.row_number().over(W.partitionBy("list").orderBy("date")) - 1
+    dealt = rows.withColumn("_at", at).withColumn("page", F.expr(f"_at div {rows_a_page}").cast("bigint"))
+    row = F.array(*[F.col(c).cast("string") for c in columns.values()])
+    data = F.transform(F.sort_array(F.collect_list(F.struct("_at", row.alias("r")))), lambda x: x["r"])
+    pages = dealt.groupBy("list", "page").agg(F.to_json(F.struct(F.struct(F.array(*map(F.lit, columns)).alias("columns"), data.alias("data")).alias("history"))).alias("payload"))
+    last = pages.groupBy("list").agg(F.max("page").alias("page"), F.max_by("payload", "page").alias("payload")).filter(F.crc32(F.col("list").cast("binary")) % 2 == 0).withColumn("page", F.col("page") + 1)
+    path = f"{shared_dir(s)}/pages-{uuid.uuid4().hex}"
+    pages.unionByName(last).write.partitionBy("list", "page").text(path)
+    paged.register(s)
+    return s.read.format("landed_pages").option("path", path).option("block", "history").option("limit", rows_a_page).load()
+
+
+@query("paged_history", "WITH " + market.PRICES_SQL + " SELECT date, secid, open, high, low, close, volume, value, numtrades FROM prices")
+def paged_history(s, d):
+    """Histories landed page by page, read by the paged source until each list ends."""
+    names = {"TRADEDATE": "date", "SECID": "secid", **{c.upper(): c for c in ("open", "high", "low", "close", "volume", "value", "numtrades")}}
+    return feeds.history_to_prices(in_pages(s, market.prices(s, d).withColumn("list", F.col("secid")), names))
+
+
+@query("paged_index", "WITH " + market.INDEX_SQL + " SELECT date, close FROM idx")
+def paged_index(s, d):
+    return feeds.index_history(in_pages(s, market.index(s, d).withColumn("list", F.lit("IDX")), {"TRADEDATE": "date", "CLOSE": "close"}))
+
+
+def grown_store(s, d):
+    """A price store made of three appends, of which the later ones bring back-fill that is left out."""
+    import uuid
+
+    from tapeline.schema import PRICES
+    from tapeline.sources.ranged import Store
+
+    p, path = market.prices(s, d), f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    fresh = lambda: Store(s, path, PRICES)
+    fresh().append(p.filter("date < DATE'1995-01-01'"))
+    fresh().append(p.filter("date < DATE'1997-01-01'").withColumn("close", F.when(F.col("date") < "1995-01-01", -1.0).otherwise(F.col("close"))))
+    fresh().append(p.filter("date >= DATE'1996-06-01'").withColumn("close", F.when(F.col("date") < "1997-01-01", -1.0).otherwise(F.col("close"))))
+    return fresh()
+
+
+#: A security without trades before a cut has its first row behind it: only rows behind its own mark count.
+@query("incremental_store", "WITH " + market.PRICES_SQL + " SELECT date, secid, close, value FROM prices")
+def incremental_store(s, d):
+    return grown_store(s, d).scan().select("date", "secid", "close", "value")
+
+
+@query("stored_marks", "WITH " + market.PRICES_SQL + " SELECT secid, max(date) AS last_date FROM prices GROUP BY 1")
+def stored_marks(s, d):
+    return grown_store(s, d).marks()
+
+
+@query("stored_span", "WITH " + market.PRICES_SQL + " SELECT date, secid, close FROM prices WHERE date BETWEEN DATE '1994-12-01' AND DATE '1995-02-01'")
+def stored_span(s, d):
+    """Two months of all securities: files of other dates are not opened."""
+    return grown_store(s, d).scan(start="1994-12-01", end="1995-02-01").select("date", "secid", "close")
+
+
 @query("security_description", "SELECT 'S' || CAST(p_partkey AS VARCHAR) AS secid, p_name AS name, 'B' || CAST(p_size AS VARCHAR) AS primary_board FROM part")
 def security_description(s, d):
     p = market.table(s, d, "part")

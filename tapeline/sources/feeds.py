@@ -156,6 +156,24 @@ def history_to_prices(payloads: DataFrame) -> DataFrame:
     return keep_one(p, ["secid", "date"], [F.desc("_seq")]).drop("_seq")
 
 
+def index_history(payloads: DataFrame) -> DataFrame:
+    """(date, close) of an index's history answers, the last row of a date; days without a level are left out."""
+    from tapeline.operators.panel import keep_one
+
+    h = json_block(payloads, "history", {"TRADEDATE": "date", "CLOSE": "double"}).withColumn("_seq", F.monotonically_increasing_id())
+    rows = h.filter("close IS NOT NULL AND tradedate IS NOT NULL").select(F.col("tradedate").alias("date"), "close", "_seq")
+    return keep_one(rows, ["date"], [F.desc("_seq")]).drop("_seq")
+
+
+def listed_securities(payloads: DataFrame) -> DataFrame:
+    """Securities of list answers in their canonical shape, one row each: a traded one before another, then by content."""
+    from tapeline.operators.panel import keep_one
+    from tapeline.schema import SECURITIES, conform, fields
+
+    rows = conform(json_block(payloads, "securities", {n.upper(): "string" for n, _ in fields(SECURITIES)}), SECURITIES).filter("secid IS NOT NULL")
+    return keep_one(rows, ["secid"], [F.col("is_traded").desc_nulls_last(), F.col("shortname").asc_nulls_last(), F.col("primary_boardid").asc_nulls_last()])
+
+
 def security_description(payloads: DataFrame, key: str = "secid", json_col: str = "payload") -> DataFrame:
     """key, a map of the description's names to values, and the primary board."""
     kind = "struct<description: struct<columns: array<string>, data: array<array<string>>>, boards: struct<columns: array<string>, data: array<array<string>>>>"

@@ -9,38 +9,23 @@ from pyspark.sql import functions as F
 
 from tapeline.operators.panel import keep_one
 from tapeline.schema import conform, empty
-
-
-#: The file in a store that names its current version.
-POINTER = "_current"
-
-
-def _files(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    where, fs = _files(spark, path)
-    return fs.exists(where)
+from tapeline.sources import ranged
+from tapeline.sources.files import delete, exists, listed, pointed, switch
+from tapeline.sources.scratch import staged
 
 
 def current(spark: SparkSession, path: str) -> str | None:
     """The folder that a store's rows lie in now: the version that its pointer names, a plain folder itself, or None."""
     base = path.rstrip("/")
-    pointer, fs = _files(spark, f"{base}/{POINTER}")
-    if fs.exists(pointer):
-        stream = fs.open(pointer)
-        try:
-            return f"{base}/{spark._jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
-        finally:
-            stream.close()
-    return base if fs.exists(pointer.getParent()) else None
+    version = pointed(spark, base)
+    return f"{base}/{version}" if version else base if exists(spark, base) else None
 
 
 def load(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """The stored table in its canonical shape; a missing path is an empty table."""
     found = current(spark, path)
+    if found and found.rpartition("/")[2].startswith("m-"):  # a store by ranges
+        return ranged.Store(spark, path, ddl).scan()
     return conform(spark.read.parquet(found), ddl) if found else empty(spark, ddl)
 
 
@@ -54,19 +39,10 @@ def replace(df: DataFrame, path: str) -> str:
     before = current(spark, path)
     name = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{base}/{name}")
-    fresh, fs = _files(spark, f"{base}/{POINTER}.{name}")
-    stream = fs.create(fresh, True)
-    stream.write(bytearray(name, "utf-8"))
-    stream.close()
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    option = jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark.sparkContext._gateway.new_array(option, 1)
-    options[0] = option.OVERWRITE
-    pointer, _ = _files(spark, f"{base}/{POINTER}")
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fresh, pointer, options)  # one step
-    for status in fs.listStatus(pointer.getParent()):
-        if status.getPath().getName().startswith("v-") and status.getPath().getName() not in (name, (before or "").rpartition("/")[2]):
-            fs.delete(status.getPath(), True)
+    switch(spark, base, name)
+    for other in listed(spark, base):
+        if other.startswith("v-") and other not in (name, (before or "").rpartition("/")[2]):
+            delete(spark, f"{base}/{other}")
     return f"{base}/{name}"
 
 
@@ -84,14 +60,18 @@ def append_dedup(fresh: DataFrame, path: str, ddl: str, keys: list[str], order:
 
 
 def append_prices(fresh: DataFrame, path: str, ddl: str) -> DataFrame | None:
-    """Rows of each security after its stored high-water mark are added; earlier back-fill is left out; None without any row."""
+    """Rows of each security after its stored high-water mark are added; earlier back-fill is left out; None without any row.
+
+    The store is one by ranges: what is stored already is neither read nor written again. A store of the older kind is taken over once.
+    """
     spark = fresh.sparkSession
-    stored = load(spark, path, ddl)
-    marks = stored.groupBy("secid").agg(F.max("date").alias("_hwm"))
-    new = conform(fresh, ddl).join(marks, "secid", "left").filter("_hwm IS NULL OR date > _hwm").drop("_hwm")
-    if new.isEmpty():
-        return stored if current(spark, path) else None
-    return append_dedup(new, path, ddl, ["secid", "date"])
+    found = current(spark, path)
+    if found and not found.rpartition("/")[2].startswith("m-"):
+        taken = staged(load(spark, path, ddl))
+        ranged.Store(spark, path, ddl).adopt(taken)
+    store = ranged.Store(spark, path, ddl)
+    store.append(fresh)
+    return store.scan() if store.version else None
 
 
 def save_events_json(events: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ import os
 from datetime import datetime
 
 from tapeline import cli
-from tapeline.schema import COMPANIES, MESSAGES, SECURITIES
+from tapeline.schema import COMPANIES, INDEX, MESSAGES, SECURITIES
 from tapeline.sources import sinks, synthetic
 
 
@@ -46,3 +46,24 @@ def test_from_landed_pages_to_events(spark, tmp_path, capsys):
     got = {r.event_id: (r.secid, r.direction, r["size"], r.role) for r in spark.read.parquet(sinks.current(spark, f"{data}/events")).collect()}
     assert got == {"m1": ("AAAA", 1, 2.0, "ceo"), "m3abc": ("AAAA", 0, None, None)}
     assert sinks.load(spark, f"{data}/messages", MESSAGES).filter("event_id = 'm1'").first().published_at == datetime(2024, 2, 3, 10)
+
+
+def test_lists_land_in_stores(spark, tmp_path):
+    """Index history, lists of shares and company pages, page by page; what comes again replaces or is left out."""
+    data = str(tmp_path)
+    answer = lambda block, names, rows: json.dumps({block: {"columns": names, "data": rows}})
+    pages = [("IMOEX", 0, answer("history", ["CLOSE", "TRADEDATE"], [[100 + k, f"2024-{1 + k // 28:02}-{1 + k % 28:02}"] for k in range(100)])), ("IMOEX", 100, answer("history", ["CLOSE", "TRADEDATE"], [[7, "2024-01-01"], [None, "2024-12-30"], [8, "2024-12-31"]])), ("IMOEX", 200, answer("history", ["CLOSE", "TRADEDATE"], [[1, "2025-01-01"]]))]
+    spark.createDataFrame(pages, "list string, start long, payload string").write.parquet(f"{data}/index_pages")
+    cli.main(["index", "--data", data], spark)
+    cli.main(["index", "--data", data], spark)
+    index = {str(r.date): r.close for r in sinks.load(spark, f"{data}/index", INDEX).collect()}
+    assert len(index) == 101 and index["2024-01-01"] == 7 and index["2024-12-31"] == 8
+    names = ["secid", "shortname", "is_traded", "emitent_inn", "type"]
+    lists = [("traded", 0, answer("securities", names, [["AAAA", "A", 1, "7707083893", "common_share"], ["BBBB", "B", 1, "7707083894", "common_share"]])), ("all", 0, answer("securities", names, [["AAAA", "old", 0, "7707083893", "common_share"], ["GONE", "G", 0, "7707083895", "common_share"]]))]
+    spark.createDataFrame(lists, "list string, start long, payload string").write.parquet(f"{data}/securities_pages")
+    cli.main(["securities", "--data", data], spark)
+    assert {(r.secid, r.shortname, r.is_traded) for r in sinks.load(spark, f"{data}/securities", SECURITIES).collect()} == {("AAAA", "A", 1), ("BBBB", "B", 1), ("GONE", "G", 0)}
+    html = lambda i, inn: f"<h1>Company {i}</h1><a href='/portal/company.aspx?id={i}'>c</a><p>ИНН: {inn}</p>"
+    spark.createDataFrame([(html(1, "7707083893"),), (html(2, "1111111111"),), (html(3, "7707083895"),), ("<p>nothing</p>",)], "html string").write.parquet(f"{data}/company_pages")
+    cli.main(["companies", "--data", data], spark)
+    assert {(r.company_id, r.inn) for r in sinks.load(spark, f"{data}/companies", COMPANIES).collect()} == {(1, "7707083893"), (3, "7707083895")}

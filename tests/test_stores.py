@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeline.plans import report
 from tapeline.schema import MESSAGES, PRICES
-from tapeline.sources import sinks
+from tapeline.sources import ranged, sinks
 from tapeline.streaming import feeds as streams
 
 SF = "/root/testdata/sf0.001"
@@ -32,6 +32,54 @@ def test_prices_behind_the_mark(spark, tmp_path):
     assert [(r.date.day, r.close) for r in sinks.load(spark, path, PRICES).orderBy("date").collect()] == [(5, 1.0), (6, 2.0), (7, 3.0)]
 
 
+def data_files(store):
+    return {r.file: r for r in store.files().collect()}
+
+
+def test_an_append_touches_its_ranges_only(spark, tmp_path, monkeypatch):
+    """Files by range of securities: an append of a day adds files and rewrites none, an upsert rewrites those that it meets, scans open few."""
+    monkeypatch.setattr(ranged, "ROWS_A_RANGE", 40)
+    path = str(tmp_path / "store")
+    df = lambda rows: spark.createDataFrame(rows, "date date, secid string, close double")
+    secids = [f"S{k:02}" for k in range(20)]
+    store = lambda: ranged.Store(spark, path, PRICES)
+    assert store().scan().count() == 0 and store().append(df([])) == 0 and store().version is None
+    assert store().append(df([(date(2024, 1, d), s, d + 0.5) for s in secids for d in range(1, 11)])) == 5
+    first = data_files(store())
+    assert len({r.range for r in first.values()}) == 5 and sum(r.n for r in first.values()) == 200
+    # one day of some securities, with back-fill and repeats
+    late = [(date(2024, 1, 11), s, 1.0) for s in ("S00", "S01", "S19")] + [(date(2024, 1, 3), "S00", 9.0), (date(2024, 1, 11), "S00", 0.5), (date(2024, 1, 5), "T99", 7.0), (None, "S00", 1.0)]
+    assert store().append(df(late)) == 2
+    second = data_files(store())
+    assert set(first) < set(second) and len(second) == 7
+    assert {r.secid: r.last_date.day for r in store().marks().collect()} == {s: 11 if s in ("S00", "S01", "S19") else 10 for s in secids} | {"T99": 5}
+    assert store().append(df(late)) == 0 and set(data_files(store())) == set(second)
+    # scans open the files that can match
+    opened = lambda d: {x.rpartition("/")[2] for x in d.inputFiles()}
+    one = store().scan(["S07"])
+    assert one.count() == 10 and len(opened(one)) == 1
+    assert len(opened(store().scan(["S00"], "2024-01-11"))) == 1 and store().scan(["S00"], "2024-01-11").first().close == 1.0
+    assert store().scan(start="2024-01-03", end="2024-01-04").count() == 40 and store().scan(["none"]).count() == 0
+    assert [(r.date.day, r.close) for r in sinks.load(spark, path, PRICES).filter("secid = 'S00'").orderBy("date").collect()][2] == (3, 3.5)
+    # an upsert rewrites only what it meets
+    assert store().upsert(df([(date(2024, 1, 3), "S07", 99.0), (date(2024, 1, 20), "S07", 98.0)])) == 1
+    third = data_files(store())
+    assert len(set(second) - set(third)) == 1 and len(set(third) - set(second)) == 1
+    assert {r.date.day: r.close for r in store().scan(["S07"]).collect()} == {d: d + 0.5 for d in range(1, 11)} | {3: 99.0, 20: 98.0}
+    assert store().compact(1) == 2 and len(data_files(store())) == 5 and store().scan().count() == 205
+    broken = df([(date(2024, 2, 1), "S00", 1.0)]).withColumn("close", F.raise_error(F.lit("dies")).cast("double"))
+    with pytest.raises(Exception, match="dies"):
+        store().append(broken)
+    assert store().scan().count() == 205 and store().append(df([(date(2024, 2, 1), "S00", 1.0)])) == 1
+
+
+def test_an_older_store_is_taken_over(spark, tmp_path):
+    path = str(tmp_path / "old")
+    old = spark.createDataFrame([(date(2024, 1, 5), "A", 1.0)], "date date, secid string, close double")
+    sinks.append_dedup(old, path, PRICES, ["secid", "date"])
+    assert sorted((r.date.day, r.close) for r in sinks.append_prices(spark.createDataFrame([(date(2024, 1, 5), "A", 9.0), (date(2024, 1, 6), "A", 2.0)], old.schema), path, PRICES).collect()) == [(5, 1.0), (6, 2.0)]
+
+
 def test_a_store_is_never_gone(spark, tmp_path, monkeypatch):
     """The old version stands until the pointer names the new one, and a run that dies leaves the old."""
     path = str(tmp_path / "s")
