@@ -42,16 +42,48 @@ def unmatched_companies(companies: DataFrame, mapping: DataFrame) -> DataFrame:
     return left.select("company_id", "name", "inn", F.when(F.col("inn").isNull(), "no_inn").otherwise("no_match").alias("reason"))
 
 
+NAME_FIELDS = ("emitent_title", "name", "shortname")
+
+
+def name_pairs(queries: DataFrame, forms: DataFrame, top_n: int) -> DataFrame:
+    """(query, secid) that can be among a query's best: queries (query, q) and forms (secid, t0, t1, t2) hold distinct words.
+
+    A query's words are taken rarest first. A name whose first common word is the i-th of n shares n - i words at most, so its Jaccard
+    cannot pass (n - i) / n, less where the name is short or long. The rarest word's names and, of every word, the ``top_n`` shortest names
+    are scored first; the score that ranks ``top_n``-th there rules out most of the frequent words' names. Names that share the last
+    word alone are better the shorter they are: the shortest suffice.
+    """
+    each = F.explode(F.array(*[F.struct(F.array_sort(F.coalesce(F.array_distinct(f"t{k}"), F.array().cast("array<string>"))).alias("words")) for k in range(len(NAME_FIELDS))]))
+    names = forms.select("secid", each.alias("f")).filter(F.size("f.words") > 0).distinct()
+    index = names.select("secid", F.size("f.words").alias("size"), F.explode("f.words").alias("word"))
+    how_often = index.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    short = index.withColumn("_k", F.row_number().over(W.partitionBy("word").orderBy("size", "secid"))).filter(F.col("_k") <= 3 * top_n).drop("_k")
+    asked = queries.select("query", F.size("q").alias("n"), F.explode("q").alias("word")).join(how_often, "word")
+    asked = asked.withColumn("i", F.row_number().over(W.partitionBy("query").orderBy("often", "word")) - 1 + F.col("n") - F.count(F.lit(1)).over(W.partitionBy("query")))  # unknown words come before all
+    first = asked.withColumn("_first", F.min("i").over(W.partitionBy("query")) == F.col("i"))
+    seeds = first.filter("_first").join(index, "word").select("query", "secid").unionByName(first.join(short, "word").select("query", "secid")).distinct()
+    scored = score_names(seeds, queries, forms)
+    floor = scored.withColumn("_k", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("_k") == top_n).select("query", F.col("score").alias("floor"))
+    rest = first.filter("NOT _first AND i < n - 1").join(floor, "query", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    common = F.least(F.col("n") - F.col("i"), F.col("size"))
+    reach = rest.filter((F.col("n") - F.col("i")) / F.col("n") >= F.col("floor")).join(index, "word").filter(common / (F.col("n") + F.col("size") - common) >= F.col("floor"))
+    return seeds.unionByName(reach.select("query", "secid")).distinct()
+
+
+def score_names(pairs: DataFrame, queries: DataFrame, forms: DataFrame) -> DataFrame:
+    """``pairs`` with the best Jaccard of the name's fields, where it is not nothing."""
+    both = pairs.join(forms, "secid").join(queries, "query")
+    return both.withColumn("score", F.greatest(*[text.jaccard(F.col("q"), F.col(f"t{k}")) for k in range(len(NAME_FIELDS))])).filter("score > 0")
+
+
 def fuzzy_candidates(queries: DataFrame, securities: DataFrame, top_n: int = 5) -> DataFrame:
-    """Securities with names like a query's: an inverted index of words proposes, the best Jaccard of three fields ranks."""
+    """Securities with names like a query's: the best Jaccard of three fields ranks; see :func:`name_pairs` for which pairs are made."""
     q = queries.select("query", text.name_tokens(F.col("query")).alias("q"))
     order = [F.asc("seq")] if "seq" in securities.columns else [F.asc("shortname")]
     s = keep_one(securities, ["secid"], order)
-    forms = s.select("secid", "shortname", "emitent_title", "emitent_inn", *[text.name_tokens(F.col(c)).alias(f"t{k}") for k, c in enumerate(("emitent_title", "name", "shortname"))])
-    index = forms.select("secid", F.explode(F.array_distinct(F.flatten(F.array("t0", "t1", "t2")))).alias("word"))
-    pairs = q.select("query", F.explode("q").alias("word")).join(index, "word").select("query", "secid").distinct()
-    both = pairs.join(forms, "secid").join(q, "query")
-    scored = both.withColumn("score", F.greatest(*[text.jaccard(F.col("q"), F.col(f"t{k}")) for k in range(3)])).filter("score > 0")
+    forms = s.select("secid", "shortname", "emitent_title", "emitent_inn", *[text.name_tokens(F.col(c)).alias(f"t{k}") for k, c in enumerate(NAME_FIELDS)])
+    words = q.distinct()
+    scored = score_names(name_pairs(words, forms, top_n), words, forms)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "secid"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top_n).select("query", "rank", "secid", "shortname", "emitent_title", "emitent_inn", "score")
 
