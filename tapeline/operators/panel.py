@@ -108,6 +108,12 @@ def liquidity_stats(prices: DataFrame, window_days: int = 60, as_of: str | None
     )
 
 
+#: Securities that a wide table has at most: each is a column of the plan.
+MOST_WIDE = 2000
+
+
 def to_wide(grid: DataFrame, secids: list[str], column: str = "close") -> DataFrame:
-    """date x security for a named, bounded list of securities."""
+    """date x security for a named list of at most MOST_WIDE securities; more is an error, as the long grid serves any number."""
+    if len(secids) > MOST_WIDE:
+        raise ValueError(f"{len(secids)} securities are too many columns, {MOST_WIDE} at most")
     return grid.filter(F.col("secid").isin(secids)).groupBy("date").pivot("secid", secids).agg(F.max(column))

@@ -185,6 +185,19 @@ def paged_index(s, d):
     return feeds.index_history(in_pages(s, market.index(s, d).withColumn("list", F.lit("IDX")), {"TRADEDATE": "date", "CLOSE": "close"}))
 
 
+@query("cached_answers", """WITH a AS (SELECT page_id % 7 AS key, (SELECT min(ts) FROM events) + page_id * INTERVAL 3 HOUR AS landed_at, page_id FROM pages WHERE page_id % 5 <> 0 AND length(html) > 0),
+r AS (SELECT event_id, user_id % 7 AS key, ts AS asked_at FROM events)
+SELECT event_id, CASE WHEN asked_at < landed_at + INTERVAL 24 HOUR THEN page_id END AS page_id FROM r ASOF LEFT JOIN a ON r.key = a.key AND r.asked_at >= a.landed_at""")
+def cached_answers(s, d):
+    """Pages that land every three hours under a few keys, every fifth of them a captcha, and requests at the events' times, with a day to live."""
+    e, p = market.table(s, d, "events"), market.table(s, d, "pages")
+    first = e.agg(F.min("ts").alias("first"))
+    body = F.when(F.col("page_id") % 5 == 0, F.lit("<script src=captchaintgen>")).when(F.length("html") > 0, F.col("page_id").cast("string"))
+    answers = p.join(F.broadcast(first)).select((F.col("page_id") % 7).alias("key"), F.expr("first + make_dt_interval(0, page_id * 3)").alias("landed_at"), body.alias("body"))
+    requests = e.select("event_id", (F.col("user_id") % 7).alias("key"), F.col("ts").alias("asked_at"))
+    return feeds.cached_answers(requests, answers, 24 * 3600).select("event_id", F.col("body").cast("bigint").alias("page_id"))
+
+
 def grown_store(s, d):
     """A price store made of three appends, of which the later ones bring back-fill that is left out."""
     import uuid

@@ -164,3 +164,13 @@ def test_functions_in_sql(spark):
     page = "<h1>T</h1><a href='/portal/company.aspx?id=7'>ПАО</a><a href='/event/abc'>О дивидендах</a>"
     assert spark.sql("SELECT parse_event_page(:p).company_id AS c, parse_company_page(:p).name AS n", {"p": page}).first()[:] == (7, "T")
     assert [r.event_id for r in spark.sql("SELECT * FROM parse_message_list(:p)", {"p": page}).collect()] == ["abc"]
+
+
+def test_answers_live_for_a_while(spark):
+    """The newest good answer before a request, within its time to live; captchas and empty bodies are never kept."""
+    at = lambda h, m=0: datetime(2024, 1, 1 + h // 24, h % 24, m)
+    answers = spark.createDataFrame([("a", at(0), "one"), ("a", at(3), "two"), ("a", at(4), "<script src=captchaintgen>"), ("a", at(5), ""), ("a", at(40), "late"), ("b", at(9), "b"), (None, at(0), "x")], "key string, landed_at timestamp, body string")
+    asked = [(1, "a", at(2)), (2, "a", at(3)), (3, "a", at(6)), (4, "a", at(8, 59)), (5, "a", at(9)), (6, "b", at(8)), (7, "c", at(9)), (8, "a", at(46)), (9, None, at(1))]
+    got = feeds.cached_answers(spark.createDataFrame(asked, "id long, key string, asked_at timestamp"), answers, 6 * 3600).collect()
+    assert {r.id: r.body for r in got} == {1: "one", 2: "two", 3: "two", 4: "two", 5: None, 6: None, 7: None, 8: None, 9: None}
+    assert {r.id: r.landed_at for r in got}[3] == at(3)
