@@ -9,6 +9,7 @@ from tapeline.operators import backtest as bt
 from tapeline.operators import eventstudy as es
 from tapeline.operators import panel
 from tapeline.sources import synthetic
+from tapeline.sources.scratch import staged
 
 
 @pytest.fixture(scope="module")
@@ -137,7 +138,7 @@ def test_windows_by_running_sums(spark, market):
             assert r.n_days == len(d) and (r.car is None) == (len(d) == 0)
             if len(d):
                 assert r.car == pytest.approx(d.model_ar.sum(), abs=1e-12) and r.raw_ret == pytest.approx((1 + d.ret).prod() - 1, abs=1e-12) and r.bhar == pytest.approx((1 + d.ret).prod() - (1 + d.mkt).prod(), abs=1e-12)
-    plan = es.car_table(ev, ret, windows)._jdf.queryExecution().executedPlan().toString()
+    plan = es.car_table(ev, staged(ret), windows)._jdf.queryExecution().executedPlan().toString()
     assert "sequence" not in plan and plan.count("Generate") == 1  # windows become rows, days do not
 
 
