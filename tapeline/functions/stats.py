@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -79,6 +80,23 @@ def bh_q(df: DataFrame, p: str = "p_value", out: str = "q_value") -> DataFrame:
     return scored.select(*columns, out).unionByName(tested.filter(F.col(p).isNull()).select(*columns, F.lit(None).cast("double").alias(out)))
 
 
+#: Words that decide weights are taken modulo this prime, so their products stay below 2^63.
+PRIME = 2**31 - 1
+#: Below which word a Poisson weight of mean 1 is 0, 1, 2, ...; beyond the last one it is their number.
+POISSON = [round(PRIME * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+
+
+def hex_word(digest: Column, k: int) -> Column:
+    """The ``k``-th word of seven digits of a digest in hex: below PRIME."""
+    return F.conv(F.substring(digest, 7 * k + 1, 7), 16, 10).cast("bigint")
+
+
+def draw_words(draws: int, seed: int) -> list[list[int]]:
+    """Three lists, a word a draw: the first seven, the next and the next seven hex digits of the digest of seed and draw."""
+    digests = [hashlib.md5(f"{seed}|{d}".encode()).hexdigest() for d in range(draws)]
+    return [[int(x[7 * k : 7 * k + 7], 16) for x in digests] for k in range(3)]
+
+
 def hac_regression(df: DataFrame, y: str, x: str, order: str, lags: int = 5, periods: int = 252, keys: tuple[str, ...] = ()) -> DataFrame:
     """alpha, beta, their Newey-West (Bartlett, z) t-values and R^2 of y on x, by keys; NULL with fewer than max(10, lags + 3) + 1 rows.
 

@@ -12,6 +12,8 @@ from tapeline.functions import stats
 from tapeline.operators import panel, timing
 from tapeline.schema import require
 
+#: Rows whose weights for all draws are made at once, and groups whose sums a task holds before it passes them on.
+SLICE, HELD = 512, 256
 WINDOWS = ((-1, 1), (0, 0), (0, 1), (0, 5), (0, 10), (0, 20), (1, 5), (1, 20))
 
 
@@ -58,7 +60,7 @@ def dedup_events(events: DataFrame) -> DataFrame:
 def history(grid: DataFrame, lookback: int) -> DataFrame:
     """Adds n_hist and med_value: closes and the median turnover of the rows before each day."""
     w = panel.by_secid().rowsBetween(-lookback, -1)
-    return grid.withColumn("n_hist", F.count("close").over(w)).withColumn("med_value", F.percentile("value", 0.5).over(w))
+    return grid.withColumn("n_hist", F.count("close").over(w)).withColumn("med_value", panel.median_before("value", lookback))
 
 
 def with_drop_reason(events: DataFrame, grid: DataFrame, calendar: DataFrame, config: StudyConfig) -> DataFrame:
@@ -212,32 +214,47 @@ def average_path(gathered: DataFrame, use_sign: bool = False, value: str = "mode
     return g.withColumn("mean_car", F.sum(F.coalesce("mean_ar", F.lit(0.0))).over(w))
 
 
-def bootstrap_ci(cars: DataFrame, by: tuple[str, ...] = ("category", "direction", "window"), value: str = "car", draws: int = 2000, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean by group. Each group has a seed of its own, so groups do not depend on each other.
+def bootstrap_ci(cars: DataFrame, by: tuple[str, ...] = ("category", "direction", "window"), value: str = "car", draws: int = 2000, seed: int = 0, row: str = "event_id") -> DataFrame:
+    """Percentile interval of the mean by group, from ``draws`` resamples with Poisson weights; NULL bounds for a group of one row.
 
-    The group is reduced to its distinct rounded values' counts first; a draw is then one multinomial, so memory follows the distinct values.
+    A weight follows from (seed, group, ``row``, draw) alone, by a hash that is linear in the row with factors of the draw (weights of different
+    rows are independent in pairs, so the spread of a mean is the true one). No row needs to know how many others there are: sums of weight
+    and of weight x value by group and draw merge in any order and before any exchange, reruns agree, and groups do not depend on each other.
+    Rows of a group with the same ``row`` are drawn together. A draw that takes no row (likely in groups of a few rows only) does not count.
     """
-    counts = cars.filter(F.col(value).isNotNull()).groupBy(*by, F.round(value, 9).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    kinds = dict(cars.dtypes)
-    ddl = ", ".join([f"`{k}` {kinds[k]}" for k in by] + ["n bigint", "ci_low double", "ci_high double"])
-
-    def kernel(key, pdf):
-        import zlib
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.col(row).cast("string")))
+    rows = cars.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), stats.hex_word(digest, 0).alias("_x"), stats.hex_word(digest, 1).alias("_y"))
+    words, limits, kinds = stats.draw_words(draws, seed), stats.POISSON, dict(cars.dtypes)
+    ddl = ", ".join([f"`{k}` {kinds[k]}" for k in by] + ["_n array<bigint>", "_s array<double>"])
 
+    def partial(batches):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values("_v")
-        v, c = pdf["_v"].to_numpy(float), pdf["_c"].to_numpy(int)
-        n = int(c.sum())
-        rng = np.random.default_rng((seed, zlib.crc32(repr(tuple(map(str, key))).encode())))
-        means = []
-        for lo in range(0, draws, 256):
-            means.append(rng.multinomial(n, c / n, size=min(256, draws - lo)) @ v / n)
-        low, high = np.percentile(np.concatenate(means), [2.5, 97.5]) if n > 1 else (None, None)
-        return pd.DataFrame([[*key, n, low, high]], columns=[*by, "n", "ci_low", "ci_high"])
-
-    return counts.groupBy(*by).applyInPandas(kernel, ddl)
+        a, b, c = (np.array(x, "int64") for x in words)
+        held: dict = {}
+        table = lambda: pd.DataFrame([[*key, n, s] for key, (n, s) in held.items()], columns=[*by, "_n", "_s"])
+        for pdf in batches:
+            for key, part in pdf.groupby(list(by), dropna=False, sort=False):
+                n, s = held.setdefault(key, (np.zeros(draws + 1, "int64"), np.zeros(draws + 1)))
+                # The last place takes every row once: it counts the group.
+                n[-1] += len(part)
+                for lo in range(0, len(part), SLICE):
+                    x, y, v = (part[k].to_numpy()[lo : lo + SLICE] for k in ("_x", "_y", "_v"))
+                    weight = np.searchsorted(limits, (np.outer(x, a) + np.outer(y, b) + c) % stats.PRIME, side="right")
+                    n[:-1] += weight.sum(0)
+                    s[:-1] += v @ weight
+            if len(held) >= HELD:
+                yield table()
+                held.clear()
+        if held:
+            yield table()
+
+    each = rows.mapInPandas(partial, ddl).select(*by, F.posexplode(F.arrays_zip("_n", "_s")).alias("_draw", "_e"))
+    sums = each.groupBy(*by, "_draw").agg(F.sum("_e._n").alias("_n"), F.sum("_e._s").alias("_s"))
+    real = F.col("_draw") < draws
+    out = sums.groupBy(*by).agg(F.max(F.when(~real, F.col("_n"))).alias("n"), F.percentile(F.when(real & (F.col("_n") > 0), F.try_divide("_s", "_n")), [0.025, 0.975]).alias("_ends"))
+    return out.select(*by, "n", *[F.when(F.col("n") > 1, F.get("_ends", F.lit(i))).alias(c) for i, c in enumerate(("ci_low", "ci_high"))])
 
 
 def calendar_time(events: DataFrame, returns: DataFrame, lag: int = 1, hold: int = 20) -> DataFrame:

@@ -445,9 +445,23 @@ def screen_categories(s, d):
     return rounded(es.screen(summary(s, d), "[0,5]", min_n=5).select("category", "direction", "n", "mean_car", "t_stat", "p_value", "q_value", "significant", "rank"), 4)
 
 
-@query("bootstrap_ci")
+def _bootstrap_sql(draws: int, seed: int) -> str:
+    word = lambda of, k: f"CAST('0x' || substr({of}, {7 * k + 1}, 7) AS BIGINT)"
+    weight = " ".join(f"WHEN u < {limit} THEN {k}" for k, limit in enumerate(stats.POISSON))
+    return f""", named AS (SELECT category, direction, "window", car, {word("id", 0)} AS x, {word("id", 1)} AS y FROM (SELECT *, md5(concat_ws('|', category, CAST(direction AS VARCHAR), "window", event_id)) AS id FROM cars WHERE car IS NOT NULL)),
+turns AS (SELECT draw, {word("id", 0)} AS a, {word("id", 1)} AS b, {word("id", 2)} AS c FROM (SELECT k AS draw, md5('{seed}|' || k) AS id FROM unnest(range(0, {draws})) t(k))),
+words AS (SELECT category, direction, "window", car, draw, (a * x + b * y + c) % {stats.PRIME} AS u FROM named, turns),
+weighed AS (SELECT *, CASE {weight} ELSE {len(stats.POISSON)} END AS w FROM words),
+drawn AS (SELECT category, direction, "window", draw, sum(w * car) / sum(w) AS mean FROM weighed WHERE w > 0 GROUP BY ALL),
+ends AS (SELECT category, direction, "window", quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM drawn GROUP BY ALL),
+size AS (SELECT category, direction, "window", count(car) AS n FROM cars GROUP BY ALL)
+SELECT s.category, s.direction, s."window", s.n, round(CASE WHEN s.n > 1 THEN low END, 4) + 0.0 AS ci_low, round(CASE WHEN s.n > 1 THEN high END, 4) + 0.0 AS ci_high
+FROM size s LEFT JOIN ends e ON e.category = s.category AND e.direction = s.direction AND e."window" = s."window" WHERE s.n > 0"""
+
+
+@query("bootstrap_ci", CARS + _bootstrap_sql(STUDY.bootstrap, STUDY.seed))
 def bootstrap_ci(s, d):
-    return rounded(es.bootstrap_ci(cars(s, d), draws=STUDY.bootstrap), 4)
+    return rounded(es.bootstrap_ci(cars(s, d), draws=STUDY.bootstrap, seed=STUDY.seed), 4)
 
 
 PATH = STUDY_SQL + GATHER + """, g AS (SELECT category, direction, rel_day, avg({v}) AS mean_ar, count({v}) AS n FROM gat {where} GROUP BY ALL)
