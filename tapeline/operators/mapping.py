@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tapeline.functions import text
 from tapeline.operators.panel import keep_one
+from tapeline.sources.scratch import staged
 
 # Security types of common and preferred shares, and the categories that count as confounders.
 COMMON, PREFERRED = ["common_share"], ["preferred_share"]
@@ -98,8 +99,26 @@ def flag_confounders(events: DataFrame, categories: list[str] = CONFOUNDERS, day
     return known.withColumn("has_confounder", F.coalesce((F.sum("_c").over(w) - F.col("_c")) > 0, F.lit(False)) & F.col("_us").isNotNull()).drop("_us", "_c")
 
 
+#: Distinct titles, and characters of them, up to which their categories are sent to every task.
+MOST_TITLES, MOST_TITLE_CHARS = 50_000, 8_000_000
+
+
 def classify_messages(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("category", text.classify(F.col("event_type"))).withColumn("direction", text.static_direction(F.col("category")))
+    """Adds category and direction. Patterns are tried on distinct titles, whose categories then meet the messages.
+
+    Titles repeat far more often than not, and tasks merge them before any exchange. More of them than MOST_TITLES or MOST_TITLE_CHARS
+    are no longer sent to the tasks: there, as in a stream, the patterns are tried on every row, so no row is moved by its title.
+    """
+    category = text.classify(F.col("event_type"))
+    if not messages.isStreaming:
+        titles = staged(messages.select("event_type").distinct())
+        n, chars = titles.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("event_type")), F.lit(0))).first()
+        if n <= MOST_TITLES and chars <= MOST_TITLE_CHARS:
+            known = staged(titles.select(F.col("event_type").alias("_title"), category.alias("_category")))
+            kept = [F.col(f"`{c}`") for c in messages.columns if c not in ("category", "direction")]
+            category = F.col("_category")
+            messages = messages.join(F.broadcast(known), F.col("event_type").eqNullSafe(F.col("_title"))).select(*kept, "_category")
+    return messages.withColumn("category", category).withColumn("direction", text.static_direction(F.col("category"))).drop("_category")
 
 
 def insider_trades(pages: DataFrame) -> DataFrame:

@@ -394,6 +394,12 @@ def student_sql(t: str, df: str) -> str:
     return f"greatest(0, 1 - CASE WHEN {df} % 2 = 1 THEN 2 / pi() * ({th} + sin({th}) * coalesce({odd}, 0)) ELSE sin({th}) * {even} END)"
 
 
+def normal_sql(z: str) -> str:
+    """Two-sided p-value of a standard normal by the error function's series; beyond 4.2 it is 0 to four digits."""
+    x = f"(abs({z}) / sqrt(2))"
+    return f"CASE WHEN abs({z}) > 4.2 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda k: pow(-1, k) * pow({x}, 2 * k + 1) / (exp(lgamma(k + 1)) * (2 * k + 1)))) END"
+
+
 SUMMARY = CARS + """,
 summ AS (
   SELECT category, direction, "window", win_start, win_end, count(car) AS n, avg(car) AS mean_car, quantile_cont(car, 0.5) AS median_car, stddev_samp(car) AS std,
@@ -405,10 +411,14 @@ def summary(s, d):
     return es.summarize(cars(s, d))
 
 
-@query("summarize", SUMMARY + ' SELECT category, direction, "window", n, round(mean_car, 4) + 0.0 AS mean_car, round(median_car, 4) + 0.0 AS median_car, round(std, 4) AS std, round(share_positive, 4) AS share_positive, round(CASE WHEN n >= 2 AND std > 0 THEN mean_car / (std / sqrt(n)) END, 4) + 0.0 AS t_stat, round(mean_bhar, 2) + 0.0 AS mean_bhar, round(CASE WHEN n >= 2 AND std > 0 THEN ' + student_sql("(mean_car / (std / sqrt(n)))", "(n - 1)") + ' END, 4) + 0.0 AS p_value FROM summ')
+#: Exact two-sided binomial p-value at one half of k on the rarer side of n.
+SIGN_P = "CASE WHEN n >= 2 AND {n} >= 1 THEN least(1, 2 * list_sum(list_transform(range(0, CAST({k} AS BIGINT) + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) - {n} * ln(2))))) END"
+
+
+@query("summarize", SUMMARY + ' SELECT category, direction, "window", n, round(mean_car, 4) + 0.0 AS mean_car, round(median_car, 4) + 0.0 AS median_car, round(std, 4) AS std, round(share_positive, 4) AS share_positive, round(CASE WHEN n >= 2 AND std > 0 THEN mean_car / (std / sqrt(n)) END, 4) + 0.0 AS t_stat, round(mean_bhar, 2) + 0.0 AS mean_bhar, round(CASE WHEN n >= 2 AND std > 0 THEN ' + student_sql("(mean_car / (std / sqrt(n)))", "(n - 1)") + ' END, 4) + 0.0 AS p_value, round(' + SIGN_P.format(n="nz", k="least(pos, nz - pos)") + ', 4) + 0.0 AS sign_test_p FROM summ')
 def summarize(s, d):
     x = summary(s, d)
-    return x.select("category", "direction", "window", "n", *[r(c, 2 if c == "mean_bhar" else 4).alias(c) for c in ("mean_car", "median_car", "std", "share_positive", "t_stat", "mean_bhar", "p_value")])
+    return x.select("category", "direction", "window", "n", *[r(c, 2 if c == "mean_bhar" else 4).alias(c) for c in ("mean_car", "median_car", "std", "share_positive", "t_stat", "mean_bhar", "p_value", "sign_test_p")])
 
 
 @query("sign_test", SUMMARY + """, b AS (SELECT category, direction, "window", CAST(pos AS BIGINT) AS positive, CAST(nz AS BIGINT) AS trials, least(pos, nz - pos) AS k FROM summ)
@@ -514,9 +524,13 @@ def calendar_time_daily(s, d):
 
 @query("calendar_time_alpha", CTP + """, x AS (SELECT pos, port_ret AS y, mkt AS x FROM ctp WHERE port_ret IS NOT NULL AND mkt IS NOT NULL), f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS mx, count(*) AS n, sum(x * x) - count(*) * avg(x) * avg(x) AS q FROM x),
 u AS (SELECT pos, y - a - b * x AS u, (y - a - b * x) * (x - mx) AS g FROM x, f), l AS (SELECT u, g, lag(u, k) OVER (PARTITION BY k ORDER BY pos) AS ul, lag(g, k) OVER (PARTITION BY k ORDER BY pos) AS gl, k FROM u, unnest(range(0, 6)) t(k)),
-s AS (SELECT sum(CASE WHEN k = 0 THEN g * g ELSE 2 * (1 - k / 6) * g * coalesce(gl, 0) END) AS gg FROM l) SELECT n, round(a, 4) + 0.0 AS alpha, round(b, 4) + 0.0 AS beta, round(b / sqrt(gg / (q * q)), 3) + 0.0 AS beta_t FROM f, s""")
+s AS (SELECT sum(CASE WHEN k = 0 THEN g * g ELSE 2 * (1 - k / 6) * g * coalesce(gl, 0) END) AS gg, sum(CASE WHEN k = 0 THEN u * u ELSE 2 * (1 - k / 6) * u * coalesce(ul, 0) END) AS uu,
+  sum(CASE WHEN k = 0 THEN u * g ELSE (1 - k / 6) * (u * coalesce(gl, 0) + g * coalesce(ul, 0)) END) AS ug, sum(u * u) FILTER (k = 0) AS rss FROM l),
+o AS (SELECT f.*, s.*, a / sqrt(uu / (n * n) - 2 * mx * ug / (n * q) + mx * mx * gg / (q * q)) AS t, (SELECT sum((y - m) * (y - m)) FROM x, (SELECT avg(y) AS m FROM x)) AS tss FROM f, s)
+SELECT n, round(a, 4) + 0.0 AS alpha, round(252 * a, 3) + 0.0 AS alpha_annual, round(t, 3) + 0.0 AS alpha_t, round(""" + normal_sql("t") + """, 4) + 0.0 AS alpha_p, round(b, 4) + 0.0 AS beta, round(b / sqrt(gg / (q * q)), 3) + 0.0 AS beta_t, round(1 - rss / tss, 4) + 0.0 AS r2 FROM o""")
 def calendar_time_alpha(s, d):
-    return stats.hac_regression(ctp(s, d), "port_ret", "mkt", "pos").select("n", r("alpha", 4).alias("alpha"), r("beta", 4).alias("beta"), r("beta_t", 3).alias("beta_t"))
+    digits = {"alpha": 4, "alpha_annual": 3, "alpha_t": 3, "alpha_p": 4, "beta": 4, "beta_t": 3, "r2": 4}
+    return stats.hac_regression(ctp(s, d), "port_ret", "mkt", "pos").select("n", *[r(c, k).alias(c) for c, k in digits.items()])
 
 
 # ---------------------------------------------------------------- text and mapping

@@ -1,5 +1,6 @@
 """Titles, numbers, names, roles, stake changes, pages."""
 
+import re
 from datetime import date, datetime
 
 import pytest
@@ -34,6 +35,34 @@ def test_titles(spark):
     assert one(spark, list(cases), text.classify) == list(cases.values())
 
 
+def test_titles_are_classified_once(spark, monkeypatch):
+    """The same categories from distinct titles as row by row and as from one expression a category; patterns are not in the plan over messages."""
+    import random
+
+    rng, parts = random.Random(7), sorted({x for _, _, ps in text.CATEGORIES for p in ps for x in re.findall("[а-я]{3,}", p)})
+    titles = ["".join(rng.choice(["", " ", "ые ", "х "]) + rng.choice(parts) for _ in range(rng.randint(1, 7))) for _ in range(1500)] + ["", " ", "Ёж", None, "x" * 100_000, "Годовой отчёт", "годовой  отчет"]
+    # And a title that each pattern was made for: the first of every choice, nothing of what may be anything.
+    titles += [re.sub(r"\\S\*|\.\*", "", re.sub(r"\(([^()|]*)[^()]*\)\??", r"\1", p)) for _, _, ps in text.CATEGORIES for p in ps]
+    df = spark.createDataFrame([(k, t, "old") for k, t in enumerate(titles * 2)], "k int, event_type string, category string")
+    t = text.norm_title(F.col("event_type"))
+    plain = None
+    for name, _, ps in text.CATEGORIES:
+        if ps:
+            found = t.rlike("|".join(f"(?:{p})" for p in ps))
+            plain = F.when(found, name) if plain is None else plain.when(found, name)
+    want = {r.k: r.c for r in df.select("k", plain.otherwise("other").alias("c")).collect()}
+    once = mapping.classify_messages(df)
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan(once) and sorted(once.columns) == ["category", "direction", "event_type", "k"]
+    assert {r.k: r.category for r in once.collect()} == want and len(set(want.values())) > 20
+    monkeypatch.setattr(mapping, "MOST_TITLES", 10)
+    each = mapping.classify_messages(df)
+    assert "RLIKE" in plan(each) and sorted(each.select("k", "category", "direction").collect()) == sorted(once.select("k", "category", "direction").collect())
+    assert mapping.classify_messages(df.limit(0)).count() == 0
+    odd = [("first", "neutral", ["^a|b$", "(?i)HIT"]), ("second", "neutral", ["c.d+"]), ("rest", "neutral", [])]
+    assert one(spark, ["ax", "xb", "xhitx", "cxddd", "cd", None], lambda c: text.classify(c, odd)) == ["first", "first", "first", "second", "rest", "rest"]
+
+
 def test_roles(spark):
     cases = {"Председатель Совета директоров": "board_chair", "Генеральный директор": "ceo", "Вице-президент": "management_board", "И.о. генерального директора": "management_board", "член наблюдательного совета": "board", "акционер": "other", "": "unknown"}
     assert one(spark, list(cases), text.classify_role) == list(cases.values())
