@@ -661,9 +661,17 @@ def parse_datetime(s, d):
     return m.table(s, d, "events").select("event_id", text.parse_datetime(F.concat(F.lit("от "), F.date_format("ts", "dd.MM.yyyy HH:mm"), F.lit(" мск"))).alias("at"))
 
 
-@query("extract_ids", "SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 10, '7') AS inn, CAST(p_partkey AS BIGINT) AS company_id FROM part")
+# Pages of several shapes: long and short numbers, absent ones, an event by number, by path, by both, by none.
+@query("extract_ids", """SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 2 = 0 THEN 10 ELSE 12 END, '7') AS inn,
+  CASE WHEN p_partkey % 3 > 0 THEN lpad(CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 3 = 1 THEN 13 ELSE 15 END, '1') END AS ogrn,
+  CASE WHEN p_partkey % 5 > 0 THEN lpad(CAST(p_partkey AS VARCHAR), CAST(8 + p_partkey % 3 AS INTEGER), '4') END AS okpo, CAST(p_partkey AS BIGINT) AS company_id,
+  CASE p_partkey % 4 WHEN 0 THEN 'Num_' || p_partkey WHEN 1 THEN 'path-' || p_partkey WHEN 2 THEN 'Num_' || p_partkey END AS event_id FROM part""")
 def extract_ids(s, d):
     from tapeline.sources.feeds import extract_ids as ids
 
-    t = m.table(s, d, "part").select("p_partkey", F.concat(F.lit("<a href='/portal/company.aspx?id="), "p_partkey", F.lit("'>ИНН: "), F.lpad(F.col("p_partkey").cast("string"), 10, "7"), F.lit("</a>")).alias("html"))
+    html = """concat('<a href="/portal/company.aspx?id=', p_partkey, '">ИНН: ', lpad(string(p_partkey), if(p_partkey % 2 = 0, 10, 12), '7'), '</a>',
+      if(p_partkey % 3 > 0, concat('<p>ОГРН эмитента - ', lpad(string(p_partkey), if(p_partkey % 3 = 1, 13, 15), '1'), '</p>'), '<p>ОГРН: нет</p>'),
+      if(p_partkey % 5 > 0, concat('<p>ОКПО ', lpad(string(p_partkey), int(8 + p_partkey % 3), '4'), '</p>'), ''),
+      if(p_partkey % 4 IN (1, 2), concat('<a href="/soobshheniya/path-', p_partkey, '?x=1">'), ''), if(p_partkey % 2 = 0, concat('<a href="/portal/event.aspx?eventid=Num_', p_partkey, '">'), ''))"""
+    t = m.table(s, d, "part").select("p_partkey", F.expr(html).alias("html"))
     return t.select("p_partkey", *[c for c in ids(F.col("html"))])

@@ -126,8 +126,9 @@ def _first(c: Column, pattern: str) -> Column:
 
 
 def extract_ids(c: Column) -> list[Column]:
-    """inn and company_id found in a page's text."""
-    return [_first(c, INN).alias("inn"), _first(c, COMPANY_ID).try_cast("bigint").alias("company_id")]
+    """Columns inn, ogrn, okpo, company_id and event_id: the first of each that is found in a page; an event's number goes before a path."""
+    numbers = [_first(c, pattern).alias(name) for name, pattern in (("inn", INN), ("ogrn", OGRN), ("okpo", OKPO))]
+    return [*numbers, _first(c, COMPANY_ID).try_cast("bigint").alias("company_id"), F.coalesce(_first(c, EVENT_ID), _first(c, EVENT_PATH)).alias("event_id")]
 
 
 def json_block(payloads: DataFrame, block: str, columns: dict[str, str], json_col: str = "payload") -> DataFrame:

@@ -182,7 +182,7 @@ def test_page_classes(spark):
 def test_functions_in_sql(spark):
     from tapeline.functions import registry
 
-    assert len(registry.register(spark)) == 8
+    assert len(registry.register(spark)) == 10
     texts = ["7707083893.0", "123", "0,0012 %", "1\u00a0234,5", "Генеральный директор", "И.о. генерального директора", "член Совета директоров", "Об изменении размера доли участия члена органа управления эмитента", "Дефолт", "доля до изменения, после изменения", "it's", "", None]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, x string")
     df.createOrReplaceTempView("texts")
@@ -190,6 +190,12 @@ def test_functions_in_sql(spark):
     x = F.col("x")
     own = df.select("k", text.normalize_inn(x).alias("a"), text.parse_number(x).alias("b"), text.classify(x).alias("c"), text.classify_role(x).alias("d"), text.is_stake_text(x).alias("e"))
     assert sorted(sql.collect()) == sorted(own.collect(), key=lambda r: r.k)
+    bodies = spark.createDataFrame([(k, t) for k, t in enumerate([STAKES[0][0], "1. Один 2. Два\r\n \u00a0 \n2.1. Три 3.5 раза", "", None])], "k int, body string")
+    bodies.createOrReplaceTempView("bodies")
+    told = {r.k: r.c for r in bodies.select("k", text.split_clauses(F.col("body")).alias("c")).collect()}
+    assert {r.k: r.c for r in spark.sql("SELECT k, split_clauses(body) AS c FROM bodies").collect()} == told and len(told[0]) == 5 and told[3] == []
+    by_row = spark.sql("SELECT k, at, clause FROM bodies, LATERAL clauses(body)").collect()
+    assert sorted((r.k, r.at, r.clause) for r in by_row) == [(k, i + 1, c) for k in sorted(told) for i, c in enumerate(told[k])]
     page = "<h1>T</h1><a href='/portal/company.aspx?id=7'>ПАО</a><a href='/event/abc'>О дивидендах</a>"
     assert spark.sql("SELECT parse_event_page(:p).company_id AS c, parse_company_page(:p).name AS n", {"p": page}).first()[:] == (7, "T")
     assert [r.event_id for r in spark.sql("SELECT * FROM parse_message_list(:p)", {"p": page}).collect()] == ["abc"]
