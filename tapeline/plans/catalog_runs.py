@@ -30,8 +30,8 @@ def signals(s, d, config=CONFIG):
     return bt.prepare_signals(market.events(s, d), market.prices(s, d), calendar(s, d), config)
 
 
-def runs(s, d):
-    return bt.run_backtests(signals(s, d).withColumn("run_id", F.lit("base")), board(s, d), {"base": CONFIG})
+def runs(s, d, outcomes=True):
+    return bt.run_backtests(staged(signals(s, d)).withColumn("run_id", F.lit("base")), board(s, d), {"base": CONFIG}, outcomes=outcomes)
 
 
 def flat(df):
@@ -77,12 +77,12 @@ def skip_reasons(s, d):
 
 @query("backtest_trades")
 def backtest_trades(s, d):
-    return rounded(bt.trades_of(runs(s, d)), 4)
+    return rounded(bt.trades_of(runs(s, d, outcomes=False)), 4)
 
 
 @query("backtest_daily")
 def backtest_daily(s, d):
-    return rounded(bt.daily_of(runs(s, d)), 4)
+    return rounded(bt.daily_of(runs(s, d, outcomes=False)), 4)
 
 
 @query("backtest_metrics")
@@ -115,9 +115,9 @@ PLACEBO_RUNS = 200
 
 @query("placebo")
 def placebo(s, d):
-    x, b = staged(runs(s, d)), staged(board(s, d))
+    x, b = staged(runs(s, d, outcomes=False)), staged(board(s, d))
     fake, configs = bt.placebo(bt.trades_of(x), bt.daily_of(x), market.prices(s, d), calendar(s, d), b, CONFIG, n_iter=PLACEBO_RUNS)
-    y = staged(bt.run_backtests(fake, b, configs))
+    y = staged(bt.run_backtests(fake, b, configs, outcomes=False))
     return rounded(bt.compute_metrics(bt.daily_of(y), bt.trades_of(y), CONFIG.initial_capital).select("run_id", "sharpe", "total_return", "n_trades"), 4)
 
 

@@ -51,7 +51,7 @@ def run_backtest(events: DataFrame, prices: DataFrame, index: DataFrame, out: st
     """Backtest: trades, equity, metrics, and where asked for the placebo and walk-forward tables, written to ``out``."""
     calendar = panel.trading_calendar(prices, index)
     board = staged(bt.backtest_panel(prices, index, config))
-    signals = bt.prepare_signals(events, prices, calendar, config).withColumn("run_id", F.lit("real"))
+    signals = staged(bt.prepare_signals(events, prices, calendar, config)).withColumn("run_id", F.lit("real"))
     done = staged(bt.run_backtests(signals, board, {"real": config}))
     trades, daily = bt.trades_of(done), bt.daily_of(done)
     metrics = staged(bt.compute_metrics(daily, trades, config.initial_capital, bt.outcomes_of(done)))
@@ -62,7 +62,7 @@ def run_backtest(events: DataFrame, prices: DataFrame, index: DataFrame, out: st
     sections: dict = {"Strategy": {k: v for k, v in (row.asDict() if row else {}).items() if k != "run_id"}, "Configuration": asdict(config)}
     if placebo_runs and not trades.isEmpty():
         fake, configs = bt.placebo(trades, daily, prices, calendar, board, config, n_iter=placebo_runs)
-        runs = staged(bt.run_backtests(fake, board, configs))
+        runs = staged(bt.run_backtests(fake, board, configs, outcomes=False))
         tables["placebo"] = staged(bt.placebo_table(bt.compute_metrics(bt.daily_of(runs), bt.trades_of(runs), config.initial_capital), metrics))
         sections[f"Placebo: the same trades on random days, {placebo_runs} runs"] = tables["placebo"]
     if split:

@@ -1,6 +1,7 @@
 """Accounting identities, exits and skips of the sequential kernel; the injected effect in the event study."""
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,62 @@ def test_who_gets_in(spark):
     assert (trades["short"].qty, trades["short"].pnl) == (50_000, -100_000) and days[4].cash == 1.5e6 and days[4].equity == 1e6
 
 
+def test_signals_pass_a_run_as_a_stream(spark):
+    """Many signals a security and session give what a plain ledger over each of them gives; what is worked out beforehand does not follow their number."""
+    rnd, end, secids = random.Random(16), 19, [f"S{k}" for k in range(20)]
+    price = {(s, d): (10 * 1.6**d * rnd.uniform(0.9, 1.1), 10 * 1.6**d * rnd.uniform(0.9, 1.1)) for s in secids for d in range(end + 1)}
+    adv = {s: rnd.choice((5e3, 4e4, 4e5)) for s in secids}
+    board = [(s, d, o, c, c, end, adv[s], 100.0) for (s, d), (o, c) in price.items()]
+    rows = []
+    for k in range(300):
+        side = rnd.choice((1, 1, -1))
+        rows.append(("x", f"e{k}", rnd.choice(secids), datetime(2024, 1, 1) + timedelta(minutes=rnd.randrange(100_000)), "c", side, side, rnd.randrange(end + 1), "pending", "", 0, end))
+    cfg = bt.BacktestConfig(hold_days=4, max_positions=12, allow_short=True, min_cash_fraction=0.9, **PLAIN | {"max_participation": 1.0})
+    signals = spark.createDataFrame(rows, SIGNALS)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(batch)
+    spark.conf.set(batch, 70)
+    try:
+        out = bt.run_backtests(signals, spark.createDataFrame(board, BOARD), {"x": cfg})
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        found = staged(out)
+    finally:
+        spark.conf.set(batch, kept)
+    cash, equity, held, want, pnl = 1e6, 1e6, [], {}, {}
+    for day in range(end + 1):
+        for _, e, s, _, _, side, *_ in sorted((r for r in rows if r[7] == day), key=lambda r: (r[3], r[1])):
+            meant, at = min(equity / 12, adv[s]), price[s, day][0]
+            why = "already_held" if s in {p[1] for p in held} else "no_slot" if len(held) == 12 else "no_cash" if cash < 0.9 * meant else "qty_zero" if min(meant, cash) // at < 1 else ""
+            want[e] = why
+            if not why:
+                qty = int(min(meant, cash) // at)
+                cash -= side * qty * at
+                held.append((e, s, side, qty, at, day))
+        for p in [p for p in held if day in (p[5] + 4, end)]:
+            held.remove(p)
+            cash += p[2] * p[3] * price[p[1], day][1]
+            pnl[p[0]] = p[2] * p[3] * (price[p[1], day][1] - p[4])
+        equity = cash + sum(side * qty * price[s, day][1] for _, s, side, qty, _, _ in held)
+    assert {"no_cash", "no_slot", "already_held", "qty_zero", ""} == set(want.values())
+    assert {o.event_id: o.skip_reason for o in bt.outcomes_of(found).collect()} == want
+    assert {t.event_id: t.pnl for t in bt.trades_of(found).collect()} == pytest.approx(pnl)
+    assert bt.daily_of(found).orderBy(F.desc("pos")).first().equity == pytest.approx(equity)
+    assert "MapInArrow" in plan and "FlatMapGroupsIn" not in plan  # no group of a run's signals
+    assert bt.itineraries(signals, spark.createDataFrame(board, BOARD), {"x": cfg}, {"x": ["x"]}).count() == len({r[2:3] + r[6:8] for r in rows}) < 300
+    assert {r.kind for r in bt.run_backtests(signals, spark.createDataFrame(board, BOARD), {"x": cfg}, outcomes=False).collect()} == {"trade", "day"}
+
+
+def test_refusals_are_asked_anew_after_an_entry(spark):
+    """Cash of a short lets in what was refused for cash earlier on the same day."""
+    secids = {"A": 1e9, "B": 1e9, "C": 1e9, "D": 1e5, "E": 1e9}
+    board = [(s, d, 10.0 * 3**d, 10.0 * 3**d, 10.0 * 3**d, 3, adv, 100.0) for s, adv in secids.items() for d in range(4)]
+    asks = [("a", "A", 0, 1), ("b", "B", 0, 1), ("e", "E", 0, 1), ("c1", "C", 2, 1), ("c2", "C", 2, 1), ("d", "D", 2, -1), ("c3", "C", 2, 1), ("c4", "C", 2, 1)]
+    rows = [("x", e, s, datetime(2024, 1, 1, k), "c", side, side, d, "pending", "", 0, 3) for k, (e, s, d, side) in enumerate(asks)]
+    cfg = bt.BacktestConfig(hold_days=5, max_positions=5, allow_short=True, min_cash_fraction=0.95, **PLAIN | {"max_participation": 1.0})
+    out = bt.run_backtests(spark.createDataFrame(rows, SIGNALS), spark.createDataFrame(board, BOARD), {"x": cfg})
+    assert {o.event_id: o.skip_reason for o in bt.outcomes_of(out).collect()} == {"a": "", "b": "", "e": "", "c1": "no_cash", "c2": "no_cash", "d": "", "c3": "", "c4": "already_held"}
+
+
 def test_effect_is_found(spark, market):
     e, p, i = market
     cal = panel.trading_calendar(p, i)
