@@ -90,13 +90,20 @@ def fuzzy_candidates(queries: DataFrame, securities: DataFrame, top_n: int = 5)
 
 
 def flag_confounders(events: DataFrame, categories: list[str] = CONFOUNDERS, days: int = 5) -> DataFrame:
-    """Adds has_confounder: another event of these categories on the security within ``days`` days either way; one range window, no self-join."""
-    is_conf = F.coalesce(F.col("category").isin(categories), F.lit(False)).cast("int")
+    """Adds has_confounder: another event of these categories on the security within ``days`` days either way.
+
+    The nearest ones strictly before and after and those of the same moment decide, so running windows do, each row looked at once;
+    a frame of ``days`` would be added up anew for every row. No self-join.
+    """
+    is_conf = F.coalesce(F.col("category").isin(categories), F.lit(False))
     micros = F.unix_micros(F.col("published_at").cast("timestamp"))
     near = days * 86_400_000_000
-    w = W.partitionBy("secid").orderBy("_us").rangeBetween(-near, near)
-    known = events.withColumn("_us", micros).withColumn("_c", is_conf)
-    return known.withColumn("has_confounder", F.coalesce((F.sum("_c").over(w) - F.col("_c")) > 0, F.lit(False)) & F.col("_us").isNotNull()).drop("_us", "_c")
+    known = events.withColumn("_us", micros).withColumn("_c", is_conf.cast("int")).withColumn("_at", F.when(is_conf, F.col("_us")))
+    strictly = lambda order: W.partitionBy("secid").orderBy(order).rangeBetween(W.unboundedPreceding, -1)
+    known = known.withColumn("_next", F.min("_at").over(strictly(F.desc("_us")))).withColumn("_last", F.max("_at").over(strictly(F.asc("_us"))))
+    known = known.withColumn("_same", F.sum("_c").over(W.partitionBy("secid", "_us")) - F.col("_c"))
+    found = (F.col("_same") > 0) | F.coalesce(F.col("_next") - F.col("_us") <= near, F.lit(False)) | F.coalesce(F.col("_us") - F.col("_last") <= near, F.lit(False))
+    return known.withColumn("has_confounder", found & F.col("_us").isNotNull()).drop("_us", "_c", "_at", "_next", "_last", "_same")
 
 
 #: Distinct titles, and characters of them, up to which their categories are sent to every task.

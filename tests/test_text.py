@@ -1,7 +1,8 @@
 """Titles, numbers, names, roles, stake changes, pages."""
 
+import random
 import re
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,18 @@ def test_primary_and_confounders(spark):
     assert {r.event_id: r.has_confounder for r in mapping.flag_confounders(e).collect()} == {"a": True, "b": False, "c": False, "d": False}
 
 
+def test_confounders_by_running_windows(spark):
+    """Equal moments, the very ends of the five days and rows without a time, as every pair gives; no frame of days is added up anew for each row."""
+    rnd = random.Random(2)
+    start = datetime(2024, 1, 1)
+    rows = [(f"e{k}", f"S{rnd.randrange(4)}", None if k % 40 == 7 else start + timedelta(days=rnd.randrange(60), microseconds=rnd.choice((0, 0, 0, 1))), rnd.choice(["other"] * 9 + ["dividends_decision"])) for k in range(400)]
+    got = mapping.flag_confounders(spark.createDataFrame(rows, "event_id string, secid string, published_at timestamp_ntz, category string"))
+    near = lambda a, b: a[0] != b[0] and a[1] == b[1] and b[3] != "other" and None not in (a[2], b[2]) and abs(a[2] - b[2]) <= timedelta(days=5)
+    assert {r.event_id: r.has_confounder for r in got.collect()} == {a[0]: any(near(a, b) for b in rows) for a in rows}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RangeFrame, unboundedpreceding$()") == plan.count("RangeFrame") == 2
+
+
 def test_pages():
     rows = feeds.message_rows("<table><tr><td>01.02.2024&nbsp;10:15</td><td><a href='/portal/company.aspx?id=7'>ПАО</a></td><td><a href='/portal/event.aspx?EventId=AbC-1'>О дивидендах</a></td></tr></table>")
     assert rows == [{"event_id": "AbC-1", "company_id": 7, "company_name": "ПАО", "published_at": datetime(2024, 2, 1, 10, 15), "event_type": "О дивидендах", "url": "https://e-disclosure.ru/portal/event.aspx?EventId=AbC-1"}]
